@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing
+from . import bpe, itq, minhash, mixing
 
 RANKS = "byte_bpe_50k.tiktoken"
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -28,5 +32,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op6_minhash, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op6_minhash, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {}
