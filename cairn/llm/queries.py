@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, itq, minhash, mixing
+from . import bpe, itq, minhash, mixing, quality
 
 RANKS = "byte_bpe_50k.tiktoken"
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -23,6 +23,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -32,5 +36,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op6_minhash, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op4_quality, op6_minhash, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {}
