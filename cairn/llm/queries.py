@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, itq, minhash, mixing, quality
+from . import bpe, fingerprint, itq, minhash, mixing, quality
 
 RANKS = "byte_bpe_50k.tiktoken"
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -31,10 +31,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op4_quality, op6_minhash, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op4_quality, op6_minhash, op7_fingerprint, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {}
