@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, itq, minhash, mixing, quality
+from . import bpe, fingerprint, itq, minhash, mixing, pii, quality
 
 RANKS = "byte_bpe_50k.tiktoken"
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -40,5 +40,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op4_quality, op6_minhash, op7_fingerprint, op9_mixing)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"), pii.fit(spark)).drop("found")
+
+
+QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op4_quality, op6_minhash, op7_fingerprint, op9_mixing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
