@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, itq, minhash, mixing, pii, quality
+from . import bpe, fingerprint, itq, lines, minhash, mixing, pii, quality
 
 RANKS = "byte_bpe_50k.tiktoken"
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -23,6 +23,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"), percent=80)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -44,5 +48,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"), pii.fit(spark)).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op4_quality, op6_minhash, op7_fingerprint, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op3_lines, op4_quality, op6_minhash, op7_fingerprint, op9_mixing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
