@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, itq, lines, minhash, mixing, pii, quality
+from . import bpe, fingerprint, itq, licenses, lines, minhash, mixing, pii, quality, tokencount
 
 RANKS = "byte_bpe_50k.tiktoken"
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
@@ -31,6 +32,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document; a token across a line's end counts where it starts."""
+    docs = table(spark, sf_dir, "documents")
+    return tokencount.count_by_section(docs, tokencount.line_lengths(F.col("text")), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, "start")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -39,6 +46,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates_frame(spark), least=0.8)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -48,5 +59,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"), pii.fit(spark)).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op3_lines, op4_quality, op6_minhash, op7_fingerprint, op9_mixing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op3_lines, op4_quality, op5_tokens, op6_minhash, op7_fingerprint, op8_licenses, op9_mixing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
