@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, forest, map_groups
-from .common import components, materialize
+from .common import components, materialize, small
 from .shingles import chunks, mix64, set_key, shingles
 
 #: Bands and rows of a band: a pair at 0.85 shares no band with odds of 8e-7.
@@ -145,6 +145,24 @@ def exact_edges(table: pa.Table, words: int, percent: int) -> pa.RecordBatch | N
     return _edges(nodes, linked)
 
 
+def class_components(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of signatures(), and for each class its component: (cls, root)."""
+    rows = materialize(signatures(docs, id_col, text_col, words), "signatures")
+    full = rows.where("cls IS NOT NULL")
+    classes = full.groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first"), F.min("id").alias("least"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    members = classes.select("cls", "sketch", F.explode("bands").alias("band"))
+    apart = most_apart(percent / 100)
+    candidates = map_groups(block_pairs(members, "band", "cls", BLOCK).select("band", "_i", "_j", "cls", "sketch"), ["band", "_i", "_j"], lambda t: sketch_edges(t, apart), EDGE)
+    rough = components(candidates)
+    linked = rough.join(classes.select(F.col("cls").alias("node"), "first"), "node").select(F.col("node").alias("cls"), "root", F.col("first.id").alias("id"), F.col("first.th").alias("th"))
+    pairs = block_pairs(linked, "root", "cls", BLOCK)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text")).alias("t")
+    pairs = pairs.alias("p").join(texts, F.col("p.id").eqNullSafe(F.col("t.id")) & (F.col("p.th") == F.col("t.th"))).select("root", "_i", "_j", "cls", "text")
+    links = components(map_groups(pairs, ["root", "_i", "_j"], lambda t: exact_edges(t, words, percent), EDGE))
+    of_class = classes.select("cls").join(links.withColumnRenamed("node", "cls"), "cls", "left")
+    return rows, of_class.select("cls", F.coalesce("root", "cls").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate components: (id_col, n_shingles, component_id, kept), a row per row of docs.
 
@@ -158,24 +176,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     component. Null ids count for no component's smallest id; component_id is null if a component has no
     other, and kept is then false. Other columns are ignored. No rows give no rows.
     """
-    rows = materialize(signatures(docs, id_col, text_col, words), "signatures")
+    rows, of_class = class_components(docs, percent, words, id_col, text_col)
     full = rows.where("cls IS NOT NULL")
-    classes = full.groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first"), F.min("id").alias("least"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    members = classes.select("cls", "sketch", F.explode("bands").alias("band"))
-    apart = most_apart(percent / 100)
-    candidates = map_groups(block_pairs(members, "band", "cls", BLOCK).select("band", "_i", "_j", "cls", "sketch"), ["band", "_i", "_j"], lambda t: sketch_edges(t, apart), EDGE)
-    rough = components(candidates)
-    linked = rough.join(classes.select(F.col("cls").alias("node"), "first"), "node").select(F.col("node").alias("cls"), "root", F.col("first.id").alias("id"), F.col("first.th").alias("th"))
-    pairs = block_pairs(linked, "root", "cls", BLOCK)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text")).alias("t")
-    pairs = pairs.alias("p").join(texts, F.col("p.id").eqNullSafe(F.col("t.id")) & (F.col("p.th") == F.col("t.th"))).select("root", "_i", "_j", "cls", "text")
-    links = components(map_groups(pairs, ["root", "_i", "_j"], lambda t: exact_edges(t, words, percent), EDGE))
-    least = full.groupBy("cls").agg(F.min("id").alias("least"))
-    least = least.join(links.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
+    least = full.groupBy("cls").agg(F.min("id").alias("least")).join(of_class, "cls")
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = least.join(of_root, "root").select("cls", "component_id")
-    grouped = full.select("id", "n", "cls").join(of_class, "cls").select("id", "n", "component_id")
+    ids = least.join(of_root, "root").select("cls", "component_id")
+    grouped = full.select("id", "n", "cls").join(ids, "cls").select("id", "n", "component_id")
     alone = rows.where("cls IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return grouped.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
+
+
+def keep_one(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each near-duplicate component: that of the smallest id, nulls last, then of the smallest hash of its text.
+
+    Rows with no word stay, null and empty texts among them. Of rows equal in id and text, which are one document, one stays. All columns of docs
+    stay as they are.
+    """
+    rows, of_class = class_components(docs, percent, words, id_col, text_col)
+    placed = materialize(rows.where("cls IS NOT NULL").select("id", "th", "cls").join(of_class, "cls").select("root", F.struct(F.col("id").isNull().alias("none"), "id", "th").alias("place")), "placed")
+    stays = placed.groupBy("root").agg(F.min("place").alias("stays"))
+    gone = placed.join(stays, "root").where("place <> stays").select(F.col("place.id").alias("_id"), F.col("place.th").alias("_th")).distinct()
+    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th"))
+    left = docs.join(small(materialize(gone, "gone")), match, "left_anti")
+    if placed.groupBy("place").count().where("count > 1").isEmpty():
+        return left
+    full = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return left.where(full).dropDuplicates([id_col, text_col]).unionByName(left.where(~full))

@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Copies of each row in the mix: (id_col, source, size, source_size, target, copies, taken), a row per row.
+    """Copies of each row in the mix: (id_col, th, source, size, source_size, target, copies, taken), a row per row; th is xxhash64 of the text.
 
     A source's expected copies of each of its rows are target / source_size. The rows of a source stand in order of
     size class, hashed slice, size and id; the running sum of their expected copies plus one offset per source
@@ -57,18 +57,19 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     null ids and repeated rows are rows like any other (equal rows share their copies in any order). Rows
     of size 0 have copies that take 0 words. Other columns of docs are ignored. No rows give no rows.
     """
-    sizes = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sizes = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sizes = materialize(sizes, "sizes")
     targets = source_targets(sizes, weights, share, most)
     run = [
         F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) * CLASSES_PER_DOUBLING).alias("class"),
         F.pmod(F.xxhash64("id", "size"), F.lit(SLICES)).alias("slice"),
     ]
-    rows = sizes.select("id", "source", "size", *run)
+    rows = sizes.select("id", "th", "source", "size", *run)
     runs = rows.groupBy("source", "class", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("source", "class", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     runs = runs.join(small(targets), runs.source.eqNullSafe(targets.source)).select(runs.source, "class", "slice", "before", "source_size", "target")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("size", "id")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("size", "id", "th")))
     joined = ranked.alias("r").join(
         runs.alias("q"), F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.class") == F.col("q.class")) & (F.col("r.slice") == F.col("q.slice"))
     )
@@ -77,18 +78,18 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     end = F.col("before") + F.col("rank")
     copies = (F.floor(offset + ratio * end) - F.floor(offset + ratio * (end - 1))).cast("long")
     return joined.select(
-        F.col("id").alias(id_col), F.col("r.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        F.col("id").alias(id_col), "th", F.col("r.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
-def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, each as many times as mixed (id_col, copies, ...) says; rows with 0 copies go.
+def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, each as many times as mixed, mix() of the same docs, says; rows with 0 copies go.
 
-    An id on several rows, in both tables, has its copies of all its rows dealt to these rows
-    one by one: they stand in any order on either side, and row k of the one meets row k of the other. Rows with a null id are dealt out alike.
+    Rows meet by id, null ids too, and text; of rows equal in both, row k of the one side meets row k of the other, in any order.
     """
-    at = lambda df: df.withColumn("_row", F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1))))
-    left, right = at(docs).alias("d"), at(mixed.select(id_col, "copies")).where("copies > 0").alias("m")
-    joined = left.join(right, F.col(f"d.{id_col}").eqNullSafe(F.col(f"m.{id_col}")) & (F.col("d._row") == F.col("m._row")))
-    joined = joined.select(*[F.col(f"d.{c}") for c in docs.columns], F.col("m.copies").alias("_copies"))
-    return joined.withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).drop("_copies")
+    key = F.coalesce(F.concat(F.lit("id"), F.col(id_col).cast("string")), F.lit("none"))
+    number = F.row_number().over(Window.partitionBy("_k", "_th").orderBy(F.lit(1)))
+    left = docs.withColumns({"_k": key, "_th": F.xxhash64(text_col)}).withColumn("_n", number)
+    right = mixed.select(key.alias("_k"), F.col("th").alias("_th"), F.col("copies").alias("_copies")).withColumn("_n", number)
+    joined = left.join(right.where("_copies > 0"), ["_k", "_th", "_n"])
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(docs.columns)

@@ -138,23 +138,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, *keep, score) for each row: the probability that whole texts have label 1; null is scored as the empty text.
 
-    Ids may be null or repeat. Columns of docs that keep does not name are ignored. No rows give no rows.
+    keep names columns of docs, id_col not among them; the others are ignored. Ids may be null or repeat. No rows give no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    frame = docs.select(F.col(id_col).alias("_id"), *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    names = ["_id", *keep]
-    schema = frame.select(names).schema.add("score", "double")
+    names = [id_col, *keep]
+    frame = docs.select(*names, *[text_col] * (text_col not in names))
+    schema = docs.select(names).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
         for batch in batches:
             scores = []
-            for text in batch.column("_text"):
-                index, value = features(text.as_py())
+            for text in batch.column(text_col):
+                index, value = features(text.as_py() or "")
                 scores.append(probability(float(w[index] @ value)))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(scores, pa.float64())], [*names, "score"])
 
-    return frame.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return frame.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -167,3 +167,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
     weights = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, label_col)
     scored = score(docs, weights, id_col, text_col)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """docs without the rows that score below the threshold, by the model of quality_scores. Columns stay as they are."""
+    weights = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, label_col)
+    scored = score(docs.withColumnRenamed(id_col, "_id"), weights, "_id", text_col, tuple(c for c in docs.columns if c != id_col))
+    return scored.where(F.col("score") >= threshold).withColumnRenamed("_id", id_col).select(docs.columns)

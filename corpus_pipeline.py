@@ -8,14 +8,34 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import bpe, mixing
+from cairn.llm import bpe, lines, minhash, mixing, quality
 from cairn.llm.common import materialize
 from cairn.llm.queries import MIX_WEIGHTS, RANKS, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs.select(COLUMNS), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines like an earlier one go, and documents of nothing else; n_chars counts what stays."""
+    return with_length(lines.remove_lines(docs.select(COLUMNS), percent=80))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return minhash.keep_one(docs.select(COLUMNS), percent=80)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeat as the mix takes them; rows that it takes no copy of go."""
     return mixing.emit(docs.select(COLUMNS), mixing.mix(docs, MIX_WEIGHTS))
@@ -26,7 +46,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-STAGES = [("mix", mix_stage), ("bpe", bpe_stage)]
+STAGES = [("quality", quality_stage), ("lines", lines_stage), ("near", near_stage), ("mix", mix_stage), ("bpe", bpe_stage)]
 #: SQL can't express the classifier and the merges: tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
