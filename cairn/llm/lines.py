@@ -2,7 +2,7 @@
 
 A line is the set of its lower-cased words. Tokens are put in order of rarity, rarest first; two sets
 reach a Jaccard similarity only if they share a token among the first few of each (prefix filter), their sizes are close
-(length filter), and what stands after the shared token can still make up the overlap (positional filter). A 64-bit parity
+(length filter), and what stands after the shared token can still make up the overlap (positional filter). A 128-bit parity
 bitmap of each set, whose XOR has no more bits than the sets' symmetric difference has members, rules out most other pairs within the
 join. The pairs that are left are verified on whole sets. Both joins are semi-joins: they stop at a line's first
 partner and write it once, so that a group of similar lines never gives its pairs.
@@ -14,40 +14,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small
-from .fingerprint import GAP, bound
+from .fingerprint import GAP
 
 #: Hash buckets in which tokens are counted for their rarity: the whole of what the counts take, however large the vocabulary.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 _MASK = (1 << 56) - 1
+#: Sets up to this size have bitmaps of 64 bits, others of 128.
+SMALL = 40
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), GAP), lambda w: w != "")
-
-
-def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
-    """A byte for each hash bucket: 4 log2 of the number of words of all texts that fall into it, in whole steps, below 128."""
+def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
+    """For each hash bucket 4 log2 of the number of words of all texts that fall into it, in whole steps, below 128."""
     spark = docs.sparkSession
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), GAP)).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket"))
     counts = words.groupBy("bucket").count().unionByName(spark.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(1).cast("long").alias("count")))
-    steps = counts.groupBy("bucket").agg(F.least(F.floor(4 * F.log2(F.sum("count"))), F.lit(127)).cast("long").alias("step"))
-    digits = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "step"))), lambda x: F.lpad(F.hex(x["step"]), 2, "0"))
-    return bytes(steps.agg(F.unhex(F.array_join(digits, "")).alias("steps")).first()["steps"])
+    steps = counts.groupBy("bucket").agg(F.least(F.floor(4 * F.log2(F.sum("count"))), F.lit(127)).cast("int").alias("step"))
+    return steps.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "step"))), lambda x: x["step"]).alias("steps")).first()["steps"]
+
+
+def bare(line: Column) -> Column:
+    """A line without white space at its ends."""
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+
+
+def split_words(line: Column) -> Column:
+    """The lower-cased words of a bare line. Splitting at single spaces is cheaper, and does where no other gap occurs."""
+    other = F.contains(line, F.lit("  "))
+    for c in "\t\n\x0b\x0c\r":
+        other = other | F.contains(line, F.lit(c))
+    return F.when(other, F.split(F.lower(line), GAP)).otherwise(F.split(F.lower(line), " "))
 
 
-def token_set(line: Column, steps: bytes) -> Column:
-    """The distinct tokens of a line as sorted longs: seven bits of rarity, then 56 bits of hash. Rare ones come first."""
-    table = F.lit(steps)
-    step = lambda h: F.ascii(F.substring(table, h.bitwiseAND(BUCKETS - 1).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    name = lambda h: F.shiftleft(step(h), 56).bitwiseOR(h.bitwiseAND(_MASK))
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, name))
+def token_set(line: Column, steps: list[int]) -> Column:
+    """The distinct tokens of a bare line with a word as sorted longs: seven bits of rarity, then 56 bits of hash. Rare ones come first."""
+    table = F.from_json(F.lit(str([x << 56 for x in steps])), "array<bigint>")  # folded into a constant
+    name = lambda h: F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(h.bitwiseAND(_MASK))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), name))
 
 
 def parity(tokens: Column) -> Column:
-    """64 bits, each of which tells whether an odd number of tokens falls on it."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(t, 20).bitwiseAND(63).cast("int"))))
+    """Two longs of 64 bits, each of which tells whether an odd number of tokens falls on it. Sets of SMALL tokens at most use the first only."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    turn = lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(t, 20).bitwiseAND(63).cast("int")))
+    of = lambda some: F.aggregate(some, none, turn)
+    half = lambda k: F.filter(tokens, lambda t: F.shiftright(t, 26).bitwiseAND(1) == k)
+    few = F.size(tokens) <= SMALL
+    return F.struct(F.when(few, of(tokens)).otherwise(of(half(0))).alias("a"), F.when(few, none).otherwise(of(half(1))).alias("b"))
 
 
 def prefix_size(size: Column, percent: int) -> Column:
@@ -55,47 +67,67 @@ def prefix_size(size: Column, percent: int) -> Column:
     return (size - F.floor((size * percent + 99) / 100) + 1).cast("int")
 
 
+def index_size(size: Column, percent: int) -> Column:
+    """How many of the smaller set's rarest tokens one of the larger set's first few must be among."""
+    return (size - F.ceil(2 * percent * size / F.lit(float(100 + percent)) - 1e-9) + 1).cast("int")
+
+
 def _may_match(percent: int) -> Column:
-    """Length, positional and bitmap filters on postings l and r: no pair at the similarity fails them."""
+    """Prefix, length, bitmap and positional filters on postings l and r of one token: no pair at the similarity fails them for all its tokens.
+
+    Bitmaps of 64 and of 128 bits are compared as 64 bits: halves fold into one by XOR.
+    """
     a, b, i, j = F.col("l.size"), F.col("r.size"), F.col("l.at"), F.col("r.at")
-    length = F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    length = (a * 100 >= b * percent) & (b * 100 >= a * percent)
+    prefix = F.when(a <= b, F.col("l.indexed")).otherwise(F.col("r.indexed"))
+    la, lb, ra, rb = F.col("l.a"), F.col("l.b"), F.col("r.a"), F.col("r.b")
+    both = F.bit_count(la.bitwiseXOR(ra)) + F.bit_count(lb.bitwiseXOR(rb))
+    folded = F.bit_count(la.bitwiseXOR(lb).bitwiseXOR(ra).bitwiseXOR(rb))
+    apart = F.when((a <= SMALL) == (b <= SMALL), both).otherwise(folded)
+    bitmap = apart * (100 + percent) <= (a + b) * (100 - percent)
     most = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
     position = most * (100 + percent) >= (a + b) * percent
-    bitmap = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits"))) * (100 + percent) <= (a + b) * (100 - percent)
-    return length & bitmap & position
+    return length & prefix & bitmap & position
+
+
+def postings(sets: DataFrame, prefix: Column, percent: int) -> DataFrame:
+    """sets (with size) once for each token of their prefix: columns at, its place, token, and whether it is in the shorter, indexed part."""
+    return sets.select("*", F.posexplode(prefix).alias("at", "token")).withColumn("indexed", F.col("at") < index_size(F.col("size"), percent))
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, no, line): th names the text, no counts from 0. A null text has no line."""
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
+    """(id, th, no, line): the bare lines with a word; th names the text, no counts all lines from 0. A null text has no line."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
+    return rows.withColumn("line", bare(F.col("line"))).where("line <> ''")
 
 
 def line_decisions(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, no, removed) for each line with a word, of each row of docs; th is xxhash64 of the row's text.
 
-    Lines stand in the order of id (nulls first), th and no. A line is removed if an earlier line, itself removed or not, has a set with
-    100 * intersection >= percent * union; equal sets are one such case. Lines without a word always stay and aren't listed. Rows
-    equal in id and text have equal decisions, as of one row.
+    Lines stand in the order of id, an integer, nulls first, and no. A line is removed if an earlier line, itself removed or not, has a set with
+    100 * intersection >= percent * union; equal sets are one such case. Lines without a word always stay and aren't listed. Of lines of
+    one number in several rows of one id none is the earlier.
     """
     steps = rarity(docs, text_col)
-    lines = split_lines(docs, id_col, text_col).withColumn("tokens", token_set(F.col("line"), steps)).where(F.size("tokens") > 0)
+    lines = split_lines(docs, id_col, text_col).withColumn("tokens", token_set(F.col("line"), steps))
     size = F.size("tokens")
     short = F.transform(F.slice("tokens", F.lit(1), prefix_size(size, percent)), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
     lines = materialize(lines.select("id", "th", "no", F.xxhash64("tokens").alias("key"), size.alias("size"), parity(F.col("tokens")).alias("bits"), short.alias("prefix")), "lines")
-    place = F.struct("id", "th", "no")
+    place = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).cast("decimal(20,0)") * (1 << 31) + F.col("no")
     firsts = lines.groupBy("key").agg(F.min(place).alias("first"))
-    sets = lines.groupBy("key").agg(F.any_value(F.struct("size", "bits", "prefix")).alias("s"))
-    postings = sets.select("key", "s.size", "s.bits", F.posexplode("s.prefix").alias("at", "token"))
-    l, r = postings.alias("l"), postings.alias("r")
-    maybe = materialize(l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.key") != F.col("r.key")) & _may_match(percent), "left_semi").select("key").distinct(), "maybe")
-    chosen = materialize(firsts.join(small(maybe), "key"), "chosen")
-    where = small(chosen.select(F.col("first.id").alias("_id"), F.col("first.th").alias("_th")).distinct())
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(where, F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
-    again = split_lines(texts, "id", "text").withColumn("tokens", token_set(F.col("line"), steps)).where(F.size("tokens") > 0)
-    again = again.withColumn("key", F.xxhash64("tokens")).groupBy("key").agg(F.any_value("tokens").alias("tokens"))
-    whole = again.join(chosen, "key").select("key", "first", "tokens", F.size("tokens").alias("size"), parity(F.col("tokens")).alias("bits"))
-    whole = whole.select("*", F.posexplode(F.slice("tokens", F.lit(1), prefix_size(F.col("size"), percent))).alias("at", "token"))
+    sets = lines.withColumn("place", place).join(firsts, "key").where("place = first").select("key", "size", "bits.a", "bits.b", "prefix")
+    first = postings(sets, F.col("prefix"), percent).drop("prefix")
+    l, r = first.alias("l"), first.alias("r")
+    maybe = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.key") != F.col("r.key")) & _may_match(percent), "left_semi")
+    maybe = materialize(maybe.select("key").distinct(), "maybe")
+    chosen = materialize(lines.withColumn("place", place).join(small(maybe), "key").join(firsts, "key").where("place = first").select("id", "th", "no", "key", "first").distinct(), "chosen")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    where = small(chosen.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
+    texts = texts.join(where, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
+    again = split_lines(texts, "id", "text").select(token_set(F.col("line"), steps).alias("tokens")).select("tokens", F.xxhash64("tokens").alias("key"))
+    whole = again.join(small(chosen.select("key", "first").distinct()), "key").groupBy("key", "first").agg(F.any_value("tokens").alias("tokens"))
+    whole = whole.select("key", "first", "tokens", F.size("tokens").alias("size"), parity(F.col("tokens")).alias("bits")).select("key", "first", "tokens", "size", "bits.a", "bits.b")
+    whole = postings(whole, F.slice("tokens", F.lit(1), prefix_size(F.col("size"), percent)), percent)
     l, r = whole.alias("l"), whole.alias("r")
     overlap = F.size(F.array_intersect("l.tokens", "r.tokens"))
     similar = overlap * (100 + percent) >= (F.col("l.size") + F.col("r.size")) * percent
