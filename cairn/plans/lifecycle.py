@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle
-from ..sources.tables import AS_OF, DAY, relation
+from ..sources.tables import AS_OF, DAY, relation, table
 from .registry import query
 
 #: The time at which heat is looked at: 40 days after the first event.
@@ -84,14 +84,14 @@ def g16_tombstones(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "SELECT l_orderkey AS wal_id, max(l_linenumber) AS pos FROM lineitem GROUP BY l_orderkey HAVING arg_max(l_linestatus, l_linenumber) = 'O' AND max(l_linenumber) > 5"
+    """SELECT wal_id, max(pos) AS pos FROM (SELECT l_orderkey AS wal_id, (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS pos, l_linestatus FROM lineitem) t
+ GROUP BY wal_id HAVING arg_max(l_linestatus, pos) = 'O' AND max(pos) > 6000000000000"""
 )
 def g18_pending(spark: SparkSession, folder: str) -> DataFrame:
-    from ..sources.tables import table
-
-    items = table(spark, folder, "lineitem")
-    log = items.select(F.col("l_orderkey").alias("wal_id"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_linestatus") == "O", "pending").otherwise("done").alias("status"))
-    return lifecycle.pending(log).where("pos > 5")
+    pos = (F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")
+    status = F.when(F.col("l_linestatus") == "O", "pending").otherwise("done")
+    log = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("wal_id"), pos.alias("pos"), status.alias("status"))
+    return lifecycle.pending(log).where("pos > 6000000000000")
 
 
 @query("SELECT max(id) AS id, coalesce(agent_id, 'local') AS agent_id, category FROM facts GROUP BY coalesce(agent_id, 'local'), category", "facts")
