@@ -83,10 +83,10 @@ def b5_valid_between(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").where(rules.valid_between(F.col("valid_from_s"), F.col("valid_to_s"), 1_717_200_000, 1_725_148_800)).select("id")
 
 
-@query("SELECT id, CAST(date_trunc('month', to_timestamp(recorded_s) AT TIME ZONE 'UTC') AS DATE) AS month FROM facts WHERE recorded_s >= 1709251200 AND recorded_s < 1711929600", "facts")
+@query("SELECT id, strftime(to_timestamp(recorded_s) AT TIME ZONE 'UTC', '%Y-%m') AS month FROM facts WHERE recorded_s >= 1709251200 AND recorded_s < 1711929600", "facts")
 def b6_time_window(spark: SparkSession, folder: str) -> DataFrame:
     facts = relation(spark, folder, "facts").where("recorded_s >= 1709251200 AND recorded_s < 1711929600")
-    return facts.select("id", F.trunc(F.timestamp_seconds("recorded_s"), "month").alias("month"))
+    return facts.select("id", F.date_format(F.timestamp_seconds("recorded_s"), "yyyy-MM").alias("month"))
 
 
 @query(

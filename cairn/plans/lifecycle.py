@@ -105,11 +105,11 @@ def g20_defaults(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT id, CASE WHEN nv <> fact_value THEN nr END AS closed_s FROM (SELECT id, fact_value, lead(fact_value) OVER w AS nv, lead(recorded_s) OVER w AS nr FROM facts WINDOW w AS (PARTITION BY category, profile ORDER BY recorded_s, id)) t""",
+    """SELECT id, CASE WHEN nv <> fact_value THEN nr ELSE -1 END AS closed_s FROM (SELECT id, fact_value, lead(fact_value) OVER w AS nv, lead(recorded_s) OVER w AS nr FROM facts WINDOW w AS (PARTITION BY category, profile ORDER BY recorded_s, id)) t""",
     "facts",
 )
 def g22_override(spark: SparkSession, folder: str) -> DataFrame:
-    return lifecycle.close_overridden(relation(spark, folder, "facts"), ["category", "profile"]).select("id", "closed_s")
+    return lifecycle.close_overridden(relation(spark, folder, "facts"), ["category", "profile"]).select("id", F.coalesce("closed_s", F.lit(-1)).alias("closed_s"))
 
 
 @query()

@@ -112,8 +112,8 @@ def c25_key_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").groupBy(text.key_prefix(F.col("fact_key")).alias("prefix")).agg(F.count("*").alias("facts"))
 
 
-@query(f"SELECT id, CASE memory_tier WHEN 'procedural' THEN NULL WHEN 'semantic' THEN recorded_s + 180 * 86400 ELSE recorded_s + 30 * 86400 END AS decay_s, recorded_s + 30 * 86400 < {AS_OF} AS old FROM facts", "facts")
+@query(f"SELECT id, CASE memory_tier WHEN 'procedural' THEN -1 WHEN 'semantic' THEN recorded_s + 180 * 86400 ELSE recorded_s + 30 * 86400 END AS decay_s, recorded_s + 30 * 86400 < {AS_OF} AS old FROM facts", "facts")
 def k1_decay_deadline(spark: SparkSession, folder: str) -> DataFrame:
     days = scores.choose(F.col("memory_tier"), {"semantic": 180, "episodic": 30}, None)
     facts = relation(spark, folder, "facts")
-    return facts.select("id", (F.col("recorded_s") + days * 86400).alias("decay_s"), (F.col("recorded_s") + 30 * 86400 < AS_OF).alias("old"))
+    return facts.select("id", F.coalesce(F.col("recorded_s") + days * 86400, F.lit(-1)).alias("decay_s"), (F.col("recorded_s") + 30 * 86400 < AS_OF).alias("old"))

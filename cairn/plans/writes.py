@@ -18,7 +18,7 @@ LANES = "CASE WHEN id % 3 = 0 THEN 'rejected' WHEN id % 5 = 0 THEN 'committed' E
  old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, category ORDER BY recorded_s DESC, id DESC) AS rn FROM g) x WHERE rn <= 200),
  best AS (SELECT n.id, {SQL_JACCARD.format('n.a', 'o.a')} AS s, o.id AS m FROM g n JOIN old o ON n.agent_id = o.agent_id AND n.category = o.category AND n.id <> o.id WHERE n.id % 2 = 0),
  top AS (SELECT id, max(s) AS s, arg_max(m, (s, -m)) AS m FROM best GROUP BY id)
- SELECT g.id, round(coalesce(s, 0), 6) AS similarity, CASE WHEN coalesce(s, 0) >= 0.7E0 THEN m END AS match_id, CASE WHEN coalesce(s, 0) >= 0.85E0 THEN 'merge' WHEN coalesce(s, 0) >= 0.7E0 THEN 'update' ELSE 'insert' END AS action
+ SELECT g.id, round(coalesce(s, 0), 6) AS similarity, CASE WHEN coalesce(s, 0) >= 0.7E0 THEN m ELSE -1 END AS match_id, CASE WHEN coalesce(s, 0) >= 0.85E0 THEN 'merge' WHEN coalesce(s, 0) >= 0.7E0 THEN 'update' ELSE 'insert' END AS action
  FROM g LEFT JOIN top USING (id) WHERE g.id % 2 = 0""",
     "facts",
 )
@@ -26,12 +26,12 @@ def f1_check_duplicate(spark: SparkSession, folder: str) -> DataFrame:
     """Facts of even id are the batch that is written, against all."""
     facts = relation(spark, folder, "facts").where("archived = 0").withColumn("agent_id", F.coalesce("agent_id", F.lit("local")))
     found = writes.check_duplicate(facts.where("id % 2 = 0"), facts)
-    return found.select("id", F.round("similarity", 6).alias("similarity"), "match_id", "action")
+    return found.select("id", F.round("similarity", 6).alias("similarity"), F.coalesce("match_id", F.lit(-1)).alias("match_id"), "action")
 
 
 @query(
     """WITH o AS (SELECT id AS fact_key, trust_score, valid_to_s FROM facts WHERE id % 3 <> 0), n AS (SELECT id AS fact_key, trust_score / 2 AS trust_score, CASE WHEN id % 2 = 0 THEN recorded_s END AS valid_to_s FROM facts WHERE id % 4 <> 0)
- SELECT fact_key, CASE WHEN n.trust_score IS NOT NULL THEN n.trust_score ELSE o.trust_score END AS trust_score, coalesce(n.valid_to_s, o.valid_to_s) AS valid_to_s,
+ SELECT fact_key, CASE WHEN n.trust_score IS NOT NULL THEN n.trust_score ELSE o.trust_score END AS trust_score, coalesce(n.valid_to_s, o.valid_to_s, -1) AS valid_to_s,
  CASE WHEN n.trust_score IS NOT NULL AND o.trust_score IS NOT NULL THEN 'updated' WHEN n.trust_score IS NOT NULL THEN 'inserted' ELSE 'kept' END AS change FROM o FULL JOIN n USING (fact_key)""",
     "facts",
 )
@@ -39,7 +39,8 @@ def f4_upsert(spark: SparkSession, folder: str) -> DataFrame:
     facts = relation(spark, folder, "facts").withColumn("fact_key", F.col("id"))
     old = facts.where("id % 3 <> 0").select("fact_key", "trust_score", "valid_to_s")
     new = facts.where("id % 4 <> 0").select("fact_key", (F.col("trust_score") / 2).alias("trust_score"), F.expr("CASE WHEN id % 2 = 0 THEN recorded_s END").alias("valid_to_s"))
-    return writes.upsert(old, new, ["fact_key"], [F.desc("trust_score")], keep_old=["valid_to_s"])
+    merged = writes.upsert(old, new, ["fact_key"], [F.desc("trust_score")], keep_old=["valid_to_s"])
+    return merged.withColumn("valid_to_s", F.coalesce("valid_to_s", F.lit(-1)))
 
 
 @query(
