@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A table is broadcast only when a count has shown it to be no longer than this.
 BROADCAST_ROWS = 100_000
+#: Rows of a short intermediate table that one task makes and writes.
+TASK_ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,15 +26,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     It cuts the lineage in a way that survives the loss of executors, and is smaller than a
-    checkpoint of rows.
+    checkpoint of rows. Where a bound of the number of rows is known, one task writes TASK_ROWS of them, so that short tables
+    are not hundreds of files.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(rows // TASK_ROWS + 1)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out
@@ -76,7 +79,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         step = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        after_df = materialize(step, "edges")
+        after_df = materialize(step, "edges", before[0])
         after = print_of(after_df)
         release(now)
         now = after_df

@@ -10,7 +10,7 @@ partner and write it once, so that a group of similar lines never gives its pair
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small
@@ -23,13 +23,14 @@ _MASK = (1 << 56) - 1
 SMALL = 40
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """For each hash bucket 4 log2 of the number of words of all texts that fall into it, in whole steps, below 128."""
+def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
+    """A byte for each hash bucket: 4 log2 of the number of words of all texts that fall into it, in whole steps, below 128."""
     spark = docs.sparkSession
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), GAP)).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket"))
     counts = words.groupBy("bucket").count().unionByName(spark.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(1).cast("long").alias("count")))
     steps = counts.groupBy("bucket").agg(F.least(F.floor(4 * F.log2(F.sum("count"))), F.lit(127)).cast("int").alias("step"))
-    return steps.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "step"))), lambda x: x["step"]).alias("steps")).first()["steps"]
+    found = steps.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "step"))), lambda x: x["step"]).alias("steps")).first()["steps"]  # BUCKETS of them
+    return bytes(found)
 
 
 def bare(line: Column) -> Column:
@@ -45,10 +46,11 @@ def split_words(line: Column) -> Column:
     return F.when(other, F.split(F.lower(line), GAP)).otherwise(F.split(F.lower(line), " "))
 
 
-def token_set(line: Column, steps: list[int]) -> Column:
+def token_set(line: Column, steps: bytes) -> Column:
     """The distinct tokens of a bare line with a word as sorted longs: seven bits of rarity, then 56 bits of hash. Rare ones come first."""
-    table = F.from_json(F.lit(str([x << 56 for x in steps])), "array<bigint>")  # folded into a constant
-    name = lambda h: F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(h.bitwiseAND(_MASK))
+    table = F.lit(steps)  # as bytes, for plans are kept and written out by the driver
+    step = lambda h: F.ascii(F.substring(table, h.bitwiseAND(BUCKETS - 1).cast("int") + 1, F.lit(1)).cast("string"))
+    name = lambda h: F.shiftleft(step(h).cast("bigint"), 56).bitwiseOR(h.bitwiseAND(_MASK))
     return F.sort_array(F.transform(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), name))
 
 
@@ -72,27 +74,46 @@ def index_size(size: Column, percent: int) -> Column:
     return (size - F.ceil(2 * percent * size / F.lit(float(100 + percent)) - 1e-9) + 1).cast("int")
 
 
+def _shape(name: str) -> tuple[Column, Column, Column]:
+    """Of a posting its set's size, the token's place, and whether that is in the indexed part: packed into one long, as postings are what is moved most."""
+    packed = F.col(f"{name}.shape")
+    return F.shiftright(packed, 32), F.shiftright(packed, 1).bitwiseAND(0x7FFFFFFF), packed.bitwiseAND(1) == 1
+
+
 def _may_match(percent: int) -> Column:
     """Prefix, length, bitmap and positional filters on postings l and r of one token: no pair at the similarity fails them for all its tokens.
 
     Bitmaps of 64 and of 128 bits are compared as 64 bits: halves fold into one by XOR.
     """
-    a, b, i, j = F.col("l.size"), F.col("r.size"), F.col("l.at"), F.col("r.at")
+    (a, i, li), (b, j, ri) = _shape("l"), _shape("r")
     length = (a * 100 >= b * percent) & (b * 100 >= a * percent)
-    prefix = F.when(a <= b, F.col("l.indexed")).otherwise(F.col("r.indexed"))
     la, lb, ra, rb = F.col("l.a"), F.col("l.b"), F.col("r.a"), F.col("r.b")
     both = F.bit_count(la.bitwiseXOR(ra)) + F.bit_count(lb.bitwiseXOR(rb))
     folded = F.bit_count(la.bitwiseXOR(lb).bitwiseXOR(ra).bitwiseXOR(rb))
     apart = F.when((a <= SMALL) == (b <= SMALL), both).otherwise(folded)
     bitmap = apart * (100 + percent) <= (a + b) * (100 - percent)
+    prefix = F.when(a <= b, li).otherwise(ri)
     most = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
     position = most * (100 + percent) >= (a + b) * percent
-    return length & prefix & bitmap & position
+    return length & bitmap & prefix & position
+
+
+def postings(sets: DataFrame, percent: int) -> DataFrame:
+    """sets (first, size, a, b, prefix) once for each token of the prefix: (token, first, shape, a, b)."""
+    rows = sets.select("first", "size", "a", "b", F.posexplode("prefix").alias("at", "token"))
+    indexed = (F.col("at") < index_size(F.col("size"), percent)).cast("bigint")
+    shape = F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("bigint"), 1)).bitwiseOR(indexed)
+    return rows.select("token", "first", shape.alias("shape"), "a", "b")
 
 
-def postings(sets: DataFrame, prefix: Column, percent: int) -> DataFrame:
-    """sets (with size) once for each token of their prefix: columns at, its place, token, and whether it is in the shorter, indexed part."""
-    return sets.select("*", F.posexplode(prefix).alias("at", "token")).withColumn("indexed", F.col("at") < index_size(F.col("size"), percent))
+def _verified(l: DataFrame, r: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The places of postings l that have an earlier partner among postings r of one token, by whole sets."""
+    whole = lambda df: df.join(tokens, "first").withColumn("n", F.size("tokens"))
+    l = whole(l).alias("l")
+    r = whole(r.join(l.select("token").distinct(), "token", "left_semi")).alias("r")
+    similar = F.size(F.array_intersect("l.tokens", "r.tokens")) * (100 + percent) >= (F.col("l.n") + F.col("r.n")) * percent
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("r.first") < F.col("l.first")) & _may_match(percent) & similar
+    return l.join(r, on, "left_semi").select("first").distinct()
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,36 +125,50 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_decisions(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, no, removed) for each line with a word, of each row of docs; th is xxhash64 of the row's text.
 
-    Lines stand in the order of id, an integer, nulls first, and no. A line is removed if an earlier line, itself removed or not, has a set with
-    100 * intersection >= percent * union; equal sets are one such case. Lines without a word always stay and aren't listed. Of lines of
-    one number in several rows of one id none is the earlier.
+    Lines stand in the order of id, an integer, nulls first, th and no. A line is removed if an earlier line, itself removed or not, has a set with
+    100 * intersection >= percent * union; equal sets are one such case. Lines without a word always stay and aren't listed. Rows
+    equal in id and text have equal decisions, as of one row.
     """
     steps = rarity(docs, text_col)
     lines = split_lines(docs, id_col, text_col).withColumn("tokens", token_set(F.col("line"), steps))
     size = F.size("tokens")
     short = F.transform(F.slice("tokens", F.lit(1), prefix_size(size, percent)), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
     lines = materialize(lines.select("id", "th", "no", F.xxhash64("tokens").alias("key"), size.alias("size"), parity(F.col("tokens")).alias("bits"), short.alias("prefix")), "lines")
-    place = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).cast("decimal(20,0)") * (1 << 31) + F.col("no")
-    firsts = lines.groupBy("key").agg(F.min(place).alias("first"))
-    sets = lines.withColumn("place", place).join(firsts, "key").where("place = first").select("key", "size", "bits.a", "bits.b", "prefix")
-    first = postings(sets, F.col("prefix"), percent).drop("prefix")
-    l, r = first.alias("l"), first.alias("r")
-    maybe = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.key") != F.col("r.key")) & _may_match(percent), "left_semi")
-    maybe = materialize(maybe.select("key").distinct(), "maybe")
-    chosen = materialize(lines.withColumn("place", place).join(small(maybe), "key").join(firsts, "key").where("place = first").select("id", "th", "no", "key", "first").distinct(), "chosen")
+    place = _place(lines)
+    lines_at = lines.withColumn("place", place)
+    firsts = lines_at.groupBy("key").agg(F.min("place").alias("first"))
+    sets = lines_at.join(firsts, "key").where("place = first").select("first", "size", "bits.a", "bits.b", "prefix")
+    all_postings = postings(sets, percent)
+    on = (F.col("l.token") == F.col("r.token")) & _may_match(percent)
+    met = all_postings.alias("l").join(all_postings.alias("r"), on & (F.col("l.first") != F.col("r.first")), "left_semi")
+    met = materialize(met, "met")  # postings with a partner, earlier or later
+    n = met.count()
+    earlier = on & (F.col("r.first") < F.col("l.first"))
+    later = materialize(met.alias("l").join(met.alias("r"), earlier, "left_semi"), "later", n)
+    partners = materialize(met.alias("r").join(later.alias("l"), earlier, "left_semi"), "partners", n)
+    chosen = later.select("first").unionByName(partners.select("first")).distinct()
+    at = materialize(lines_at.join(small(chosen), F.col("place") == F.col("first"), "left_semi").select("id", "th", "no", "place", "key").distinct(), "at")
+    where = at.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("no", "place", "key")).alias("_lines"))  # lines of one text
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    where = small(chosen.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct())
-    texts = texts.join(where, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi")
-    again = split_lines(texts, "id", "text").select(token_set(F.col("line"), steps).alias("tokens")).select("tokens", F.xxhash64("tokens").alias("key"))
-    whole = again.join(small(chosen.select("key", "first").distinct()), "key").groupBy("key", "first").agg(F.any_value("tokens").alias("tokens"))
-    whole = whole.select("key", "first", "tokens", F.size("tokens").alias("size"), parity(F.col("tokens")).alias("bits")).select("key", "first", "tokens", "size", "bits.a", "bits.b")
-    whole = postings(whole, F.slice("tokens", F.lit(1), prefix_size(F.col("size"), percent)), percent)
-    l, r = whole.alias("l"), whole.alias("r")
-    overlap = F.size(F.array_intersect("l.tokens", "r.tokens"))
-    similar = overlap * (100 + percent) >= (F.col("l.size") + F.col("r.size")) * percent
-    removed = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("r.first") < F.col("l.first")) & _may_match(percent) & similar, "left_semi").select("key").distinct()
-    of_set = firsts.join(removed.withColumn("gone", F.lit(True)), "key", "left").select("key", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return lines.select("id", "th", "no", "key").join(of_set, "key").select("id", "th", "no", (F.col("gone") | (place != F.col("first"))).alias("removed"))
+    texts = texts.join(small(where), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    again = texts.select(F.explode("_lines").alias("x"), F.split("text", "\n").alias("all")).select("x.place", token_set(bare(F.get("all", F.col("x.no"))), steps).alias("tokens"))
+    tokens = materialize(again.groupBy(F.col("place").alias("first")).agg(F.any_value("tokens").alias("tokens")), "tokens", n)
+    # A later set is first compared at its rarest such token, where its partner mostly is; what is then left, at all its others.
+    rank = F.row_number().over(Window.partitionBy("first").orderBy(F.shiftright("shape", 1).bitwiseAND(0x7FFFFFFF)))
+    gone = materialize(_verified(later.withColumn("_n", rank).where("_n = 1").drop("_n"), partners, tokens, percent), "gone", n)
+    rest = later.join(gone, "first", "left_anti")
+    removed = gone.unionByName(_verified(rest, partners, tokens, percent))
+    of_set = firsts.join(removed.withColumn("gone", F.lit(True)), "first", "left").select("key", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    return lines_at.select("id", "th", "no", "key", "place").join(of_set, "key").select("id", "th", "no", (F.col("gone") | (F.col("place") != F.col("first"))).alias("removed"))
+
+
+def _place(lines: DataFrame) -> Column:
+    """The order of lines by id, nulls first, text hash and number: as one long where ids are of one text each and all fit, else as a struct."""
+    b = lines.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("no").alias("no")).first()
+    fits = b["low"] is None or (b["low"] >= 0 and b["high"] < 1 << 40 and b["no"] < 1 << 22)
+    if fits and lines.select("id", "th").distinct().count() == lines.select("id").distinct().count():
+        return F.coalesce(F.col("id").cast("long"), F.lit(-1)) * (1 << 22) + F.col("no")
+    return F.struct("id", "th", "no")
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
