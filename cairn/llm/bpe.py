@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a worker's memos before they are cleared. They bound memory, never results.
-MEMO = 1 << 18
+MEMO = 1 << 17
 #: A vocabulary is broadcast as its file; a rank file above this size is refused.
 MOST_RANK_BYTES = 64 << 20
 
@@ -158,6 +158,11 @@ class Codec:
             self.pieces.clear()
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
+    def forget(self) -> None:
+        """Empty the memos, so that an idle worker holds no more than the vocabulary."""
+        self.pieces.clear()
+        self.compatible_memo.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -201,6 +206,7 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], ["id", "ids", "n_tokens"]
             )
+        c.forget()
 
     return frame.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
 
@@ -245,5 +251,6 @@ def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "do
                 [batch.column("id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        c.forget()
 
     return frame.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -151,7 +151,7 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("id")
             at, names, matched, share, begin, stop = [], [], [], [], [], []
-            for part in chunks(texts):
+            for part in chunks([len(t) for t in texts]):
                 own = texts[part]
                 hashes, owner, starts, ends = word_hashes(own)
                 bounds = np.searchsorted(owner, np.arange(len(own) + 1))

@@ -70,9 +70,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in chunks(texts):
-                sets = shingles(texts[part], words)
+            sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")]
+            for part in chunks(sizes):
+                sets = shingles(batch.column("text").slice(part.start, part.stop - part.start).to_pylist(), words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 cls, bands, sketches = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if full:
@@ -133,7 +133,7 @@ def exact_edges(table: pa.Table, words: int, percent: int) -> pa.RecordBatch | N
     """A forest of the pairs of a pair of blocks with 100 * intersection >= percent * union of full sets."""
     texts = table.column("text").to_pylist()
     nodes = table.column("cls").to_numpy()
-    sets = [s for part in chunks(texts) for s in shingles(texts[part], words)]
+    sets = [s for part in chunks([len(t) for t in texts]) for s in shingles(texts[part], words)]
     right = [i for i, s in enumerate(sets) if len(s) and set_key(s) == nodes[i]]
     if len(right) < 2:
         return None

@@ -55,7 +55,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     A word like the one before it is written as a sign of its own in n-grams of two or more, so that repetition of any
     word is one feature. The empty text has only the constant feature, index 0.
     """
-    if len(_words) > 1 << 17:
+    if len(_words) > 1 << 16:
         _words.clear()
     pairs = [_words[m.group()] for m in WORDS(text)]
     if not pairs:
@@ -116,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             made = [features(t.as_py()) for t in batch.column("text")]
             index, value = pa.array([x[0] for x in made], pa.list_(pa.int64())), pa.array([x[1] for x in made], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), index, value], ["h", "label", "index", "value"])
+        _words.clear()
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [x for b in batches for x in zip(b.column("label").to_pylist(), b.column("index"), b.column("value"))]
@@ -153,6 +154,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 index, value = features(text.as_py() or "")
                 scores.append(probability(float(w[index] @ value)))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(scores, pa.float64())], [*names, "score"])
+        _words.clear()
 
     return frame.mapInArrow(run, schema)
 

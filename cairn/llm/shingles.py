@@ -9,7 +9,7 @@ import numpy as np
 _B = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text that are hashed together; a longer text is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -73,13 +73,13 @@ def shingles(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def chunks(texts: list[bytes]):
-    """Consecutive slices of texts with at most CHUNK bytes, one text at least."""
+def chunks(sizes: list[int]):
+    """Consecutive slices of texts of these sizes with at most CHUNK bytes, one text at least."""
     at = 0
-    while at < len(texts):
+    while at < len(sizes):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-            size += len(texts[end])
+        while end < len(sizes) and (end == at or size + sizes[end] <= CHUNK):
+            size += sizes[end]
             end += 1
         yield slice(at, end)
         at = end

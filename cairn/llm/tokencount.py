@@ -87,6 +87,7 @@ def count_by_section(docs: DataFrame, lengths: Column, rank_path: str, pattern:
                 [batch.column("id"), pa.array(tokens, pa.int64()), pa.array(sections, pa.int64()), pa.array(crossing, pa.int64()), pa.array(counts, pa.list_(pa.float64()))],
                 ["id", "n_tokens", "n_sections", "n_crossing", "section_tokens"],
             )
+        c.forget()
 
     return frame.mapInArrow(run, f"id {kind}, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>").withColumnRenamed("id", id_col)
 
