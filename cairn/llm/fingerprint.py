@@ -66,11 +66,12 @@ def as_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-def with_next(rows: DataFrame, id_col: str, carry: list[str], tie: str) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, carry: list[str], tie: str, derive: dict[str, Column]) -> DataFrame:
     """rows with a column more, next: a struct of carry from the following row by descending id, nulls last, then tie; after the last the first.
 
     Ids are cut into RANGES ranges by quantiles. A range is ordered apart from the others; the row that
-    opens it is also given to the range before, as its last.
+    opens it is also given to the range before, as its last. derive has columns that are computed where the rows
+    of a range have met, so that they are not moved; carry may name them.
     """
     quantiles = [k / RANGES for k in range(1, RANGES)]
     edges = rows.agg(F.percentile_approx(id_col, quantiles, 10 * RANGES).alias("e")).first()["e"] or []
@@ -84,6 +85,7 @@ def with_next(rows: DataFrame, id_col: str, carry: list[str], tie: str) -> DataF
     joined = placed.join(F.broadcast(opens), (F.col("_range") == F.col("_r")) & F.col(id_col).eqNullSafe(F.col("_top")), "left")
     copies = F.array(F.struct(F.col("_range").alias("at"), F.lit(0).alias("ghost")), F.when(F.col("_r").isNotNull(), F.struct(F.col("_before").alias("at"), F.lit(1).alias("ghost"))))
     dealt = joined.withColumn("_c", F.explode(F.array_compact(copies))).select(*rows.columns, "_c.at", "_c.ghost")
+    dealt = dealt.repartition("at").withColumns(derive)
     window = Window.partitionBy("at").orderBy("ghost", F.col(id_col).desc_nulls_last(), tie)
     return dealt.withColumn("next", F.lead(F.struct(*carry)).over(window)).where("ghost = 0").drop("at", "ghost")
 
@@ -109,10 +111,10 @@ def edited_fingerprints(docs: DataFrame, words: int = 5, scale: int = SCALE, id_
     any. Other columns are ignored. No rows give no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", F.xxhash64("text").alias("tie"), sketch(F.col("text"), words, scale).alias("own"))
+    rows = rows.select("id", "text", F.xxhash64("text").alias("tie"))
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next.text", F.lit(1), half))
-    rows = with_next(rows, "id", ["text", "own"], "tie").select("id", F.char_length("text").cast("long").alias("n_chars"), "own", F.col("next.own").alias("following"), edited.alias("edited"))
+    rows = with_next(rows, "id", ["text", "own"], "tie", {"own": sketch(F.col("text"), words, scale)}).select("id", F.char_length("text").cast("long").alias("n_chars"), "own", F.col("next.own").alias("following"), edited.alias("edited"))
     rows = rows.withColumn("changed", sketch(F.col("edited"), words, scale))
     return rows.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
