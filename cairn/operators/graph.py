@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -61,13 +62,29 @@ def hotspots(edges: DataFrame, limit: int) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree")).orderBy(F.desc("in_degree"), "node").limit(limit)
 
 
-def spread(neighbours: DataFrame, start: DataFrame, hops: int, branch: int, least: float, most: float) -> DataFrame:
-    """Spreading recall: from each start (seed, node) to its best `branch` neighbours (src, dst, score) with least <= score <= most, hop by hop, no node twice for a seed."""
+def _cut(df: DataFrame) -> DataFrame:
+    """df computed once: a checkpoint in the folder of spark.checkpoint.dir, or, without one, on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def spread(neighbours: DataFrame | Callable[[DataFrame], DataFrame], start: DataFrame, hops: int, branch: int, least: float, most: float) -> DataFrame:
+    """Spreading recall: from each start (seed, node) to its best `branch` neighbours (src, dst, score) with least <= score <= most, hop by hop, no node twice for a seed.
+
+    neighbours is a table of all of them, or a function that makes those of the distinct nodes (node) that a hop has reached anew.
+    """
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
-    best = neighbours.where(F.col("score").between(least, most)).withColumn("_rn", rank).where(F.col("_rn") <= branch).select("src", "dst")
-    levels = [start.select("seed", "node").withColumn("depth", F.lit(0))]
+    best_of = lambda near: near.where(F.col("score").between(least, most)).withColumn("_rn", rank).where(F.col("_rn") <= branch).select("src", "dst")
+    best = None if callable(neighbours) else best_of(neighbours)
+    levels, known = [start.select("seed", "node").withColumn("depth", F.lit(0))], None
     for hop in range(1, hops + 1):
         seen = reduce(DataFrame.unionByName, levels).select("seed", "node")
+        if callable(neighbours):
+            nodes = levels[-1].select("node").distinct()
+            if known is not None:
+                nodes = nodes.join(known.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+            new = _cut(best_of(neighbours(_cut(nodes))))
+            best = known = new if known is None else known.unionByName(new)
         found = levels[-1].join(best, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        levels.append(found.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(hop)))
+        found = found.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(hop))
+        levels.append(_cut(found) if callable(neighbours) else found)
     return reduce(DataFrame.unionByName, levels)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
 
+#: So many queries are broadcast; more are compared in blocks of these many queries and vectors (on average).
+FEW_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 100, 1_024, 2_048
+
 
 def keyword_search(rows: DataFrame, terms: list[str], column: str, limit: int, order: list) -> DataFrame:
     """Rows whose lower text holds any of the terms, the first by the order, which should be total."""
@@ -87,14 +92,77 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, product(a, b) / length)
 
 
+def _lengths(rows: list) -> dict[int, list[int]]:
+    """The places of the vectors of each length; those that are null or hold a null are under -1."""
+    found: dict[int, list[int]] = {}
+    for k, v in enumerate(rows):
+        found.setdefault(-1 if v is None or None in v else len(v), []).append(k)
+    return found
+
+
+def _cosines(queries: list, vectors: list) -> np.ndarray:
+    """cosine() of each query and vector, summed in its order; -inf where that is null."""
+    out = np.full((len(queries), len(vectors)), -np.inf)
+    of_length = _lengths(vectors)
+    for n, qs in _lengths(queries).items():
+        if n < 1 or n not in of_length:
+            continue
+        vs = of_length[n]
+        q, v = np.array([queries[k] for k in qs], np.float64).T, np.array([vectors[k] for k in vs], np.float64).T
+        product, qq, vv = np.zeros((len(qs), len(vs))), np.zeros(len(qs)), np.zeros(len(vs))
+        with np.errstate(all="ignore"):
+            for x, y in zip(q, v):
+                product += x[:, None] * y[None, :]
+                qq += x * x
+                vv += y * y
+            length = np.sqrt(qq)[:, None] * np.sqrt(vv)[None, :]
+            out[np.ix_(qs, vs)] = np.where(length == 0, -np.inf, product / length)
+    return out
+
+
+def _topk_of_blocks(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int) -> DataFrame:
+    """(qid, vec_id, score): of each block of queries with each block of vectors the k best rows of each query."""
+    n_q, n_v = -(-n_queries // QUERY_BLOCK), -(-vectors.count() // VECTOR_BLOCK) or 1
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("qid", "qvec", block("qid", n_q).alias("_q")).withColumn("_v", every(n_v))
+    v = vectors.select("vec_id", "embedding", block("vec_id", n_v).alias("_v")).withColumn("_q", every(n_q))
+    schema = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        qid, vid = left.column("qid").to_numpy(), right.column("vec_id").to_numpy()
+        if not len(qid) or not len(vid):
+            return schema.empty_table()
+        order = np.argsort(vid, kind="stable")
+        vid = vid[order]
+        found = _cosines(left.column("qvec").to_pylist(), right.column("embedding").take(pa.array(order)).to_pylist())
+        rank = np.where(np.isnan(found), np.inf, found)  # as Spark orders NaN
+        at, to = [], []
+        for row in range(len(qid)):
+            top = np.flatnonzero(vid != qid[row])
+            if len(top) > k:
+                least = np.partition(rank[row, top], len(top) - k)[len(top) - k]
+                top = top[rank[row, top] >= least]
+            top = top[np.argsort(-rank[row, top], kind="stable")[:k]]  # equal ones by vec_id
+            at += [row] * len(top)
+            to += top.tolist()
+        scores_ = found[at, to]
+        return pa.Table.from_arrays([pa.array(qid[at]), pa.array(vid[to]), pa.array(scores_, mask=np.isneginf(scores_))], schema=schema)
+
+    return q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInArrow(best, "qid long, vec_id long, score double")
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each of a few queries (qid, qvec) its k nearest rows (vec_id, embedding) by cosine, itself excluded: (qid, vec_id, score, rn).
+    """For each query (qid, qvec) its k nearest rows (vec_id, embedding) by cosine, itself excluded: (qid, vec_id, score, rn).
 
-    The queries are broadcast after a check of their number; each task ranks its own rows before the rest is ranked.
+    Ids are longs. A few queries are broadcast after a check of their number, and each task ranks its own rows before the rest is ranked;
+    more are cut into hashed blocks, of which each meets each block of rows in a task of its own that gives k rows a query.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("too many queries to broadcast; run them in blocks")
-    scored = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", cosine(F.col("embedding"), F.col("qvec")).alias("score"))
+    n = queries.count()
+    if n <= FEW_QUERIES:
+        scored = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", cosine(F.col("embedding"), F.col("qvec")).alias("score"))
+    else:
+        scored = _topk_of_blocks(vectors, queries, n, k)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rn", rank).where(F.col("rn") <= k)
 
