@@ -22,15 +22,14 @@ SLACK = 6.0
 BLOCK, ITERATIONS = 256, 30
 
 
-def fit_rotations(sample: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The mean of unit vectors, and rotations side by side: (dim, dim * r) with dim * r >= BITS.
+def fit_rotations(sample: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Rotations side by side: (dim, dim * r) with dim * r >= BITS.
 
     Each rotation starts at random on the principal axes, and then by turns takes the signs of the rotated
-    sample as its binary code and the rotation that brings the sample closest to that code.
+    sample, less its mean, as its binary code and the rotation that brings the sample closest to that code.
     """
     dim = sample.shape[1]
-    mean = sample.mean(axis=0)
-    centred = sample - mean
+    centred = sample - sample.mean(axis=0)
     axes = np.linalg.eigh(centred.T @ centred)[1]
     rng, found = np.random.default_rng(seed), []
     for _ in range(-(-BITS // dim)):
@@ -40,7 +39,7 @@ def fit_rotations(sample: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.nda
             u, _, v = np.linalg.svd(turned.T @ code)
             rotation = u @ v
         found.append(axes @ rotation)
-    return mean, np.hstack(found)
+    return np.hstack(found)
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -61,9 +60,12 @@ def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, np.int64), np.array(out).reshape(len(out), dim)
 
 
-def codes(unit: np.ndarray, mean: np.ndarray, rotations: np.ndarray) -> np.ndarray:
-    """Packed codes, a row a vector, of whole substrings."""
-    bits = (unit - mean) @ rotations >= 0
+def codes(unit: np.ndarray, rotations: np.ndarray) -> np.ndarray:
+    """Packed codes, a row a vector, of whole substrings.
+
+    No mean is taken off: signs then turn over with the angle that the threshold is about, and most_apart() holds for vectors with a common direction too.
+    """
+    bits = unit @ rotations >= 0
     return np.packbits(bits[:, : bits.shape[1] // SUBSTRING * SUBSTRING], axis=1)
 
 
@@ -108,9 +110,9 @@ def cosine_links(table: pa.Table, threshold: float) -> pa.RecordBatch | None:
     )
 
 
-def coded(vectors: DataFrame, dim: int, mean: np.ndarray, rotations: np.ndarray, id_col: str, vector_col: str) -> DataFrame:
+def coded(vectors: DataFrame, dim: int, rotations: np.ndarray, id_col: str, vector_col: str) -> DataFrame:
     """(id, cls, vector, code): cls names the vector's components; the last three are null where the vector can't be compared."""
-    held = vectors.sparkSession.sparkContext.broadcast((mean, rotations))
+    held = vectors.sparkSession.sparkContext.broadcast(rotations)
     frame = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     kind = frame.schema["id"].dataType.simpleString()
 
@@ -119,7 +121,7 @@ def coded(vectors: DataFrame, dim: int, mean: np.ndarray, rotations: np.ndarray,
             rows, found = usable(batch.column("v"), dim)
             cls, raw, code = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
             if len(rows):
-                packed = codes(units(found), *held.value)
+                packed = codes(units(found), held.value)
                 for k, v, c in zip(rows.tolist(), found + 0.0, packed):
                     raw[k], code[k] = v.tobytes(), c.tobytes()
                     cls[k] = int.from_bytes(hashlib.blake2b(raw[k], digest_size=8).digest(), "little", signed=True)
@@ -147,7 +149,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     sample = vectors.where(F.size(vector_col) == dim).select(F.col(vector_col).cast("array<double>").alias("v")).orderBy(F.xxhash64("v")).limit(SAMPLE).toArrow()
     rows, found = usable(sample.column("v").combine_chunks(), dim)
     found = units(found) if len(rows) else np.eye(1, dim)
-    coded_rows = materialize(coded(vectors, dim, *fit_rotations(found), id_col, vector_col), "codes")
+    coded_rows = materialize(coded(vectors, dim, fit_rotations(found), id_col, vector_col), "codes")
     full = coded_rows.where("cls IS NOT NULL")
     classes = full.groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"), F.any_value("code").alias("code"))
     bits = -(-BITS // dim) * dim // SUBSTRING * SUBSTRING

@@ -1,0 +1,20 @@
+"""Training-data operators on inputs that they once did only in part."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from cairn.llm import itq
+
+
+def test_itq_finds_links_of_vectors_with_a_common_direction(spark):
+    r = np.random.default_rng(6)
+    offset = np.zeros(64)
+    offset[3] = 0.9 / np.sqrt(1 - 0.9**2)
+    a = itq.units(r.standard_normal((250, 64)) / 8 + offset)
+    side = r.standard_normal((250, 64))
+    side = itq.units(side - (side * a).sum(axis=1)[:, None] * a)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.vstack([a, 0.952 * a + np.sqrt(1 - 0.952**2) * side]))]
+    m = itq.units(np.array([v for _, v in rows]))
+    links = int((m @ m.T >= 0.95).sum()) - len(m)
+    got = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).agg(F.sum("n_links")).first()[0]
+    assert links >= 500 and 0.98 * links <= got <= links
