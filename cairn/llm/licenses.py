@@ -49,12 +49,24 @@ def winnow(grams: np.ndarray) -> list[int]:
     return np.unique(np.arange(len(windows)) + WINDOW - 1 - np.argmin(windows[:, ::-1], axis=1)).tolist()
 
 
+def _places(hashes: np.ndarray, keys: np.ndarray, places: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
+    """(template, place in the text less place in the template, place in the text) of every hash of a text that is a key of places; keys are sorted."""
+    if len(hashes) == 0 or len(keys) == 0:
+        return []
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return [(k, int(p) - place, int(p)) for p in np.flatnonzero(keys[at] == hashes) for k, place in places[int(hashes[p])]]
+
+
 class Index:
-    """The templates' words, and for each winnowed fingerprint the templates and places that have it."""
+    """The templates' words, for each winnowed fingerprint the templates and places that have it, and the same for anchors.
 
-    def __init__(self, templates: list[tuple[str, str]]):
+    Where a match may lack m of a template's words, any m + 1 of its places are anchors of which a match has one at least. The longest
+    words are taken, as rarer ones.
+    """
+
+    def __init__(self, templates: list[tuple[str, str]], least: float = 0.8):
         self.names = [name for name, _ in templates]
-        hashes, owner, _, _ = word_hashes([text.encode() for _, text in templates]) if templates else (np.zeros(0, np.uint64), np.zeros(0, int), None, None)
+        hashes, owner, starts, ends = word_hashes([text.encode() for _, text in templates]) if templates else (np.zeros(0, np.uint64), *[np.zeros(0, int)] * 3)
         self.words = [hashes[owner == k] for k in range(len(templates))]
         if len(hashes) > MOST_TEMPLATE_WORDS:
             raise ValueError("the templates are too large to broadcast")
@@ -67,13 +79,20 @@ class Index:
             for at in winnow(grams):
                 self.places[int(grams[at])].append((k, at))
         self.sorted = np.array(sorted(self.places), np.uint64)
+        self.anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, w in enumerate(self.words):
+            lacking = sum(len(w) - m >= least * len(w) for m in range(1, len(w) + 1))
+            for at in np.argsort((starts - ends)[owner == k], kind="stable")[: lacking + 1].tolist():
+                self.anchors[int(w[at])].append((k, at))
+        self.sorted_anchors = np.array(sorted(self.anchors), np.uint64)
 
     def hits(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, place in the text less place in the template, place in the text) of every fingerprint that a text shares with the index."""
-        if len(grams) == 0 or len(self.sorted) == 0:
-            return []
-        at = np.minimum(np.searchsorted(self.sorted, grams), len(self.sorted) - 1)
-        return [(k, int(p) - place, int(p)) for p in np.flatnonzero(self.sorted[at] == grams) for k, place in self.places[int(grams[p])]]
+        """_places() of every fingerprint that a text shares with the index."""
+        return _places(grams, self.sorted, self.places)
+
+    def anchored(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """_places() of every anchor in a text."""
+        return _places(words, self.sorted_anchors, self.anchors)
 
 
 def align(template: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -118,6 +137,20 @@ def scan_words(index: Index, words: np.ndarray, least: float) -> list[tuple[int,
             n, first, end = align(index.words[k], words, shift + BAND // 2)
             if n >= least * len(index.words[k]):
                 found.add((k, n, first, end))
+    tried = set()
+    for k, shift, at in index.anchored(words):
+        template = index.words[k]
+        if any(f[0] == k and f[2] <= at < f[3] for f in found):
+            continue
+        around = words[max(0, shift - 2 * BAND) : shift + len(template) + 2 * BAND]
+        if np.isin(template, around).sum() < least * len(template):
+            continue
+        for centre in range(shift - BAND, shift + BAND + 1):  # all bands that hold the anchor
+            if (k, centre) not in tried:
+                tried.add((k, centre))
+                n, first, end = align(template, words, centre)
+                if n >= least * len(template) and n:
+                    found.add((k, n, first, end))
     chosen: list[tuple[int, int, int, int]] = []
     for c in sorted(found, key=lambda c: (-c[1], -c[1] / len(index.words[c[0]]), c[2], c[0])):
         if all(c[3] <= a[2] or a[3] <= c[2] for a in chosen):
@@ -133,8 +166,8 @@ def templates_frame(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, template, matched, coverage, start, end): a row for each match in each row of docs.
 
-    A template's winnowed fingerprints are looked up among all fingerprints of a text, so that a text that holds a
-    whole template always has it as a candidate. Each candidate place is aligned; a match has at least the share `least` of
+    A template's winnowed fingerprints are looked up among all fingerprints of a text, and its anchors among all words, so that a text that holds a
+    match, whatever words of it are changed, always has it as a candidate. Each candidate place is aligned; a match has at least the share `least` of
     the template's words in order, all within BAND words of their place. coverage is that share; start and end are code points of the
     first matched word and after the last. Words are runs without ASCII white space, A-Z as a-z.
 
@@ -142,7 +175,7 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str
     match. Ids may be null or repeat. Other columns are ignored. No rows, or no templates, give no rows.
     """
     rows = templates.where("template IS NOT NULL AND text IS NOT NULL").select("template", "text").distinct().orderBy("template", "text").limit(MOST_TEMPLATE_WORDS // GRAM + 1).collect()
-    held = docs.sparkSession.sparkContext.broadcast(Index([(r["template"], r["text"]) for r in rows]))
+    held = docs.sparkSession.sparkContext.broadcast(Index([(r["template"], r["text"]) for r in rows], least))
     frame = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
 

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cairn.llm import itq
+from cairn.llm import itq, licenses
+from cairn.llm.shingles import word_hashes
 
 
 def test_itq_finds_links_of_vectors_with_a_common_direction(spark):
@@ -18,3 +19,33 @@ def test_itq_finds_links_of_vectors_with_a_common_direction(spark):
     links = int((m @ m.T >= 0.95).sum()) - len(m)
     got = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).agg(F.sum("n_links")).first()[0]
     assert links >= 500 and 0.98 * links <= got <= links
+
+
+def test_licenses_finds_short_notices_with_a_changed_word(docs, spark):
+    rows = [
+        (1, "x Released under the MIT License y"),
+        (2, "Released under the MIT Licence. z"),
+        (3, "was released under an MIT License. and"),
+        (4, "Distributed under the MIT License."),
+        (5, "Released under (see below) the very MIT License"),
+        (6, "Licensed under CC BY-NC 4.0"),
+        (7, "released the license under mit"),
+    ]
+    got = sorted((r.doc_id, r.template, r.matched) for r in licenses.scan(docs(*rows), licenses.templates_frame(spark)).collect())
+    assert got == [(k, "mit-short", 4) for k in range(1, 6)] + [(6, "cc-by-nc-4.0-short", 4)]
+
+
+def test_licenses_finds_what_any_band_of_a_text_holds():
+    r = np.random.default_rng(8)
+    matches = 0
+    for _ in range(300):
+        words = [f"w{k}" for k in r.integers(0, 40, r.integers(3, 12))]
+        text = [f"v{k}" for k in range(5)]
+        for w in words:
+            text += [f"v{k}" for k in r.integers(0, 9, r.integers(0, 2))] + ([w] if r.random() < 0.9 else [])
+        hashes, owner, _, _ = word_hashes([" ".join(words).encode(), " ".join(text).encode()])
+        a, b = hashes[owner == 0], hashes[owner == 1]
+        want = any(licenses.align(a, b, shift)[0] >= 0.8 * len(a) for shift in range(-len(a), len(b) + 1))
+        matches += want
+        assert want == bool(licenses.scan_words(licenses.Index([("t", " ".join(words))], 0.8), b, 0.8))
+    assert 50 < matches < 290
