@@ -12,19 +12,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import let_go, slices
+
 #: Entries of a worker's memos before they are cleared. They bound memory, never results.
 MEMO = 1 << 17
 #: A vocabulary is broadcast as its file; a rank file above this size is refused.
 MOST_RANK_BYTES = 64 << 20
+#: Rows of ids that are decoded at a time.
+DECODED = 256
 
 
 def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -159,9 +165,8 @@ class Codec:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
     def forget(self) -> None:
-        """Empty the memos, so that an idle worker holds no more than the vocabulary."""
+        """Empty the memo of pieces, so that an idle worker holds little more than the vocabulary."""
         self.pieces.clear()
-        self.compatible_memo.clear()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -201,12 +206,16 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held.value, pattern)
-        for batch in batches:
-            ids = [c.encode(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], ["id", "ids", "n_tokens"]
-            )
+        for batch in slices(batches, "text"):
+            flat, counts = array("i"), []
+            for text in batch.column("text"):
+                ids = c.encode(text.as_py())
+                flat.extend(ids)
+                counts.append(len(ids))
+            ends = np.cumsum([0, *counts]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(ends, np.array(flat, np.int32)), pa.array(counts, pa.int64())], ["id", "ids", "n_tokens"])
         c.forget()
+        let_go()
 
     return frame.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
 
@@ -220,8 +229,11 @@ def bpe_decode(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(held.value, pattern)
         for batch in batches:
-            out = [c.decode(x.as_py() or []) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "decoded"])
+            for at in range(0, batch.num_rows, DECODED):
+                part = batch.slice(at, DECODED)
+                out = [c.decode(x.as_py() or []) for x in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary())], ["id", "decoded"])
+        let_go()
 
     return frame.mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
@@ -240,7 +252,7 @@ def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "do
         c = codec(held.value, pattern)
         names = {r: str(r) for r in c.bytes_of}.__getitem__
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             counts, of_ids, of_bytes = [], [], []
             for text in batch.column("text"):
                 ids = c.encode(text.as_py())
@@ -252,5 +264,6 @@ def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "do
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
         c.forget()
+        let_go()
 
     return frame.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

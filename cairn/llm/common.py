@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +20,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 #: Rows of a short intermediate table that one task makes and writes.
 TASK_ROWS = 50_000
+#: Bytes of text that a worker handles at a time; a longer text is handled alone.
+SLICE = 1 << 20
+
+
+_own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Set only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where the setting is missing, a session whose tasks all run in this process has a temporary folder; any other raises RuntimeError, since
+    executors don't see each other's local folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if app not in _own_folders:
+        _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="cairn-")
+    return _own_folders[app]
 
 
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
@@ -41,14 +59,33 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table of materialize() that no later plan reads."""
-    path = getattr(df, "_cairn_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads. A result's own plan reads the others, which stay with the folder."""
+    for df in tables:
+        path = getattr(df, "_cairn_path", None)
+        if path is not None:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut into consecutive slices with at most SLICE bytes in the column of texts, one row at least.
+
+    What a worker makes of a slice is given back before the next, so that its memory does not grow with Spark's batches.
+    """
+    for batch in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def let_go() -> None:
+    """Give memory that this worker no longer uses back to the system, at the end of a task: workers live on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

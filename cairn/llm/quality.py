@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let_go, slices
+
 #: Bits of the hashed feature space; words in an n-gram at most.
 SPACE_BITS, GRAMS = 20, 2
 #: Labelled rows that a model is fitted on at most, those of smallest hash; rounds over them.
@@ -112,11 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))  # of rows with one id the first text
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             made = [features(t.as_py()) for t in batch.column("text")]
             index, value = pa.array([x[0] for x in made], pa.list_(pa.int64())), pa.array([x[1] for x in made], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), index, value], ["h", "label", "index", "value"])
         _words.clear()
+        let_go()
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [x for b in batches for x in zip(b.column("label").to_pylist(), b.column("index"), b.column("value"))]
@@ -128,6 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         weights = model.weights(slice(None))
         used = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(weights[used])], ["index", "weight"])
+        del seen, model
+        let_go()
 
     made = rows.select(F.xxhash64("id", "label").alias("h"), "label", "text").mapInArrow(make, "h long, label int, index array<long>, value array<double>")
     table = made.repartition(1).sortWithinPartitions("h", "label", "index").mapInArrow(train, "index long, weight double").toArrow()  # 2**SPACE_BITS rows at most
@@ -136,27 +141,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *keep, score) for each row: the probability that whole texts have label 1; null is scored as the empty text.
-
-    keep names columns of docs, id_col not among them; the others are ignored. Ids may be null or repeat. No rows give no rows.
-    """
+def score(docs: DataFrame, weights: np.ndarray, text: Column) -> Column:
+    """The probability that whole texts have label 1, as a column of docs; a null text is scored as the empty one. Only texts go through Python."""
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    names = [id_col, *keep]
-    frame = docs.select(*names, *[text_col] * (text_col not in names))
-    schema = docs.select(names).schema.add("score", "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = held.value
         for batch in batches:
             scores = []
-            for text in batch.column(text_col):
-                index, value = features(text.as_py() or "")
+            for one in batch:
+                index, value = features(one.as_py() or "")
                 scores.append(probability(float(w[index] @ value)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(scores, pa.float64())], [*names, "score"])
+            yield pa.array(scores, pa.float64())
         _words.clear()
+        let_go()
 
-    return frame.mapInArrow(run, schema)
+    return run(text)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -165,14 +166,17 @@ def held_out(id_col: str = "doc_id"):
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id_col, held_out, score, predicted) for each row of docs, by a model that never sees held-out labels."""
+    """(id_col, held_out, score, predicted) for each row of docs, by a model that never sees held-out labels.
+
+    Null and empty texts are scored too. Ids may be null or repeat. Other columns are ignored. No rows give no rows.
+    """
     weights = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, label_col)
-    scored = score(docs, weights, id_col, text_col)
+    scored = docs.select(F.col(id_col), score(docs, weights, F.col(text_col)).alias("score"))
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """docs without the rows that score below the threshold, by the model of quality_scores. Columns stay as they are."""
+    """docs without the rows that score below the threshold, by the model of quality_scores. Columns stay as they are, whatever their names."""
     weights = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, label_col)
-    scored = score(docs.withColumnRenamed(id_col, "_id"), weights, "_id", text_col, tuple(c for c in docs.columns if c != id_col))
-    return scored.where(F.col("score") >= threshold).withColumnRenamed("_id", id_col).select(docs.columns)
+    scored = docs.select(F.struct("*").alias("row"), score(docs, weights, F.col(text_col)).alias("score"))
+    return scored.where(F.col("score") >= threshold).select("row.*")

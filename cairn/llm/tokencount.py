@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec, rank_bytes
+from .common import let_go, slices
 
 #: How a token that crosses a boundary is allocated: to the section of its first character; to that with most of its characters, the
 #: first of several; or to each by its share of the token's characters.
@@ -72,7 +73,7 @@ def count_by_section(docs: DataFrame, lengths: Column, rank_path: str, pattern:
         size = np.zeros(max(c.lengths) + 1, np.int64)
         for rank, n in c.lengths.items():
             size[rank] = n
-        for batch in batches:
+        for batch in slices(batches, "text"):
             tokens, sections, crossing, counts = [], [], [], []
             for text, parts in zip(batch.column("text").to_pylist(), batch.column("lengths").to_pylist()):
                 ids = np.array(c.encode(text), np.int64)
@@ -88,6 +89,7 @@ def count_by_section(docs: DataFrame, lengths: Column, rank_path: str, pattern:
                 ["id", "n_tokens", "n_sections", "n_crossing", "section_tokens"],
             )
         c.forget()
+        let_go()
 
     return frame.mapInArrow(run, f"id {kind}, n_tokens long, n_sections long, n_crossing long, section_tokens array<double>").withColumnRenamed("id", id_col)
 
