@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def block_pairs(members: DataFrame, group: str, node: str, block: int) -> DataFrame:
+def block_pairs(members: DataFrame, group: list[str], node: str, block: int) -> DataFrame:
     """members, once for each pair of blocks of its group that it takes part in: two columns more, _i <= _j, and _b, its own.
 
     Groups of one member go. Members of a group that fits in one block are given once.
@@ -78,3 +78,21 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
         if seen.sum() == n:
             break
     return edges
+
+
+def forest_of_blocks(linked: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+    """As forest, of a pair of blocks, without what either block's own task gives: edges that join parts of the one with parts of the other.
+
+    An edge names a member of each part, which need not be the linked ones. So a large group of copies gives an edge or so for each pair of blocks.
+    """
+    if (block == block[0]).all():
+        return forest(linked)
+    head = np.arange(len(linked))
+    for node, parent in forest(linked & (block[:, None] == block[None, :])):  # parents come before their children
+        head[node] = head[parent]
+    heads, part = np.unique(head, return_inverse=True)
+    member = np.zeros((len(linked), len(heads)), np.float32)
+    member[np.arange(len(linked)), part] = 1
+    met = member.T @ linked.astype(np.float32) @ member > 0
+    np.fill_diagonal(met, False)
+    return [(int(heads[a]), int(heads[b])) for a, b in forest(met)]

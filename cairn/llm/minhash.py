@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs, forest, map_groups
-from .common import components, materialize, small
+from .blocks import block_pairs, forest, forest_of_blocks, map_groups
+from .common import components, let_go, materialize, release, small
 from .shingles import chunks, mix64, set_key, shingles
 
 #: Bands and rows of a band: a pair at 0.85 shares no band with odds of 8e-7.
@@ -81,18 +81,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                         cls[i], bands[i], sketches[i] = set_key(sets[i]), keys, sketch.tobytes()
                 here = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
-                    [here.column("id"), here.column("th"), pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    [here.column("id"), here.column("th"), pa.array(cls, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                     ["id", "th", "cls", "n", "bands", "sketch"],
                 )
+        let_go()
 
-    return frame.mapInArrow(run, f"id {kind}, th long, cls long, n long, bands array<long>, sketch binary")
+    return frame.mapInArrow(run, f"id {kind}, th long, cls binary, n long, bands array<long>, sketch binary")
 
 
 EDGE = "a long, b long"
 
 
-def _edges(nodes: np.ndarray, linked: np.ndarray) -> pa.RecordBatch | None:
-    found = forest(linked)
+def _edges(nodes: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch | None:
     if not found:
         return None
     a, b = np.array(found).T
@@ -101,14 +101,14 @@ def _edges(nodes: np.ndarray, linked: np.ndarray) -> pa.RecordBatch | None:
 
 def sketch_edges(table: pa.Table, apart: int) -> pa.RecordBatch | None:
     """A forest of the pairs of a pair of blocks whose sketches differ in so many bits at most."""
-    nodes = table.column("cls").to_numpy()
+    nodes = table.column("node").to_numpy()
     bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(nodes), -1)
     distance = np.zeros((len(nodes), len(nodes)), np.int32)
     for word in bits.T:
         distance += np.bitwise_count(word[:, None] ^ word[None, :])
     linked = distance <= apart
     np.fill_diagonal(linked, False)
-    return _edges(nodes, linked)
+    return _edges(nodes, forest_of_blocks(linked, table.column("_b").to_numpy()))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -130,11 +130,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def exact_edges(table: pa.Table, words: int, percent: int) -> pa.RecordBatch | None:
-    """A forest of the pairs of a pair of blocks with 100 * intersection >= percent * union of full sets."""
-    texts = table.column("text").to_pylist()
-    nodes = table.column("cls").to_numpy()
+    """A forest of the pairs of a group with 100 * intersection >= percent * union of full sets. A node may stand in the group twice."""
+    texts, names, nodes = table.column("text").to_pylist(), table.column("cls").to_pylist(), table.column("node").to_numpy()
     sets = [s for part in chunks([len(t) for t in texts]) for s in shingles(texts[part], words)]
-    right = [i for i, s in enumerate(sets) if len(s) and set_key(s) == nodes[i]]
+    right = [i for i, s in enumerate(sets) if len(s) and set_key(s) == names[i]]
     if len(right) < 2:
         return None
     nodes, sets = nodes[right], [sets[i] for i in right]
@@ -142,25 +141,78 @@ def exact_edges(table: pa.Table, words: int, percent: int) -> pa.RecordBatch | N
     size = np.array([len(s) for s in sets], np.float64)
     linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     linked &= nodes[:, None] != nodes[None, :]
-    return _edges(nodes, linked)
+    return _edges(nodes, forest(linked))
+
+
+def confirmed_edges(linked: DataFrame, texts: DataFrame, words: int, percent: int) -> list[DataFrame]:
+    """Edges (a, b) that join all nodes of each rough component of linked (node, cls, root, id, th) that full sets join.
+
+    First the nodes of a block are compared with each other, which is all for a component of one block. Of larger ones the parts that this gives are
+    then compared by a node each, and only where parts are left over, all nodes outside a component's largest part with
+    all its others, in pairs of blocks. So a large group of copies is not compared pair by pair, and no link is lost.
+    """
+
+    def with_texts(nodes: DataFrame) -> DataFrame:
+        """nodes with one text each, whatever the number of rows equal to it."""
+        found = texts.join(small(nodes), F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_th") == F.col("th")))
+        return found.groupBy("node").agg(F.any_value("text").alias("text"), *[F.any_value(c).alias(c) for c in nodes.columns if c not in ("node", "id", "th")])
+
+    def compare(groups: DataFrame, keys: list[str]) -> DataFrame:
+        return map_groups(groups.select(*keys, "node", "cls", "text"), keys, lambda t: exact_edges(t, words, percent), EDGE)
+
+    blocks = F.ceil(F.col("size") / BLOCK)
+    sized = linked.join(linked.groupBy("root").agg(F.count("*").alias("size")), "root")
+    within = sized.withColumn("_b", F.pmod(F.xxhash64("node"), blocks))
+    edges = [materialize(compare(with_texts(within.drop("size")), ["root", "_b"]), "within")]
+    large = sized.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return edges
+
+    def parts() -> DataFrame:
+        """The nodes of large components with the part that each is in by the edges so far, where there is more than one."""
+        of = components(edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1])).select("node", F.col("root").alias("part"))
+        placed = large.join(of, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        many = placed.groupBy("root").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("root")
+        return materialize(placed.join(many, "root", "left_semi"), "parts")
+
+    left = parts()
+    heads = with_texts(left.where("part = node").select("node", "cls", "root", "id", "th"))
+    edges.append(materialize(compare(block_pairs(heads, ["root"], "node", BLOCK), ["root", "_i", "_j"]), "heads"))
+    release(left)
+    left = parts()
+    if left.isEmpty():
+        return edges
+    counts = left.groupBy("root", "part").agg(F.count("*").alias("n"))
+    main = counts.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"))
+    sides = with_texts(left.join(main, "root"))
+    others, every = F.ceil((F.col("size") - F.col("most")) / BLOCK), blocks
+    some = sides.where("part <> main").withColumns({"_p": F.pmod(F.xxhash64("node"), others), "_q": F.explode(F.sequence(F.lit(0), every - 1))})
+    all_of = sides.withColumns({"_q": F.pmod(F.xxhash64("node"), every), "_p": F.explode(F.sequence(F.lit(0), others - 1))})
+    cross = some.select("root", "_p", "_q", "node", "cls", "text").unionByName(all_of.select("root", "_p", "_q", "node", "cls", "text"))
+    return [*edges, materialize(compare(cross, ["root", "_p", "_q"]), "across")]
 
 
 def class_components(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of signatures(), and for each class its component: (cls, root)."""
-    rows = materialize(signatures(docs, id_col, text_col, words), "signatures")
-    full = rows.where("cls IS NOT NULL")
-    classes = full.groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first"), F.min("id").alias("least"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    members = classes.select("cls", "sketch", F.explode("bands").alias("band"))
+    """The rows of signatures() but for bands and sketches, and for each class its component: (cls, root)."""
+    signed = materialize(signatures(docs, id_col, text_col, words), "signatures")
+    rows = signed.select("id", "th", "cls", "n")
+    classes = signed.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # nodes are numbers of classes: once written, they stay
+    members = classes.select("node", "sketch", F.explode("bands").alias("band"))
     apart = most_apart(percent / 100)
-    candidates = map_groups(block_pairs(members, "band", "cls", BLOCK).select("band", "_i", "_j", "cls", "sketch"), ["band", "_i", "_j"], lambda t: sketch_edges(t, apart), EDGE)
+    candidates = map_groups(block_pairs(members, ["band"], "node", BLOCK).select("band", "_i", "_j", "_b", "node", "sketch"), ["band", "_i", "_j"], lambda t: sketch_edges(t, apart), EDGE)
     rough = components(candidates)
-    linked = rough.join(classes.select(F.col("cls").alias("node"), "first"), "node").select(F.col("node").alias("cls"), "root", F.col("first.id").alias("id"), F.col("first.th").alias("th"))
-    pairs = block_pairs(linked, "root", "cls", BLOCK)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text")).alias("t")
-    pairs = pairs.alias("p").join(texts, F.col("p.id").eqNullSafe(F.col("t.id")) & (F.col("p.th") == F.col("t.th"))).select("root", "_i", "_j", "cls", "text")
-    links = components(map_groups(pairs, ["root", "_i", "_j"], lambda t: exact_edges(t, words, percent), EDGE))
-    of_class = classes.select("cls").join(links.withColumnRenamed("node", "cls"), "cls", "left")
-    return rows, of_class.select("cls", F.coalesce("root", "cls").alias("root"))
+    linked = materialize(rough.join(classes.select("node", "cls", "first"), "node").select("node", "cls", "root", F.col("first.id").alias("id"), F.col("first.th").alias("th")), "linked")
+    texts = docs.select(F.col(id_col).alias("t_id"), F.xxhash64(text_col).alias("t_th"), F.col(text_col).cast("binary").alias("text"))
+    edges = confirmed_edges(linked, texts, words, percent)
+    release(linked)
+    found = edges[0]
+    for more in edges[1:]:
+        found = found.unionByName(more)
+    links = components(found)
+    release(*edges)
+    of_class = classes.select("cls", "node").join(links, "node", "left")
+    return rows, of_class.select("cls", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,8 +221,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     Texts with equal sets of word shingles are one class, whatever their number. Classes that share a band of
     MinHash samples are candidates; odd sketches, bitmaps that each sample turns over one bit of, tell by the population count of their XOR which of
     them may reach the threshold. The components of these are compared on full
-    sets, recomputed from whole texts, and the confirmed links give the components. Large bands and components are compared in
-    pairs of blocks and give spanning forests, so that no task holds a group and no stage writes all its pairs.
+    sets, recomputed from whole texts (confirmed_edges), and the confirmed links give the components. Large bands and components are compared in
+    blocks and give spanning forests, so that no task holds a group and no stage writes all its pairs.
 
     A text that is null or has no word has n_shingles 0 and its own id as component_id. Ids may repeat: each row is in its set's
     component. Null ids count for no component's smallest id; component_id is null if a component has no
@@ -192,15 +244,18 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "
     """docs with one row of each near-duplicate component: that of the smallest id, nulls last, then of the smallest hash of its text.
 
     Rows with no word stay, null and empty texts among them. Of rows equal in id and text, which are one document, one stays. All columns of docs
-    stay as they are.
+    stay as they are, whatever their names.
     """
     rows, of_class = class_components(docs, percent, words, id_col, text_col)
     placed = materialize(rows.where("cls IS NOT NULL").select("id", "th", "cls").join(of_class, "cls").select("root", F.struct(F.col("id").isNull().alias("none"), "id", "th").alias("place")), "placed")
     stays = placed.groupBy("root").agg(F.min("place").alias("stays"))
-    gone = placed.join(stays, "root").where("place <> stays").select(F.col("place.id").alias("_id"), F.col("place.th").alias("_th")).distinct()
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th"))
-    left = docs.join(small(materialize(gone, "gone")), match, "left_anti")
-    if placed.groupBy("place").count().where("count > 1").isEmpty():
-        return left
-    full = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return left.where(full).dropDuplicates([id_col, text_col]).unionByName(left.where(~full))
+    gone = placed.join(stays, "root").where("place <> stays").select(F.col("place.id").alias("g_id"), F.col("place.th").alias("g_th")).distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    match = F.col("id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_th"))
+    left = whole.join(small(materialize(gone, "gone")), match, "left_anti")
+    repeated = not placed.groupBy("place").count().where("count > 1").isEmpty()
+    release(placed)
+    if repeated:
+        full = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        left = left.where(full).dropDuplicates(["id", "text"]).unionByName(left.where(~full))
+    return left.select("row.*")

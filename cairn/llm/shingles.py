@@ -10,7 +10,7 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text that are hashed together; a longer text is hashed alone.
 CHUNK = 1 << 18
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -20,14 +20,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        inverse = np.uint64(pow(int(_B), -1, 1 << 64))
-        for name, base in (("up", _B), ("down", inverse)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
+def _power_tables(n: int) -> list[np.ndarray]:
+    """The first n powers of _B and of its inverse. Those that a chunk needs are kept; more, for a very long text, are made for it alone."""
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_B, np.uint64(pow(int(_B), -1, 1 << 64))):
+        table = np.full(n, base, np.uint64)
+        table[0] = 1
+        made.append(np.multiply.accumulate(table))
+    if n <= 2 * CHUNK:
+        _powers[:] = made
+    return made
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +89,6 @@ def chunks(sizes: list[int]):
         at = end
 
 
-def set_key(hashes: np.ndarray) -> int:
-    """A signed 64-bit name of a sorted set of hashes."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(hashes: np.ndarray) -> bytes:
+    """A 128-bit name of a sorted set of hashes."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
