@@ -83,13 +83,13 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
 
 
 def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, each as many times as mixed, mix() of the same docs, says; rows with 0 copies go.
+    """The rows of docs, each as many times as mixed, mix() of the same docs, says; rows with 0 copies go. Columns stay as they are, whatever their names.
 
     Rows meet by id, null ids too, and text; of rows equal in both, row k of the one side meets row k of the other, in any order.
     """
     key = F.coalesce(F.concat(F.lit("id"), F.col(id_col).cast("string")), F.lit("none"))
-    number = F.row_number().over(Window.partitionBy("_k", "_th").orderBy(F.lit(1)))
-    left = docs.withColumns({"_k": key, "_th": F.xxhash64(text_col)}).withColumn("_n", number)
-    right = mixed.select(key.alias("_k"), F.col("th").alias("_th"), F.col("copies").alias("_copies")).withColumn("_n", number)
-    joined = left.join(right.where("_copies > 0"), ["_k", "_th", "_n"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(docs.columns)
+    number = F.row_number().over(Window.partitionBy("key", "th").orderBy(F.lit(1)))
+    left = docs.select(F.struct("*").alias("row"), key.alias("key"), F.xxhash64(text_col).alias("th")).withColumn("number", number)
+    right = mixed.select(key.alias("key"), "th", "copies").withColumn("number", number)
+    joined = left.join(right.where("copies > 0"), ["key", "th", "number"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
