@@ -31,6 +31,51 @@ KINDS = {
 #: Fixed rows of a keyboard.
 KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 CJK = "[一-鿿]"
+#: Fixed pattern of orders to a model that are hidden in a text.
+INJECTION = (
+    r"(?is)ignore\s+(all\s+)?(your\s+)?(previous|prior|earlier|above|system)\s+(instructions?|directions?|prompts?)"
+    r"|forget\s+(all\s+|everything\s+)?(you\s+)?(learned|were\s+told|remember)\s+(about\s+your\s+rules|and\s+start\s+fresh)"
+    r"|disregard\s+(all\s+|previous\s+|prior\s+)?(instructions?|commands?|directives?|system\s+prompts?)"
+    r"|do\s+not\s+follow\s+(the\s+|any\s+|these\s+)?(instructions?|system\s+prompts?)"
+    r"|you\s+must\s+(ignore|forget|override|bypass)\s+(all\s+)?(rules?|instructions?|system\s+prompts?)"
+    r"|override\s+(all\s+)?(system\s+)?(prompts?|instructions?)"
+    r"|(from\s+now\s+on\s+you\s+are|act\s+as|pretend\s+(you\s+are|to\s+be)|you\s+are\s+now)\s+(an?\s+)?(unrestricted|jailbroken|dan|dan\s+mode|developer\s+mode|evil|god\s+mode|bypass\s+mode)"
+    r"|your\s+(new|real|true|actual)\s+system\s+(prompt|instruction)\s+is"
+    r"|<\|?im_start\|?>|<\|?im_end\|?>|<\|?endoftext\|?>|<\|?system\|?>|<\|?user\|?>|<\|?assistant\|?>"
+    r"|\[system\s*(prompt|message|instruction)?\]|\[/?(system|prompt|instruction)\]|<\s*(system|prompt|instruction)\s*>"
+    r"|忽略(之前|先前|上述|上面|历史|原有|所有|全部)*(的)?(所有|全部|之前|先前|历史)*(系统)?(指令|指示|提示词)"
+    r"|忘记(所有|一切|你学到的|你的记忆)*(的)?(系统)?(指令|提示词)"
+    r"|从现在(起|开始)?(你(是|将是)|扮演|假装)(无限制|越狱|DAN|不受约束)"
+    r"|你现在的真实(系统)?(指令|提示词)是|你的真实(系统)?(指令|提示词)是"
+    r"|不要遵守(上述|任何|这些|系统)?(系统)?(指令|提示词)|覆盖(系统)?(指令|提示词)|扮演无限制|无视(道德|安全|系统)?限制"
+)
+#: Fixed pattern of the same in a text of which only letters and digits are left.
+INJECTION_BARE = (
+    r"(?i)ignore(all)?(your)?(previous|prior|earlier|above|system)?(instruction|instructions|direction|prompt)"
+    r"|forget(all|everything)?(you)?(learned|weretold|remember)?(system)?(instruction|prompt)"
+    r"|disregard(all|previous|prior)?(instruction|command|directive|systemprompt)"
+    r"|(fromnowonyouare|actas|pretendto|youarenow)(unrestricted|jailbroken|dan|danmode|developermode|evil)"
+    r"|youmust(ignore|forget|override|bypass)(all)?(rule|instruction|systemprompt)"
+    r"|override(all)?(system)?(prompt|instruction)"
+    r"|忽略(之前|先前|上述|上面|历史|原有|所有|全部)*(系统)?(指令|指示|提示词)"
+    r"|忘记(所有|一切|你学到的|你的记忆)*(系统)?(指令|提示词)"
+    r"|从现在(起|开始)?(你是|扮演|假装)(无限制|越狱|dan|不受约束)|扮演无限制|无视(道德|系统|安全)?限制"
+    r"|你的真实(系统)?(指令|提示词)是|不要遵守(上述|任何|这些)?(系统)?(指令|提示词)"
+)
+#: Fixed: characters that are taken out of texts, and the length beyond which a text is cut before it is stored.
+CONTROLS, MOST_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", 100_000
+#: Fixed patterns of the gate, in the order in which they are tried; the kind and scope that each means.
+GATE = (
+    ("correction_detected", "episode", r"(?i)不对|不是这|你记错|错了|no, |wrong|actually|not really|记错了|你说错"),
+    ("social_closer", None, r"(?i)^(ok|好|嗯|哦|行|可以|是的|对|收到|了解|明白|知道了|再见|拜拜|谢谢|yes|no|yep|nope|k|kk|okay|thanks|bye|got it|sure|alright|hello|hi|hey|早上好|晚上好|晚安)[!！。.]{0,3}$"),
+    ("self_reference", "identity", r"(?i)我的|我是|我叫|我.*(名字|生日|年龄|地址|电话|邮箱)|assistant|agent|user|用户"),
+    ("explicit_recall", "episode", r"(?i)记得|忘记|忘了|记不|想起来|想不起|回忆|查.*记忆|查.*历史|搜索.*记忆|remember|forgot|forget|recall|search.*memory"),
+    ("reference", "episode", r"(?i)上次|之前|以前|前面|刚才|刚刚|过去|曾经|还记得|上次说的|上回|那.*(事|问题|话题|项目|任务)|上次.*(聊|说|讲|提到|讨论)|继续|接着|再.*(说|讲|聊)|我们.*(决定|说过|定|约)|last time|previously|before|earlier|remember|recall|what.*(we|I).*said|continue|go on|pick up"),
+)
+#: Fixed pattern of words that make a longer query one for pinned facts, as five CJK characters do.
+CONTENT_WORDS = r"(?i)\b(what|how|why|when|where|who|which|explain|describe|analyze|compare|create|build|fix|debug|deploy|install|config|setup|migrate|upgrade|error|fail|bug|issue|方案|怎么|如何|为什么|帮我|需要|应该|建议|推荐)\b"
+#: White space at the ends of texts.
+SPACES = " \t\n\r\x0b\x0c"
 
 
 def any_match(text: Column, patterns) -> Column:
@@ -96,12 +141,61 @@ def screen(text: Column) -> Column:
 
 
 def repeats_lines(text: Column) -> Column:
-    """Whether of more than six non-empty lines the commonest stands three times or more and makes up over 0.3."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-    most = F.array_max(F.transform(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x))))
+    """Whether of more than six non-empty lines, without case and white space at their ends, the commonest stands three times or more and makes up over 0.3.
+
+    Lines are sorted, so that equal ones are counted in one pass.
+    """
+    lines = F.array_sort(F.filter(F.transform(F.split(text, "\n"), lambda x: F.lower(F.btrim(x, F.lit(SPACES)))), lambda x: x != ""))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["last"] == x, s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+    most = F.aggregate(lines, start, step)["most"]
     return (F.size(lines) > 6) & (most >= 3) & (most / F.size(lines) > 0.3)
 
 
+def cleaned(text: Column) -> Column:
+    """A text as it is stored: cut at MOST_CHARS characters, without control characters but tabs and line ends."""
+    return F.regexp_replace(F.substring(text, 1, MOST_CHARS), CONTROLS, "")
+
+
+def guard(text: Column) -> Column:
+    """What is wrong with a text: 'empty', 'pattern', 'hidden' (the same without signs and spaces), 'repeated', or 'ok'. Cleaned first."""
+    clean = cleaned(text)
+    bare = F.lower(F.regexp_replace(clean, "[^0-9a-zA-Z一-鿿]", ""))
+    return (
+        F.when(F.coalesce(text, F.lit("")) == "", F.lit("empty"))
+        .when(clean.rlike(INJECTION), F.lit("pattern"))
+        .when((F.length(bare) >= 4) & bare.rlike(INJECTION_BARE), F.lit("hidden"))
+        .when(repeats_lines(clean), F.lit("repeated"))
+        .otherwise(F.lit("ok"))
+    )
+
+
+def relevance(query: Column, self_words: tuple[str, ...] = ()) -> Column:
+    """A struct (reason, scope): the first rule of the gate that a query fits, and where memory is looked for, null for nowhere. self_words are names that count as the user's own."""
+    q = F.btrim(query, F.lit(SPACES))
+    rules = [(r, s, p + "".join(f"|{w}" for w in self_words) if r == "self_reference" else p) for r, s, p in GATE]
+    content = (F.size(F.regexp_extract_all(q, F.lit(CJK), F.lit(0))) >= 5) | q.rlike(CONTENT_WORDS)
+    out = lambda reason, scope: F.struct(F.lit(reason).alias("reason"), F.lit(scope).cast("string").alias("scope"))
+    last = F.when((F.length(q) > 15) & content, out("content_query", "pinned")).otherwise(out("no_signal", None))
+    for reason, scope, pattern in reversed(rules):
+        last = F.when(q.rlike(pattern), out(reason, scope)).otherwise(last)
+    return F.when(F.length(F.coalesce(q, F.lit(""))) < 3, out("query_too_short", None)).otherwise(last)
+
+
+def routed(query: Column, federated: Column, peers: Column, hints: str) -> Column:
+    """Where a query goes: as its flag says if it has one, 'federated' on a word of hints (if there are peers), else 'hot'."""
+    return F.when(federated.isNotNull(), F.when(federated, "federated").otherwise("hot")).when(query.rlike(hints) & (peers > 0), "federated").otherwise("hot")
+
+
+def identity_ids(user: str, default: str = "default") -> list[str]:
+    """The users whose rows a user sees: its own, and those of the literal default if it is the default user under another name."""
+    return [user] if user == "default" or user != default else [user, "default"]
+
+
 def tenant(user: str | None, agent: Column, source: Column, default_agent: str = "local", strict: bool = False) -> Column:
     """Rows that a user sees: all for no user or 'default', else its own by agent or source, and the default agent's unless strict."""
     if not user or user == "default":

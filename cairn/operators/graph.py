@@ -62,6 +62,50 @@ def hotspots(edges: DataFrame, limit: int) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree")).orderBy(F.desc("in_degree"), "node").limit(limit)
 
 
+def imported_by(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """Which files import each file: (path, imported_by), for files (path) and imports (path, module).
+
+    A module is the file of that name, a/b.py for a.b or a package's __init__; else the first file, by path, above or below it. Files do not import themselves.
+    Names above and below meet through their prefixes, so that both are joins on equal keys.
+    """
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"[/\\]", "."), r"\.py$", ""), r"\.__init__$", "")
+    above = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, r"\.")) - 1), lambda n: F.array_join(F.slice(F.split(c, r"\."), F.lit(1), n), "."))
+    proper = lambda c: F.explode(F.when(F.size(F.split(c, r"\.")) > 1, above(c)).otherwise(F.array().cast("array<string>")))
+    modules = files.select("path", name.alias("mod"))
+    wanted = imports.select("module").distinct()
+    exact = wanted.join(modules, F.col("module") == F.col("mod")).select("module", "path", F.lit(0).alias("o"))
+    below = modules.select("path", proper(F.col("mod")).alias("module")).join(wanted, "module").select("module", "path", F.lit(1).alias("o"))
+    over = wanted.select("module", proper(F.col("module")).alias("mod")).join(modules, "mod").select("module", "path", F.lit(1).alias("o"))
+    target = exact.unionByName(below).unionByName(over).groupBy("module").agg(F.min(F.struct("o", "path")).alias("t")).select("module", F.col("t.path").alias("target"))
+    return imports.join(target, "module").where("path <> target").select(F.col("target").alias("path"), F.col("path").alias("imported_by")).distinct()
+
+
+def add_nodes(tree: DataFrame, new: DataFrame, mark: str = "/") -> DataFrame:
+    """tree (path, depth, label) with new nodes (path, label): one below its parent's depth, or at 0 without one; a known path takes the new label. Parents may be new too, if they are of the same batch."""
+    named = new.groupBy("path").agg(F.max("label").alias("label"))
+    # The depth of a node in the batch: its place below the nearest ancestor in the tree, through ancestors that are all in the batch.
+    ups = prefixes(named.select("path"), "path", mark).where("node <> path")
+    anchored = ups.join(tree.select(F.col("path").alias("node"), F.col("depth").alias("d")), "node").groupBy("path").agg(F.max_by(F.struct("depth", "d"), "depth").alias("a"))
+    missing = ups.join(anchored.select("path", F.col("a.depth").alias("from")), "path", "left").where(F.col("depth") > F.coalesce("from", F.lit(0)))
+    broken = missing.join(named.select(F.col("path").alias("node")), "node", "left_anti").groupBy("path").agg(F.max("depth").alias("gap"))
+    levels = F.size(F.split("path", f"[{mark}]"))
+    depth = F.when(F.col("gap").isNotNull(), levels - F.col("gap") - 1).when(F.col("a").isNotNull(), F.col("a.d") + levels - F.col("a.depth")).otherwise(levels - 1)
+    fresh = named.join(anchored, "path", "left").join(broken, "path", "left").select("path", depth.cast("int").alias("depth"), "label")
+    kept = tree.join(named.select("path", F.col("label").alias("_l")), "path", "left").select("path", "depth", F.coalesce("_l", "label").alias("label"))
+    return kept.unionByName(fresh.join(tree.select("path"), "path", "left_anti"))
+
+
+def link_entities(facts: DataFrame, known: DataFrame, names) -> tuple[DataFrame, DataFrame]:
+    """Entities that facts (id, fact_value) name, by names, a function from the value's column to an array: new ones (name), not known (name) in any case, and edges (fact_id, name), once each.
+
+    An entity is written as in the fact of least id.
+    """
+    found = facts.select("id", F.posexplode(names(F.col("fact_value"))).alias("at", "name")).withColumn("low", F.lower("name"))
+    written = found.groupBy("low").agg(F.min_by("name", F.struct("id", "at")).alias("name"))
+    new = written.join(known.select(F.lower("name").alias("low")).distinct(), "low", "left_anti").select("name")
+    return new, found.select("id", "low").distinct().join(written, "low").select(F.col("id").alias("fact_id"), "name")
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """df computed once: a checkpoint in the folder of spark.checkpoint.dir, or, without one, on the executors."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .pairs import following
 
 
 def decay_all(salience: DataFrame, as_of: int) -> DataFrame:
@@ -54,10 +55,10 @@ def dream_merge(facts: DataFrame, since_s: int, until_s: int) -> DataFrame:
 
 
 def close_overridden(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Facts of one key in the order of recording: one that a later, different value follows is valid until then. Adds closed_s, null for those that still hold."""
-    window = Window.partitionBy(*keys).orderBy("recorded_s", "id")
-    follows = F.lead(F.struct("fact_value", "recorded_s")).over(window)
-    return facts.withColumn("_f", follows).withColumn("closed_s", F.when(F.col("_f.fact_value") != F.col("fact_value"), F.col("_f.recorded_s"))).drop("_f")
+    """Facts of one key in the order of recording, then id: one that a later, different value follows is valid until then. Adds closed_s, null for those that still hold."""
+    value = facts.withColumn("_h", F.sha2("fact_value", 256))
+    found = following(value, keys, "recorded_s", ["_h", "recorded_s"], 86_400 * 7, "id")
+    return found.withColumn("closed_s", F.when(F.col("next._h") != F.col("_h"), F.col("next.recorded_s"))).drop("_h", "next")
 
 
 def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
@@ -65,6 +66,63 @@ def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
     return {name: df.join(gone.select("ref").distinct(), "ref", "left_anti") for name, df in tables.items()}
 
 
+def delete_tenant(tables: dict[str, DataFrame], users: DataFrame, column: str = "user_id", default: str = "default", confirmed: bool = False) -> dict[str, DataFrame]:
+    """Each table without the rows of the users (user_id); those of the default user only if that is confirmed. Rows of no user stay."""
+    gone = users.select(F.col("user_id").alias(column)).distinct()
+    if not confirmed:
+        gone = gone.where(F.col(column) != default)
+    return {name: df.join(gone, column, "left_anti") for name, df in tables.items()}
+
+
+def conflict_events(closed: DataFrame, as_of: int) -> DataFrame:
+    """An event for each fact that close_overridden closes (id, fact_key, closed_s): (target_id, event, payload, at_s)."""
+    payload = F.to_json(F.struct("fact_key", "closed_s"))
+    return closed.where("closed_s IS NOT NULL").select(F.concat(F.lit("fact:"), F.col("id").cast("string")).alias("target_id"), F.lit("conflict.resolved").alias("event"), payload.alias("payload"), F.lit(as_of).alias("at_s"))
+
+
+def verify_lessons(heat: DataFrame, log: DataFrame) -> DataFrame:
+    """heat (memory_id, salience, lane) after a look at the error log (keyword): a lesson whose keyword is still logged is fully hot; any other becomes knowledge and gains 0.05.
+
+    heat has keyword too, the one that its lesson is about.
+    """
+    seen = log.select(F.lower("keyword").alias("_k")).distinct().withColumn("_s", F.lit(True))
+    joined = heat.where("lane = 'lesson'").join(seen, F.lower("keyword") == F.col("_k"), "left")
+    still = F.coalesce("_s", F.lit(False))
+    return joined.select("memory_id", F.when(still, 1.0).otherwise(F.least(F.lit(1.0), F.col("salience") + 0.05)).alias("salience"), F.when(still, "lesson").otherwise("knowledge").alias("lane"))
+
+
+def build_banks(items: DataFrame, banks: DataFrame, most: int = 2_000) -> tuple[DataFrame, DataFrame]:
+    """New versions of persona banks from items (bank, item_id, content, refs array): (bank, version, items, state), the former ready ones superseded; and the items that they hold.
+
+    Items without a reference are left out, and of the others of a bank the first `most` by id stay. banks is (bank, version, items, state).
+    """
+    rank = F.row_number().over(Window.partitionBy("bank").orderBy("item_id"))
+    grounded = items.where(F.size(F.coalesce("refs", F.array().cast("array<string>"))) > 0).withColumn("_rn", rank).where(F.col("_rn") <= most).drop("_rn")
+    last = banks.groupBy("bank").agg(F.max("version").alias("_v"))
+    fresh = grounded.groupBy("bank").agg(F.count("*").alias("items")).join(last, "bank", "left")
+    fresh = fresh.select("bank", (F.coalesce("_v", F.lit(0)) + 1).cast("int").alias("version"), "items", F.lit("ready").alias("state"))
+    old = banks.join(fresh.select("bank", F.lit(True).alias("_n")), "bank", "left").withColumn("state", F.when(F.coalesce("_n", F.lit(False)) & (F.col("state") == "ready"), "superseded").otherwise(F.col("state"))).drop("_n")
+    return old.select("bank", "version", "items", "state").unionByName(fresh), grounded
+
+
+def roll_back_banks(banks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """banks with the wanted (bank, version) ready in place of the version that was; a version that is not there changes nothing."""
+    real = wanted.join(banks.select("bank", "version"), ["bank", "version"]).select("bank", F.col("version").alias("_w"))
+    joined = banks.join(real, "bank", "left")
+    state = F.when(F.col("_w").isNull(), F.col("state")).when(F.col("version") == F.col("_w"), "ready").when(F.col("state") == "ready", "superseded").otherwise(F.col("state"))
+    return joined.withColumn("state", state).drop("_w")
+
+
+def touch_agents(agents: DataFrame, seen: DataFrame) -> DataFrame:
+    """agents (agent_id, role, last_seen_s, active) after what they sent (agent_id, seq, role, ts_s, event): the last non-empty role counts, and 'deactivate' as the last event ends it."""
+    last = seen.groupBy("agent_id").agg(
+        F.max_by("role", F.when(F.trim(F.coalesce("role", F.lit(""))) != "", F.col("seq"))).alias("_r"), F.max("ts_s").alias("_t"), F.max_by("event", "seq").alias("_e")
+    )
+    both = agents.join(last, "agent_id", "full")
+    named = F.coalesce(F.nullif(F.trim("_r"), F.lit("")), F.col("role"))
+    return both.select("agent_id", named.alias("role"), F.greatest("last_seen_s", "_t").alias("last_seen_s"), F.when(F.col("_e").isNull(), F.col("active")).otherwise((F.col("_e") != "deactivate").cast("int")).alias("active"))
+
+
 def tombstones(rows: DataFrame, id_col: str, as_of: int) -> DataFrame:
     """A snapshot of each row as JSON, from which restore() brings it back."""
     return rows.select(F.col(id_col).alias("ref"), F.to_json(F.struct(*rows.columns)).alias("payload"), F.lit(as_of).alias("deleted_s"))
@@ -76,8 +134,8 @@ def restore(stones: DataFrame, schema) -> DataFrame:
 
 
 def pending(log: DataFrame) -> DataFrame:
-    """Of a write-ahead log (wal_id, pos, status, ...) the entries whose latest status is 'pending': (wal_id, pos)."""
-    return log.groupBy("wal_id").agg(F.max_by("status", "pos").alias("status"), F.max("pos").alias("pos")).where("status = 'pending'").select("wal_id", "pos")
+    """Of a write-ahead log (wal_id, pos, status, ...) the entries whose latest status is 'pending': (wal_id, pos). Of several at one place the last by name counts."""
+    return log.groupBy("wal_id").agg(F.max(F.struct("pos", "status")).alias("x")).where("x.status = 'pending'").select("wal_id", "x.pos")
 
 
 def top_per_user(items: DataFrame, most: int, idle_s: int, as_of: int) -> DataFrame:

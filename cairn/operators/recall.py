@@ -22,6 +22,12 @@ def keyword_search(rows: DataFrame, terms: list[str], column: str, limit: int, o
     return rows.where(hit).orderBy(*order).limit(limit)
 
 
+def like_search(rows: DataFrame, terms: list[str], user: str | None, limit: int, order: list, column: str = "content") -> DataFrame:
+    """A user's rows that hold any of the terms, without regard to case; all of them without terms. The first by the order."""
+    mine = rows if user is None else rows.where(F.col("user_id") == user)
+    return keyword_search(mine, terms, column, limit, order) if terms else mine.orderBy(*order).limit(limit)
+
+
 def bm25(rows: DataFrame, query: str, id_col: str, text_col: str, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 over three-character grams: (id, score), best first, then by id.
 
@@ -81,7 +87,7 @@ def ladder(facts: DataFrame, agent: str, profile: str, as_of: int, k: int, defau
 def rerank(rows: DataFrame, query: str, score: str, first: int, text_col: str, id_col: str = "id") -> DataFrame:
     """The first rows by score get 0.6 of their Jaccard with the query and 0.4 of the score; the others keep theirs. rows is a short list."""
     place = F.row_number().over(Window.orderBy(F.desc(score), id_col))
-    alike = text.jaccard(text.gram_words(F.col(text_col)), text.gram_words(F.lit(query)))
+    alike = text.gram_word_jaccard(text.gram_sets(F.col(text_col)), text.gram_sets(F.lit(query)))
     return rows.withColumn("place", place).withColumn("reranked", F.when(F.col("place") <= first, 0.6 * alike + 0.4 * F.col(score)).otherwise(F.col(score)))
 
 
@@ -169,19 +175,97 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def ignite(rows: DataFrame, query: str, text_col: str, vector: str, least: float, most: int, id_col: str = "id") -> DataFrame:
     """combined = 0.6 Jaccard + 0.4 vector score; the first `most` rows that reach `least` are ignited. rows is a short list."""
-    alike = text.jaccard(text.gram_words(F.col(text_col)), text.gram_words(F.lit(query)))
+    alike = text.gram_word_jaccard(text.gram_sets(F.col(text_col)), text.gram_sets(F.lit(query)))
     scored = rows.withColumn("combined", 0.6 * alike + 0.4 * F.least(F.greatest(F.col(vector), F.lit(0.0)), F.lit(1.0)))
     place = F.row_number().over(Window.orderBy(F.desc(F.round("combined", 9)), id_col))
     return scored.withColumn("place", place).withColumn("ignited", (F.col("place") <= most) & (F.col("combined") >= least))
 
 
-def within_budget(rows: DataFrame, line: str, order: list, budget: int, partition: list[str]) -> DataFrame:
-    """Rows in order until the first whose line, with a newline, would overflow the budget of its partition; budget 0 or less: all."""
+#: How much an ignited row's score counts for, and how many times the limit the first pool is.
+BOOST, POOL = 1.5, 3
+
+
+def boost_sort(rows: DataFrame, score: str, limit: int, id_col: str = "id") -> DataFrame:
+    """Rows of ignite() in their last order: ignited ones by combined score, then the others by their own. rows is a short list."""
+    own = F.when(F.col("ignited"), F.col("combined") * BOOST).otherwise(F.col(score))
+    return rows.withColumn("boosted", own).orderBy(F.desc("ignited"), F.desc(F.round("boosted", 9)), id_col).limit(limit)
+
+
+def hybrid_search(rows: DataFrame, query: str, as_of: int, limit: int, after_s: int | None = None, before_s: int | None = None) -> DataFrame:
+    """Rows (id, content, score, at_s, reliability, access) of a span of time by the five signals: (id, hybrid), best first. The text signal is the query's coverage."""
+    if after_s is not None:
+        rows = rows.where(F.col("at_s") >= after_s)
+    if before_s is not None:
+        rows = rows.where(F.col("at_s") <= before_s)
+    age = F.greatest(F.lit(as_of) - F.col("at_s"), F.lit(0)) / scores.DAY
+    covered = text.query_coverage(F.lit(query), F.col("content"))
+    hybrid = scores.recall_score(scores.squash(F.col("score")), covered, age, F.col("reliability"), F.col("access"))
+    return rows.withColumn("hybrid", F.round(hybrid, 4)).orderBy(F.desc("hybrid"), "id").limit(limit)
+
+
+def funnel(rows: DataFrame, query: str, states: DataFrame, as_of: int, limit: int, least: float = 0.85, most: int = 8) -> DataFrame:
+    """The recall funnel over rows (id, content, score, at_s, reliability, access): (id, ignited, hybrid, place).
+
+    The best POOL * limit rows by score are the pool. Alike ones are ignited; of rows with the same first 100 characters the ignited or else the first stays; rows that states (memory_id,
+    state) call superseded go. The five signals rank twice the limit of them, an ignited row by the better of its scores; then ignition counts BOOST times, and the limit is cut. The pool
+    bounds what the windows see.
+    """
+    pool = rows.orderBy(F.desc("score"), "id").limit(POOL * limit)
+    lit = ignite(pool.withColumn("vector", scores.squash(F.col("score"))), query, "content", "vector", least, most)
+    once = first_of_each(lit.withColumn("head", F.substring("content", 1, 100)), ["head"], [F.desc("ignited"), F.when(F.col("ignited"), F.col("place")), F.desc("score"), "id"])
+    gone = states.where("state = 'superseded'").select(F.col("memory_id").alias("id")).distinct()
+    live = once.join(gone, "id", "left_anti").withColumn("score", F.when(F.col("ignited"), F.greatest("score", "combined")).otherwise(F.col("score")))
+    ranked = hybrid_search(live, query, as_of, 2 * limit)
+    last = ranked.withColumn("hybrid", F.when(F.col("ignited"), F.round(F.col("hybrid") * BOOST, 4)).otherwise(F.col("hybrid")))
+    place = F.row_number().over(Window.orderBy(F.desc("hybrid"), "id"))
+    return last.withColumn("place", place).where(F.col("place") <= limit).select("id", "ignited", "hybrid", "place")
+
+
+def funnel_counts(rows: DataFrame, query: str, states: DataFrame, as_of: int, limit: int, least: float = 0.85, most: int = 8) -> DataFrame:
+    """How many rows the stages of the funnel have: (pool, ignited, final, from_ignition), one row."""
+    pool = rows.orderBy(F.desc("score"), "id").limit(POOL * limit)
+    lit = ignite(pool.withColumn("vector", scores.squash(F.col("score"))), query, "content", "vector", least, most)
+    first = lit.agg(F.count("*").alias("pool"), F.count_if("ignited").alias("ignited")).withColumn("k", F.lit(1))
+    last = funnel(rows, query, states, as_of, limit, least, most).agg(F.count("*").alias("final"), F.count_if("ignited").alias("from_ignition")).withColumn("k", F.lit(1))
+    return first.join(last, "k").drop("k")
+
+
+def workspace_lookup(items: DataFrame, queries: DataFrame, least: float = 0.5) -> DataFrame:
+    """Items of each user's working set (user_id, memory_id, text, score) that a query (query_id, user_id, query) hits: (query_id, memory_id, combined), 0.7 of the words' Jaccard and 0.3 of the score over `least`."""
+    joined = queries.join(items, "user_id")
+    alike = text.jaccard(text.words(F.col("query")), text.words(F.col("text")))
+    combined = 0.7 * alike + 0.3 * F.coalesce("score", alike)
+    return joined.select("query_id", "memory_id", combined.alias("combined")).where((F.col("combined") > least) & (F.col("memory_id").isNotNull()))
+
+
+def expand(vectors: DataFrame, nodes: DataFrame, k: int, least: float = 0.2, most: float = 0.9) -> DataFrame:
+    """The neighbours of each node (node), itself excluded: (node, vec_id, score), those of its k nearest with a score within bounds."""
+    queries = vectors.join(nodes.select(F.col("node").alias("vec_id")).distinct(), "vec_id").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return vector_topk(vectors, queries, k).where(F.col("score").between(least, most)).select(F.col("qid").alias("node"), "vec_id", "score")
+
+
+#: Fixed weights of the levels of persona memory.
+LEVELS = {"E": 1.0, "G": 0.75, "L": 0.5}
+
+
+def persona_retrieve(items: DataFrame, query: str, k: int, level: str | None = None) -> DataFrame:
+    """Of each bank's latest ready version (bank, version, ready, level, item_id, content) the k best items for a query, 50 at most: (bank, item_id, score). Items without a hit are left out."""
+    latest = items.where("ready").groupBy("bank").agg(F.max("version").alias("version"))
+    live = items.where("ready").join(latest, ["bank", "version"])
+    if level is not None:
+        live = live.where(F.col("level") == level)
+    weighed = live.withColumn("score", text.persona_score(F.lit(query), F.col("content")) * scores.choose(F.col("level"), LEVELS, 0.0)).where("score > 0")
+    rank = F.row_number().over(Window.partitionBy("bank").orderBy(F.desc(F.round("score", 9)), "item_id"))
+    return weighed.withColumn("_rn", rank).where(F.col("_rn") <= min(50, k)).select("bank", "item_id", "score")
+
+
+def within_budget(rows: DataFrame, line: str | Column, order: list, budget: int, partition: list[str]) -> DataFrame:
+    """Rows in order until the first whose line, with a newline, would overflow the budget of its partition; budget 0 or less: all. line names a column of lines, or is a column of their lengths."""
     if budget <= 0:
         return rows
     window = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    used = F.sum(F.length(line) + 1).over(window)
-    return rows.withColumn("used", used).where(F.col("used") <= budget)
+    sized = rows.withColumn("_n", (F.length(line) if isinstance(line, str) else line) + 1)
+    return sized.withColumn("used", F.sum("_n").over(window)).where(F.col("used") <= budget).drop("_n")
 
 
 def earlier_context(turns: DataFrame, before: int = 5, most: int = 200) -> DataFrame:

@@ -89,30 +89,58 @@ def b6_time_window(spark: SparkSession, folder: str) -> DataFrame:
     return facts.select("id", F.date_format(F.timestamp_seconds("recorded_s"), "yyyy-MM").alias("month"))
 
 
+SQL_LINES = "list_filter(list_transform(string_split(t, chr(10)), lambda x: lower(trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)))), lambda x: x <> '')"
+
+
 @query(
-    """SELECT doc_id, len(l) > 6 AND coalesce(list_max(list_transform(list_distinct(l), lambda x: len(list_filter(l, lambda y: y = x)))), 0) >= 3
- AND coalesce(list_max(list_transform(list_distinct(l), lambda x: len(list_filter(l, lambda y: y = x)))), 0) / len(l) > 0.3E0 AS repeats FROM
- (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) t"""
+    f"""WITH c AS (SELECT doc_id, text, regexp_replace(substring(text, 1, {rules.MOST_CHARS}), '{rules.CONTROLS}', '', 'g') AS t FROM documents),
+ n AS (SELECT doc_id, max(n) AS most, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest({SQL_LINES}) AS x FROM c) l GROUP BY doc_id, x) g GROUP BY doc_id),
+ b AS (SELECT *, lower(regexp_replace(t, '[^0-9a-zA-Z一-鿿]', '', 'g')) AS bare FROM c)
+ SELECT b.doc_id, CAST(length(t) AS BIGINT) AS chars, CASE WHEN text = '' THEN 'empty' WHEN regexp_matches(t, '{rules.INJECTION}') THEN 'pattern' WHEN length(bare) >= 4 AND regexp_matches(bare, '{rules.INJECTION_BARE}') THEN 'hidden'
+ WHEN coalesce(lines > 6 AND most >= 3 AND most / lines > 0.3E0, false) THEN 'repeated' ELSE 'ok' END AS verdict FROM b LEFT JOIN n USING (doc_id)"""
 )
-def b9_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.coalesce(rules.repeats_lines(F.col("text")), F.lit(False)).alias("repeats"))
+def b9_guard(spark: SparkSession, folder: str) -> DataFrame:
+    body = F.col("text")
+    return table(spark, folder, "documents").select("doc_id", F.length(rules.cleaned(body)).cast("long").alias("chars"), rules.guard(body).alias("verdict"))
 
 
 @query(
-    """SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token|private[_-]?key|password|passwd|密码|密钥|口令|秘钥)\\s*[:=：]\\s*\\S+')
- OR regexp_matches(text, '\\b(?:sk|pk)[-_][A-Za-z0-9]{16,}\\b') OR regexp_matches(text, '\\bghp_[A-Za-z0-9]{20,}\\b') OR regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')
- THEN 'reject' WHEN regexp_matches(text, '(授权|提权|放权|sudo|root\\s*权限|管理员权限)') THEN 'human_review' ELSE 'other' END AS verdict FROM documents"""
+    f"""SELECT d.doc_id, coalesce(lines > 6 AND most >= 3 AND most / lines > 0.3E0, false) AS repeats FROM documents d LEFT JOIN (SELECT doc_id, max(n) AS most, CAST(sum(n) AS BIGINT) AS lines FROM
+ (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest({SQL_LINES.replace('string_split(t,', 'string_split(text,')}) AS x FROM documents) l GROUP BY doc_id, x) g GROUP BY doc_id) n USING (doc_id)"""
 )
+def b9_repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.coalesce(rules.repeats_lines(F.col("text")), F.lit(False)).alias("repeats"))
+
+
+def sql_any(text: str, patterns: tuple[str, ...]) -> str:
+    return " OR ".join(f"regexp_matches({text}, '{p}')" for p in patterns)
+
+
+def sql_noise(text: str) -> str:
+    """SQL for rules.is_noise: a core is a token's letters and digits."""
+    rows = " OR ".join(f"contains('{k}', core) OR contains('{k[::-1]}', core)" for k in rules.KEY_ROWS)
+    digits = "regexp_full_match(core, '[0-9]+') AND (contains('0123456789', core) OR contains('9876543210', core))"
+    junk = f"core = '' OR (length(core) >= 3 AND (replace(core, core[1], '') = '' OR {rows} OR ({digits})))"
+    cores = f"list_transform(list_filter(regexp_split_to_array({text}, '\\s+'), lambda t: t <> ''), lambda t: lower(regexp_replace(t, '[^0-9A-Za-z]', '', 'g')))"
+    mash = f"NOT regexp_matches({text}, '{rules.CJK}') AND len(list_filter({cores}, lambda core: NOT ({junk}))) = 0"
+    return f"(length({text}) < 2 OR replace({text}, {text}[1], '') = '' OR NOT regexp_matches({text}, '[\\p{{L}}\\p{{N}}_]') OR ({mash}))"
+
+
+def sql_screen(text: str) -> str:
+    """SQL for rules.screen."""
+    return f"CASE WHEN {sql_any(text, rules.SECRETS)} THEN 'reject:secret' WHEN {sql_noise(f'trim({text})')} THEN 'reject:noise' WHEN {sql_any(text, rules.SENSITIVE)} THEN 'human_review' ELSE 'evaluate' END"
+
+
+@query(f"SELECT doc_id, {sql_screen('text')} AS verdict FROM documents")
 def b10_screen(spark: SparkSession, folder: str) -> DataFrame:
-    body = F.col("text")
-    verdict = F.when(rules.any_match(body, rules.SECRETS), "reject").when(rules.any_match(body, rules.SENSITIVE), "human_review").otherwise("other")
-    return table(spark, folder, "documents").select("doc_id", verdict.alias("verdict"))
+    return table(spark, folder, "documents").select("doc_id", rules.screen(F.col("text")).alias("verdict"))
 
 
-@query()
+@query(f"SELECT doc_id, no, {sql_noise('line')} AS noise FROM (SELECT doc_id, unnest(range(CAST(len(l) AS BIGINT))) AS no, unnest(l) AS line FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM documents) a) t")
 def b11_noise(spark: SparkSession, folder: str) -> DataFrame:
-    """Noise among the first words of facts; tested against a plain version."""
-    return relation(spark, folder, "facts").select("id", rules.is_noise(F.substring_index("fact_value", " ", 2)).alias("noise"))
+    """Noise among the lines of documents."""
+    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return lines.select("doc_id", F.col("no").cast("long").alias("no"), rules.is_noise(F.col("line")).alias("noise"))
 
 
 @query(

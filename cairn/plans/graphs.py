@@ -111,3 +111,24 @@ def d23_spread(spark: SparkSession, folder: str) -> DataFrame:
 
     start = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("vec_id").alias("node"))
     return graph.spread(near, start, 3, 3, 0.2, 0.9)
+
+
+FILES_SQL = "SELECT c_custkey AS k, concat('m', CAST(c_nationkey AS VARCHAR), '/f', CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 9 = 0 THEN '/__init__.py' ELSE '.py' END) AS path FROM customer"
+
+
+@query(
+    f"""WITH f AS (SELECT k, path, regexp_replace(regexp_replace(replace(path, '/', '.'), '\\.py$', ''), '\\.__init__$', '') AS mod FROM ({FILES_SQL}) x),
+ i AS (SELECT a.path, CASE a.k % 4 WHEN 0 THEN b.mod WHEN 1 THEN concat(b.mod, '.part') WHEN 2 THEN split_part(b.mod, '.', 1) ELSE 'os.path' END AS module FROM f a JOIN f b ON b.k = a.k + 1),
+ w AS (SELECT DISTINCT module FROM i), t AS (SELECT module, arg_min(path, (o, path)) AS target FROM (SELECT module, path, 0 AS o FROM w JOIN f ON mod = module UNION ALL SELECT module, path, 1 FROM w JOIN f ON starts_with(mod, concat(module, '.')) OR starts_with(module, concat(mod, '.'))) u GROUP BY module)
+ SELECT DISTINCT target AS path, i.path AS imported_by FROM i JOIN t USING (module) WHERE target <> i.path"""
+)
+def e13_imported_by(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that import the file after them by name, by something within it, or by its folder."""
+    end = F.when(F.col("c_custkey") % 9 == 0, "/__init__.py").otherwise(".py")
+    path = F.concat(F.lit("m"), F.col("c_nationkey").cast("string"), F.lit("/f"), F.col("c_custkey").cast("string"), end)
+    files = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), path.alias("path"))
+    mod = F.regexp_replace(F.regexp_replace(F.replace("path", F.lit("/"), F.lit(".")), r"\.py$", ""), r"\.__init__$", "")
+    after = files.select((F.col("k") - 1).alias("k"), mod.alias("mod"))
+    module = F.when(F.col("k") % 4 == 0, F.col("mod")).when(F.col("k") % 4 == 1, F.concat("mod", F.lit(".part"))).when(F.col("k") % 4 == 2, F.substring_index("mod", ".", 1)).otherwise("os.path")
+    imports = files.join(after, "k").select("path", module.alias("module"))
+    return graph.imported_by(files.select("path"), imports)

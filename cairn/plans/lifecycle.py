@@ -68,13 +68,34 @@ def g12_dream_merge(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.dream_merge(relation(spark, folder, "facts"), AS_OF - 200 * DAY, AS_OF).select("id", "stays")
 
 
+SQL_REFS = """SELECT 'facts' AS name, id FROM facts UNION ALL SELECT 'types', doc_id FROM labels UNION ALL SELECT 'raw', doc_id FROM documents"""
+
+
+@query(f"SELECT name, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM ({SQL_REFS}) r WHERE id % 17 <> 3 GROUP BY name", "facts")
+def g14_cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """Memories gone from facts, types and raw texts, each of which names them in its own way: id, fact:id, raw:id."""
+    tables = {
+        "facts": relation(spark, folder, "facts").select("id", F.concat(F.lit("fact:"), "id").alias("ref")),
+        "types": table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("ref")),
+        "raw": table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("raw:"), "doc_id").alias("ref")),
+    }
+    gone = relation(spark, folder, "facts").where("id % 17 = 3").select(F.col("id").cast("string").alias("id"))
+    refs = gone.select(F.explode(F.array("id", F.concat(F.lit("fact:"), "id"), F.concat(F.lit("raw:"), "id"))).alias("ref"))
+    left = [df.select("id", F.lit(name).alias("name")) for name, df in lifecycle.cascade_delete(tables, refs).items()]
+    return left[0].unionByName(left[1]).unionByName(left[2]).groupBy("name").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
+
+
 @query(
-    "SELECT id, archived FROM facts WHERE NOT (archived = 1 AND id % 2 = 1)", "facts"
+    """SELECT 'turns' AS name, count(*) AS rows FROM turns WHERE user_id NOT IN ('u1', 'u2') UNION ALL SELECT 'sessions', count(DISTINCT concat(user_id, ':', session_id)) FROM turns WHERE user_id NOT IN ('u1', 'u2')""",
+    "turns",
 )
-def g14_cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
-    facts = relation(spark, folder, "facts").withColumn("ref", F.concat(F.lit("fact:"), "id"))
-    gone = facts.where("archived = 1 AND id % 2 = 1").select("ref")
-    return lifecycle.cascade_delete({"facts": facts}, gone)["facts"].select("id", "archived")
+def g15_delete_tenant(spark: SparkSession, folder: str) -> DataFrame:
+    """All that two users have, gone; the default user was named without confirmation and stays."""
+    turns = relation(spark, folder, "turns")
+    users = spark.sql("SELECT * FROM VALUES ('u1'), ('u2'), ('u3') t(user_id)")
+    tables = {"turns": turns, "sessions": turns.select("user_id", "session_id").distinct()}
+    left = lifecycle.delete_tenant(tables, users, default="u3")
+    return left["turns"].select(F.lit("turns").alias("name")).unionByName(left["sessions"].select(F.lit("sessions").alias("name"))).groupBy("name").agg(F.count("*").alias("rows"))
 
 
 @query("SELECT id, fact_key, fact_value, trust_score FROM facts WHERE archived = 1", "facts")
@@ -84,14 +105,14 @@ def g16_tombstones(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT wal_id, max(pos) AS pos FROM (SELECT l_orderkey AS wal_id, (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS pos, l_linestatus FROM lineitem) t
- GROUP BY wal_id HAVING arg_max(l_linestatus, pos) = 'O' AND max(pos) > 6000000000000"""
+    """SELECT wal_id, max(pos) AS pos FROM (SELECT l_orderkey AS wal_id, (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS pos, CASE l_linestatus WHEN 'O' THEN 'pending' ELSE 'done' END AS status FROM lineitem) t
+ GROUP BY wal_id HAVING arg_max(status, (pos, status)) = 'pending'"""
 )
 def g18_pending(spark: SparkSession, folder: str) -> DataFrame:
     pos = (F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")
     status = F.when(F.col("l_linestatus") == "O", "pending").otherwise("done")
     log = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("wal_id"), pos.alias("pos"), status.alias("status"))
-    return lifecycle.pending(log).where("pos > 6000000000000")
+    return lifecycle.pending(log)
 
 
 @query("SELECT max(id) AS id, coalesce(agent_id, 'local') AS agent_id, category FROM facts GROUP BY coalesce(agent_id, 'local'), category", "facts")

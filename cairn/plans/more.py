@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, scores, text
-from ..operators import lifecycle, pairs, recall
+from ..operators import graph, lifecycle, pairs, recall, writes
 from ..sources.tables import AS_OF, DAY, relation, table
+from .filters import sql_screen
 from .lifecycle import HEAT, HEAT_AS_OF, heat
 from .registry import query
-from .textual import SQL_GRAMS
+from .textual import SQL_JACCARD, sql_grams
 
 #: A small vocabulary for the queries; the operators take any.
 KIND_WORDS = {"DECISIONS": "license|version", "PREFERENCES": "her|his", "EXPERIENCES": "ing ", "OBSERVATIONS": "tion", "REFLECTIONS": "zz"}
@@ -52,23 +53,32 @@ def a13_restore_messages(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").where("archived = 0").select("id", message.alias("message"))
 
 
-@query("SELECT id, month, CAST(last_day(CAST(concat(month, '-01') AS DATE)) AS VARCHAR) AS last FROM (SELECT id, concat('2024-', lpad(CAST(id % 12 + 1 AS VARCHAR), 2, '0')) AS month FROM facts) t", "facts")
+@query(
+    """SELECT id, raw, CASE WHEN regexp_full_match(raw, '[0-9]{4}') THEN concat(raw, '-01-01') WHEN regexp_full_match(raw, '[0-9]{4}-[0-9]{2}') THEN coalesce(CAST(TRY_CAST(concat(raw, '-01') AS DATE) AS VARCHAR), raw) ELSE raw END AS after,
+ CASE WHEN regexp_full_match(raw, '[0-9]{4}') THEN concat(raw, '-12-31') WHEN regexp_full_match(raw, '[0-9]{4}-[0-9]{2}') THEN coalesce(CAST(last_day(TRY_CAST(concat(raw, '-01') AS DATE)) AS VARCHAR), raw) ELSE raw END AS before FROM
+ (SELECT id, CASE id % 4 WHEN 0 THEN '2024' WHEN 1 THEN concat('2024-', lpad(CAST(id % 14 AS VARCHAR), 2, '0')) WHEN 2 THEN '2024-02-29' ELSE '2024-05-06T07:08:09' END AS raw FROM facts) t""",
+    "facts",
+)
 def b4_time_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    """The last day that a bound given as a month means."""
-    month = F.concat(F.lit("2024-"), F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"))
-    return relation(spark, folder, "facts").select("id", month.alias("month"), F.last_day(F.concat(month, F.lit("-01"))).cast("string").alias("last"))
+    """The first and the last day that a bound means: a year, a month (an impossible one stays), a day or more."""
+    month = F.concat(F.lit("2024-"), F.lpad((F.col("id") % 14).cast("string"), 2, "0"))
+    raw = F.when(F.col("id") % 4 == 0, "2024").when(F.col("id") % 4 == 1, month).when(F.col("id") % 4 == 2, "2024-02-29").otherwise("2024-05-06T07:08:09")
+    return relation(spark, folder, "facts").select("id", raw.alias("raw")).select("id", "raw", text.bound_day(F.col("raw"), False).alias("after"), text.bound_day(F.col("raw"), True).alias("before"))
+
+
+SQL_GATE = " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{reason}'" for reason, _, p in rules.GATE)
 
 
 @query(
-    """SELECT id, CASE WHEN n < 3 THEN 'short' WHEN regexp_matches(q, '^(thanks|ok|hello)') THEN 'social' WHEN regexp_matches(q, '\\b(my|me|i)\\b') THEN 'identity' WHEN n > 15 AND regexp_matches(q, '[a-z]{5,}') THEN 'pinned' ELSE 'none' END AS scope
- FROM (SELECT id, lower(split_part(fact_value, '.', 1)) AS q, length(split_part(fact_value, '.', 1)) AS n FROM facts) t""",
-    "facts",
+    f"""SELECT session_id, turn, reason, CASE WHEN reason IN ('correction_detected', 'explicit_recall', 'reference') THEN 'episode' WHEN reason = 'self_reference' THEN 'identity' WHEN reason = 'content_query' THEN 'pinned' ELSE '' END AS scope FROM
+ (SELECT session_id, turn, CASE WHEN length(q) < 3 THEN 'query_too_short' {SQL_GATE} WHEN length(q) > 15 AND (len(regexp_extract_all(q, '{rules.CJK}')) >= 5 OR regexp_matches(q, '{rules.CONTENT_WORDS}')) THEN 'content_query' ELSE 'no_signal' END AS reason
+ FROM (SELECT session_id, turn, trim(content, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS q FROM turns) a) t""",
+    "turns",
 )
 def b8_relevance_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Whether a query needs memory, and of what scope: the first rule that holds."""
-    q = F.lower(F.substring_index("fact_value", ".", 1))
-    scope = F.when(F.length(q) < 3, "short").when(q.rlike("^(thanks|ok|hello)"), "social").when(q.rlike(r"\b(my|me|i)\b"), "identity")
-    return relation(spark, folder, "facts").select("id", scope.when((F.length(q) > 15) & q.rlike("[a-z]{5,}"), "pinned").otherwise("none").alias("scope"))
+    found = relation(spark, folder, "turns").select("session_id", "turn", rules.relevance(F.col("content")).alias("g"))
+    return found.select("session_id", "turn", "g.reason", F.coalesce("g.scope", F.lit("")).alias("scope"))
 
 
 @query("SELECT id, CASE WHEN category IN ('src0', 'src1') THEN 'L0' WHEN starts_with(category, 'src1') THEN 'L1' ELSE 'L2' END AS level FROM facts", "facts")
@@ -86,22 +96,27 @@ def b15_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "turns").select("session_id", "turn", rules.first_kind(F.col("content"), KIND_WORDS).alias("kind"))
 
 
-@query("SELECT id, agent_id IS NOT NULL AND profile = 'team_b' AS federated, CASE WHEN agent_id IS NULL THEN 'hot' WHEN profile = 'team_b' THEN 'federated' WHEN contains(fact_value, 'version') THEN 'hint' ELSE 'hot' END AS route FROM facts", "facts")
+@query(
+    "SELECT id, CASE id % 5 WHEN 0 THEN 'federated' WHEN 1 THEN 'hot' ELSE CASE WHEN regexp_matches(fact_value, 'version|token') AND id % 7 > 0 THEN 'federated' ELSE 'hot' END END AS route FROM facts",
+    "facts",
+)
 def b19_routing(spark: SparkSession, folder: str) -> DataFrame:
-    has, team = F.col("agent_id").isNotNull(), F.col("profile") == "team_b"
-    route = F.when(~has, "hot").when(team, "federated").when(F.contains("fact_value", F.lit("version")), "hint").otherwise("hot")
-    return relation(spark, folder, "facts").select("id", (has & team).alias("federated"), route.alias("route"))
+    """Explicit flags for some, hints in the text for others, and some without peers."""
+    flag = F.when(F.col("id") % 5 == 0, True).when(F.col("id") % 5 == 1, False)
+    return relation(spark, folder, "facts").select("id", rules.routed(F.col("fact_value"), flag, F.col("id") % 7, "version|token").alias("route"))
 
 
 @query(
-    """SELECT doc_id, CAST(count(*) AS BIGINT) AS kept, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM
- (SELECT doc_id, unnest(range(CAST(len(string_split(text, chr(10))) AS BIGINT))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents) a) t WHERE length(trim(line)) >= 3 AND (before IS NULL OR before <> line) GROUP BY doc_id"""
+    """SELECT doc_id, CAST(count(*) AS BIGINT) AS kept, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, no, line, lag(trim(line)) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM
+ (SELECT doc_id, unnest(range(CAST(len(string_split(text, chr(10))) AS BIGINT))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents) a) t
+ WHERE regexp_matches(line, '(?i)error|fail|exception|warn') OR (length(trim(line)) >= 3 AND (before IS NULL OR before <> trim(line))) GROUP BY doc_id"""
 )
 def b20_compress(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of three characters or more that differ from the one before."""
+    """Lines that tell of errors, and lines of three characters or more that differ from the one before."""
     lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lines = lines.withColumn("before", F.lag("line").over(Window.partitionBy("doc_id").orderBy("no")))
-    kept = lines.where((F.length(F.trim("line")) >= 3) & (F.col("before").isNull() | (F.col("before") != F.col("line"))))
+    lines = lines.withColumn("before", F.lag(F.trim("line")).over(Window.partitionBy("doc_id").orderBy("no")))
+    differs = (F.length(F.trim("line")) >= 3) & (F.col("before").isNull() | (F.col("before") != F.trim("line")))
+    kept = lines.where(F.col("line").rlike("(?i)error|fail|exception|warn") | differs)
     return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("line")).alias("chars"))
 
 
@@ -189,12 +204,23 @@ def d20_deep_search(spark: SparkSession, folder: str) -> DataFrame:
     return recall.first_of_each(both, ["id"], ["src"]).orderBy("src", "id").limit(30)
 
 
-@query("SELECT id, substring(fact_value, 1, 30) AS name, count(*) OVER (PARTITION BY lower(substring(fact_value, 1, 30))) AS mentions FROM facts WHERE archived = 0", "facts")
+NAMED = [r"\b(?:User|AI|Assistant)\b", r"Lyon|License", r"[A-Z][a-z]+ly\b"]
+SQL_NAMES = "list_concat(regexp_extract_all(fact_value, '[\"\\\\'']([^\"\\\\'']+)[\"\\\\'']', 1), " + ", ".join(f"regexp_extract_all(fact_value, '{p}')" for p in NAMED) + ")"
+
+
+@query(
+    f"""WITH m AS (SELECT id, list_filter(list_transform({SQL_NAMES}, lambda x: trim(x)), lambda x: x <> '') AS names FROM facts WHERE archived = 0),
+ n AS (SELECT id, unnest(names) AS name, unnest(range(CAST(len(names) AS BIGINT))) AS pos FROM m), w AS (SELECT lower(name) AS low, arg_min(name, (id, pos)) AS name FROM n GROUP BY 1)
+ SELECT w.name, CAST(count(DISTINCT n.id) AS BIGINT) AS facts, w.low IN (SELECT lower(p_brand) FROM part UNION ALL SELECT 'lyon') AS known FROM w JOIN n ON lower(n.name) = w.low GROUP BY w.name, w.low""",
+    "facts",
+)
 def e6_link_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Names found in facts; a name is one entity whatever its case."""
-    facts = relation(spark, folder, "facts").where("archived = 0").withColumn("name", F.substring("fact_value", 1, 30))
-    counts = facts.groupBy(F.lower("name").alias("n")).agg(F.count("*").alias("mentions"))
-    return facts.join(counts, F.lower("name") == F.col("n")).select("id", "name", "mentions")
+    """Names found in facts, each one entity whatever its case, with its facts, and whether it was known."""
+    facts = relation(spark, folder, "facts").where("archived = 0")
+    known = table(spark, folder, "part").select(F.col("p_brand").alias("name")).unionByName(spark.sql("SELECT 'lyon' AS name"))
+    new, edges = graph.link_entities(facts, known, lambda v: text.entities(v, NAMED))
+    counts = edges.groupBy("name").agg(F.count("*").alias("facts"))
+    return counts.join(new.withColumn("new", F.lit(True)), "name", "left").select("name", "facts", F.col("new").isNull().alias("known"))
 
 
 @query("SELECT f.id, t.quality FROM facts f JOIN labels t ON t.doc_id = TRY_CAST(substring(f.fact_key, 5) AS BIGINT) WHERE starts_with(f.fact_key, 'doc:')", "facts")
@@ -203,25 +229,37 @@ def e8_kinds_of_facts(spark: SparkSession, folder: str) -> DataFrame:
     return facts.join(table(spark, folder, "labels"), "doc_id").select("id", "quality")
 
 
-@query("SELECT a.id AS keep_id, b.id AS merge_id, CASE WHEN length(b.fact_value) > length(a.fact_value) THEN b.fact_value ELSE a.fact_value END AS fact_value FROM facts a JOIN facts b ON b.category = a.category AND b.id > a.id AND substring(b.fact_value, 1, 40) = substring(a.fact_value, 1, 40)", "facts")
+@query(
+    f"""WITH f AS (SELECT id, coalesce(agent_id, 'local') AS agent_id, category, memory_tier, fact_value, {sql_grams('fact_value', 2)} AS g FROM facts WHERE archived = 0),
+ p AS (SELECT n.id, o.id AS m, {SQL_JACCARD.format('n.g', 'o.g')} AS s FROM f n JOIN f o ON n.agent_id = o.agent_id AND n.category = o.category AND n.id <> o.id WHERE n.id % 2 = 0 AND o.id % 2 = 1),
+ best AS (SELECT id, arg_max(m, (s, -m)) AS m FROM p WHERE s >= 0.85E0 GROUP BY id),
+ v AS (SELECT n.id, o.id AS fact_id, CASE WHEN length(o.fact_value) >= length(n.fact_value) THEN o.fact_value ELSE n.fact_value END AS v,
+ concat(o.category, ',', o.memory_tier, CASE WHEN n.memory_tier <> o.memory_tier THEN concat(',', n.memory_tier) ELSE '' END) AS tags FROM best JOIN f n ON n.id = best.id JOIN f o ON o.id = best.m)
+ SELECT id, fact_id, sha256(v) AS value_hash, substring(v, 1, 60) AS summary, tags FROM v""",
+    "facts",
+)
 def f2_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Of two facts that begin alike the longer value, on a tie the older."""
-    f = relation(spark, folder, "facts").select("id", "category", "fact_value", F.substring("fact_value", 1, 40).alias("head"))
-    a, b = f.alias("a"), f.alias("b")
-    met = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.head") == F.col("b.head")) & (F.col("b.id") > F.col("a.id")))
-    longer = F.when(F.length("b.fact_value") > F.length("a.fact_value"), F.col("b.fact_value")).otherwise(F.col("a.fact_value"))
-    return met.select(F.col("a.id").alias("keep_id"), F.col("b.id").alias("merge_id"), longer.alias("fact_value"))
+    """Each new fact (of an even id) with the stored one that it duplicates: the longer value, on a tie the stored one, and both's tags."""
+    facts = relation(spark, folder, "facts").where("archived = 0").withColumns({"agent_id": F.coalesce("agent_id", F.lit("local")), "tags": F.concat_ws(",", "category", "memory_tier")})
+    new, old = facts.where("id % 2 = 0"), facts.where("id % 2 = 1")
+    found = writes.check_duplicate(new, old).where("action = 'merge'").select("id", "match_id")
+    pair = found.join(new.select("id", F.col("fact_value").alias("new_value"), F.col("tags").alias("new_tags")), "id")
+    pair = pair.join(old.select(F.col("id").alias("match_id"), F.col("fact_value").alias("old_value"), F.col("tags").alias("old_tags")), "match_id")
+    merged = writes.merge_values(pair).join(found, "id")
+    return merged.select("id", F.col("match_id").alias("fact_id"), F.sha2("fact_value", 256).alias("value_hash"), "summary", "tags")
+
+
+SQL_KEYED = "concat(fact_key, ' ', fact_value)"
 
 
 @query(
-    "SELECT id, CASE WHEN length(trim(fact_value)) < 2 THEN 'rejected' WHEN regexp_matches(fact_value, '(?i)(password|access[_-]?token)\\s*[:=]\\s*\\S+') THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN length(trim(fact_value)) < 2 THEN NULL ELSE 0.3E0 END AS trust FROM facts WHERE id % 10 <> 0", "facts"
+    f"""SELECT id, CASE WHEN v IN ('reject:secret', 'reject:noise') THEN 'rule_rejected' WHEN v = 'human_review' THEN v ELSE 'llm_eval' END AS route, CASE WHEN starts_with(v, 'reject') THEN 'rejected' ELSE 'pending' END AS status,
+ CASE WHEN starts_with(v, 'reject') THEN 1 ELSE 0 END AS archived, CASE WHEN starts_with(v, 'reject') THEN -1E0 ELSE 0.3E0 END AS trust FROM (SELECT id, {sql_screen('t')} AS v FROM (SELECT id, {SQL_KEYED} AS t FROM facts) a) b""",
+    "facts",
 )
 def f8_govern(spark: SparkSession, folder: str) -> DataFrame:
-    """New facts as candidates with provisional trust."""
-    v = F.col("fact_value")
-    short = F.length(F.trim(v)) < 2
-    status = F.when(short | v.rlike(r"(?i)(password|access[_-]?token)\s*[:=]\s*\S+"), "rejected").otherwise("pending")
-    return relation(spark, folder, "facts").where("id % 10 <> 0").select("id", status.alias("status"), F.when(~short, F.lit(0.3)).alias("trust"))
+    """New facts as candidates with provisional trust; rejected ones are archived."""
+    return writes.govern(relation(spark, folder, "facts")).withColumn("trust", F.coalesce("trust", F.lit(-1.0)))
 
 
 @query("SELECT id, json_extract_string(v, '$.verdict') AS verdict, TRY_CAST(json_extract_string(v, '$.confidence') AS DOUBLE) AS confidence FROM (SELECT id, concat('{\"verdict\": \"', CASE WHEN id % 2 = 0 THEN 'approve' ELSE 'reject' END, '\", \"confidence\": ', CAST(id % 10 AS VARCHAR), '}') AS v FROM facts) t", "facts")
@@ -255,14 +293,35 @@ def g9_preferences(spark: SparkSession, folder: str) -> DataFrame:
     return facts.where(F.abs("p") >= 0.5).groupBy("category").agg(F.count_if(F.col("p") > 0).alias("likes"), F.count_if(F.col("p") < 0).alias("dislikes"))
 
 
+SQL_REFINE = """SELECT category, list_sort(list(id)) AS ids, concat(category, ': ', array_to_string(list_slice(list_sort(list_distinct(list(fact_key))), 1, 8), ', ')) AS summary FROM
+ (SELECT *, row_number() OVER (PARTITION BY category ORDER BY recorded_s DESC, id DESC) AS rn FROM facts WHERE archived = 0) t WHERE rn <= 20 GROUP BY category HAVING count(*) >= 3"""
+
+
+@query(f"SELECT category, array_to_string(ids, ',') AS sources, summary FROM ({SQL_REFINE}) r", "facts")
+def g13_refine(spark: SparkSession, folder: str) -> DataFrame:
+    """A proposal to merge a category's latest facts, with its sources."""
+    found = pairs.refine(relation(spark, folder, "facts"))
+    return found.select("category", F.array_join(F.transform("source_ids", lambda i: i.cast("string")), ",").alias("sources"), "summary")
+
+
 @query(
-    "SELECT category, list_aggregate(list_sort(list(id))[1:8], 'string_agg', ',') AS sources, count(*) AS facts FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY recorded_s DESC, id DESC) AS rn FROM facts WHERE archived = 0) t WHERE rn <= 20 GROUP BY category HAVING count(*) >= 3", "facts"
+    f"""SELECT id, category, fact_key, CASE WHEN id IN (SELECT unnest(ids) FROM ({SQL_REFINE}) r) THEN 1 ELSE archived END AS archived, 'source' AS kind FROM facts
+ UNION ALL SELECT -ids[1] - 1, category, concat('refined:', CAST(ids[1] AS VARCHAR)), 0, summary FROM ({SQL_REFINE}) r""",
+    "facts",
 )
-def g13_refine(spark: SparkSession, folder: str) -> DataFrame:
-    """A proposal to merge a category's latest facts, with its first sources."""
-    latest = pairs.latest_of(relation(spark, folder, "facts").where("archived = 0"), "category", [F.desc("recorded_s"), F.desc("id")], 20)
-    grouped = latest.groupBy("category").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("id")), 1, 8), lambda i: i.cast("string")), ",").alias("sources"), F.count("*").alias("facts"))
-    return grouped.where("facts >= 3")
+def g13_apply_refinements(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts after all proposals: sources archived, and a refined fact for each category."""
+    facts = relation(spark, folder, "facts")
+    after = pairs.apply_refinements(facts, pairs.refine(facts))
+    return after.select("id", "category", "fact_key", "archived", F.when(F.col("id") < 0, F.col("fact_value")).otherwise("source").alias("kind"))
+
+
+@query("SELECT id, fact_key, archived FROM facts", "facts")
+def g13_undo_refinements(spark: SparkSession, folder: str) -> DataFrame:
+    """Applied and undone, facts are as they were."""
+    facts = relation(spark, folder, "facts")
+    proposals = pairs.refine(facts)
+    return pairs.undo_refinements(pairs.apply_refinements(facts, proposals), proposals).select("id", "fact_key", "archived")
 
 
 @query("SELECT user_id, count(*) AS gone FROM turns WHERE user_id IN ('u1', 'u2') GROUP BY user_id", "turns")
@@ -342,7 +401,7 @@ def j6_cache_misses(spark: SparkSession, folder: str) -> DataFrame:
     return events.where(F.col("before").isNull() | (F.col("ts") - F.col("before") > F.expr("INTERVAL 1 HOUR"))).select("event_id")
 
 
-@query(f"SELECT id, substring(fact_key, 1, 3) AS first_gram, len({SQL_GRAMS.format('fact_key', 3)}) AS grams FROM facts", "facts")
+@query(f"SELECT id, substring(fact_key, 1, 3) AS first_gram, len({sql_grams('fact_key', 3)}) AS grams FROM facts", "facts")
 def k7_postings(spark: SparkSession, folder: str) -> DataFrame:
     grams = text.grams(F.col("fact_key"), 3)
     return relation(spark, folder, "facts").select("id", F.get(grams, F.lit(0)).alias("first_gram"), F.size(grams).cast("long").alias("grams"))

@@ -9,25 +9,28 @@ from ..functions import text
 from ..operators import pairs
 from ..sources.tables import AS_OF, relation
 from .registry import query
-from .textual import SQL_GRAMS, SQL_JACCARD
+from .textual import SQL_JACCARD, sql_grams
 
 RULES = [("thing", "nthe"), ("heat", "shed"), ("license", "token")]
 SQL_RULES = "(VALUES (0, 'thing', 'nthe'), (1, 'heat', 'shed'), (2, 'license', 'token')) r(rule, p, n)"
-CONFLICTS = f"""SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, min(rule) AS rule FROM facts a JOIN {SQL_RULES} ON contains(a.fact_value, p) JOIN facts b ON b.category = a.category AND b.id <> a.id AND contains(b.fact_value, n) GROUP BY 1, 2"""
+#: A row for each fact and fact in conflict with it, with the least rule.
+CONFLICTS = f"""SELECT f.id, f.o, min(f.rule) AS rule FROM (SELECT a.id, b.id AS o, rule FROM facts a JOIN {SQL_RULES} ON contains(a.fact_value, p) JOIN facts b ON b.category = a.category AND b.id <> a.id AND contains(b.fact_value, n)
+ UNION ALL SELECT b.id, a.id, rule FROM facts a JOIN {SQL_RULES} ON contains(a.fact_value, p) JOIN facts b ON b.category = a.category AND b.id <> a.id AND contains(b.fact_value, n)) f GROUP BY 1, 2"""
 
 
-@query(CONFLICTS, "facts")
+@query(f"SELECT id, count(*) AS conflicts, min(rule) AS rule FROM ({CONFLICTS}) c GROUP BY id", "facts")
 def i1_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.conflicts(relation(spark, folder, "facts"), RULES, "category", "fact_value")
+    """With how many facts of its category each fact is in conflict, and by which rule first."""
+    return pairs.conflict_counts(*pairs.conflicts(relation(spark, folder, "facts"), RULES, "category", "fact_value"))
 
 
 @query(
-    f"SELECT id, round(trust_score * pow(0.5E0, coalesce(k, 0)), 9) AS penalised FROM facts LEFT JOIN (SELECT id, count(*) AS k FROM (SELECT a AS id FROM ({CONFLICTS}) x UNION ALL SELECT b FROM ({CONFLICTS}) y) z GROUP BY id) c USING (id)",
+    f"SELECT id, round(trust_score * pow(0.5E0, coalesce(k, 0)), 9) AS penalised FROM facts LEFT JOIN (SELECT id, count(*) AS k FROM ({CONFLICTS}) x GROUP BY id) c USING (id)",
     "facts",
 )
 def i2_penalty(spark: SparkSession, folder: str) -> DataFrame:
     facts = relation(spark, folder, "facts")
-    found = pairs.conflicts(facts, RULES, "category", "fact_value")
+    found = pairs.conflict_counts(*pairs.conflicts(facts, RULES, "category", "fact_value"))
     return pairs.penalise(facts.select("id", F.col("trust_score").alias("salience")), found).select("id", F.round("penalised", 9).alias("penalised"))
 
 
@@ -44,7 +47,7 @@ def i4_contradictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH r AS (SELECT category, id, rn, {SQL_GRAMS.format('fact_value', 2)} AS g FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY recorded_s DESC, id DESC) AS rn FROM facts) x WHERE rn <= 100),
+    f"""WITH r AS (SELECT category, id, rn, {sql_grams('fact_value', 2)} AS g FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY recorded_s DESC, id DESC) AS rn FROM facts) x WHERE rn <= 100),
  p AS (SELECT a.category, a.id, {SQL_JACCARD.format('a.g', 'b.g')} AS s, b.rn, b.id AS m FROM r a JOIN r b ON a.category = b.category AND b.rn < a.rn)
  SELECT category, id, arg_max(m, (s, -rn)) AS match_id, round(max(s), 6) AS similarity FROM p GROUP BY category, id HAVING max(s) >= 0.25E0""",
     "facts",
@@ -63,8 +66,14 @@ def i6_crystallise(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "SELECT lane, count(*) AS memories, round(avg(salience), 6) AS mean FROM salience GROUP BY lane HAVING count(*) >= 3", "salience"
+    """SELECT category, count(*) AS memories, sha256(array_to_string(list_slice(list(content ORDER BY memory_id), 1, 5), chr(10))) AS examples FROM (SELECT id AS memory_id, coalesce(CASE WHEN id % 3 = 0 THEN category END, CASE WHEN id % 3 = 1 THEN profile END, 'general') AS category, fact_value AS content FROM facts) t
+ GROUP BY category HAVING count(*) >= 3""",
+    "facts",
 )
 def i9_instincts(spark: SparkSession, folder: str) -> DataFrame:
-    grouped = relation(spark, folder, "salience").groupBy("lane").agg(F.count("*").alias("memories"), F.round(F.avg("salience"), 6).alias("mean"))
-    return grouped.where("memories >= 3")
+    """What memories of one kind have in common, by category, else source, with their first contents."""
+    i = F.col("id")
+    rows = relation(spark, folder, "facts").select(i.alias("memory_id"), F.when(i % 3 == 0, F.col("category")).alias("category"), F.when(i % 3 == 1, F.col("profile")).alias("source"), F.col("fact_value").alias("content"))
+    return pairs.instincts(rows)[0].select("category", "memories", F.sha2(F.array_join("examples", "\n"), 256).alias("examples"))
+
+

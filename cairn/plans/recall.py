@@ -9,7 +9,7 @@ from ..functions import scores, text
 from ..operators import recall
 from ..sources.tables import AS_OF, DAY, relation, table
 from .registry import query
-from .textual import SQL_GRAMS, SQL_JACCARD, SQL_WORDS
+from .textual import SQL_JACCARD, SQL_WORDS, sql_grams
 
 SQL_COSINE = "list_sum(list_transform(range(1, CAST(len(a) AS BIGINT) + 1), lambda i: a[i] * b[i]))"
 SQL_TIER = f"""(CASE memory_tier WHEN 'procedural' THEN 1E0 WHEN 'semantic' THEN 0.85E0 ELSE 0.7E0 END) * (CASE memory_tier WHEN 'procedural' THEN 1E0
@@ -19,11 +19,11 @@ SQL_TIER = f"""(CASE memory_tier WHEN 'procedural' THEN 1E0 WHEN 'semantic' THEN
 @query(
     f"""SELECT qid, vec_id, round(score, 6) AS score, rn FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rn FROM
  (SELECT qid, vec_id, {SQL_COSINE} / (sqrt({SQL_COSINE.replace('b[', 'a[')}) * sqrt({SQL_COSINE.replace('a[i] *', 'b[i] *')})) AS score FROM (SELECT q.vec_id AS qid, e.vec_id, CAST(e.embedding AS DOUBLE[]) AS a, CAST(q.embedding AS DOUBLE[]) AS b
- FROM embeddings e JOIN embeddings q ON q.vec_id < 5 AND e.vec_id <> q.vec_id) p) s) t WHERE rn <= 30"""
+ FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) p) s) t WHERE rn <= 30"""
 )
 def d1_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    queries = vectors.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     return recall.vector_topk(vectors, queries, 30).select("qid", "vec_id", F.round("score", 6).alias("score"), "rn")
 
 
@@ -33,7 +33,7 @@ def d2_keyword_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH grams AS (SELECT unnest({SQL_GRAMS.format("'therein inand'", 3)}) AS gram),
+    f"""WITH grams AS (SELECT unnest({sql_grams("'therein inand'", 3)}) AS gram),
  docs AS (SELECT session_id * 1000 + turn AS id, lower(content) AS low, greatest(length(content) - 2, 0) AS length FROM turns), stats AS (SELECT count(*) AS n, avg(length) AS mean FROM docs),
  post AS (SELECT id, length, gram, (length(low) - length(replace(low, gram, ''))) / 3E0 AS tf FROM docs, grams WHERE contains(low, gram)), df AS (SELECT gram, count(*) AS df FROM post GROUP BY gram)
  SELECT id, round(score, 6) AS score FROM (SELECT id, sum(ln(1 + (n - df + 0.5E0) / (df + 0.5E0)) * tf * 2.2E0 / (tf + 1.2E0 * (0.25E0 + 0.75E0 * length / mean))) AS score FROM post JOIN df USING (gram), stats GROUP BY id) s
@@ -73,7 +73,7 @@ def d8_ladder(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH top AS (SELECT id, fact_value, {SQL_TIER} AS s FROM facts WHERE archived = 0 ORDER BY 3 DESC, id LIMIT 100), placed AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS place,
- list_distinct(list_concat({SQL_GRAMS.format('lower(trim(fact_value))', 2)}, {SQL_WORDS.format('trim(fact_value)')})) AS a, list_distinct(list_concat({SQL_GRAMS.format("'the thin and'", 2)}, {SQL_WORDS.format("'the thin and'")})) AS b FROM top)
+ list_distinct(list_concat({sql_grams('lower(trim(fact_value))', 2)}, {SQL_WORDS.format('trim(fact_value)')})) AS a, list_distinct(list_concat({sql_grams("'the thin and'", 2)}, {SQL_WORDS.format("'the thin and'")})) AS b FROM top)
  SELECT id, place, round(CASE WHEN place <= 60 THEN 0.6E0 * ({SQL_JACCARD.format('a', 'b')}) + 0.4E0 * s ELSE s END, 6) AS reranked FROM placed""",
     "facts",
 )
@@ -96,7 +96,7 @@ def d10_five_signals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH top AS (SELECT id, fact_value, trust_score FROM facts WHERE category = 'src2' ORDER BY trust_score DESC, id LIMIT 60), s AS (SELECT id, 0.6E0 * ({SQL_JACCARD.format('a', 'b')}) + 0.4E0 * least(greatest(trust_score, 0E0), 1E0) AS combined FROM
- (SELECT *, list_distinct(list_concat({SQL_GRAMS.format('lower(trim(fact_value))', 2)}, {SQL_WORDS.format('trim(fact_value)')})) AS a, list_distinct(list_concat({SQL_GRAMS.format("'that the thin and on'", 2)}, {SQL_WORDS.format("'that the thin and on'")})) AS b FROM top) t)
+ (SELECT *, list_distinct(list_concat({sql_grams('lower(trim(fact_value))', 2)}, {SQL_WORDS.format('trim(fact_value)')})) AS a, list_distinct(list_concat({sql_grams("'that the thin and on'", 2)}, {SQL_WORDS.format("'that the thin and on'")})) AS b FROM top) t)
  SELECT id, round(combined, 6) AS combined, row_number() OVER (ORDER BY round(combined, 9) DESC, id) <= 8 AND combined >= 0.4E0 AS ignited FROM s""",
     "facts",
 )
@@ -115,12 +115,14 @@ def d14_dedup_by_head(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """SELECT category, count(*) AS lines, CAST(max(used) AS BIGINT) AS used FROM (SELECT category, sum(length(fact_key) + length(fact_value) + 5) OVER (PARTITION BY category ORDER BY trust_score DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM facts) t
- WHERE used <= 4000 GROUP BY category""",
+ WHERE used <= 40000 GROUP BY category""",
     "facts",
 )
 def d18_budget(spark: SparkSession, folder: str) -> DataFrame:
-    facts = relation(spark, folder, "facts").withColumn("line", F.concat(F.lit("- "), "fact_key", F.lit(": "), "fact_value"))
-    kept = recall.within_budget(facts, "line", [F.desc("trust_score"), "id"], 4_000, ["category"])
+    """Lines of facts until the budget; only their lengths are put in order."""
+    length = F.length(F.concat(F.lit("- "), "fact_key", F.lit(": "), "fact_value"))
+    facts = relation(spark, folder, "facts").select("id", "category", "trust_score", length.alias("n"))
+    kept = recall.within_budget(facts, F.col("n"), [F.desc("trust_score"), "id"], 40_000, ["category"])
     return kept.groupBy("category").agg(F.count("*").alias("lines"), F.max("used").alias("used"))
 
 

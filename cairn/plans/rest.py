@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import lifecycle, pairs
+from ..operators import graph, lifecycle, pairs, recall
 from ..sources.tables import AS_OF, DAY, relation, table
-from .lifecycle import HEAT, HEAT_AS_OF, heat
+from .lifecycle import HEAT, HEAT_AS_OF, SQL_LANES, heat
 from .registry import query
-from .textual import SQL_GRAMS, SQL_JACCARD, SQL_WORDS
+from .textual import SQL_JACCARD, SQL_WORDS, sql_grams
 
 
 @query("SELECT id FROM facts WHERE coalesce(agent_id = 'agent_b' OR category = 'agent_b', false) AND archived = 0", "facts")
@@ -27,17 +27,25 @@ def b7_trace_window(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").select("id", t.alias("t")).where((F.col("t") >= "2024-03") & (F.col("t") <= "2024-09"))
 
 
+SQL_DATES = "list_transform(list_zip(regexp_extract_all(v, '{d}', 1), regexp_extract_all(v, '{d}', 2), regexp_extract_all(v, '{d}', 3)), lambda z: TRY_CAST(concat(z[1], '-', lpad(z[2], 2, '0'), '-', lpad(CASE WHEN coalesce(z[3], '') = '' THEN '1' ELSE z[3] END, 2, '0')) AS DATE))".format(d=text.DATE)
+
+
 @query(
-    """SELECT id, d[1] AS valid_from, d[len(d)] AS valid_to FROM (SELECT id, regexp_extract_all(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS d FROM
- (SELECT id, CASE WHEN id % 3 = 0 THEN concat('effective 2024-02-', lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0'), ' expires 2025-03-04') ELSE concat('expires 2025-01-', lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0')) END AS v FROM facts) a) t""",
+    f"""SELECT id, CAST(CASE WHEN since AND (until IS NULL OR d[1] <> until) THEN d[1] END AS VARCHAR) AS valid_from, CAST(until AS VARCHAR) AS valid_to FROM (SELECT id, d, regexp_matches(lower(v), '{"|".join(text.SINCE_WORDS)}') AS since,
+ CASE WHEN regexp_matches(lower(v), '{"|".join(text.UNTIL_WORDS)}') THEN list_filter(d, lambda x: x IS NOT NULL)[-1] END AS until FROM (SELECT id, v, {SQL_DATES} AS d FROM
+ (SELECT id, concat(CASE id % 4 WHEN 0 THEN concat('effective 2024-02-', CAST(id % 31 + 1 AS VARCHAR), ' ') WHEN 1 THEN '自2024年3月起 ' ELSE '' END, fact_value, CASE id % 3 WHEN 0 THEN ' expires 2025.3.4' WHEN 1 THEN ' 2025-13-40' ELSE concat(' 有效期至2025/0', CAST(id % 9 + 1 AS VARCHAR)) END) AS v FROM facts) a) b) c
+ WHERE until IS NOT NULL OR since""",
     "facts",
 )
 def b14_validity(spark: SparkSession, folder: str) -> DataFrame:
-    """The first and the last date that a text names."""
-    day = F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")
-    v = F.when(F.col("id") % 3 == 0, F.concat(F.lit("effective 2024-02-"), day, F.lit(" expires 2025-03-04"))).otherwise(F.concat(F.lit("expires 2025-01-"), day))
-    dates = F.regexp_extract_all(v, F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.lit(0))
-    return relation(spark, folder, "facts").select("id", F.element_at(dates, 1).alias("valid_from"), F.element_at(dates, -1).alias("valid_to"))
+    """When facts say that they hold, among whole values with dates written around them."""
+    i = F.col("id")
+    before = F.when(i % 4 == 0, F.concat(F.lit("effective 2024-02-"), (i % 31 + 1).cast("string"), F.lit(" "))).when(i % 4 == 1, "自2024年3月起 ").otherwise("")
+    after = F.when(i % 3 == 0, " expires 2025.3.4").when(i % 3 == 1, " 2025-13-40").otherwise(F.concat(F.lit(" 有效期至2025/0"), (i % 9 + 1).cast("string")))
+    rows = relation(spark, folder, "facts").select("id", F.concat(before, "fact_value", after).alias("v"))
+    found = rows.select("id", "v", text.validity(F.col("v")).alias("x"))
+    held = F.col("x.valid_to").isNotNull() | F.lower("v").rlike("|".join(text.SINCE_WORDS))
+    return found.where(held).select("id", F.col("x.valid_from").cast("string").alias("valid_from"), F.col("x.valid_to").cast("string").alias("valid_to"))
 
 
 @query("SELECT session_id, turn, regexp_matches(lower(content), 'who|when|where|what|which|license') AS seeks FROM turns", "turns")
@@ -56,31 +64,32 @@ def b23_unverified(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").where("memory_tier = 'procedural'").select("id", (F.col("recorded_s") < AS_OF - 30 * DAY).alias("unverified"))
 
 
-@query(f"SELECT id, CAST(len(list_distinct(list_concat({SQL_GRAMS.format('v', 2)}, {SQL_WORDS.format('v')}))) AS BIGINT) AS tokens FROM (SELECT id, lower(trim(fact_value)) AS v FROM facts) t", "facts")
+@query(f"SELECT id, CAST(len(list_distinct(list_concat({sql_grams('v', 2)}, {SQL_WORDS.format('v')}))) AS BIGINT) AS tokens FROM (SELECT id, lower(trim(fact_value)) AS v FROM facts) t", "facts")
 def c2_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").select("id", F.size(text.gram_words(F.col("fact_value"))).cast("long").alias("tokens"))
 
 
-@query("SELECT id, len(list_filter(regexp_extract_all(lower(substring(fact_value, 1, 20)), '[a-z0-9_]+'), lambda t: length(t) < 3)) = 0 AS authoritative FROM facts", "facts")
+@query("SELECT p_partkey, len(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9_]+'), lambda t: length(t) < 3)) = 0 AS authoritative FROM part")
 def c9_authoritative(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether all of a query's terms are long enough for an empty answer from the index to be final."""
-    terms = text.matches(F.lower(F.substring("fact_value", 1, 20)), "[a-z0-9_]+")
-    return relation(spark, folder, "facts").select("id", F.forall(terms, lambda t: F.length(t) >= 3).alias("authoritative"))
+    """Whether all of a query's terms, here a part's name, are long enough for an empty answer from the index to be final."""
+    terms = text.matches(F.lower("p_name"), "[a-z0-9_]+")
+    return table(spark, folder, "part").select("p_partkey", F.forall(terms, lambda t: F.length(t) >= 3).alias("authoritative"))
 
 
-@query("SELECT session_id, turn, CAST(len(list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda t: length(t) >= 2))) AS BIGINT) AS terms FROM turns", "turns")
+@query(
+    """SELECT session_id, turn, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 32), ' ') AS terms FROM
+ (SELECT session_id, turn, list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda t: length(t) >= 2) AS l FROM turns) t""",
+    "turns",
+)
 def c10_gate_terms(spark: SparkSession, folder: str) -> DataFrame:
-    terms = F.filter(text.matches(F.lower("content"), "[a-z0-9_]+"), lambda t: F.length(t) >= 2)
-    return relation(spark, folder, "turns").select("session_id", "turn", F.size(terms).cast("long").alias("terms"))
+    return relation(spark, folder, "turns").select("session_id", "turn", F.array_join(text.gate_terms(F.col("content")), " ").alias("terms"))
 
 
 @query(
     "SELECT id, round(least(1E0, 0.8E0 * n / 4E0 + least(n / 10E0, 0.2E0)), 6) AS score FROM (SELECT id, len(list_filter(['the', 'and', 'license', 'of'], lambda t: list_contains(regexp_extract_all(lower(fact_value), '[a-z0-9]+'), t))) AS n FROM facts) t", "facts"
 )
 def c13_persona_score(spark: SparkSession, folder: str) -> DataFrame:
-    terms = F.array(*map(F.lit, ("the", "and", "license", "of")))
-    n = F.size(F.array_intersect(terms, text.matches(F.lower("fact_value"), "[a-z0-9]+")))
-    return relation(spark, folder, "facts").select("id", F.round(F.least(F.lit(1.0), 0.8 * n / 4 + F.least(n / 10, F.lit(0.2))), 6).alias("score"))
+    return relation(spark, folder, "facts").select("id", F.round(text.persona_score(F.lit("the and license of"), F.col("fact_value")), 6).alias("score"))
 
 
 @query("""SELECT page_id, CAST(len(n) AS BIGINT) AS names FROM (SELECT page_id, list_distinct(list_transform(regexp_extract_all(html, '"([A-Za-z ]{3,30})"', 1), lambda x: lower(x))) AS n FROM pages) t""")
@@ -95,10 +104,15 @@ def c19_regexp(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").select("id", F.coalesce(F.col("fact_value").rlike("(?i)^the|nd of "), F.lit(False)).alias("found"))
 
 
-@query("SELECT event_id, epoch(TRY_CAST(concat(strftime(ts, '%Y-%m-%d'), CASE WHEN event_id % 5 = 0 THEN ' bad' ELSE '' END) AS TIMESTAMP)) IS NULL AS missing FROM events")
+@query(
+    "SELECT id, coalesce(epoch(TRY_CAST(a AS TIMESTAMP)), epoch(TRY_CAST(b AS TIMESTAMP)), epoch(TRY_CAST(c AS TIMESTAMP)), 0)::BIGINT AS at_s FROM (SELECT id, CASE WHEN id % 2 = 0 THEN '2024-01-02 bad' END AS a, CASE WHEN id % 3 = 0 THEN '2024-02-03 04:05:06' END AS b, CASE WHEN id % 5 = 0 THEN '2024-06-07' END AS c FROM facts) t",
+    "facts",
+)
 def c20_first_time(spark: SparkSession, folder: str) -> DataFrame:
-    raw = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.when(F.col("event_id") % 5 == 0, " bad").otherwise(""))
-    return table(spark, folder, "events").select("event_id", F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")).isNull().alias("missing"))
+    """The first of several keys that can be read as a time; 0 without one."""
+    i = F.col("id")
+    keys = [F.when(i % 2 == 0, "2024-01-02 bad"), F.when(i % 3 == 0, "2024-02-03 04:05:06"), F.when(i % 5 == 0, "2024-06-07")]
+    return relation(spark, folder, "facts").select("id", text.first_time(*keys).alias("at_s"))
 
 
 @query(
@@ -114,22 +128,40 @@ def d25_report(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, F.col("a.category") == F.col("b.category")).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.round(same, 3).alias("similarity"))
 
 
-@query("SELECT src, dst, replaces FROM (SELECT a.id AS src, b.id AS dst, a.recorded_s > b.recorded_s AS replaces FROM facts a JOIN facts b ON a.category = b.category AND a.id <> b.id AND substring(a.fact_value, 1, 12) = substring(b.fact_value, 1, 12)) t", "facts")
+SQL_COS = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
+SQL_SOME = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT a.vec_id AS new_id, b.vec_id AS old_id, {SQL_COS.format('a.e', 'b.e')} / (sqrt({SQL_COS.format('a.e', 'a.e')}) * sqrt({SQL_COS.format('b.e', 'b.e')})) AS s
+ FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY s DESC, old_id) AS rn FROM q) x WHERE rn <= 5),
+ p AS (SELECT old_id, new_id, o.text AS old_text, n.text AS new_text FROM k JOIN documents o ON o.doc_id = old_id JOIN documents n ON n.doc_id = new_id WHERE o.text <> ''),
+ g AS (SELECT *, {sql_grams('lower(trim(old_text))', 2)} AS og, {sql_grams('lower(trim(new_text))', 2)} AS ng, {SQL_WORDS.format('trim(old_text)')} AS ow, {SQL_WORDS.format('trim(new_text)')} AS nw FROM p),
+ j AS (SELECT *, {SQL_JACCARD.format('list_distinct(list_concat(og, ow))', 'list_distinct(list_concat(ng, nw))')} AS similarity FROM g)
+ SELECT old_id, new_id, CASE WHEN {SQL_SOME('new_text', pairs.REPLACES)} OR ({SQL_SOME('lower(old_text)', pairs.FOR)} AND {SQL_SOME('lower(new_text)', pairs.AGAINST)}) OR ({SQL_SOME('lower(old_text)', pairs.AGAINST)} AND {SQL_SOME('lower(new_text)', pairs.FOR)})
+ THEN 'replaces' ELSE 'enriches' END AS relation, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.12E0""",
+)
 def e16_evolution_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts that begin alike: the later replaces the earlier, else enriches it."""
-    f = relation(spark, folder, "facts").select("id", "category", "recorded_s", F.substring("fact_value", 1, 12).alias("head"))
-    a, b = f.alias("a"), f.alias("b")
-    met = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.id") != F.col("b.id")))
-    return met.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), (F.col("a.recorded_s") > F.col("b.recorded_s")).alias("replaces"))
+    """How documents of an id divisible by 50 change their five nearest ones, by the vectors of the same id."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    near = recall.vector_topk(vectors, queries, 5).select(F.col("qid").alias("new_id"), F.col("vec_id").alias("old_id"))
+    text_of = lambda side: table(spark, folder, "documents").select(F.col("doc_id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text"))
+    found = pairs.evolution(near.join(text_of("new"), "new_id").join(text_of("old"), "old_id"))
+    return found.select("old_id", "new_id", "relation", F.round("similarity", 6).alias("similarity"))
 
 
-@query("SELECT child, coalesce(p.n_regionkey, -1) AS parent, 2 AS depth FROM (SELECT n_name AS child, n_nationkey FROM nation) c LEFT JOIN nation p USING (n_nationkey)")
+@query(
+    """SELECT path, depth, label FROM (SELECT r_name AS path, 0 AS depth, CASE WHEN r_name = 'ASIA' THEN 'renamed' ELSE 'root' END AS label FROM region
+ UNION ALL SELECT concat(r_name, '/', n_name), 1, 'nation' FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT concat('LOST/x/', n_name), 0, 'far' FROM nation WHERE n_nationkey % 5 = 0) t"""
+)
 def e11_add_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """New nodes under the parents that their keys name, one level below."""
-    nation = table(spark, folder, "nation")
-    new = nation.select(F.col("n_name").alias("child"), "n_nationkey")
-    parents = nation.select("n_nationkey", F.col("n_regionkey").alias("parent"))
-    return new.join(parents, "n_nationkey", "left").select("child", F.coalesce("parent", F.lit(-1)).alias("parent"), F.lit(2).alias("depth"))
+    """Nations below their regions; a region that gets a new label; nodes below a parent that is nowhere are roots."""
+    regions, nations = table(spark, folder, "region"), table(spark, folder, "nation")
+    tree = regions.select(F.col("r_name").alias("path"), F.lit(0).alias("depth"), F.lit("root").alias("label"))
+    below = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("/", "r_name", "n_name").alias("path"), F.lit("nation").alias("label"))
+    far = nations.where("n_nationkey % 5 = 0").select(F.concat(F.lit("LOST/x/"), "n_name").alias("path"), F.lit("far").alias("label"))
+    return graph.add_nodes(tree, below.unionByName(far).unionByName(spark.sql("SELECT 'ASIA' AS path, 'renamed' AS label")))
 
 
 @query("SELECT id, category FROM facts WHERE id % 4 = 1 ORDER BY id DESC LIMIT 500", "facts")
@@ -137,18 +169,45 @@ def f11_list_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").where("id % 4 = 1").orderBy(F.desc("id")).limit(500).select("id", "category")
 
 
-@query("SELECT user_id AS agent_id, coalesce(nullif(arg_max(role, (session_id, turn)), ''), 'user') AS role, max(ts_s) AS last_seen_s FROM turns GROUP BY user_id", "turns")
+@query(
+    """WITH s AS (SELECT user_id AS agent_id, session_id * 1000 + turn AS seq, CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS role, ts_s, CASE WHEN session_id % 4 = 0 THEN 'deactivate' ELSE 'heartbeat' END AS event FROM turns),
+ l AS (SELECT agent_id, arg_max(role, seq) FILTER (WHERE role <> '') AS r, max(ts_s) AS t, arg_max(event, seq) AS e FROM s GROUP BY agent_id),
+ a AS (SELECT 'u1' AS agent_id, 'planner' AS role, 4000000000 AS last_seen_s, 1 AS active UNION ALL SELECT 'quiet', 'critic', 5, 1)
+ SELECT coalesce(a.agent_id, l.agent_id) AS agent_id, coalesce(r, role) AS role, CAST(greatest(coalesce(last_seen_s, 0), coalesce(t, 0)) AS BIGINT) AS last_seen_s, CASE WHEN e IS NULL THEN active WHEN e = 'deactivate' THEN 0 ELSE 1 END AS active FROM a FULL JOIN l ON a.agent_id = l.agent_id""",
+    "turns",
+)
 def f15_heartbeat(spark: SparkSession, folder: str) -> DataFrame:
-    """An agent's latest state; an empty value leaves the old one."""
-    latest = F.max_by("role", F.struct("session_id", "turn"))
-    return relation(spark, folder, "turns").groupBy(F.col("user_id").alias("agent_id")).agg(F.coalesce(F.nullif(latest, F.lit("")), F.lit("user")).alias("role"), F.max("ts_s").alias("last_seen_s"))
+    """Agents after what they sent: an empty role leaves the old one, and the last event tells whether they are active."""
+    turns = relation(spark, folder, "turns")
+    seen = turns.select(F.col("user_id").alias("agent_id"), (F.col("session_id") * 1000 + F.col("turn")).alias("seq"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role")).alias("role"), "ts_s", F.when(F.col("session_id") % 4 == 0, "deactivate").otherwise("heartbeat").alias("event"))
+    agents = spark.sql("SELECT * FROM VALUES ('u1', 'planner', 4000000000L, 1), ('quiet', 'critic', 5L, 1) t(agent_id, role, last_seen_s, active)")
+    return lifecycle.touch_agents(agents, seen)
 
 
-@query("SELECT category, max(recorded_s) AS version, count(*) AS items FROM facts WHERE coalesce(agent_id, '') <> '' GROUP BY category", "facts")
+SQL_BANKS = """WITH o AS (SELECT 'src0' AS bank, 1 AS version, CAST(9 AS BIGINT) AS items, 'superseded' AS state UNION ALL SELECT 'src0', 2, 9, 'ready' UNION ALL SELECT 'kept', 1, 4, 'ready'),
+ n AS (SELECT category AS bank, least(count(*), 40) AS items FROM facts WHERE agent_id IS NOT NULL GROUP BY category),
+ b AS (SELECT bank, version, items, CASE WHEN state = 'ready' AND bank IN (SELECT bank FROM n) THEN 'superseded' ELSE state END AS state FROM o
+ UNION ALL SELECT bank, CAST(coalesce((SELECT max(version) FROM o WHERE o.bank = n.bank), 0) + 1 AS INT), items, 'ready' FROM n)"""
+
+
+def banks(spark: SparkSession, folder: str) -> DataFrame:
+    old = spark.sql("SELECT * FROM VALUES ('src0', 1, 9L, 'superseded'), ('src0', 2, 9L, 'ready'), ('kept', 1, 4L, 'ready') t(bank, version, items, state)")
+    refs = F.when(F.col("agent_id").isNotNull(), F.array("agent_id"))
+    items = relation(spark, folder, "facts").select(F.col("category").alias("bank"), F.col("id").alias("item_id"), F.col("fact_value").alias("content"), refs.alias("refs"))
+    return lifecycle.build_banks(items, old, 40)[0]
+
+
+@query(f"{SQL_BANKS} SELECT bank, version, CAST(items AS BIGINT) AS items, state FROM b", "facts")
 def f18_banks(spark: SparkSession, folder: str) -> DataFrame:
-    """A bank's latest version, of grounded items only."""
-    grounded = relation(spark, folder, "facts").where(F.coalesce("agent_id", F.lit("")) != "")
-    return grounded.groupBy("category").agg(F.max("recorded_s").alias("version"), F.count("*").alias("items"))
+    """New bank versions of grounded items; what was ready before is superseded."""
+    return banks(spark, folder)
+
+
+@query(f"{SQL_BANKS} SELECT bank, version, CASE WHEN bank <> 'src0' THEN state WHEN version = 2 THEN 'ready' WHEN state = 'ready' THEN 'superseded' ELSE state END AS state FROM b", "facts")
+def f18_roll_back(spark: SparkSession, folder: str) -> DataFrame:
+    """One bank back at its second version, and one asked for a version that it never had."""
+    wanted = spark.sql("SELECT * FROM VALUES ('src0', 2), ('kept', 7) t(bank, version)")
+    return lifecycle.roll_back_banks(banks(spark, folder), wanted).select("bank", "version", "state")
 
 
 @query("SELECT n.id FROM facts n WHERE n.id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM facts o WHERE o.id % 2 = 0 AND o.profile = n.profile AND o.fact_value = n.fact_value)", "facts")
@@ -164,10 +223,10 @@ def g1_register(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", F.lit(0.5).alias("salience"), F.lit(0).cast("long").alias("access_count"), F.substring("fact_value", 1, 200).alias("preview"))
 
 
-@query("SELECT concat('u', CAST(u AS VARCHAR), ':view') AS memory_id, coalesce(s.salience, 0.5E0) AS salience FROM range(1, 400) r(u) LEFT JOIN salience s ON s.memory_id = concat('u', CAST(u AS VARCHAR), ':view')", "salience")
+@query("SELECT concat('u', CAST(c_custkey AS VARCHAR), ':', k) AS memory_id, coalesce(s.salience, 0.5E0) AS salience FROM customer CROSS JOIN (VALUES ('view'), ('click')) v(k) LEFT JOIN salience s ON s.memory_id = concat('u', CAST(c_custkey AS VARCHAR), ':', k)", "salience")
 def g4_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Heat of a batch of memories; unknown ones have the default."""
-    wanted = spark.range(1, 400).select(F.concat(F.lit("u"), "id", F.lit(":view")).alias("memory_id"))
+    """Heat of a batch of memories, two for each customer; unknown ones have the default."""
+    wanted = table(spark, folder, "customer").select(F.explode(F.array(*[F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit(f":{k}")) for k in ("view", "click")])).alias("memory_id"))
     return wanted.join(relation(spark, folder, "salience").select("memory_id", "salience"), "memory_id", "left").select("memory_id", F.coalesce("salience", F.lit(0.5)).alias("salience"))
 
 
@@ -177,12 +236,16 @@ def g8_fact_feedback(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").select("id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("trust_score") + step)), 9).alias("trust"))
 
 
-@query(f"SELECT memory_id, CASE WHEN last_s >= {HEAT_AS_OF} - 12 * 86400 THEN 1E0 ELSE round(least(1E0, salience + 0.05E0), 6) END AS salience, CASE WHEN last_s >= {HEAT_AS_OF} - 12 * 86400 THEN 'lesson' ELSE 'knowledge' END AS lane FROM {HEAT} WHERE lane = 'lesson'", "salience")
+@query(
+    f"""SELECT memory_id, CASE WHEN logged THEN 1E0 ELSE round(least(1E0, salience + 0.05E0), 6) END AS salience, CASE WHEN logged THEN 'lesson' ELSE 'knowledge' END AS lane FROM
+ (SELECT h.*, split_part(memory_id, ':', 1) IN (SELECT concat('u', CAST(user_id AS VARCHAR)) FROM events WHERE event_type = 'error' AND value > 60) AS logged FROM {HEAT} WHERE lane = 'lesson') t""",
+    "salience",
+)
 def g21_lessons(spark: SparkSession, folder: str) -> DataFrame:
-    """Lessons whose error still occurs stay hot; others become knowledge."""
-    open_ = F.col("last_s") >= HEAT_AS_OF - 12 * DAY
-    rows = heat(spark, folder).where("lane = 'lesson'")
-    return rows.select("memory_id", F.when(open_, 1.0).otherwise(F.round(F.least(F.lit(1.0), F.col("salience") + 0.05), 6)).alias("salience"), F.when(open_, "lesson").otherwise("knowledge").alias("lane"))
+    """Lessons whose keyword, here the user, is still in the error log stay hot; others become knowledge."""
+    rows = heat(spark, folder).withColumn("keyword", F.substring_index("memory_id", ":", 1))
+    log = table(spark, folder, "events").where("event_type = 'error' AND value > 60").select(F.concat(F.lit("U"), "user_id").alias("keyword"))
+    return lifecycle.verify_lessons(rows, log).select("memory_id", F.round("salience", 6).alias("salience"), "lane")
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM conversations) AS turns, (SELECT count(*) FROM events) AS events")
@@ -193,27 +256,49 @@ def h18_health(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in names])
 
 
-@query("SELECT category, a, b FROM (SELECT l.category, least(l.id, r.id) AS a, greatest(l.id, r.id) AS b FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY recorded_s DESC, id DESC) AS rn FROM facts) l JOIN (SELECT *, row_number() OVER (PARTITION BY category ORDER BY recorded_s DESC, id DESC) AS rn FROM facts) r ON l.category = r.category AND l.rn <= 50 AND r.rn <= 50 AND l.id <> r.id WHERE contains(l.fact_value, 'heat') AND contains(r.fact_value, 'shed')) t GROUP BY ALL", "facts")
+@query(
+    """WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY recorded_s DESC, id DESC) AS rn FROM facts) x WHERE rn <= 50)
+ SELECT a.category, a.id, count(*) AS conflicts FROM r a JOIN r b ON a.category = b.category AND a.id <> b.id AND ((contains(a.fact_value, 'heat') AND contains(b.fact_value, 'shed')) OR (contains(a.fact_value, 'shed') AND contains(b.fact_value, 'heat'))
+ OR (contains(a.fact_value, 'license') AND contains(b.fact_value, 'token')) OR (contains(a.fact_value, 'token') AND contains(b.fact_value, 'license'))) GROUP BY a.category, a.id""",
+    "facts",
+)
 def i3_trigger_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Contradictions by trigger words, among each category's latest facts."""
+    """Contradictions by trigger words, among each category's latest facts: with how many each fact is in one."""
     latest = pairs.latest_of(relation(spark, folder, "facts"), "category", [F.desc("recorded_s"), F.desc("id")], 50)
-    met = pairs.conflicts(latest, [("heat", "shed")], "category", "fact_value").select("a", "b")
-    return met.join(latest.select(F.col("id").alias("a"), "category"), "a").select("category", "a", "b")
+    found = pairs.conflict_counts(*pairs.conflicts(latest, [("heat", "shed"), ("license", "token")], "category", "fact_value"))
+    return found.join(latest.select("id", "category"), "id").select("category", "id", "conflicts")
 
 
-@query("SELECT category, count(*) AS uses, round(avg(trust_score), 6) AS rate, count(*) >= 3 AND avg(trust_score) < 0.34E0 AS pruned FROM facts WHERE id % 3 = 0 GROUP BY category", "facts")
+@query(
+    """WITH c AS (SELECT p_partkey AS crystal_id, CASE p_size % 3 WHEN 0 THEN 'candidate' ELSE 'approved' END AS status, CAST(p_size % 2 AS BIGINT) AS uses, CAST(0 AS BIGINT) AS successes FROM part),
+ u AS (SELECT l_partkey AS crystal_id, count(*) AS n, count(*) FILTER (WHERE l_quantity > 30) AS k FROM lineitem GROUP BY 1), s AS (SELECT crystal_id, status, uses + coalesce(n, 0) AS uses, successes + coalesce(k, 0) AS successes FROM c LEFT JOIN u USING (crystal_id))
+ SELECT crystal_id, uses, successes, CASE WHEN status = 'approved' AND uses >= 3 AND successes / greatest(uses, 1) < 0.34E0 THEN 'archived' ELSE status END AS status FROM s"""
+)
 def i7_prune_crystals(spark: SparkSession, folder: str) -> DataFrame:
-    grouped = relation(spark, folder, "facts").where("id % 3 = 0").groupBy("category").agg(F.count("*").alias("uses"), F.avg("trust_score").alias("r"))
-    return grouped.select("category", "uses", F.round("r", 6).alias("rate"), ((F.col("uses") >= 3) & (F.col("r") < 0.34)).alias("pruned"))
+    """Crystals after their uses; approved ones that fail too often are archived."""
+    status = F.when(F.col("p_size") % 3 == 0, "candidate").otherwise("approved")
+    crystals = table(spark, folder, "part").select(F.col("p_partkey").alias("crystal_id"), status.alias("status"), (F.col("p_size") % 2).cast("long").alias("uses"), F.lit(0).cast("long").alias("successes"))
+    uses = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("crystal_id"), (F.col("l_quantity") > 30).alias("success"))
+    return pairs.use_crystals(crystals, uses)
 
 
-@query()
+@query(
+    f"""WITH h AS (SELECT *, split_part(memory_id, ':', 1) AS u, salience * exp(-ln(2) / 30E0 * ({SQL_LANES}) * greatest({HEAT_AS_OF} - last_s, 0) / 86400E0) AS d, greatest({HEAT_AS_OF} - last_s, 0) AS idle FROM {HEAT}),
+ k AS (SELECT a.memory_id, count(*) AS k FROM h a JOIN h b ON a.u = b.u AND a.memory_id <> b.memory_id AND ((contains(a.memory_id, 'click') AND contains(b.memory_id, 'error')) OR (contains(a.memory_id, 'error') AND contains(b.memory_id, 'click'))) GROUP BY 1),
+ l AS (SELECT memory_id, d * pow(0.5E0, coalesce(k, 0)) AS s, lane FROM h LEFT JOIN k USING (memory_id) WHERE NOT (d < 0.2E0 AND idle > 30 * 86400))
+ SELECT memory_id, round(CASE WHEN lane <> 'lesson' THEN s WHEN logged THEN 1E0 ELSE least(1E0, s + 0.05E0) END, 6) AS salience, CASE WHEN lane <> 'lesson' OR logged THEN lane ELSE 'knowledge' END AS lane FROM
+ (SELECT *, split_part(memory_id, ':', 1) IN (SELECT concat('u', CAST(user_id AS VARCHAR)) FROM events WHERE event_type = 'error' AND value > 60) AS logged FROM l) t""",
+    "salience",
+)
 def i10_consolidation(spark: SparkSession, folder: str) -> DataFrame:
-    """Decay, then the penalty of conflicts, then eviction, as one plan; each step has a query of its own."""
+    """Decay, the penalty of conflicts, eviction, and lessons looked up in the error log, as one plan; metrics, crystals and the audit are queries of their own on its result."""
     rows = lifecycle.decay_all(heat(spark, folder), HEAT_AS_OF).withColumn("user_id", F.substring_index("memory_id", ":", 1))
-    found = pairs.conflicts(rows, [("click", "error")], "user_id", "memory_id", "memory_id")
-    punished = pairs.penalise(rows.select(F.col("memory_id").alias("id"), F.col("decayed").alias("salience")), found).withColumnRenamed("id", "memory_id")
-    return rows.select("memory_id", "evicted").join(punished, "memory_id").where("NOT evicted").select("memory_id", F.round("penalised", 6).alias("salience"))
+    found = pairs.conflict_counts(*pairs.conflicts(rows, [("click", "error")], "user_id", "memory_id", "memory_id"))
+    punished = pairs.penalise(rows.where("NOT evicted").select(F.col("memory_id").alias("id"), "lane", F.col("decayed").alias("salience")), found)
+    left = punished.select(F.col("id").alias("memory_id"), F.col("penalised").alias("salience"), "lane", F.substring_index("id", ":", 1).alias("keyword"))
+    log = table(spark, folder, "events").where("event_type = 'error' AND value > 60").select(F.concat(F.lit("u"), "user_id").alias("keyword"))
+    done = left.where("lane <> 'lesson'").select("memory_id", "salience", "lane").unionByName(lifecycle.verify_lessons(left, log))
+    return done.select("memory_id", F.round("salience", 6).alias("salience"), "lane")
 
 
 @query("SELECT DISTINCT concat(user_id, '::', CAST(session_id AS VARCHAR)) AS key, CASE user_id WHEN 'u1' THEN 8E0 WHEN 'u2' THEN 20E0 ELSE 12E0 END AS idle FROM turns", "turns")

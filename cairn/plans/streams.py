@@ -18,7 +18,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def j2_coalesce(spark: SparkSession, folder: str) -> DataFrame:
-    """A stateful fold; tested against a plain loop and against its own stream."""
+    """A stateful fold; tested on its own rows against a plain loop, and against its own stream."""
     return coalesce.coalesce_batch(messages(spark, folder))
 
 
@@ -34,3 +34,15 @@ def j8_sessions(spark: SparkSession, folder: str) -> DataFrame:
 def j4_cursor(spark: SparkSession, folder: str) -> DataFrame:
     facts = relation(spark, folder, "facts").where("id > 500 AND coalesce(shared, 1) = 1 AND profile = 'default' AND coalesce(agent_id, 'local') <> 'agent_a'")
     return facts.orderBy("id").limit(200).select("id", "agent_id", "memory_tier")
+
+
+@query(
+    """WITH m AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(ts) AS t, event_id, length(props) AS size FROM events WHERE epoch(ts) <= 1704500000), o AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t, event_id) >= 36000 THEN 1 ELSE 0 END AS opens FROM m),
+ r AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM o), s AS (SELECT key, run, min(t) AS a, max(t) AS b, count(*) AS parts, CAST(sum(size) AS BIGINT) AS chars FROM r GROUP BY key, run),
+ l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run DESC) AS rn FROM s)
+ SELECT key, parts, chars, round(1704500000 - a, 3) AS age_s, round(1704500000 - b, 3) AS idle_s FROM l WHERE rn = 1 AND 1704500000 - b < 36000"""
+)
+def k18_buffer_status(spark: SparkSession, folder: str) -> DataFrame:
+    """The buffers that are open at a time."""
+    found = coalesce.buffer_status(messages(spark, folder), 1_704_500_000, 36_000)
+    return found.select("key", "parts", "chars", F.round("age_s", 3).alias("age_s"), F.round("idle_s", 3).alias("idle_s"))

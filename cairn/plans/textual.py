@@ -2,55 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..functions.grams import bigrams, multiset_similarity
+from ..operators import pairs
 from ..sources.tables import AS_OF, relation, table
 from .registry import query
 
+def sql_grams(text: str, n: int) -> str:
+    """SQL for the distinct runs of n characters of a text."""
+    chars = f"string_split({text}, '')"
+    return f"list_distinct(list_transform(list_zip({', '.join([chars, *[f'{chars}[{k}:]' for k in range(2, n + 1)]])}), lambda z: {' || '.join(f'z[{k}]' for k in range(1, n + 1))}))"
+
+
 NEXT = "(SELECT id, fact_value AS x, lead(fact_value) OVER (PARTITION BY category ORDER BY id) AS y FROM facts) n"
-SQL_GRAMS = "CASE WHEN length({0}) >= {1} THEN list_distinct(list_transform(range(1, CAST(length({0}) - {1} + 2 AS BIGINT)), lambda i: substring({0}, CAST(i AS BIGINT), {1}))) ELSE CAST([] AS VARCHAR[]) END"
 SQL_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
 SQL_JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) ELSE 0E0 END"
 
 
-def neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """Each fact's value x and that of the next fact of its category, y."""
-    y = F.lead("fact_value").over(Window.partitionBy("category").orderBy("id"))
-    return relation(spark, folder, "facts").select("id", F.col("fact_value").alias("x"), y.alias("y")).where("y IS NOT NULL")
+def neighbours(spark: SparkSession, folder: str, *sets: Column) -> DataFrame:
+    """Each fact with the columns made of its value, s0, s1, ..., and those of the next fact of its category in next."""
+    names = [f"s{k}" for k in range(len(sets))]
+    rows = relation(spark, folder, "facts").select("id", "category", *[c.alias(n) for c, n in zip(sets, names)])
+    return pairs.following(rows, ["category"], "id", names).where("next IS NOT NULL")
 
 
 @query(f"SELECT id, round({SQL_JACCARD.format('a', 'b')}, 6) AS similarity FROM (SELECT id, {SQL_WORDS.format('x')} AS a, {SQL_WORDS.format('y')} AS b FROM {NEXT} WHERE y IS NOT NULL) t", "facts")
 def c1_word_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(spark, folder).select("id", F.round(text.jaccard(text.words(F.col("x")), text.words(F.col("y"))), 6).alias("similarity"))
+    return neighbours(spark, folder, text.words(F.col("fact_value"))).select("id", F.round(text.jaccard(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
 
 
 @query(
-    f"""SELECT id, round({SQL_JACCARD.format('a', 'b')}, 6) AS similarity FROM (SELECT id, list_distinct(list_concat({SQL_GRAMS.format('x', 2)}, {SQL_WORDS.format('x')})) AS a,
- list_distinct(list_concat({SQL_GRAMS.format('y', 2)}, {SQL_WORDS.format('y')})) AS b FROM (SELECT id, lower(trim(x)) AS x, lower(trim(y)) AS y FROM {NEXT} WHERE y IS NOT NULL) m) t""",
+    f"""SELECT id, round({SQL_JACCARD.format('a', 'b')}, 6) AS similarity FROM (SELECT id, list_distinct(list_concat({sql_grams('x', 2)}, {SQL_WORDS.format('x')})) AS a,
+ list_distinct(list_concat({sql_grams('y', 2)}, {SQL_WORDS.format('y')})) AS b FROM (SELECT id, lower(trim(x)) AS x, lower(trim(y)) AS y FROM {NEXT} WHERE y IS NOT NULL) m) t""",
     "facts",
 )
 def c3_gram_word_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(spark, folder).select("id", F.round(text.jaccard(text.gram_words(F.col("x")), text.gram_words(F.col("y"))), 6).alias("similarity"))
+    similarity = text.gram_word_jaccard((F.col("s0"), F.col("s1")), (F.col("next.s0"), F.col("next.s1")))
+    return neighbours(spark, folder, *text.gram_sets(F.col("fact_value"))).select("id", F.round(similarity, 6).alias("similarity"))
 
 
-@query(f"SELECT id, round({SQL_JACCARD.format('a', 'b')}, 6) AS similarity FROM (SELECT id, {SQL_GRAMS.format('x', 2)} AS a, {SQL_GRAMS.format('y', 2)} AS b FROM {NEXT} WHERE y IS NOT NULL) t", "facts")
+@query(f"SELECT id, round({SQL_JACCARD.format('a', 'b')}, 6) AS similarity FROM (SELECT id, {sql_grams('x', 2)} AS a, {sql_grams('y', 2)} AS b FROM {NEXT} WHERE y IS NOT NULL) t", "facts")
 def c4_gram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(spark, folder).select("id", F.round(text.jaccard(text.grams(F.col("x")), text.grams(F.col("y"))), 6).alias("similarity"))
+    return neighbours(spark, folder, bigrams(F.col("fact_value"))).select("id", F.round(text.jaccard(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
 
 
 @query(
     f"""SELECT id, round(sum(least(a, b)) / sum(greatest(a, b)), 6) AS similarity FROM (SELECT id, g, count(*) FILTER (WHERE s = 'x') AS a, count(*) FILTER (WHERE s = 'y') AS b FROM
- (SELECT id, 'x' AS s, unnest(list_transform(range(1, CAST(length(x) AS BIGINT)), lambda i: substring(x, CAST(i AS BIGINT), 2))) AS g FROM {NEXT} WHERE y IS NOT NULL
- UNION ALL SELECT id, 'y', unnest(list_transform(range(1, CAST(length(y) AS BIGINT)), lambda i: substring(y, CAST(i AS BIGINT), 2))) FROM {NEXT} WHERE y IS NOT NULL) u GROUP BY id, g) t GROUP BY id""",
+ (SELECT id, 'x' AS s, unnest(list_filter(list_transform(list_zip(string_split(x, ''), string_split(x, '')[2:]), lambda z: z[1] || z[2]), lambda g: g IS NOT NULL)) AS g FROM {NEXT} WHERE y IS NOT NULL
+ UNION ALL SELECT id, 'y', unnest(list_filter(list_transform(list_zip(string_split(y, ''), string_split(y, '')[2:]), lambda z: z[1] || z[2]), lambda g: g IS NOT NULL)) FROM {NEXT} WHERE y IS NOT NULL) u GROUP BY id, g) t GROUP BY id""",
     "facts",
 )
 def c5_gram_counts(spark: SparkSession, folder: str) -> DataFrame:
-    every = lambda c: F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    rows = neighbours(spark, folder).select("id", F.explode(F.array(F.struct(F.lit(1).alias("s"), every(F.col("x")).alias("g")), F.struct(F.lit(0).alias("s"), every(F.col("y")).alias("g")))).alias("t"))
-    counts = rows.select("id", "t.s", F.explode("t.g").alias("g")).groupBy("id", "g").agg(F.sum("s").alias("a"), F.sum(1 - F.col("s")).alias("b"))
-    return counts.groupBy("id").agg(F.round(F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b")), 6).alias("similarity"))
+    similarity = F.round(multiset_similarity("s0", "next.s0"), 6)
+    return neighbours(spark, folder, F.col("fact_value")).select("id", similarity.alias("similarity")).where("similarity IS NOT NULL")
 
 
 @query(
@@ -58,7 +65,7 @@ def c5_gram_counts(spark: SparkSession, folder: str) -> DataFrame:
     "facts",
 )
 def c6_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(spark, folder).select("id", F.round(text.overlap(text.words(F.col("x")), text.words(F.col("y"))), 6).alias("similarity"))
+    return neighbours(spark, folder, text.words(F.col("fact_value"))).select("id", F.round(text.overlap(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
 
 
 @query(
@@ -66,8 +73,7 @@ def c6_overlap(spark: SparkSession, folder: str) -> DataFrame:
     "facts",
 )
 def c7_token_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = lambda c: text.matches(F.col(c), "[a-zA-Z]{2,}")
-    return neighbours(spark, folder).select("id", F.round(text.jaccard(tokens("x"), tokens("y")), 6).alias("similarity"))
+    return neighbours(spark, folder, text.matches(F.col("fact_value"), "[a-zA-Z]{2,}")).select("id", F.round(text.jaccard(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
 
 
 @query(

@@ -6,27 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import writes
-from ..sources.tables import relation
+from ..sources.tables import relation, table
 from .registry import query
-from .textual import SQL_GRAMS, SQL_JACCARD
+from .textual import SQL_JACCARD, sql_grams
 
 LANES = "CASE WHEN id % 3 = 0 THEN 'rejected' WHEN id % 5 = 0 THEN 'committed' ELSE 'pending' END"
 
 
 @query(
-    f"""WITH g AS (SELECT id, coalesce(agent_id, 'local') AS agent_id, category, recorded_s, {SQL_GRAMS.format('fact_value', 2)} AS a FROM facts WHERE archived = 0),
- old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, category ORDER BY recorded_s DESC, id DESC) AS rn FROM g) x WHERE rn <= 200),
- best AS (SELECT n.id, {SQL_JACCARD.format('n.a', 'o.a')} AS s, o.id AS m FROM g n JOIN old o ON n.agent_id = o.agent_id AND n.category = o.category AND n.id <> o.id WHERE n.id % 2 = 0),
- top AS (SELECT id, max(s) AS s, arg_max(m, (s, -m)) AS m FROM best GROUP BY id)
- SELECT g.id, round(coalesce(s, 0), 6) AS similarity, CASE WHEN coalesce(s, 0) >= 0.7E0 THEN m ELSE -1 END AS match_id, CASE WHEN coalesce(s, 0) >= 0.85E0 THEN 'merge' WHEN coalesce(s, 0) >= 0.7E0 THEN 'update' ELSE 'insert' END AS action
- FROM g LEFT JOIN top USING (id) WHERE g.id % 2 = 0""",
+    f"""WITH g AS (SELECT id, coalesce(agent_id, 'local') AS agent_id, category, {sql_grams('fact_value', 2)} AS a FROM facts WHERE archived = 0),
+ best AS (SELECT n.id, {SQL_JACCARD.format('n.a', 'o.a')} AS s, o.id AS m FROM g n JOIN g o ON n.agent_id = o.agent_id AND n.category = o.category AND n.id <> o.id),
+ top AS (SELECT id, max(s) AS s, arg_max(m, (s, -m)) AS m FROM best WHERE s >= 0.7E0 GROUP BY id)
+ SELECT g.id, round(coalesce(s, 0), 6) AS similarity, coalesce(m, -1) AS match_id, CASE WHEN coalesce(s, 0) >= 0.85E0 THEN 'merge' WHEN coalesce(s, 0) >= 0.7E0 THEN 'update' ELSE 'insert' END AS action
+ FROM g LEFT JOIN top USING (id)""",
     "facts",
 )
 def f1_check_duplicate(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts of even id are the batch that is written, against all."""
+    """Every fact against all others of its agent and category."""
     facts = relation(spark, folder, "facts").where("archived = 0").withColumn("agent_id", F.coalesce("agent_id", F.lit("local")))
-    found = writes.check_duplicate(facts.where("id % 2 = 0"), facts)
-    return found.select("id", F.round("similarity", 6).alias("similarity"), F.coalesce("match_id", F.lit(-1)).alias("match_id"), "action")
+    return writes.check_duplicate(facts, facts).select("id", F.round("similarity", 6).alias("similarity"), F.coalesce("match_id", F.lit(-1)).alias("match_id"), "action")
 
 
 @query(
@@ -51,10 +49,17 @@ def f5_store_turns(spark: SparkSession, folder: str) -> DataFrame:
     return writes.store_turns(relation(spark, folder, "turns"))
 
 
-@query("SELECT fact_id, count(*) AS votes, count(DISTINCT stance) AS stances, round(avg(confidence), 6) AS mean FROM opinions GROUP BY fact_id", "opinions")
+@query(
+    """WITH n AS (SELECT l_partkey AS fact_id, l_suppkey AS source, l_orderkey * 10 + l_linenumber AS seq, CASE l_returnflag WHEN 'A' THEN 'support' WHEN 'R' THEN 'oppose' ELSE 'neutral' END AS stance, l_discount * 20 AS confidence FROM lineitem),
+ l AS (SELECT fact_id, source, arg_max(stance, seq) AS stance, arg_max(confidence, seq) AS confidence FROM n GROUP BY fact_id, source)
+ SELECT fact_id, source, stance, round(least(greatest(confidence, 0E0), 1E0), 6) AS confidence FROM l UNION ALL SELECT -1, 7, 'support', 0.5E0"""
+)
 def f12_opinions(spark: SparkSession, folder: str) -> DataFrame:
-    grouped = relation(spark, folder, "opinions").groupBy("fact_id")
-    return grouped.agg(F.count("*").alias("votes"), F.count_distinct("stance").alias("stances"), F.round(F.avg("confidence"), 6).alias("mean"))
+    """The last opinion of each source on each fact, confidence clamped; an old one that none replaces stays."""
+    stance = F.when(F.col("l_returnflag") == "A", "support").when(F.col("l_returnflag") == "R", "oppose").otherwise("neutral")
+    new = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("fact_id"), F.col("l_suppkey").alias("source"), stance.alias("stance"), F.least(F.greatest(F.col("l_discount") * 20, F.lit(0.0)), F.lit(1.0)).alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    old = spark.sql("SELECT -1L AS fact_id, 7L AS source, 'support' AS stance, 0.5D AS confidence")
+    return writes.upsert(old, new, ["fact_id", "source"], [F.desc("seq")]).select("fact_id", "source", "stance", F.round("confidence", 6).alias("confidence"))
 
 
 @query(

@@ -14,7 +14,7 @@ DAY = 86_400
 
 RELATIONS = {
     "facts": ("documents", """SELECT doc_id AS id, source AS category, concat('doc:', CAST(doc_id AS STRING)) AS fact_key,
- substring(text, 1, 200) AS fact_value,
+ text AS fact_value,
  CASE doc_id % 4 WHEN 0 THEN 'local' WHEN 1 THEN 'agent_a' WHEN 2 THEN 'agent_b' ELSE NULL END AS agent_id,
  CASE WHEN doc_id % 5 = 0 THEN 'team_b' ELSE 'default' END AS profile,
  CASE doc_id % 3 WHEN 0 THEN 'procedural' WHEN 1 THEN 'semantic' ELSE 'episodic' END AS memory_tier,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -35,12 +36,34 @@ def step(buffer: Buffer | None, ts: float, size: int, idle: float, window: float
     return buffer, out
 
 
+#: Seconds of a slot. A key's messages are put in order slot by slot, so that a busy key is no single task.
+SLOT = 86_400
+
+
+def in_runs(messages: DataFrame, idle_s: float) -> DataFrame:
+    """messages (key, ts_s, size, seq) with run, a number that rises with each pause of idle_s between messages of a key, from 0.
+
+    Order is found within slots of time; a slot knows the last message before it and the pauses so far from a row for each slot.
+    """
+    slotted = messages.withColumn("_slot", F.floor(F.col("ts_s") / SLOT))
+    order = Window.partitionBy("key", "_slot").orderBy("ts_s", "seq")
+    opens = slotted.withColumn("_gap", F.col("ts_s") - F.lag("ts_s").over(order)).withColumn("_open", F.coalesce((F.col("_gap") >= idle_s).cast("int"), F.lit(0)))
+    slots = opens.groupBy("key", "_slot").agg(F.min("ts_s").alias("_first"), F.max("ts_s").alias("_last"), F.sum("_open").alias("_opens"))
+    after = Window.partitionBy("key").orderBy("_slot")
+    slots = slots.withColumn("_new", F.coalesce((F.col("_first") - F.lag("_last").over(after) >= idle_s).cast("int"), F.lit(0)))
+    slots = slots.select("key", "_slot", (F.sum(F.col("_new") + F.col("_opens")).over(after) - F.col("_opens")).alias("_base"))
+    return opens.join(slots, ["key", "_slot"]).withColumn("run", F.sum("_open").over(order) + F.col("_base")).drop("_slot", "_gap", "_open", "_base")
+
+
 def sessions(messages: DataFrame, idle_s: float) -> DataFrame:
-    """messages (key, ts_s, size, seq) in runs without a pause of idle_s: (key, run, start_s, end_s, parts, chars). Windows only, for any key's size."""
-    order = Window.partitionBy("key").orderBy("ts_s", "seq")
-    opens = F.coalesce((F.col("ts_s") - F.lag("ts_s").over(order) >= idle_s).cast("int"), F.lit(0))
-    placed = messages.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
-    return placed.groupBy("key", "run").agg(F.min("ts_s").alias("start_s"), F.max("ts_s").alias("end_s"), F.count("*").alias("parts"), F.sum("size").alias("chars"))
+    """messages (key, ts_s, size, seq) in runs without a pause of idle_s: (key, run, start_s, end_s, parts, chars), for keys of any size."""
+    return in_runs(messages, idle_s).groupBy("key", "run").agg(F.min("ts_s").alias("start_s"), F.max("ts_s").alias("end_s"), F.count("*").alias("parts"), F.sum("size").alias("chars"))
+
+
+def buffer_status(messages: DataFrame, as_of: float, idle_s: float) -> DataFrame:
+    """The buffers that are open at as_of, each key's last run if its pause is not over: (key, parts, chars, age_s, idle_s)."""
+    last = sessions(messages.where(F.col("ts_s") <= as_of), idle_s).groupBy("key").agg(F.max_by(F.struct("start_s", "end_s", "parts", "chars"), "run").alias("x"))
+    return last.where(F.lit(as_of) - F.col("x.end_s") < idle_s).select("key", "x.parts", "x.chars", (F.lit(as_of) - F.col("x.start_s")).alias("age_s"), (F.lit(as_of) - F.col("x.end_s")).alias("idle_s"))
 
 
 def coalesce_stream(messages: DataFrame, profile: str = "default", watermark: str = "10 minutes") -> DataFrame:
@@ -76,21 +99,36 @@ def coalesce_stream(messages: DataFrame, profile: str = "default", watermark: st
 def coalesce_batch(messages: DataFrame, profile: str = "default") -> DataFrame:
     """The waves of all messages (key, ts_s, size, seq), the last of each key closed as 'idle'.
 
-    A pause of the idle limit always closes a buffer, so that each run between such pauses is folded on its own: no task holds
-    more than one run of a key.
+    A pause of the idle limit always closes a buffer, so that each run between such pauses is folded on its own. Runs of one message need no
+    fold; the others are dealt out and sorted, and each task folds its stream of messages, holding one buffer.
     """
     idle, window, parts, chars = PROFILES[profile]
-    order = Window.partitionBy("key").orderBy("ts_s", "seq")
-    opens = F.coalesce((F.col("ts_s") - F.lag("ts_s").over(order) >= idle).cast("int"), F.lit(0))
-    placed = messages.withColumn("_o", opens).withColumn("run", F.sum("_o").over(order))
-
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame, buffer, out = frame.sort_values(["ts_s", "seq"]), None, []
-        for ts, size in zip(frame["ts_s"], frame["size"]):
-            buffer, closed = step(buffer, float(ts), int(size), idle, window, parts, chars)
-            out += closed
+    placed = in_runs(messages, idle).select("key", "run", F.col("ts_s").cast("double").alias("ts_s"), F.col("size").cast("long").alias("size"), "seq")
+    runs = placed.groupBy("key", "run").agg(F.count("*").alias("n"), F.min("ts_s").alias("ts_s"), F.min("size").alias("size"))
+    full = F.when(F.lit(parts) <= 1, "parts").when(F.col("size") >= chars, "chars").otherwise("idle")
+    alone = runs.where("n = 1").select("key", F.col("ts_s").alias("wave_start"), F.col("ts_s").alias("wave_end"), F.lit(1).alias("parts"), F.col("size").cast("int").alias("chars"), full.alias("reason"))
+    longer = placed.join(runs.where("n > 1").select("key", "run"), ["key", "run"], "left_semi")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, buffer = None, None
+        for batch in batches:
+            out = []
+            for key, run, ts, size in zip(*(batch.column(c).to_pylist() for c in ("key", "run", "ts_s", "size"))):
+                if (key, run) != at:
+                    if buffer is not None:
+                        out.append((at[0], *buffer, "idle"))
+                    at, buffer = (key, run), None
+                buffer, closed = step(buffer, ts, size, idle, window, parts, chars)
+                out += [(key, *w) for w in closed]
+            yield _waves(out)
         if buffer is not None:
-            out.append((*buffer, "idle"))
-        return pd.DataFrame([(key[0], *w) for w in out], columns=["key", "wave_start", "wave_end", "parts", "chars", "reason"])
+            yield _waves([(at[0], *buffer, "idle")])
+
+    folded = longer.repartition("key", "run").sortWithinPartitions("key", "run", "ts_s", "seq").mapInArrow(fold, WAVES)
+    return alone.unionByName(folded)
+
 
-    return placed.groupBy("key", "run").applyInPandas(fold, WAVES)
+def _waves(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string())
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "wave_start", "wave_end", "parts", "chars", "reason"])

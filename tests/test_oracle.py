@@ -47,6 +47,6 @@ def test_query_matches_sql(spark, folder, duck, name):
     assert sorted(a, key=str) == sorted(b, key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
-def test_other_queries_run(spark, folder, name):
-    assert plans.QUERIES[name](spark, folder).count() >= 0
+def test_queries_without_sql_are_those_held_against_plain_loops():
+    """In test_whole.py, on their own rows."""
+    assert set(plans.QUERIES) - set(plans.ORACLE_SQL) == {"d23_spread", "g5_feedback", "j2_coalesce"}

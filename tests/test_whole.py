@@ -45,3 +45,39 @@ def test_spread_goes_three_hops_from_every_seed(spark, folder):
             want |= {(seed, n, hop) for n in front}
     assert {(x.seed, x.node, x.depth) for x in plans.QUERIES["d23_spread"](spark, folder).collect()} == want
     assert collections.Counter(d for *_, d in want)[3] > 0
+
+
+def test_coalesce_is_the_plain_fold_of_its_own_rows(spark, folder):
+    from test_operators import loop
+
+    rows = [(str(r.user_id), r.ts.timestamp(), len(r.props), r.event_id) for r in spark.read.parquet(f"{folder}/events.parquet").collect()]
+    got = sorted(map(tuple, plans.QUERIES["j2_coalesce"](spark, folder).collect()))
+    want = loop([(k, round(t, 6), n, i) for k, t, n, i in rows], "default")
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[0] == b[0] and a[3:] == b[3:] and abs(a[1] - b[1]) < 1e-3 and abs(a[2] - b[2]) < 1e-3
+
+
+def test_coalesce_of_busy_keys(spark):
+    from test_operators import loop
+
+    from cairn.streaming import coalesce
+
+    r = np.random.default_rng(3)
+    rows = [(f"k{int(k)}", float(t), int(n), i) for i, (k, t, n) in enumerate(zip(r.integers(0, 3, 3000), np.round(r.uniform(1e6, 1e6 + 9000, 3000), 1), r.integers(1, 900, 3000)))]
+    for profile in coalesce.PROFILES:
+        got = coalesce.coalesce_batch(spark.createDataFrame(rows, "key string, ts_s double, size int, seq long"), profile).collect()
+        assert sorted(map(tuple, got)) == loop(rows, profile)
+
+
+def test_feedback_is_the_plain_fold_of_its_own_rows(spark, folder):
+    import math
+
+    events = spark.read.parquet(f"{folder}/events.parquet").collect()
+    count = collections.Counter(f"u{e.user_id}:{e.event_type}" for e in events)
+    now = {k: min(1.0, n / 20) for k, n in count.items()}
+    for e in sorted(events, key=lambda e: e.event_id):
+        hits, key = math.floor(e.value) % 5, f"u{e.user_id}:{e.event_type}"
+        now[key] = min(1.0, max(0.05, now[key] + (0.15 if hits >= 3 else -0.12 if hits == 0 else 0.05)))
+    got = {r.memory_id: r.adjusted for r in plans.QUERIES["g5_feedback"](spark, folder).collect()}
+    assert got.keys() == now.keys() and all(abs(got[k] - now[k]) < 2e-6 for k in now)
