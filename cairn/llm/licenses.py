@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let_go, slices
 from .shingles import chunks, mix64, word_hashes
 
 #: Words of a fingerprint; fingerprints of a window of which one is kept; words of an alignment's band on either side.
@@ -17,18 +18,45 @@ GRAM, WINDOW, BAND = 3, 4, 8
 #: The templates are broadcast; more words than these are refused.
 MOST_TEMPLATE_WORDS = 2_000_000
 
-#: Notices of public licences, as fixed values.
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+_MIT_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_TWO = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'
+_BSD_THIRD = '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.'
+_BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_GNU_HOPE = 'This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details.'
+_GNU_FREE = 'you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version.'
+
+#: Texts of public licences, as fixed values: whole ones of short licences, and the notices that long ones ask for.
 TEMPLATES = {
-    "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "agpl-3.0": "This program is free software: " + _GNU_FREE.format("Affero General Public License", "3").replace("Foundation;", "Foundation,") + " " + _GNU_HOPE.format("program", "Affero General Public License"),
+    "all-rights-reserved": "All rights reserved.",
     "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "mit-short": "Released under the MIT License.",
-    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
+    "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
+    "boost-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
+    "bsd-2-clause": f"{_BSD_TWO} {_BSD_WARRANTY}",
+    "bsd-3-clause": f"{_BSD_TWO} {_BSD_THIRD} {_BSD_WARRANTY}",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "all-rights-reserved": "All rights reserved.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "gpl-2.0": "This program is free software; " + _GNU_FREE.format("General Public License", "2") + " " + _GNU_HOPE.format("program", "General Public License"),
+    "gpl-3.0": "This program is free software: " + _GNU_FREE.format("General Public License", "3").replace("Foundation;", "Foundation,") + " " + _GNU_HOPE.format("program", "General Public License"),
+    "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "lgpl-2.1": "This library is free software; " + _GNU_FREE.format("Lesser General Public License", "2.1") + " " + _GNU_HOPE.format("library", "Lesser General Public License"),
+    "lgpl-3.0": "This library is free software: " + _GNU_FREE.format("Lesser General Public License", "3").replace("Foundation;", "Foundation,") + " " + _GNU_HOPE.format("library", "Lesser General Public License"),
+    "mit": f"{_MIT_GRANT} {_MIT_WARRANTY}",
+    "mit-grant": _MIT_GRANT,
+    "mit-short": "Released under the MIT License.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "postgresql": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    "unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.',
+    "wtfpl": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 
 
@@ -95,31 +123,33 @@ class Index:
         return _places(words, self.sorted_anchors, self.anchors)
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Words of a template that a band of a text matches in order at most, and the first and last matched word of the text.
+def align(template: np.ndarray, text: np.ndarray, shifts: list[int]) -> list[tuple[int, int, int]]:
+    """For each shift the words of a template that a band of a text matches in order at most, and the first and after the last matched word of the text.
 
     The text's word j may match the template's word i if |j - i - shift| <= BAND: a longest common subsequence within the band. Of
-    equally long ones the one that ends first, and then begins last. A row of the band at a time: each cell holds the length and, to be
-    least, the negated start.
+    equally long ones one that ends first. A row of all bands at a time: a cell is one number of the length, what is
+    left to the greatest end, and the start, both from the band's first place on.
     """
-    width = 2 * BAND + 1
-    none = (0, 0, 0)  # length, first place, end (exclusive)
-    row = [none] * width
-    for i in range(len(template)):
-        new = [none] * width
-        for b in range(width):
-            j = i + shift + b - BAND
-            best = row[b + 1] if b + 1 < width else none  # skip the template's word
-            if b > 0 and (new[b - 1][0], -new[b - 1][2], new[b - 1][1]) > (best[0], -best[2], best[1]):
-                best = new[b - 1]  # skip the text's word
-            if 0 <= j < len(text) and text[j] == template[i]:
-                n, first, _ = row[b]
-                here = (n + 1, first if n else j, j + 1)
-                if (here[0], -here[2], here[1]) > (best[0], -best[2], best[1]):
-                    best = here
-            new[b] = best
-        row = new
-    return max(row, key=lambda c: (c[0], -c[2], c[1]))
+    if not len(text):
+        return [(0, 0, 0)] * len(shifts)
+    bits = 21
+    low = (1 << bits) - 1
+    none = low << bits
+    places = np.arange(2 * BAND + 1)
+    row = np.full((len(shifts), len(places)), none, np.int64)
+    base = np.array(shifts)[:, None] - BAND
+    for i, word in enumerate(template):
+        at = i + places  # from the base on
+        j = base + at
+        inside = (j >= 0) & (j < len(text))
+        match = inside & (text[np.where(inside, j, 0)] == word)
+        n, first = row >> 2 * bits, row & low
+        here = (n + 1 << 2 * bits) | (low - (at + 1) << bits) | np.where(n > 0, first, at)
+        best = np.where(match, here, none)
+        best[:, :-1] = np.maximum(best[:, :-1], row[:, 1:])  # skip the template's word
+        row = np.maximum.accumulate(best, axis=1)  # skip the text's word
+    best = row.max(axis=1)
+    return [(int(x >> 2 * bits), int(b + (x & low)), int(b + low - (x >> bits & low))) if x != none else (0, 0, 0) for x, b in zip(best.tolist(), base[:, 0].tolist())]
 
 
 def scan_words(index: Index, words: np.ndarray, least: float) -> list[tuple[int, int, int, int]]:
@@ -134,7 +164,7 @@ def scan_words(index: Index, words: np.ndarray, least: float) -> list[tuple[int,
             if done is not None and shift <= done:
                 continue
             done = shift + BAND  # shifts this close are within one band
-            n, first, end = align(index.words[k], words, shift + BAND // 2)
+            n, first, end = align(index.words[k], words, [shift + BAND // 2])[0]
             if n >= least * len(index.words[k]):
                 found.add((k, n, first, end))
     tried = set()
@@ -145,12 +175,10 @@ def scan_words(index: Index, words: np.ndarray, least: float) -> list[tuple[int,
         around = words[max(0, shift - 2 * BAND) : shift + len(template) + 2 * BAND]
         if np.isin(template, around).sum() < least * len(template):
             continue
-        for centre in range(shift - BAND, shift + BAND + 1):  # all bands that hold the anchor
-            if (k, centre) not in tried:
-                tried.add((k, centre))
-                n, first, end = align(template, words, centre)
-                if n >= least * len(template) and n:
-                    found.add((k, n, first, end))
+        centres = [c for c in range(shift - BAND, shift + BAND + 1) if (k, c) not in tried]  # all bands that hold the anchor
+        if centres:
+            tried |= {(k, c) for c in centres}
+            found |= {(k, n, first, end) for n, first, end in align(template, words, centres) if n and n >= least * len(template)}
     chosen: list[tuple[int, int, int, int]] = []
     for c in sorted(found, key=lambda c: (-c[1], -c[1] / len(index.words[c[0]]), c[2], c[0])):
         if all(c[3] <= a[2] or a[3] <= c[2] for a in chosen):
@@ -159,7 +187,7 @@ def scan_words(index: Index, words: np.ndarray, least: float) -> list[tuple[int,
 
 
 def templates_frame(spark: SparkSession) -> DataFrame:
-    """The built-in notices as (template, text)."""
+    """The built-in licence texts and notices as (template, text)."""
     return spark.createDataFrame(pa.table({"template": list(TEMPLATES), "text": list(TEMPLATES.values())}))
 
 
@@ -181,7 +209,7 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts, ids = batch.column("text").to_pylist(), batch.column("id")
             at, names, matched, share, begin, stop = [], [], [], [], [], []
             for part in chunks([len(t) for t in texts]):
@@ -203,5 +231,6 @@ def scan(docs: DataFrame, templates: DataFrame, least: float = 0.8, id_col: str
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(at)), pa.array(names), pa.array(matched, pa.int64()), pa.array(share, pa.float64()), pa.array(begin, pa.int64()), pa.array(stop, pa.int64())], ["id", "template", "matched", "coverage", "start", "end"]
                 )
+        let_go()
 
     return frame.mapInArrow(run, f"id {kind}, template string, matched long, coverage double, start long, end long").withColumnRenamed("id", id_col)
