@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,6 +76,11 @@ GATE = (
 )
 #: Fixed pattern of words that make a longer query one for pinned facts, as five CJK characters do.
 CONTENT_WORDS = r"(?i)\b(what|how|why|when|where|who|which|explain|describe|analyze|compare|create|build|fix|debug|deploy|install|config|setup|migrate|upgrade|error|fail|bug|issue|方案|怎么|如何|为什么|帮我|需要|应该|建议|推荐)\b"
+#: Fixed pattern of questions for facts.
+FACT_SEEKING = r"(?i)生日|是谁|哪天|什么时候|喜欢|偏好|最爱|爱好|习惯|底线|规则|铁律|是什么|配置|账号|密码|何处|哪里|邮箱|电话|微信|身份|关系"
+#: Fixed names under which profiles are also asked for, and the profiles that there are.
+PROFILE_ALIASES = {"int": "intimate", "love": "intimate", "diary": "intimate", "soft": "intimate", "fast": "tech", "code": "tech", "dev": "tech", "normal": "default", "chat": "default"}
+PROFILE_NAMES = ("default", "tech", "intimate")
 #: White space at the ends of texts.
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -213,3 +220,24 @@ def valid_between(valid_from: Column, valid_to: Column, after_s: int | None = No
     if before_s is not None:
         out = out & (valid_from.isNull() | (valid_from <= before_s))
     return out
+
+
+def seeks_facts(query: Column) -> Column:
+    """Whether a query asks for a fact, a preference or a rule; null asks for none."""
+    return F.coalesce(query.rlike(FACT_SEEKING), F.lit(False))
+
+
+def coalesce_profile(explicit: Column, category: Column, source: Column, by_category: dict[str, str], by_source: dict[str, str], default: str = "default") -> Column:
+    """The profile of a message's buffer: the one that it names, or is an alias of (an unknown one is the default), else that of its category, else of its source."""
+    clean = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    of = lambda c, table: reduce(lambda out, kv: F.when(clean(c) == kv[0].lower(), F.lit(kv[1])).otherwise(out), table.items(), F.lit(None).cast("string"))
+    named = F.coalesce(of(explicit, PROFILE_ALIASES), clean(explicit))
+    told = F.when(named.isin(*PROFILE_NAMES), named).otherwise(F.lit(default))
+    return F.when(clean(explicit) != "", told).otherwise(F.coalesce(of(category, by_category), of(source, by_source), F.lit(default)))
+
+
+def coalesce_key(user: Column, session: Column, profile: Column, default_user: str = "default") -> Column:
+    """The key of a message's buffer: the user, its session if it has one, and the profile unless that is the default, joined by '::'."""
+    name = F.when(F.coalesce(user, F.lit("")) == "", F.lit(default_user)).otherwise(user)
+    part = F.nullif(F.trim(F.coalesce(session, F.lit(""))), F.lit(""))
+    return F.concat_ws("::", F.when(part.isNull(), name).otherwise(F.coalesce(user, F.lit(""))), part, F.when(profile != "default", profile))

@@ -119,6 +119,16 @@ def entities(text: Column, vocabulary: list[str] = ()) -> Column:
     return F.filter(names, lambda n, k: F.array_position(low, F.lower(n)) == k + 1)
 
 
+#: Fixed words that are no tags.
+NO_TAGS = ("的", "了", "是", "在", "有", "和", "就", "不", "人", "都", "一个", "可以", "这个", "那个", "什么", "没有", "我们", "他们", "自己", "因为", "所以", "但是", "如果", "虽然", "而且", "或者")
+
+
+def tags(text: Column, most: int = 3) -> Column:
+    """The first words of two characters or more, of ASCII or of two to four CJK characters, that are no stop words."""
+    found = F.regexp_extract_all(text, F.lit("[a-zA-Z0-9_-]{2,}|[一-龥]{2,4}"), F.lit(0))
+    return F.slice(F.filter(found, lambda w: ~w.isin(*NO_TAGS)), 1, most)
+
+
 def joined_messages(messages: Column) -> Column:
     """The contents of an array of messages (content), joined by spaces; null ones are left out."""
     return F.concat_ws(" ", F.transform(messages, lambda m: m["content"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -107,8 +108,13 @@ def link_entities(facts: DataFrame, known: DataFrame, names) -> tuple[DataFrame,
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df computed once: a checkpoint in the folder of spark.checkpoint.dir, or, without one, on the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df checkpointed in the session's checkpoint folder, which survives lost executors. Only a session whose tasks all run in this process gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairn-"))
+    return df.checkpoint()
 
 
 def spread(neighbours: DataFrame | Callable[[DataFrame], DataFrame], start: DataFrame, hops: int, branch: int, least: float, most: float) -> DataFrame:

@@ -123,6 +123,18 @@ def touch_agents(agents: DataFrame, seen: DataFrame) -> DataFrame:
     return both.select("agent_id", named.alias("role"), F.greatest("last_seen_s", "_t").alias("last_seen_s"), F.when(F.col("_e").isNull(), F.col("active")).otherwise((F.col("_e") != "deactivate").cast("int")).alias("active"))
 
 
+def active_peers(agents: DataFrame, as_of: int, fresh_s: int, exclude: str | None = None) -> DataFrame:
+    """Agents (agent_id, last_seen_s, active) that take part: active, seen within fresh_s, and not the one that asks."""
+    live = agents.where((F.col("active") == 1) & (F.col("last_seen_s") >= as_of - fresh_s))
+    return live if exclude is None else live.where(F.col("agent_id") != exclude)
+
+
+def profiles_of(refs: DataFrame, agents: DataFrame, default: str = "default") -> DataFrame:
+    """refs with profile, that of their agent_id in agents (agent_id, profile), or the default."""
+    known = agents.select("agent_id", F.col("profile").alias("_p"))
+    return refs.join(known, "agent_id", "left").withColumn("profile", F.coalesce(F.nullif("_p", F.lit("")), F.lit(default))).drop("_p")
+
+
 def tombstones(rows: DataFrame, id_col: str, as_of: int) -> DataFrame:
     """A snapshot of each row as JSON, from which restore() brings it back."""
     return rows.select(F.col(id_col).alias("ref"), F.to_json(F.struct(*rows.columns)).alias("payload"), F.lit(as_of).alias("deleted_s"))

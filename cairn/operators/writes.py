@@ -203,6 +203,32 @@ def grow_skills(trajectories: DataFrame, existing: DataFrame, least: int = 4) ->
     return joined.select("skill_name", F.col("x.trigger_rule").alias("trigger_rule"), document.alias("procedure"), F.size("x.steps").alias("candidate_count"), change.alias("change"))
 
 
+def save_insights(new: DataFrame, old: DataFrame, default_user: str) -> DataFrame:
+    """The insights (user_id, content, confidence) that are added to old ones (user_id, content): guarded, cleaned, and not stored yet under any name that the user sees. One of equal ones, with the greatest confidence.
+
+    Confidence is clamped to 0..1, and 0.5 where it is missing.
+    """
+    content = rules.cleaned(F.trim("content"))
+    sure = F.least(F.greatest(F.coalesce("confidence", F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
+    good = new.where((F.trim(F.coalesce("content", F.lit(""))) != "") & (rules.guard(F.trim("content")) == "ok"))
+    rows = good.select("user_id", content.alias("content"), sure.alias("confidence")).groupBy("user_id", "content").agg(F.max("confidence").alias("confidence"))
+    stored = old.select("user_id", "content").distinct()
+    if default_user != "default":  # its rows were once written under the literal name
+        stored = stored.unionByName(stored.where("user_id = 'default'").select(F.lit(default_user).alias("user_id"), "content"))
+    return rows.join(stored, ["user_id", "content"], "left_anti")
+
+
+def add_seeds(have: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """have with the seeds whose key it lacks."""
+    return have.unionByName(seeds.join(have.select(key), key, "left_anti").select(have.columns))
+
+
+def checkpoint_of(checkpoints: DataFrame) -> DataFrame:
+    """Each session's blocks (session_id, block_key, content, created_s) as a map: (session_id, blocks, created_s)."""
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("block_key", "content"))))  # few blocks a session
+    return checkpoints.groupBy("session_id").agg(entries.alias("blocks"), F.min("created_s").alias("created_s"))
+
+
 def self_edit(pairs: DataFrame, verdicts: DataFrame, least: float = 0.25) -> DataFrame:
     """Edits that verdicts (id, verdict, merged) on pairs (id, memory_id, old_text, new_text) make: (edit_id, memory_id, action, old_text, new_text).
 

@@ -120,11 +120,14 @@ def b20_compress(spark: SparkSession, folder: str) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("SELECT id, list_aggregate(list_transform(list_slice(regexp_extract_all(fact_value, '[a-zA-Z0-9_-]{2,}'), 1, 3), lambda t: lower(t)), 'string_agg', ',') AS tags FROM facts", "facts")
+@query(
+    f"""SELECT id, array_to_string(list_slice(list_filter(regexp_extract_all(t, '[a-zA-Z0-9_-]{{2,}}|[一-龥]{{2,4}}'), lambda w: NOT list_contains({list(text.NO_TAGS)}, w)), 1, 3), ',') AS tags FROM
+ (SELECT id, concat(CASE id % 3 WHEN 0 THEN '我们 围棋 可以，' ELSE '' END, fact_value) AS t FROM facts) a""",
+    "facts",
+)
 def c18_tags(spark: SparkSession, folder: str) -> DataFrame:
-    found = F.slice(F.regexp_extract_all("fact_value", F.lit("[a-zA-Z0-9_-]{2,}"), F.lit(0)), 1, 3)
-    tags = F.array_join(F.transform(found, lambda t: F.lower(t)), ",")
-    return relation(spark, folder, "facts").select("id", F.when(F.size(found) > 0, tags).alias("tags"))
+    value = F.concat(F.when(F.col("id") % 3 == 0, "我们 围棋 可以，").otherwise(""), "fact_value")
+    return relation(spark, folder, "facts").select("id", F.array_join(text.tags(value), ",").alias("tags"))
 
 
 @query("SELECT doc_id, CASE WHEN s = '' THEN substring(md5(h), 1, 12) ELSE s END AS slug FROM (SELECT doc_id, substring(text, 1, 40) AS h, trim(regexp_replace(lower(substring(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents) t")
@@ -204,7 +207,7 @@ def d20_deep_search(spark: SparkSession, folder: str) -> DataFrame:
     return recall.first_of_each(both, ["id"], ["src"]).orderBy("src", "id").limit(30)
 
 
-NAMED = [r"\b(?:User|AI|Assistant)\b", r"Lyon|License", r"[A-Z][a-z]+ly\b"]
+NAMED = ["Assistant|Lyon|License", "[A-Z][a-z]+ly"]
 SQL_NAMES = "list_concat(regexp_extract_all(fact_value, '[\"\\\\'']([^\"\\\\'']+)[\"\\\\'']', 1), " + ", ".join(f"regexp_extract_all(fact_value, '{p}')" for p in NAMED) + ")"
 
 
@@ -232,7 +235,7 @@ def e8_kinds_of_facts(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH f AS (SELECT id, coalesce(agent_id, 'local') AS agent_id, category, memory_tier, fact_value, {sql_grams('fact_value', 2)} AS g FROM facts WHERE archived = 0),
  p AS (SELECT n.id, o.id AS m, {SQL_JACCARD.format('n.g', 'o.g')} AS s FROM f n JOIN f o ON n.agent_id = o.agent_id AND n.category = o.category AND n.id <> o.id WHERE n.id % 2 = 0 AND o.id % 2 = 1),
- best AS (SELECT id, arg_max(m, (s, -m)) AS m FROM p WHERE s >= 0.85E0 GROUP BY id),
+ best AS (SELECT id, arg_max(m, (s, -m)) AS m FROM p WHERE s >= 0.5E0 GROUP BY id),
  v AS (SELECT n.id, o.id AS fact_id, CASE WHEN length(o.fact_value) >= length(n.fact_value) THEN o.fact_value ELSE n.fact_value END AS v,
  concat(o.category, ',', o.memory_tier, CASE WHEN n.memory_tier <> o.memory_tier THEN concat(',', n.memory_tier) ELSE '' END) AS tags FROM best JOIN f n ON n.id = best.id JOIN f o ON o.id = best.m)
  SELECT id, fact_id, sha256(v) AS value_hash, substring(v, 1, 60) AS summary, tags FROM v""",
@@ -242,7 +245,7 @@ def f2_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Each new fact (of an even id) with the stored one that it duplicates: the longer value, on a tie the stored one, and both's tags."""
     facts = relation(spark, folder, "facts").where("archived = 0").withColumns({"agent_id": F.coalesce("agent_id", F.lit("local")), "tags": F.concat_ws(",", "category", "memory_tier")})
     new, old = facts.where("id % 2 = 0"), facts.where("id % 2 = 1")
-    found = writes.check_duplicate(new, old).where("action = 'merge'").select("id", "match_id")
+    found = writes.check_duplicate(new, old, merge=0.5, update=0.5).where("action = 'merge'").select("id", "match_id")
     pair = found.join(new.select("id", F.col("fact_value").alias("new_value"), F.col("tags").alias("new_tags")), "id")
     pair = pair.join(old.select(F.col("id").alias("match_id"), F.col("fact_value").alias("old_value"), F.col("tags").alias("old_tags")), "match_id")
     merged = writes.merge_values(pair).join(found, "id")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
-from ..operators import graph, lifecycle, pairs, recall
+from ..functions import rules, scores, text
+from ..operators import graph, lifecycle, pairs, recall, writes
 from ..sources.tables import AS_OF, DAY, relation, table
+from ..streaming.coalesce import PROFILES
 from .lifecycle import HEAT, HEAT_AS_OF, SQL_LANES, heat
 from .registry import query
 from .textual import SQL_JACCARD, SQL_WORDS, sql_grams
@@ -20,11 +21,21 @@ def b2_visible(spark: SparkSession, folder: str) -> DataFrame:
     return facts.where(rules.tenant("agent_b", F.col("agent_id"), F.col("category"), strict=True)).select("id")
 
 
-@query("SELECT id, t FROM (SELECT id, strftime(to_timestamp(coalesce(valid_from_s, valid_to_s, recorded_s)) AT TIME ZONE 'UTC', '%Y-%m-%d') AS t FROM facts) x WHERE t >= '2024-03' AND t <= '2024-09'", "facts")
+SQL_ISO = "strftime(to_timestamp({0}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S')"
+TRACE_KEYS = 7
+
+
+@query(
+    f"""SELECT id, t FROM (SELECT id, coalesce({", ".join(f"CAST(epoch(TRY_CAST(k{k} AS TIMESTAMP)) AS BIGINT)" for k in range(TRACE_KEYS))}, 0) AS t FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'soon' END AS k0, NULL AS k1, CASE WHEN id % 3 = 0 THEN {SQL_ISO.format('recorded_s')} END AS k2,
+ CASE WHEN id % 5 = 0 THEN '2024-04-31' END AS k3, {SQL_ISO.format('valid_from_s')} AS k4, {SQL_ISO.format('valid_to_s')} AS k5, CASE WHEN id % 4 = 1 THEN '2024-05-06' END AS k6 FROM facts) a) b WHERE t >= 1709251200 AND t < 1727740800""",
+    "facts",
+)
 def b7_trace_window(spark: SparkSession, folder: str) -> DataFrame:
-    """The first time that is known, compared as text by its leading part."""
-    t = F.date_format(F.timestamp_seconds(F.coalesce("valid_from_s", "valid_to_s", "recorded_s")), "yyyy-MM-dd")
-    return relation(spark, folder, "facts").select("id", t.alias("t")).where((F.col("t") >= "2024-03") & (F.col("t") <= "2024-09"))
+    """Facts by the first of seven keys that can be read as a time."""
+    i, iso = F.col("id"), lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss")
+    keys = [F.when(i % 2 == 0, "soon"), F.lit(None).cast("string"), F.when(i % 3 == 0, iso("recorded_s")), F.when(i % 5 == 0, "2024-04-31"), iso("valid_from_s"), iso("valid_to_s"), F.when(i % 4 == 1, "2024-05-06")]
+    found = relation(spark, folder, "facts").select("id", text.first_time(*keys).alias("t"))
+    return found.where("t >= 1709251200 AND t < 1727740800")
 
 
 SQL_DATES = "list_transform(list_zip(regexp_extract_all(v, '{d}', 1), regexp_extract_all(v, '{d}', 2), regexp_extract_all(v, '{d}', 3)), lambda z: TRY_CAST(concat(z[1], '-', lpad(z[2], 2, '0'), '-', lpad(CASE WHEN coalesce(z[3], '') = '' THEN '1' ELSE z[3] END, 2, '0')) AS DATE))".format(d=text.DATE)
@@ -48,15 +59,26 @@ def b14_validity(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(held).select("id", F.col("x.valid_from").cast("string").alias("valid_from"), F.col("x.valid_to").cast("string").alias("valid_to"))
 
 
-@query("SELECT session_id, turn, regexp_matches(lower(content), 'who|when|where|what|which|license') AS seeks FROM turns", "turns")
+@query(f"SELECT session_id, turn, regexp_matches(concat(content, CASE turn % 3 WHEN 0 THEN ' 生日是哪天' ELSE '' END), '{rules.FACT_SEEKING}') AS seeks FROM turns", "turns")
 def b17_fact_seeking(spark: SparkSession, folder: str) -> DataFrame:
-    return relation(spark, folder, "turns").select("session_id", "turn", F.lower("content").rlike("who|when|where|what|which|license").alias("seeks"))
+    """Every third turn ends in a question for a date."""
+    said = F.concat("content", F.when(F.col("turn") % 3 == 0, " 生日是哪天").otherwise(""))
+    return relation(spark, folder, "turns").select("session_id", "turn", rules.seeks_facts(said).alias("seeks"))
+
+
+SQL_PROFILE = f"""CASE WHEN id % 8 = 0 THEN 'tech' WHEN id % 8 = 1 THEN 'intimate' WHEN id % 8 = 2 THEN 'default' WHEN id % 8 = 3 THEN 'tech' WHEN category = 'src1' THEN 'intimate' WHEN profile = 'team_b' THEN 'tech' ELSE 'default' END"""
 
 
-@query("SELECT session_id, turn, coalesce(p, 'default') AS profile FROM turns LEFT JOIN (VALUES ('u1', 'tech'), ('u2', 'intimate')) m(u, p) ON m.u = user_id", "turns")
+def profile_of_fact() -> Column:
+    i = F.col("id")
+    asked = F.when(i % 8 == 0, " Dev").when(i % 8 == 1, "love").when(i % 8 == 2, "unknown").when(i % 8 == 3, "tech")
+    return rules.coalesce_profile(asked, F.col("category"), F.col("profile"), {"Src1": "intimate"}, {"team_b": "tech"})
+
+
+@query(f"SELECT id, {SQL_PROFILE} AS profile FROM facts", "facts")
 def b21_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    profile = F.when(F.col("user_id") == "u1", "tech").when(F.col("user_id") == "u2", "intimate").otherwise("default")
-    return relation(spark, folder, "turns").select("session_id", "turn", profile.alias("profile"))
+    """By name or alias, else by category, else by source."""
+    return relation(spark, folder, "facts").select("id", profile_of_fact().alias("profile"))
 
 
 @query(f"SELECT id, recorded_s < {AS_OF} - 30 * 86400 AS unverified FROM facts WHERE memory_tier = 'procedural'", "facts")
@@ -66,7 +88,8 @@ def b23_unverified(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT id, CAST(len(list_distinct(list_concat({sql_grams('v', 2)}, {SQL_WORDS.format('v')}))) AS BIGINT) AS tokens FROM (SELECT id, lower(trim(fact_value)) AS v FROM facts) t", "facts")
 def c2_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return relation(spark, folder, "facts").select("id", F.size(text.gram_words(F.col("fact_value"))).cast("long").alias("tokens"))
+    of_two, others = text.gram_sets(F.col("fact_value"))
+    return relation(spark, folder, "facts").select("id", (F.size(of_two) + F.size(others)).cast("long").alias("tokens"))
 
 
 @query("SELECT p_partkey, len(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9_]+'), lambda t: length(t) < 3)) = 0 AS authoritative FROM part")
@@ -92,11 +115,11 @@ def c13_persona_score(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").select("id", F.round(text.persona_score(F.lit("the and license of"), F.col("fact_value")), 6).alias("score"))
 
 
-@query("""SELECT page_id, CAST(len(n) AS BIGINT) AS names FROM (SELECT page_id, list_distinct(list_transform(regexp_extract_all(html, '"([A-Za-z ]{3,30})"', 1), lambda x: lower(x))) AS n FROM pages) t""")
+@query("""SELECT page_id, CAST(len(list_distinct(list_transform(list_filter(n, lambda x: trim(x) <> ''), lambda x: lower(trim(x))))) AS BIGINT) AS names FROM
+ (SELECT page_id, list_concat(regexp_extract_all(html, '["\\\\'']([^"\\\\'']+)["\\\\'']', 1), regexp_extract_all(html, '[A-Z][a-z]+ly')) AS n FROM pages) t""")
 def c17_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Quoted names, each once whatever its case."""
-    names = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit('"([A-Za-z ]{3,30})"'), F.lit(1)), lambda x: F.lower(x)))
-    return table(spark, folder, "pages").select("page_id", F.size(names).cast("long").alias("names"))
+    """Quoted names and those of a vocabulary, each once whatever its case."""
+    return table(spark, folder, "pages").select("page_id", F.size(text.entities(F.col("html"), ["[A-Z][a-z]+ly"])).cast("long").alias("names"))
 
 
 @query("SELECT id, regexp_matches(fact_value, '(?i)^the|nd of ') AS found FROM facts", "facts")
@@ -210,11 +233,21 @@ def f18_roll_back(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.roll_back_banks(banks(spark, folder), wanted).select("bank", "version", "state")
 
 
-@query("SELECT n.id FROM facts n WHERE n.id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM facts o WHERE o.id % 2 = 0 AND o.profile = n.profile AND o.fact_value = n.fact_value)", "facts")
+@query(
+    f"""WITH n AS (SELECT CASE id % 3 WHEN 0 THEN 'u4' WHEN 1 THEN 'u5' ELSE 'default' END AS user_id, trim(substring(fact_value, 1, 40 + id % 200)) AS content, id % 40 / 20E0 AS confidence FROM facts WHERE id % 2 = 1),
+ o AS (SELECT CASE id % 4 WHEN 0 THEN 'default' WHEN 2 THEN 'u5' END AS user_id, trim(substring(fact_value, 1, 40 + id % 200)) AS content FROM facts WHERE id % 2 = 0 UNION ALL SELECT 'default', content FROM n WHERE length(content) % 3 = 0),
+ c AS (SELECT user_id, content, max(least(confidence, 1E0)) AS confidence FROM (SELECT user_id, regexp_replace(content, '{rules.CONTROLS}', '', 'g') AS content, confidence FROM n WHERE content <> '') x GROUP BY user_id, content)
+ SELECT user_id, sha256(content) AS content_hash, round(confidence, 6) AS confidence FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.content = c.content AND (o.user_id = c.user_id OR (c.user_id = 'u4' AND o.user_id = 'default')))""",
+    "facts",
+)
 def f20_save_insights(spark: SparkSession, folder: str) -> DataFrame:
-    """New insights that aren't stored yet."""
-    facts = relation(spark, folder, "facts").select("id", "profile", "fact_value")
-    return facts.where("id % 2 = 1").join(facts.where("id % 2 = 0"), ["profile", "fact_value"], "left_anti").select("id")
+    """New insights that aren't stored yet; the default user, here u4, was once called 'default'."""
+    i = F.col("id")
+    facts = relation(spark, folder, "facts").withColumn("content", F.trim(F.substring("fact_value", F.lit(1), (40 + i % 200).cast("int"))))
+    new = facts.where("id % 2 = 1").select(F.when(i % 3 == 0, "u4").when(i % 3 == 1, "u5").otherwise("default").alias("user_id"), "content", (i % 40 / 20).alias("confidence"))
+    old = facts.where("id % 2 = 0").select(F.when(i % 4 == 0, "default").when(i % 4 == 2, "u5").alias("user_id"), "content")
+    old = old.unionByName(new.where("length(content) % 3 = 0").select(F.lit("default").alias("user_id"), "content"))
+    return writes.save_insights(new, old, "u4").select("user_id", F.sha2("content", 256).alias("content_hash"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("SELECT id, 0.5E0 AS salience, CAST(0 AS BIGINT) AS access_count, substring(fact_value, 1, 200) AS preview FROM facts WHERE archived = 0", "facts")
@@ -248,12 +281,15 @@ def g21_lessons(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.verify_lessons(rows, log).select("memory_id", F.round("salience", 6).alias("salience"), "lane")
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM conversations) AS turns, (SELECT count(*) FROM events) AS events")
+@query(
+    """SELECT 'documents' AS name, count(*) AS rows, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS empty, max(doc_id) AS newest FROM documents UNION ALL
+ SELECT 'turns', count(*), count(*) FILTER (WHERE text IS NULL OR trim(text) = ''), max(conv_id * 1000 + turn) FROM conversations UNION ALL SELECT 'events', count(*), count(*) FILTER (WHERE props IS NULL OR trim(props) = ''), max(event_id) FROM events"""
+)
 def h18_health(spark: SparkSession, folder: str) -> DataFrame:
-    names = {"documents": "documents", "turns": "conversations", "events": "events"}
-    counts = [table(spark, folder, t).agg(F.count("*").alias("n")).withColumn("k", F.lit(k)) for k, t in names.items()]
-    rows = counts[0].unionByName(counts[1]).unionByName(counts[2])
-    return rows.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in names])
+    """Rows of the tables, those without content, and the newest of each: one scan a table."""
+    looked = (("documents", "documents", "text", F.col("doc_id")), ("turns", "conversations", "text", F.col("conv_id") * 1000 + F.col("turn")), ("events", "events", "props", F.col("event_id")))
+    rows = [table(spark, folder, t).agg(F.count("*").alias("rows"), F.count_if(F.trim(F.coalesce(c, F.lit(""))) == "").alias("empty"), F.max(key).alias("newest")).select(F.lit(n).alias("name"), "*") for n, t, c, key in looked]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query(
@@ -301,12 +337,19 @@ def i10_consolidation(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("memory_id", F.round("salience", 6).alias("salience"), "lane")
 
 
-@query("SELECT DISTINCT concat(user_id, '::', CAST(session_id AS VARCHAR)) AS key, CASE user_id WHEN 'u1' THEN 8E0 WHEN 'u2' THEN 20E0 ELSE 12E0 END AS idle FROM turns", "turns")
+@query(
+    f"""SELECT key, idle, win, parts, chars, count(*) AS facts FROM (SELECT concat(coalesce(agent_id, CASE WHEN id % 3 = 0 THEN 'default' ELSE '' END), CASE WHEN id % 3 = 0 THEN '' ELSE concat('::s', CAST(id % 10 AS VARCHAR)) END, CASE WHEN p = 'default' THEN '' ELSE concat('::', p) END) AS key,
+ CASE p WHEN 'tech' THEN 8E0 WHEN 'intimate' THEN 20E0 ELSE 12E0 END AS idle, CASE p WHEN 'tech' THEN 2.5E0 WHEN 'intimate' THEN 8E0 ELSE 4E0 END AS win, CASE p WHEN 'tech' THEN 6 WHEN 'intimate' THEN 12 ELSE 8 END AS parts, CASE p WHEN 'tech' THEN 1500 WHEN 'intimate' THEN 3000 ELSE 2000 END AS chars
+ FROM (SELECT *, {SQL_PROFILE} AS p FROM facts) a) b GROUP BY ALL""",
+    "facts",
+)
 def j1_keys(spark: SparkSession, folder: str) -> DataFrame:
-    from ..streaming.coalesce import PROFILES
-
-    idle = F.when(F.col("user_id") == "u1", PROFILES["tech"][0]).when(F.col("user_id") == "u2", PROFILES["intimate"][0]).otherwise(PROFILES["default"][0])
-    return relation(spark, folder, "turns").select(F.concat_ws("::", "user_id", F.col("session_id").cast("string")).alias("key"), idle.alias("idle")).distinct()
+    """The buffers that facts would go to, with the limits of their profiles; a third of them have no session."""
+    profile = profile_of_fact()
+    session = F.when(F.col("id") % 3 != 0, F.concat(F.lit("s"), (F.col("id") % 10).cast("string")))
+    rows = relation(spark, folder, "facts").select(rules.coalesce_key(F.col("agent_id"), session, profile).alias("key"), profile.alias("p"))
+    limits = {n: scores.choose(F.col("p"), {k: v[j] for k, v in PROFILES.items()}, PROFILES["default"][j]) for j, n in enumerate(("idle", "win", "parts", "chars"))}
+    return rows.select("key", *[c.alias(n) for n, c in limits.items()]).groupBy("key", "idle", "win", "parts", "chars").agg(F.count("*").alias("facts"))
 
 
 @query("SELECT session_id, turn, coalesce(ts_s - lag(ts_s) OVER (PARTITION BY user_id ORDER BY ts_s, turn) <= 30 AND length(content) < 200, false) AS follows FROM turns", "turns")
@@ -322,11 +365,22 @@ def k2_summary(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").where("archived = 0").select("id", text.summary(F.col("fact_value")).alias("summary"))
 
 
-@query("SELECT DISTINCT coalesce(agent_id, 'local') AS agent, coalesce(max(profile) OVER (PARTITION BY agent_id), 'default') AS profile FROM facts WHERE coalesce(agent_id, 'local') <> 'agent_a'", "facts")
+@query(
+    """WITH g AS (SELECT user_id AS agent_id, max(ts_s) AS last_seen_s, CASE WHEN user_id IN ('u3', 'u5') THEN 0 ELSE 1 END AS active, CASE user_id WHEN 'u1' THEN 'tech' WHEN 'u2' THEN '' END AS profile FROM turns GROUP BY user_id), m AS (SELECT max(last_seen_s) AS m FROM g)
+ SELECT agent_id, coalesce(nullif(profile, ''), 'default') AS profile, active = 1 AND last_seen_s >= m - 86400 AND agent_id <> 'u1' AS peer FROM g, m UNION ALL SELECT 'nobody', 'default', false""",
+    "turns",
+)
 def k4_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    agent = F.coalesce("agent_id", F.lit("local"))
-    facts = relation(spark, folder, "facts").where(agent != "agent_a")
-    return facts.groupBy("agent_id").agg(F.max("profile").alias("profile")).select(agent.alias("agent"), F.coalesce("profile", F.lit("default")).alias("profile")).distinct()
+    """Agents' profiles, and who takes part beside u1: those that are active and were seen within a day of the last one."""
+    turns = relation(spark, folder, "turns")
+    user = F.col("user_id")
+    agents = turns.groupBy(user.alias("agent_id")).agg(F.max("ts_s").alias("last_seen_s"))
+    name = F.col("agent_id")
+    agents = agents.select("agent_id", "last_seen_s", F.when(name.isin("u3", "u5"), 0).otherwise(1).alias("active"), F.when(name == "u1", "tech").when(name == "u2", "").alias("profile"))
+    now = turns.agg(F.max("ts_s")).first()[0] or 0
+    peers = lifecycle.active_peers(agents, now, DAY, "u1").select("agent_id", F.lit(True).alias("peer"))
+    refs = agents.select("agent_id").unionByName(spark.sql("SELECT 'nobody' AS agent_id"))
+    return lifecycle.profiles_of(refs, agents).join(peers, "agent_id", "left").select("agent_id", "profile", F.coalesce("peer", F.lit(False)).alias("peer"))
 
 
 @query("SELECT id, fact_key FROM facts WHERE archived = 0 AND category = 'src7' ORDER BY recorded_s DESC, id DESC LIMIT 100", "facts")
@@ -334,14 +388,21 @@ def k5_latest_of_category(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").where("archived = 0 AND category = 'src7'").orderBy(F.desc("recorded_s"), F.desc("id")).limit(100).select("id", "fact_key")
 
 
-@query("SELECT category, arg_max(id, (recorded_s, id)) AS block FROM facts GROUP BY category", "facts")
+@query(
+    "SELECT session_id, count(*) AS blocks, min(CASE WHEN turn = 0 THEN sha256(content) END) AS first_hash, min(ts_s) AS created_s FROM turns WHERE turn < 5 AND content IS NOT NULL GROUP BY session_id", "turns"
+)
 def k16_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return relation(spark, folder, "facts").groupBy("category").agg(F.max_by("id", F.struct("recorded_s", "id")).alias("block"))
+    """Sessions' checkpoints, read as maps."""
+    rows = relation(spark, folder, "turns").where("turn < 5 AND content IS NOT NULL")
+    found = writes.checkpoint_of(rows.select("session_id", F.concat(F.lit("k"), F.col("turn").cast("string")).alias("block_key"), "content", F.col("ts_s").alias("created_s")))
+    return found.select("session_id", F.size("blocks").cast("long").alias("blocks"), F.sha2(F.try_element_at("blocks", F.lit("k0")), 256).alias("first_hash"), "created_s")
 
 
-@query("SELECT r_name AS path, 'root' AS kind FROM region UNION ALL SELECT 'UNFILED', 'seed'")
+@query("SELECT r_name AS path, 'root' AS kind FROM region UNION ALL SELECT DISTINCT n_name, 'seed' FROM nation WHERE n_name NOT IN (SELECT r_name FROM region) UNION ALL SELECT 'UNFILED', 'seed'")
 def k17_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Default rows that aren't there yet."""
+    """Default rows that aren't there yet: nations, one region that is there, and a place for the rest."""
     have = table(spark, folder, "region").select(F.col("r_name").alias("path"), F.lit("root").alias("kind"))
-    seeds = spark.sql("SELECT * FROM VALUES ('ASIA', 'seed'), ('UNFILED', 'seed') t(path, kind)")
-    return have.unionByName(seeds.join(have, "path", "left_anti"))
+    seeds = table(spark, folder, "nation").select(F.col("n_name").alias("path"), F.lit("seed").alias("kind")).distinct()
+    return writes.add_seeds(have, seeds.unionByName(spark.sql("SELECT * FROM VALUES ('ASIA', 'seed'), ('UNFILED', 'seed') t(path, kind)")), "path")
+
+

@@ -101,7 +101,7 @@ def d19_sandbox(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH w AS (SELECT user_id, session_id * 1000 + turn AS id, content, row_number() OVER (PARTITION BY user_id ORDER BY session_id DESC, turn DESC) AS rn FROM turns),
  p AS (SELECT q.id AS query_id, i.id AS memory_id, 0.7E0 * ({SQL_JACCARD.format(SQL_WORDS.format('q.content'), SQL_WORDS.format('i.content'))}) + 0.3E0 * ((i.id % 10) / 10E0) AS combined FROM w q JOIN w i ON q.user_id = i.user_id AND q.rn <= 3 AND i.rn BETWEEN 4 AND 23)
- SELECT query_id, memory_id, round(combined, 6) AS combined FROM p WHERE combined > 0.3E0""",
+ SELECT query_id, memory_id, round(combined, 6) AS combined FROM p WHERE combined > 0.25E0""",
     "turns",
 )
 def d21_workspace(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +110,7 @@ def d21_workspace(spark: SparkSession, folder: str) -> DataFrame:
     placed = pairs.latest_of(turns, "user_id", [F.desc("id")], 23)
     items = placed.where("rn > 3").select("user_id", F.col("id").alias("memory_id"), F.col("content").alias("text"), ((F.col("id") % 10) / 10).alias("score"))
     queries = placed.where("rn <= 3").select(F.col("id").alias("query_id"), "user_id", F.col("content").alias("query"))
-    return recall.workspace_lookup(items, queries, 0.3).select("query_id", "memory_id", F.round("combined", 6).alias("combined"))
+    return recall.workspace_lookup(items, queries, 0.25).select("query_id", "memory_id", F.round("combined", 6).alias("combined"))
 
 
 SQL_NEAR = f"""(SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rn FROM (SELECT qid, vec_id, {SQL_COSINE} / (sqrt({SQL_COSINE.replace('b[', 'a[')}) * sqrt({SQL_COSINE.replace('a[i] *', 'b[i] *')})) AS score FROM

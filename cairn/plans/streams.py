@@ -46,3 +46,16 @@ def k18_buffer_status(spark: SparkSession, folder: str) -> DataFrame:
     """The buffers that are open at a time."""
     found = coalesce.buffer_status(messages(spark, folder), 1_704_500_000, 36_000)
     return found.select("key", "parts", "chars", F.round("age_s", 3).alias("age_s"), F.round("idle_s", 3).alias("idle_s"))
+
+
+@query(
+    """WITH m AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(ts) AS t, event_id FROM events WHERE epoch(ts) <= 1704500000), o AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t, event_id) >= 7200 THEN 1 ELSE 0 END AS opens FROM m),
+ r AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM o), s AS (SELECT key, run, min(t) AS a, max(t) AS b, count(*) AS parts FROM r GROUP BY key, run),
+ l AS (SELECT * FROM s WHERE 1704500000 - b < 7200 ORDER BY b DESC, key LIMIT 40), h AS (SELECT r.*, row_number() OVER (PARTITION BY r.key ORDER BY t DESC, event_id DESC) AS n FROM r JOIN l ON l.key = r.key AND l.run = r.run)
+ SELECT l.key, parts, round(a, 3) AS start_s, round(b, 3) AS last_s, (SELECT string_agg(event_id, ',' ORDER BY t, event_id) FROM h WHERE h.key = l.key AND n <= 3) AS history FROM l"""
+)
+def j8_live_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The forty latest sessions that are open at a time, with their last three messages."""
+    found = coalesce.live_sessions(messages(spark, folder), 1_704_500_000, 7_200, 40, 3)
+    history = F.array_join(F.transform("history", lambda s: s.cast("string")), ",")
+    return found.select("key", "parts", F.round("start_s", 3).alias("start_s"), F.round("last_s", 3).alias("last_s"), history.alias("history"))

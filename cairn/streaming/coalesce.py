@@ -66,6 +66,17 @@ def buffer_status(messages: DataFrame, as_of: float, idle_s: float) -> DataFrame
     return last.where(F.lit(as_of) - F.col("x.end_s") < idle_s).select("key", "x.parts", "x.chars", (F.lit(as_of) - F.col("x.start_s")).alias("age_s"), (F.lit(as_of) - F.col("x.end_s")).alias("idle_s"))
 
 
+def live_sessions(messages: DataFrame, as_of: float, ttl_s: float = 1_800, most: int = 100, history: int = 50) -> DataFrame:
+    """The search sessions that are open at as_of, the `most` latest of them: (key, start_s, last_s, parts, history), history the seqs of the last messages, oldest first."""
+    runs = in_runs(messages.where(F.col("ts_s") <= as_of), ttl_s)
+    last = runs.groupBy("key", "run").agg(F.min("ts_s").alias("start_s"), F.max("ts_s").alias("last_s"), F.count("*").alias("parts"))
+    live = last.where(F.lit(as_of) - F.col("last_s") < ttl_s).orderBy(F.desc("last_s"), "key").limit(most)
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ts_s"), F.desc("seq")))
+    said = runs.join(live.select("key", "run"), ["key", "run"]).withColumn("_n", place).where(F.col("_n") <= history)
+    said = said.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts_s", "seq"))), lambda x: x["seq"]).alias("history"))
+    return live.join(said, "key").select("key", "start_s", "last_s", "parts", "history")
+
+
 def coalesce_stream(messages: DataFrame, profile: str = "default", watermark: str = "10 minutes") -> DataFrame:
     """Waves of a stream of messages (key, ts timestamp, size): buffers are state, closed by the next message or by event time passing their idle limit.
 
