@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, lines, minhash, mixing, quality
-from cairn.llm.common import materialize
+from cairn.llm.common import materialize, release
 from cairn.llm.queries import MIX_WEIGHTS, RANKS, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,7 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name)
+            release(before)
     return docs
