@@ -234,7 +234,7 @@ def e8_kinds_of_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH f AS (SELECT id, coalesce(agent_id, 'local') AS agent_id, category, memory_tier, fact_value, {sql_grams('fact_value', 2)} AS g FROM facts WHERE archived = 0),
- p AS (SELECT n.id, o.id AS m, {SQL_JACCARD.format('n.g', 'o.g')} AS s FROM f n JOIN f o ON n.agent_id = o.agent_id AND n.category = o.category AND n.id <> o.id WHERE n.id % 2 = 0 AND o.id % 2 = 1),
+ p AS (SELECT n.id, o.id AS m, {SQL_JACCARD.format('n.g', 'o.g')} AS s FROM f n JOIN f o ON n.agent_id = o.agent_id AND n.category = o.category AND n.id <> o.id WHERE n.id % 40 < 20 AND o.id % 40 >= 20),
  best AS (SELECT id, arg_max(m, (s, -m)) AS m FROM p WHERE s >= 0.5E0 GROUP BY id),
  v AS (SELECT n.id, o.id AS fact_id, CASE WHEN length(o.fact_value) >= length(n.fact_value) THEN o.fact_value ELSE n.fact_value END AS v,
  concat(o.category, ',', o.memory_tier, CASE WHEN n.memory_tier <> o.memory_tier THEN concat(',', n.memory_tier) ELSE '' END) AS tags FROM best JOIN f n ON n.id = best.id JOIN f o ON o.id = best.m)
@@ -242,9 +242,9 @@ def e8_kinds_of_facts(spark: SparkSession, folder: str) -> DataFrame:
     "facts",
 )
 def f2_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Each new fact (of an even id) with the stored one that it duplicates: the longer value, on a tie the stored one, and both's tags."""
+    """Each new fact (every other one of its category) with the stored one that it duplicates: the longer value, on a tie the stored one, and both's tags."""
     facts = relation(spark, folder, "facts").where("archived = 0").withColumns({"agent_id": F.coalesce("agent_id", F.lit("local")), "tags": F.concat_ws(",", "category", "memory_tier")})
-    new, old = facts.where("id % 2 = 0"), facts.where("id % 2 = 1")
+    new, old = facts.where("id % 40 < 20"), facts.where("id % 40 >= 20")
     found = writes.check_duplicate(new, old, merge=0.5, update=0.5).where("action = 'merge'").select("id", "match_id")
     pair = found.join(new.select("id", F.col("fact_value").alias("new_value"), F.col("tags").alias("new_tags")), "id")
     pair = pair.join(old.select(F.col("id").alias("match_id"), F.col("fact_value").alias("old_value"), F.col("tags").alias("old_tags")), "match_id")
