@@ -56,7 +56,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(table(spark, sf_dir, "documents"), pii.fit(spark)).drop("found")
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit(docs)).drop("found")
 
 
 QUERIES = {f.__name__: f for f in (op1_itq, op2_bpe, op3_lines, op4_quality, op5_tokens, op6_minhash, op7_fingerprint, op8_licenses, op9_mixing, op10_pii)}
