@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,38 +33,43 @@ KINDS = {
 }
 #: Fixed rows of a keyboard.
 KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+#: Words, in lower case, one of which each pattern of SECRETS and of SENSITIVE needs: a search for them is cheaper than the pattern.
+SECRET_WORDS = (("key", "token", "passw", "密", "口令", "秘钥"), ("sk-", "sk_", "pk-", "pk_"), ("ghp_",), ("akia",), ("private key-----",))
+SENSITIVE_WORDS = (("删除", "清空", "抹掉", "销毁"), ("删除", "清空", "抹掉", "销毁"), ("转账", "汇款", "支付", "付款", "交易"), ("授权", "提权", "放权", "sudo", "权限"))
 CJK = "[一-鿿]"
-#: Fixed pattern of orders to a model that are hidden in a text.
-INJECTION = (
-    r"(?is)ignore\s+(all\s+)?(your\s+)?(previous|prior|earlier|above|system)\s+(instructions?|directions?|prompts?)"
-    r"|forget\s+(all\s+|everything\s+)?(you\s+)?(learned|were\s+told|remember)\s+(about\s+your\s+rules|and\s+start\s+fresh)"
-    r"|disregard\s+(all\s+|previous\s+|prior\s+)?(instructions?|commands?|directives?|system\s+prompts?)"
-    r"|do\s+not\s+follow\s+(the\s+|any\s+|these\s+)?(instructions?|system\s+prompts?)"
-    r"|you\s+must\s+(ignore|forget|override|bypass)\s+(all\s+)?(rules?|instructions?|system\s+prompts?)"
-    r"|override\s+(all\s+)?(system\s+)?(prompts?|instructions?)"
-    r"|(from\s+now\s+on\s+you\s+are|act\s+as|pretend\s+(you\s+are|to\s+be)|you\s+are\s+now)\s+(an?\s+)?(unrestricted|jailbroken|dan|dan\s+mode|developer\s+mode|evil|god\s+mode|bypass\s+mode)"
-    r"|your\s+(new|real|true|actual)\s+system\s+(prompt|instruction)\s+is"
-    r"|<\|?im_start\|?>|<\|?im_end\|?>|<\|?endoftext\|?>|<\|?system\|?>|<\|?user\|?>|<\|?assistant\|?>"
-    r"|\[system\s*(prompt|message|instruction)?\]|\[/?(system|prompt|instruction)\]|<\s*(system|prompt|instruction)\s*>"
-    r"|忽略(之前|先前|上述|上面|历史|原有|所有|全部)*(的)?(所有|全部|之前|先前|历史)*(系统)?(指令|指示|提示词)"
-    r"|忘记(所有|一切|你学到的|你的记忆)*(的)?(系统)?(指令|提示词)"
-    r"|从现在(起|开始)?(你(是|将是)|扮演|假装)(无限制|越狱|DAN|不受约束)"
-    r"|你现在的真实(系统)?(指令|提示词)是|你的真实(系统)?(指令|提示词)是"
-    r"|不要遵守(上述|任何|这些|系统)?(系统)?(指令|提示词)|覆盖(系统)?(指令|提示词)|扮演无限制|无视(道德|安全|系统)?限制"
+#: Fixed patterns of orders to a model that are hidden in a text, each with words one of which it needs.
+INJECTION_PARTS = (
+    (("ignore",), r"ignore\s+(all\s+)?(your\s+)?(previous|prior|earlier|above|system)\s+(instructions?|directions?|prompts?)"),
+    (("forget",), r"forget\s+(all\s+|everything\s+)?(you\s+)?(learned|were\s+told|remember)\s+(about\s+your\s+rules|and\s+start\s+fresh)"),
+    (("disregard",), r"disregard\s+(all\s+|previous\s+|prior\s+)?(instructions?|commands?|directives?|system\s+prompts?)"),
+    (("follow",), r"do\s+not\s+follow\s+(the\s+|any\s+|these\s+)?(instructions?|system\s+prompts?)"),
+    (("must",), r"you\s+must\s+(ignore|forget|override|bypass)\s+(all\s+)?(rules?|instructions?|system\s+prompts?)"),
+    (("override",), r"override\s+(all\s+)?(system\s+)?(prompts?|instructions?)"),
+    (("now", "act", "pretend"), r"(from\s+now\s+on\s+you\s+are|act\s+as|pretend\s+(you\s+are|to\s+be)|you\s+are\s+now)\s+(an?\s+)?(unrestricted|jailbroken|dan|dan\s+mode|developer\s+mode|evil|god\s+mode|bypass\s+mode)"),
+    (("system",), r"your\s+(new|real|true|actual)\s+system\s+(prompt|instruction)\s+is"),
+    (("im_start", "im_end", "endoftext", "system", "user", "assistant"), r"<\|?im_start\|?>|<\|?im_end\|?>|<\|?endoftext\|?>|<\|?system\|?>|<\|?user\|?>|<\|?assistant\|?>"),
+    (("[", "<"), r"\[system\s*(prompt|message|instruction)?\]|\[/?(system|prompt|instruction)\]|<\s*(system|prompt|instruction)\s*>"),
+    (("忽略",), r"忽略(之前|先前|上述|上面|历史|原有|所有|全部)*(的)?(所有|全部|之前|先前|历史)*(系统)?(指令|指示|提示词)"),
+    (("忘记",), r"忘记(所有|一切|你学到的|你的记忆)*(的)?(系统)?(指令|提示词)"),
+    (("从现在",), r"从现在(起|开始)?(你(是|将是)|扮演|假装)(无限制|越狱|DAN|不受约束)"),
+    (("你现在", "你的真实"), r"你现在的真实(系统)?(指令|提示词)是|你的真实(系统)?(指令|提示词)是"),
+    (("遵守", "覆盖", "扮演", "无视"), r"不要遵守(上述|任何|这些|系统)?(系统)?(指令|提示词)|覆盖(系统)?(指令|提示词)|扮演无限制|无视(道德|安全|系统)?限制"),
 )
-#: Fixed pattern of the same in a text of which only letters and digits are left.
-INJECTION_BARE = (
-    r"(?i)ignore(all)?(your)?(previous|prior|earlier|above|system)?(instruction|instructions|direction|prompt)"
-    r"|forget(all|everything)?(you)?(learned|weretold|remember)?(system)?(instruction|prompt)"
-    r"|disregard(all|previous|prior)?(instruction|command|directive|systemprompt)"
-    r"|(fromnowonyouare|actas|pretendto|youarenow)(unrestricted|jailbroken|dan|danmode|developermode|evil)"
-    r"|youmust(ignore|forget|override|bypass)(all)?(rule|instruction|systemprompt)"
-    r"|override(all)?(system)?(prompt|instruction)"
-    r"|忽略(之前|先前|上述|上面|历史|原有|所有|全部)*(系统)?(指令|指示|提示词)"
-    r"|忘记(所有|一切|你学到的|你的记忆)*(系统)?(指令|提示词)"
-    r"|从现在(起|开始)?(你是|扮演|假装)(无限制|越狱|dan|不受约束)|扮演无限制|无视(道德|系统|安全)?限制"
-    r"|你的真实(系统)?(指令|提示词)是|不要遵守(上述|任何|这些)?(系统)?(指令|提示词)"
+INJECTION = "(?is)" + "|".join(p for _, p in INJECTION_PARTS)
+#: Fixed patterns of the same in a text of which only letters and digits are left, in lower case.
+INJECTION_BARE_PARTS = (
+    (("ignore",), r"ignore(all)?(your)?(previous|prior|earlier|above|system)?(instruction|instructions|direction|prompt)"),
+    (("forget",), r"forget(all|everything)?(you)?(learned|weretold|remember)?(system)?(instruction|prompt)"),
+    (("disregard",), r"disregard(all|previous|prior)?(instruction|command|directive|systemprompt)"),
+    (("fromnowonyouare", "actas", "pretendto", "youarenow"), r"(fromnowonyouare|actas|pretendto|youarenow)(unrestricted|jailbroken|dan|danmode|developermode|evil)"),
+    (("youmust",), r"youmust(ignore|forget|override|bypass)(all)?(rule|instruction|systemprompt)"),
+    (("override",), r"override(all)?(system)?(prompt|instruction)"),
+    (("忽略",), r"忽略(之前|先前|上述|上面|历史|原有|所有|全部)*(系统)?(指令|指示|提示词)"),
+    (("忘记",), r"忘记(所有|一切|你学到的|你的记忆)*(系统)?(指令|提示词)"),
+    (("从现在", "扮演", "无视"), r"从现在(起|开始)?(你是|扮演|假装)(无限制|越狱|dan|不受约束)|扮演无限制|无视(道德|系统|安全)?限制"),
+    (("你的真实", "遵守"), r"你的真实(系统)?(指令|提示词)是|不要遵守(上述|任何|这些)?(系统)?(指令|提示词)"),
 )
+INJECTION_BARE = "(?i)" + "|".join(p for _, p in INJECTION_BARE_PARTS)
 #: Fixed: characters that are taken out of texts, and the length beyond which a text is cut before it is stored.
 CONTROLS, MOST_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", 100_000
 #: Fixed patterns of the gate, in the order in which they are tried; the kind and scope that each means.
@@ -85,11 +91,19 @@ PROFILE_NAMES = ("default", "tech", "intimate")
 SPACES = " \t\n\r\x0b\x0c"
 
 
-def any_match(text: Column, patterns) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | text.rlike(p)
-    return out
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _any(found: list[Column]) -> Column:
+    return reduce(or_, found, F.lit(False))
+
+
+def any_match(text: Column, patterns, words) -> Column:
+    """Whether a text fits any of the patterns; words has for each of them some, in lower case, one of which a text that fits must have."""
+    fits = lambda low: _any([_any([F.contains(low, F.lit(w)) for w in need]) & text.rlike(p) for p, need in zip(patterns, words, strict=True)])
+    return bound(F.lower(text), fits)
 
 
 def first_kind(text: Column, table: dict[str, str] | None = None, default: str = "FACTS") -> Column:
@@ -140,9 +154,9 @@ def is_noise(text: Column) -> Column:
 def screen(text: Column) -> Column:
     """What is done with a candidate: 'reject:secret', 'reject:noise', 'human_review' or 'evaluate', by the first rule that holds."""
     return (
-        F.when(any_match(text, SECRETS), F.lit("reject:secret"))
+        F.when(any_match(text, SECRETS, SECRET_WORDS), F.lit("reject:secret"))
         .when(is_noise(text), F.lit("reject:noise"))
-        .when(any_match(text, SENSITIVE), F.lit("human_review"))
+        .when(any_match(text, SENSITIVE, SENSITIVE_WORDS), F.lit("human_review"))
         .otherwise(F.lit("evaluate"))
     )
 
@@ -159,8 +173,8 @@ def repeats_lines(text: Column) -> Column:
         run = F.when(s["last"] == x, s["run"] + 1).otherwise(F.lit(1))
         return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
 
-    most = F.aggregate(lines, start, step)["most"]
-    return (F.size(lines) > 6) & (most >= 3) & (most / F.size(lines) > 0.3)
+    often = lambda ls: bound(F.aggregate(ls, start, step)["most"], lambda most: (most >= 3) & (most / F.size(ls) > 0.3))
+    return bound(lines, lambda ls: F.when(F.size(ls) > 6, often(ls)).otherwise(F.lit(False)))
 
 
 def cleaned(text: Column) -> Column:
@@ -170,15 +184,13 @@ def cleaned(text: Column) -> Column:
 
 def guard(text: Column) -> Column:
     """What is wrong with a text: 'empty', 'pattern', 'hidden' (the same without signs and spaces), 'repeated', or 'ok'. Cleaned first."""
-    clean = cleaned(text)
-    bare = F.lower(F.regexp_replace(clean, "[^0-9a-zA-Z一-鿿]", ""))
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.lit("empty"))
-        .when(clean.rlike(INJECTION), F.lit("pattern"))
-        .when((F.length(bare) >= 4) & bare.rlike(INJECTION_BARE), F.lit("hidden"))
-        .when(repeats_lines(clean), F.lit("repeated"))
-        .otherwise(F.lit("ok"))
+    fits = lambda t, parts: any_match(t, ["(?is)" + p for _, p in parts], [need for need, _ in parts])
+    hidden = lambda bare: (F.length(bare) >= 4) & fits(bare, INJECTION_BARE_PARTS)
+    bare = lambda clean: F.lower(F.regexp_replace(clean, "[^0-9a-zA-Z一-鿿]+", ""))
+    told = lambda clean: (
+        F.when(fits(clean, INJECTION_PARTS), F.lit("pattern")).when(bound(bare(clean), hidden), F.lit("hidden")).when(repeats_lines(clean), F.lit("repeated")).otherwise(F.lit("ok"))
     )
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("empty")).otherwise(bound(cleaned(text), told))
 
 
 def relevance(query: Column, self_words: tuple[str, ...] = ()) -> Column:
