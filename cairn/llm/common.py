@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 #: Rows of a short intermediate table that one task makes and writes.
 TASK_ROWS = 50_000
+#: Spark's setting by which a query's shuffle files are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that a worker handles at a time; a longer text is handled alone.
 SLICE = 1 << 20
 
@@ -44,6 +47,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession):
+    """Shuffle files of what is run within are deleted when it ends, rather than some time after the driver has forgotten them."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
@@ -53,7 +67,8 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(rows // TASK_ROWS + 1)).write.parquet(path)
+    with _shuffles_deleted(spark):
+        (df if rows is None else df.coalesce(rows // TASK_ROWS + 1)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out

@@ -2,7 +2,7 @@
 
 A line is the set of its lower-cased words. Tokens are put in order of rarity, rarest first; two sets
 reach a Jaccard similarity only if they share a token among the first few of each (prefix filter), their sizes are close
-(length filter), and what stands after the shared token can still make up the overlap (positional filter). A 128-bit parity
+(length filter), and what stands after the shared token can still make up the overlap (positional filter). A parity
 bitmap of each set, whose XOR has no more bits than the sets' symmetric difference has members, rules out most other pairs within the
 join. The pairs that are left are verified on whole sets. Both joins are semi-joins: they stop at a line's first
 partner and write it once, so that a group of similar lines never gives its pairs.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, release, small
 from .fingerprint import GAP
 
 #: Hash buckets in which tokens are counted for their rarity: the whole of what the counts take, however large the vocabulary.
@@ -23,14 +23,18 @@ _MASK = (1 << 56) - 1
 SMALL = 40
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
-    """A byte for each hash bucket: 4 log2 of the number of words of all texts that fall into it, in whole steps, below 128."""
+def rarity(docs: DataFrame, text_col: str = "text") -> Column:
+    """A number for each hash bucket: 4 log2 of the number of words of all texts that fall into it, in whole steps, below 128.
+
+    Words are cut at single spaces and newlines here, which is cheaper; what else they are cut at does not change the order much, and no order makes
+    the join miss a pair. The numbers are written as text that the optimizer turns into an array once.
+    """
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), GAP)).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket"))
+    words = docs.select(F.explode(F.split(F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket"))
     counts = words.groupBy("bucket").count().unionByName(spark.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(1).cast("long").alias("count")))
     steps = counts.groupBy("bucket").agg(F.least(F.floor(4 * F.log2(F.sum("count"))), F.lit(127)).cast("int").alias("step"))
     found = steps.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "step"))), lambda x: x["step"]).alias("steps")).first()["steps"]  # BUCKETS of them
-    return bytes(found)
+    return F.split(F.lit(",".join(map(str, found))), ",").cast("array<bigint>")
 
 
 def bare(line: Column) -> Column:
@@ -46,22 +50,20 @@ def split_words(line: Column) -> Column:
     return F.when(other, F.split(F.lower(line), GAP)).otherwise(F.split(F.lower(line), " "))
 
 
-def token_set(line: Column, steps: bytes) -> Column:
+def token_set(line: Column, steps: Column) -> Column:
     """The distinct tokens of a bare line with a word as sorted longs: seven bits of rarity, then 56 bits of hash. Rare ones come first."""
-    table = F.lit(steps)  # as bytes, for plans are kept and written out by the driver
-    step = lambda h: F.ascii(F.substring(table, h.bitwiseAND(BUCKETS - 1).cast("int") + 1, F.lit(1)).cast("string"))
-    name = lambda h: F.shiftleft(step(h).cast("bigint"), 56).bitwiseOR(h.bitwiseAND(_MASK))
+    name = lambda h: F.shiftleft(F.get(steps, h.bitwiseAND(BUCKETS - 1)), 56).bitwiseOR(h.bitwiseAND(_MASK))
     return F.sort_array(F.transform(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), name))
 
 
 def parity(tokens: Column) -> Column:
     """Two longs of 64 bits, each of which tells whether an odd number of tokens falls on it. Sets of SMALL tokens at most use the first only."""
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    turn = lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(t, 20).bitwiseAND(63).cast("int")))
+    one, none, half = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.lit(1 << 26).cast("bigint")
+    turn = lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int")))
     of = lambda some: F.aggregate(some, none, turn)
-    half = lambda k: F.filter(tokens, lambda t: F.shiftright(t, 26).bitwiseAND(1) == k)
     few = F.size(tokens) <= SMALL
-    return F.struct(F.when(few, of(tokens)).otherwise(of(half(0))).alias("a"), F.when(few, none).otherwise(of(half(1))).alias("b"))
+    low = F.when(few, of(tokens)).otherwise(of(F.filter(tokens, lambda t: t.bitwiseAND(half) == 0)))
+    return F.struct(low.alias("a"), F.when(few, none).otherwise(of(F.filter(tokens, lambda t: t.bitwiseAND(half) != 0))).alias("b"))
 
 
 def prefix_size(size: Column, percent: int) -> Column:
@@ -122,6 +124,11 @@ def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("line", bare(F.col("line"))).where("line <> ''")
 
 
+def _key(tokens: Column) -> Column:
+    """A 128-bit name of a set."""
+    return F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(7), "tokens").alias("y"))
+
+
 def line_decisions(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, no, removed) for each line with a word, of each row of docs; th is xxhash64 of the row's text.
 
@@ -133,7 +140,7 @@ def line_decisions(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     lines = split_lines(docs, id_col, text_col).withColumn("tokens", token_set(F.col("line"), steps))
     size = F.size("tokens")
     short = F.transform(F.slice("tokens", F.lit(1), prefix_size(size, percent)), lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))
-    lines = materialize(lines.select("id", "th", "no", F.xxhash64("tokens").alias("key"), size.alias("size"), parity(F.col("tokens")).alias("bits"), short.alias("prefix")), "lines")
+    lines = materialize(lines.select("id", "th", "no", _key(F.col("tokens")).alias("key"), size.alias("size"), parity(F.col("tokens")).alias("bits"), short.alias("prefix")), "lines")
     place = _place(lines)
     lines_at = lines.withColumn("place", place)
     firsts = lines_at.groupBy("key").agg(F.min("place").alias("first"))
@@ -146,18 +153,21 @@ def line_decisions(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     earlier = on & (F.col("r.first") < F.col("l.first"))
     later = materialize(met.alias("l").join(met.alias("r"), earlier, "left_semi"), "later", n)
     partners = materialize(met.alias("r").join(later.alias("l"), earlier, "left_semi"), "partners", n)
+    release(met)
     chosen = later.select("first").unionByName(partners.select("first")).distinct()
-    at = materialize(lines_at.join(small(chosen), F.col("place") == F.col("first"), "left_semi").select("id", "th", "no", "place", "key").distinct(), "at")
-    where = at.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("no", "place", "key")).alias("_lines"))  # lines of one text
+    at = materialize(lines_at.join(small(chosen), F.col("place") == F.col("first"), "left_semi").select("id", "th", "no", "place").distinct(), "at")
+    where = at.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("no", "place")).alias("_lines"))  # lines of one text
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     texts = texts.join(small(where), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     again = texts.select(F.explode("_lines").alias("x"), F.split("text", "\n").alias("all")).select("x.place", token_set(bare(F.get("all", F.col("x.no"))), steps).alias("tokens"))
     tokens = materialize(again.groupBy(F.col("place").alias("first")).agg(F.any_value("tokens").alias("tokens")), "tokens", n)
+    release(at)
     # A later set is first compared at its rarest such token, where its partner mostly is; what is then left, at all its others.
     rank = F.row_number().over(Window.partitionBy("first").orderBy(F.shiftright("shape", 1).bitwiseAND(0x7FFFFFFF)))
     gone = materialize(_verified(later.withColumn("_n", rank).where("_n = 1").drop("_n"), partners, tokens, percent), "gone", n)
     rest = later.join(gone, "first", "left_anti")
-    removed = gone.unionByName(_verified(rest, partners, tokens, percent))
+    removed = materialize(gone.unionByName(_verified(rest, partners, tokens, percent)), "removed", n)
+    release(later, partners, tokens, gone)
     of_set = firsts.join(removed.withColumn("gone", F.lit(True)), "first", "left").select("key", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     return lines_at.select("id", "th", "no", "key", "place").join(of_set, "key").select("id", "th", "no", (F.col("gone") | (F.col("place") != F.col("first"))).alias("removed"))
 
@@ -193,13 +203,13 @@ def remove_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     """docs with the text's removed lines taken out; a row all of whose lines with words are removed goes.
 
     Rows without a word in any line stay as they are, null and empty texts among them. All other columns of docs stay as they
-    are. Rows equal in id and text fare alike.
+    are, whatever their names. Rows equal in id and text fare alike.
     """
-    gone = removed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), percent, "id", "text").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
-    rows = docs.withColumn("_h", F.xxhash64(text_col))
-    joined = rows.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
-    numbered = F.arrays_zip(F.split(F.col(text_col), "\n").alias("line"), F.sequence(F.lit(0), F.size(F.split(F.col(text_col), "\n")) - 1).alias("no"))
-    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains(F.col("_removed"), x["no"])), lambda x: x["line"])
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_text", text).where(F.col("_removed").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    gone = removed_lines(whole, percent, "id", "text").select(F.col("id").alias("g_id"), F.col("th").alias("g_th"), "removed")
+    joined = whole.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_th")), "left")
+    numbered = F.arrays_zip(F.split("text", "\n").alias("line"), F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1).alias("no"))
+    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains("removed", x["no"])), lambda x: x["line"])
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn("text", text).where(F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
