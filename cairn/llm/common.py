@@ -58,17 +58,17 @@ def _shuffles_deleted(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
-def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, rows: int | None = None, codec: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     It cuts the lineage in a way that survives the loss of executors, and is smaller than a
     checkpoint of rows. Where a bound of the number of rows is known, one task writes TASK_ROWS of them, so that short tables
-    are not hundreds of files.
+    are not hundreds of files. codec is the compression of the files, if not the session's.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     with _shuffles_deleted(spark):
-        (df if rows is None else df.coalesce(rows // TASK_ROWS + 1)).write.parquet(path)
+        (df if rows is None else df.coalesce(rows // TASK_ROWS + 1)).write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out
