@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def facts_of(facts: DataFrame, edges: DataFrame, entities: DataFrame, name: str) -> DataFrame:
     """Facts linked to an entity whose name holds the given one, without regard to case."""
@@ -111,9 +112,7 @@ def _cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the session's checkpoint folder, which survives lost executors. Only a session whose tasks all run in this process gets a folder of its own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairn-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

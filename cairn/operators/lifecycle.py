@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .ordered import clamped_sums
 from .pairs import following
 
 
@@ -27,9 +28,10 @@ def evolution_cycle(salience: DataFrame, as_of: int) -> DataFrame:
 def feedback(salience: DataFrame, signals: DataFrame) -> DataFrame:
     """salience after signals (memory_id, seq, signal) in order: useful +0.15, useless -0.12, correction +0.05, clamped to 0.05..1 after each. Adds adjusted."""
     delta = F.when(F.col("signal") == "useful", 0.15).when(F.col("signal") == "useless", -0.12).when(F.col("signal") == "correction", 0.05).otherwise(0.0)
-    steps = signals.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("seq", delta.alias("delta")))).alias("steps"))
-    fold = F.aggregate(F.coalesce("steps", F.array().cast("array<struct<seq: bigint, delta: double>>")), F.col("salience"), lambda s, x: F.least(F.greatest(s + x["delta"], F.lit(0.05)), F.lit(1.0)))
-    return salience.join(steps, "memory_id", "left").withColumn("adjusted", fold).drop("steps")
+    runs = clamped_sums(signals.select("memory_id", "seq", delta.alias("delta")), "memory_id", "seq", "delta", 0.05, 1.0)
+    runs = runs.select("memory_id", F.col("add").alias("_add"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    moved = F.least(F.col("_high"), F.greatest(F.col("_low"), F.col("salience") + F.col("_add")))
+    return salience.join(runs, "memory_id", "left").withColumn("adjusted", F.coalesce(moved, "salience")).drop("_add", "_low", "_high")
 
 
 def expire(facts: DataFrame, as_of: int, column: str = "valid_to_s") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scores, text
 from ..functions.grams import bigrams
+from .ordered import cache_writes
 from .similar import best_similar
 
 
@@ -277,11 +278,11 @@ def layer_add(new: DataFrame, nearest: DataFrame, counts: DataFrame, capacity: i
 def fast_add(messages: DataFrame, seen: DataFrame, ttl_s: int) -> DataFrame:
     """The way of each message (seq, key, ts_s, content) into the store: (seq, way): 'cached', 'duplicate', 'fast' or 'extract', the first that holds.
 
-    Cached: the same content of the key was asked for within ttl_s before. Duplicate: the store, seen (key, content_hash), has it. Fast: the text is of a form that needs no model.
+    Cached: the same content of the key was extracted no more than ttl_s before; an entry lives from its writing, and a later request doesn't renew it. Duplicate: the
+    store, seen (key, content_hash), has it. Fast: the text is of a form that needs no model. seq is unique.
     """
-    order = Window.partitionBy("key", "content_hash").orderBy("ts_s", "seq")
-    rows = messages.withColumn("content_hash", text.content_hash(F.col("content"))).withColumn("before", F.lag("ts_s").over(order))
+    rows = messages.withColumn("content_hash", text.content_hash(F.col("content")))
+    made = cache_writes(rows.select("key", "content_hash", F.col("seq").alias("id"), F.col("ts_s").alias("at")), ["key", "content_hash"], ttl_s).select(F.col("id").alias("seq"), F.lit(True).alias("made"))
     known = seen.select("key", "content_hash").distinct().withColumn("stored", F.lit(True))
-    joined = rows.join(known, ["key", "content_hash"], "left")
-    cached = F.coalesce(F.col("ts_s") - F.col("before") <= ttl_s, F.lit(False))
-    return joined.select("seq", F.when(cached, "cached").when(F.coalesce("stored", F.lit(False)), "duplicate").when(text.fastpath(F.col("content")).isNotNull(), "fast").otherwise("extract").alias("way"))
+    joined = rows.join(known, ["key", "content_hash"], "left").join(made, "seq", "left")
+    return joined.select("seq", F.when(F.col("made").isNull(), "cached").when(F.coalesce("stored", F.lit(False)), "duplicate").when(text.fastpath(F.col("content")).isNotNull(), "fast").otherwise("extract").alias("way"))

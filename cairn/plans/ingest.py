@@ -226,9 +226,11 @@ def i11_parse_insights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS key, epoch(ts) AS t, CASE event_type WHEN 'click' THEN concat(' key = ', props) WHEN 'view' THEN '我叫 x' ELSE event_type END AS c FROM events),
- h AS (SELECT *, sha256(trim(c)) AS h, lag(t) OVER (PARTITION BY key, sha256(trim(c)) ORDER BY t, seq) AS b FROM m)
- SELECT seq, CASE WHEN coalesce(t - b <= 86400, false) THEN 'cached' WHEN c = 'error' AND CAST(key AS BIGINT) % 2 = 0 THEN 'duplicate' WHEN starts_with(c, ' key') OR c = '我叫 x' THEN 'fast' ELSE 'extract' END AS way FROM h"""
+    """WITH RECURSIVE m AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS key, epoch(ts) AS t, CASE event_type WHEN 'click' THEN concat(' key = ', props) WHEN 'view' THEN '我叫 x' ELSE event_type END AS c FROM events),
+ h AS (SELECT *, row_number() OVER (PARTITION BY key, c ORDER BY t, seq) AS rn FROM m),
+ w AS (SELECT seq, key, c, rn, t AS since, true AS made FROM h WHERE rn = 1 UNION ALL
+ SELECT h.seq, h.key, h.c, h.rn, CASE WHEN h.t - w.since > 86400 THEN h.t ELSE w.since END, h.t - w.since > 86400 FROM w JOIN h ON h.key = w.key AND h.c = w.c AND h.rn = w.rn + 1)
+ SELECT seq, CASE WHEN NOT made THEN 'cached' WHEN c = 'error' AND CAST(key AS BIGINT) % 2 = 0 THEN 'duplicate' WHEN starts_with(c, ' key') OR c = '我叫 x' THEN 'fast' ELSE 'extract' END AS way FROM w"""
 )
 def j10_fast_add(spark: SparkSession, folder: str) -> DataFrame:
     """The way of each message: from the cache, known already, by a form, or by a model."""

@@ -133,9 +133,15 @@ def g22_override(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.close_overridden(relation(spark, folder, "facts"), ["category", "profile"]).select("id", F.coalesce("closed_s", F.lit(-1)).alias("closed_s"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE e AS (SELECT concat('u', CAST(user_id AS VARCHAR), ':', event_type) AS memory_id, CAST(trunc(floor(value)) AS BIGINT) % 5 AS hits, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events),
+ w AS (SELECT memory_id, CAST(0 AS BIGINT) AS rn, salience AS s FROM {HEAT} UNION ALL
+ SELECT w.memory_id, e.rn, least(1E0, greatest(0.05E0, w.s + CASE WHEN hits >= 3 THEN 0.15E0 WHEN hits = 0 THEN -0.12E0 ELSE 0.05E0 END)) FROM w JOIN e ON e.memory_id = w.memory_id AND e.rn = w.rn + 1)
+ SELECT memory_id, round(arg_max(s, rn), 6) AS adjusted FROM w GROUP BY memory_id""",
+    "salience",
+)
 def g5_feedback(spark: SparkSession, folder: str) -> DataFrame:
-    """A fold in order, with a clamp after each step; tested against a plain loop."""
+    """A fold in order, with a clamp after each step."""
     signals = relation(spark, folder, "query_log").join(spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id"), "event_id")
     kind = F.when(F.col("hit_count") >= 3, "useful").when(F.col("hit_count") == 0, "useless").otherwise("correction")
     signals = signals.select(F.concat(F.lit("u"), "user_id", F.lit(":"), "query").alias("memory_id"), F.col("event_id").alias("seq"), kind.alias("signal"))

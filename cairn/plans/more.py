@@ -394,16 +394,6 @@ def j5_latest_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("updates"))
 
 
-@query(
-    """SELECT event_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS gap FROM events) t WHERE gap IS NULL OR gap > INTERVAL 1 HOUR"""
-)
-def j6_cache_misses(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests that a cache with an hour to live, renewed by each use, would not have had."""
-    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    events = table(spark, folder, "events").withColumn("before", before)
-    return events.where(F.col("before").isNull() | (F.col("ts") - F.col("before") > F.expr("INTERVAL 1 HOUR"))).select("event_id")
-
-
 @query(f"SELECT id, substring(fact_key, 1, 3) AS first_gram, len({sql_grams('fact_key', 3)}) AS grams FROM facts", "facts")
 def k7_postings(spark: SparkSession, folder: str) -> DataFrame:
     grams = text.grams(F.col("fact_key"), 3)

@@ -352,14 +352,6 @@ def j1_keys(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("key", *[c.alias(n) for n, c in limits.items()]).groupBy("key", "idle", "win", "parts", "chars").agg(F.count("*").alias("facts"))
 
 
-@query("SELECT session_id, turn, coalesce(ts_s - lag(ts_s) OVER (PARTITION BY user_id ORDER BY ts_s, turn) <= 30 AND length(content) < 200, false) AS follows FROM turns", "turns")
-def j11_follow_up(spark: SparkSession, folder: str) -> DataFrame:
-    """Short messages soon after the user's last one need no gate of their own."""
-    before = F.lag("ts_s").over(Window.partitionBy("user_id").orderBy("ts_s", "turn"))
-    follows = (F.col("ts_s") - before <= 30) & (F.length("content") < 200)
-    return relation(spark, folder, "turns").select("session_id", "turn", F.coalesce(follows, F.lit(False)).alias("follows"))
-
-
 @query("SELECT id, CASE WHEN length(fact_value) > 60 THEN concat(substring(fact_value, 1, 60), '...') ELSE fact_value END AS summary FROM facts WHERE archived = 0", "facts")
 def k2_summary(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").where("archived = 0").select("id", text.summary(F.col("fact_value")).alias("summary"))

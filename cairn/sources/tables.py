@@ -57,4 +57,8 @@ def with_relations(sql: str, *names: str) -> str:
     if not names:
         return sql
     ctes = ", ".join(f"{n} AS ({RELATIONS[n][1].replace('STRING', 'VARCHAR')})" for n in names)
-    return f"WITH {ctes}, {sql.lstrip()[5:]}" if sql.lstrip().upper().startswith("WITH ") else f"WITH {ctes} {sql}"
+    sql = sql.lstrip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(head):
+            return f"{head}{ctes}, {sql[len(head):]}"
+    return f"WITH {ctes} {sql}"
