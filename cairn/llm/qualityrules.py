@@ -27,7 +27,7 @@ SPACE_BITS, CHARS = 18, (2, 3, 4)
 #: Frequencies are multiplied by it, so that the penalty on weights suits them.
 SCALE = 50.0
 #: Labelled rows that a model is fitted on at most, those of smallest hash; one in so many of them calibrates it; tasks that hold them.
-FIT_ROWS, CALIBRATE, FIT_TASKS = 8_000, 4, 6
+FIT_ROWS, CALIBRATE, FIT_TASKS = 8_000, 4, 4
 PENALTY, STEPS = 1e-4, 40
 #: Rules of the base: words at least, words of a window, percentage of words in repeated windows at most.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     h = F.xxhash64("id", "label")
     made = rows.select(h.alias("h"), F.col("label").cast("double").alias("label"), vector("text").alias("features"))
     made = materialize(made.repartition(FIT_TASKS, "h").sortWithinPartitions("h"), "quality-rules")
+    held = made.coalesce(FIT_TASKS)  # gradients of so few tasks are added up without a shuffle
     back = F.pmod(F.col("h"), F.lit(CALIBRATE)) == 0
     found = {(r["back"], r["label"]): r["n"] for r in made.groupBy(back.alias("back"), "label").agg(F.count("*").alias("n")).collect()}
     kinds = lambda side: {label for b, label in found if b is side}
@@ -171,10 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         ones, n = sum(c for (_, label), c in found.items() if label == 1), sum(found.values())
         release(made)
         return Model(np.zeros(1 << SPACE_BITS), float(np.log((ones + 1) / (n - ones + 1))), 1.0, 0.0)
-    model = LogisticRegression(regParam=PENALTY, maxIter=STEPS, standardization=False).fit(made.where(~back))
+    model = LogisticRegression(regParam=PENALTY, maxIter=STEPS, standardization=False).fit(held.where(~back))
     weights, intercept, slope, offset = model.coefficients.toArray(), float(model.intercept), 1.0, 0.0
     if kinds(True) == {0.0, 1.0}:
-        margin = model.transform(made.where(back)).select("label", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features"))
+        margin = model.transform(held.where(back)).select("label", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features"))
         line = LogisticRegression(regParam=1e-3, maxIter=STEPS, standardization=False).fit(margin)
         slope, offset = float(line.coefficients[0]), float(line.intercept)
     release(made)
