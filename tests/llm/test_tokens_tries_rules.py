@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -73,7 +74,7 @@ TEXTS = [*EDGE[:8], *EDGE[9:], (20, "▁ a piece sign"), (21, "a  b\n\n c\td <s>
 def test_crosstok(spark, docs, monkeypatch):
     monkeypatch.setattr(common, "SLICE", 64)
     monkeypatch.setattr(crosstok, "HELD", 300)
-    got = crosstok.align(docs(*TEXTS).repartition(3), A, B).collect()
+    got = crosstok.align(docs(*TEXTS).repartition(3), A, B, public_tokenizers.PATTERN).collect()
     want = [(i, *x) for (i, _), x in zip(TEXTS, plain_alignments([t for _, t in TEXTS]))]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert sum(w[1] > 0 for w in want) > 8 and want[[i for i, _ in TEXTS].index(20)][1] == 0
@@ -81,6 +82,19 @@ def test_crosstok(spark, docs, monkeypatch):
     assert crosstok.align(docs((1, None), (2, "")), A, B).select("doc_id", "n_a", "groups").orderBy("doc_id").collect() == [(1, 0, ""), (2, 0, "")]
 
 
+def test_tokens_by_rank_are_the_library_s():
+    with open(A, "rb") as f:
+        data = f.read()
+    ranked, library = crosstok.ByteLevel(data, public_tokenizers.PATTERN), crosstok.ByteLevel(data)
+    r = random.Random(2)
+    texts = ["".join(chr(c) for c in (r.randrange(1, 0x110000) if r.random() < 0.3 else r.randrange(0x20, 0x600) for _ in range(60)) if not 0xD800 <= c < 0xE000) for _ in range(400)]
+    texts += [t or "" for _, t in TEXTS] + ["a" * 5000, " " * 5000, "don't I'LL we've  x's\n\n \t9999999 \u00b2\u00bd\u0661"]
+    assert ranked.ranked is not None and library.ranked is None and ranked.encode(texts) == library.encode(texts)
+    other = json.loads(data)
+    other["model"]["merges"].reverse()
+    assert crosstok.ByteLevel(json.dumps(other).encode(), public_tokenizers.PATTERN).ranked is None
+
+
 def test_crosstok_takes_a_very_long_text(spark, docs):
     text = prose(3, 40_000)
     got = crosstok.align(docs((1, text)), A, B).first()
