@@ -208,8 +208,10 @@ def remove_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     gone = removed_lines(whole, percent, "id", "text").select(F.col("id").alias("g_id"), F.col("th").alias("g_th"), "removed")
     joined = whole.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_th")), "left")
-    numbered = F.arrays_zip(F.split("text", "\n").alias("line"), F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1).alias("no"))
-    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains("removed", x["no"])), lambda x: x["line"])
+    # The kept lines are the runs between removed ones, a slice for each removed line, so that the work is linear in lines. The text is split once, for a lambda.
+    edges = lambda lines: F.arrays_zip(F.concat(F.array(F.lit(-1)), "removed").alias("a"), F.concat("removed", F.array(F.size(lines))).alias("b"))
+    runs = lambda lines: F.flatten(F.transform(edges(lines), lambda e: F.slice(lines, e["a"] + 2, e["b"] - e["a"] - 1)))
+    kept = F.get(F.transform(F.array(F.split("text", "\n")), runs), F.lit(0))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn("text", text).where(F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
