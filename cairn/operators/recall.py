@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from . import postings
 
 #: So many queries are broadcast; more are compared in blocks of these many queries and vectors (on average).
 FEW_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 100, 1_024, 2_048
@@ -29,26 +30,9 @@ def like_search(rows: DataFrame, terms: list[str], user: str | None, limit: int,
 
 
 def bm25(rows: DataFrame, query: str, id_col: str, text_col: str, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Okapi BM25 over three-character grams: (id, score), best first, then by id.
-
-    Only grams of the query are counted, so that the postings of other grams are never made. The
-    collection's size and mean length are one aggregate row.
-    """
-    grams = text.grams(F.lower(F.lit(query)), 3)
-    low = F.lower(F.col(text_col))
-    length = F.greatest(F.length(low) - 2, F.lit(0))
-    docs = rows.select(F.col(id_col).alias("id"), low.alias("low"), length.alias("length"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    places = lambda t, g: (F.length(t) - F.length(F.replace(t, g, F.lit("")))) / F.length(g)
-    postings = docs.select("id", "length", F.explode(F.transform(grams, lambda g: F.struct(g.alias("gram"), places(F.col("low"), g).alias("tf")))).alias("p"))
-    postings = postings.where("p.tf > 0").select("id", "length", "p.gram", "p.tf")
-    df = postings.groupBy("gram").agg(F.count("*").alias("df"))
-    one = stats.first()
-    n, mean = float(one["n"]), float(one["mean"] or 1.0)
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = postings.join(F.broadcast(df), "gram").groupBy("id").agg(F.sum(part).alias("score"))  # a row for each gram of one query
-    return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
+    """Okapi BM25 of one query over an index of rows, made for it: (id, score), best first, then by id. Many queries share an index by postings.bm25_many."""
+    asked = rows.sparkSession.createDataFrame([(0, query)], "qid int, query string")
+    return postings.bm25_many(postings.build(rows, id_col, text_col), asked, limit, k1, b).select("id", "score").orderBy(F.desc(F.round("score", 9)), "id")
 
 
 def structured(facts: DataFrame, needle: str, as_of: int, limit: int, least_trust: float = 0.2, category: str | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries: each operator over the tables of a folder, with SQL that gives the same rows."""
 
-from . import filters, graphs, ingest, lifecycle, more, ordered, pairs, recall, rest, retrieval, stats, streams, textual, writes
+from . import filters, graphs, index, ingest, lifecycle, more, ordered, pairs, recall, rest, retrieval, stats, streams, textual, writes
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "filters", "graphs", "ingest", "lifecycle", "more", "ordered", "pairs", "recall", "rest", "retrieval", "stats", "streams", "textual", "writes"]
+__all__ = ["ORACLE_SQL", "QUERIES", "filters", "graphs", "index", "ingest", "lifecycle", "more", "ordered", "pairs", "recall", "rest", "retrieval", "stats", "streams", "textual", "writes"]

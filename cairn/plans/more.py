@@ -394,12 +394,6 @@ def j5_latest_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("updates"))
 
 
-@query(f"SELECT id, substring(fact_key, 1, 3) AS first_gram, len({sql_grams('fact_key', 3)}) AS grams FROM facts", "facts")
-def k7_postings(spark: SparkSession, folder: str) -> DataFrame:
-    grams = text.grams(F.col("fact_key"), 3)
-    return relation(spark, folder, "facts").select("id", F.get(grams, F.lit(0)).alias("first_gram"), F.size(grams).cast("long").alias("grams"))
-
-
 @query(f"SELECT id, recorded_s, CAST(floor(({AS_OF} - recorded_s) / 86400E0) AS BIGINT) AS age_days FROM facts WHERE recorded_s >= {AS_OF} - 7 * 86400", "facts")
 def k19_week_report(spark: SparkSession, folder: str) -> DataFrame:
     recent = relation(spark, folder, "facts").where(F.col("recorded_s") >= AS_OF - 7 * DAY)
