@@ -26,7 +26,7 @@ def first_after(probes: DataFrame, rows: DataFrame, keys: list[str], width: floa
     a probe that finds nothing in its own slot takes the first row of the next slot that has one. Null keys are keys.
     """
     slot = F.floor(F.col("at") / width).alias("_slot")
-    row = rows.select(*keys, slot, "at", F.col("id").alias("tie"), F.lit(0).alias("_kind"), F.struct("at", "id").alias("_row"), F.lit(None).cast("long").alias("pid"))
+    row = rows.select(*keys, slot, "at", F.col("id").alias("tie"), F.lit(0).alias("_kind"), F.struct("at", "id").alias("_row"), F.lit(None).cast(probes.schema["pid"].dataType).alias("pid"))
     ask = probes.select(*keys, slot, "at", "tie", F.lit(1).alias("_kind"), F.lit(None).cast(row.schema["_row"].dataType).alias("_row"), "pid")
     later = Window.partitionBy(*keys, "_slot").orderBy(F.desc("at"), F.desc("tie"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     asked = row.unionByName(ask).withColumn("_next", F.last("_row", ignorenulls=True).over(later)).where("_kind = 1")

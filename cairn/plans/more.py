@@ -336,16 +336,6 @@ def g17_purge_counts(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("user_id", (F.col("before") - F.coalesce("after", F.lit(0))).alias("gone")).where("gone > 0")
 
 
-@query(
-    "SELECT f.id, min(r.rule) AS rule FROM facts f JOIN (VALUES (0, 'th[ae]n'), (1, 'lic.nse'), (2, '^The')) r(rule, pattern) ON regexp_matches(f.fact_value, r.pattern) WHERE f.archived = 0 GROUP BY f.id", "facts"
-)
-def g23_text_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """The first rule that a fact's text fits; the rules are few and become one expression."""
-    v = F.col("fact_value")
-    rule = F.when(v.rlike("th[ae]n"), 0).when(v.rlike("lic.nse"), 1).when(v.rlike("^The"), 2)
-    return relation(spark, folder, "facts").where("archived = 0").select("id", rule.alias("rule")).where("rule IS NOT NULL")
-
-
 @query("SELECT CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS kind, count(*) AS refs, round(avg(quality), 3) AS mean FROM labels GROUP BY 1")
 def h6_kind_stats(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("kind")

@@ -155,15 +155,16 @@ SQL_COS = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
 SQL_SOME = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
 
-@query(
-    f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT a.vec_id AS new_id, b.vec_id AS old_id, {SQL_COS.format('a.e', 'b.e')} / (sqrt({SQL_COS.format('a.e', 'a.e')}) * sqrt({SQL_COS.format('b.e', 'b.e')})) AS s
+SQL_EVOLUTION = f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT a.vec_id AS new_id, b.vec_id AS old_id, {SQL_COS.format('a.e', 'b.e')} / (sqrt({SQL_COS.format('a.e', 'a.e')}) * sqrt({SQL_COS.format('b.e', 'b.e')})) AS s
  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY s DESC, old_id) AS rn FROM q) x WHERE rn <= 5),
  p AS (SELECT old_id, new_id, o.text AS old_text, n.text AS new_text FROM k JOIN documents o ON o.doc_id = old_id JOIN documents n ON n.doc_id = new_id WHERE o.text <> ''),
  g AS (SELECT *, {sql_grams('lower(trim(old_text))', 2)} AS og, {sql_grams('lower(trim(new_text))', 2)} AS ng, {SQL_WORDS.format('trim(old_text)')} AS ow, {SQL_WORDS.format('trim(new_text)')} AS nw FROM p),
  j AS (SELECT *, {SQL_JACCARD.format('list_distinct(list_concat(og, ow))', 'list_distinct(list_concat(ng, nw))')} AS similarity FROM g)
  SELECT old_id, new_id, CASE WHEN {SQL_SOME('new_text', pairs.REPLACES)} OR ({SQL_SOME('lower(old_text)', pairs.FOR)} AND {SQL_SOME('lower(new_text)', pairs.AGAINST)}) OR ({SQL_SOME('lower(old_text)', pairs.AGAINST)} AND {SQL_SOME('lower(new_text)', pairs.FOR)})
- THEN 'replaces' ELSE 'enriches' END AS relation, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.12E0""",
-)
+ THEN 'replaces' ELSE 'enriches' END AS relation, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.12E0"""
+
+
+@query(SQL_EVOLUTION)
 def e16_evolution_edges(spark: SparkSession, folder: str) -> DataFrame:
     """How documents of an id divisible by 50 change their five nearest ones, by the vectors of the same id."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")

@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import pairs, recall
 from ..sources.tables import AS_OF, relation, table
 from .recall import SQL_COSINE
+from .conflicts import SQL_STATES, evolution_states
 from .registry import query
 from .textual import SQL_JACCARD, SQL_WORDS, sql_grams
 
@@ -58,27 +59,22 @@ def d13_boost_sort(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL_FUNNEL = f"""WITH p AS (SELECT * FROM ({SQL_MEMORIES}) m ORDER BY score DESC, id LIMIT 90), c AS (SELECT *, 0.6E0 * ({SQL_ALIKE}) + 0.4E0 * least(greatest({SQL_SQUASH}, 0E0), 1E0) AS combined FROM p),
  r AS (SELECT *, row_number() OVER (ORDER BY round(combined, 9) DESC, id) AS rn FROM c), i AS (SELECT *, rn <= 8 AND combined >= 0.42E0 AS ignited FROM r),
- d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY substring(content, 1, 100) ORDER BY ignited DESC, CASE WHEN ignited THEN rn END, score DESC, id) AS k FROM i) x WHERE k = 1 AND id % 13 <> 0),
+ d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY substring(content, 1, 100) ORDER BY ignited DESC, CASE WHEN ignited THEN rn END, score DESC, id) AS k FROM i) x WHERE k = 1 AND id NOT IN (SELECT memory_id FROM ({SQL_STATES}) z WHERE state = 'superseded')),
  s AS (SELECT id, ignited, content, CASE WHEN ignited THEN greatest(score, combined) ELSE score END AS score, at_s, reliability, access FROM d),
  h AS (SELECT id, ignited, {SQL_HYBRID} AS h FROM s ORDER BY h DESC, id LIMIT 60), b AS (SELECT id, ignited, CASE WHEN ignited THEN round(h * 1.5E0, 4) ELSE h END AS hybrid FROM h),
  f AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY hybrid DESC, id) AS place FROM b) y WHERE place <= 30)"""
 
 
-def states(spark: SparkSession, folder: str) -> DataFrame:
-    """Every 13th memory is superseded."""
-    return relation(spark, folder, "facts").where("id % 13 = 0").select(F.col("id").alias("memory_id"), F.lit("superseded").alias("state"))
-
-
 @query(f"{SQL_FUNNEL} SELECT id, ignited, hybrid, place FROM f", "facts")
 def d14_funnel(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the recall funnel."""
-    return recall.funnel(memories(spark, folder), ASKED, states(spark, folder), AS_OF, 30, 0.42)
+    return recall.funnel(memories(spark, folder), ASKED, evolution_states(spark, folder), AS_OF, 30, 0.42)
 
 
 @query(f"{SQL_FUNNEL} SELECT (SELECT count(*) FROM p) AS pool, (SELECT count(*) FROM i WHERE ignited) AS ignited, (SELECT count(*) FROM f) AS final, (SELECT count(*) FROM f WHERE ignited) AS from_ignition", "facts")
 def d25_funnel_counts(spark: SparkSession, folder: str) -> DataFrame:
     """How many memories each stage of the funnel lets through."""
-    return recall.funnel_counts(memories(spark, folder), ASKED, states(spark, folder), AS_OF, 30, 0.42)
+    return recall.funnel_counts(memories(spark, folder), ASKED, evolution_states(spark, folder), AS_OF, 30, 0.42)
 
 
 @query(f"SELECT id, {SQL_HYBRID} AS hybrid FROM ({SQL_MEMORIES}) m WHERE at_s BETWEEN 1709251200 AND 1725148800 ORDER BY 2 DESC, id LIMIT 40", "facts")
