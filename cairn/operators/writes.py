@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scores, text
 from ..functions.grams import bigrams
+from .matches import best_match
 from .ordered import cache_writes
-from .similar import best_similar
 
 
 def check_duplicate(new: DataFrame, old: DataFrame, latest: int | None = None, merge: float = 0.85, update: float = 0.70) -> DataFrame:
@@ -24,7 +24,7 @@ def check_duplicate(new: DataFrame, old: DataFrame, latest: int | None = None, m
         old = old.withColumn("_rn", rank).where(F.col("_rn") <= latest)
     left = new.select("id", *block, bigrams("fact_value").alias("grams"), F.lit(None).cast("long").alias("before"))
     right = old.select(F.col("id").alias("match_id"), *block, bigrams("fact_value").alias("grams"), F.col("id").alias("at"))
-    best = best_similar(left, right, block, update)
+    best = best_match(left, right, block, update)
     out = new.select("id").join(best, "id", "left").select("id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "match_id")
     return out.withColumn("action", F.when(F.col("similarity") >= merge, "merge").when(F.col("similarity") >= update, "update").otherwise("insert"))
 
