@@ -5,7 +5,7 @@ from __future__ import annotations
 import calendar
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grams import bigrams
@@ -252,3 +252,40 @@ def key_prefix(key: Column) -> Column:
 def summary(text: Column, most: int = 60) -> Column:
     """The first characters, with an ellipsis if more follow."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+#: White space at the ends of lines.
+BLANKS = " \t\n\r\x0b\x0c"
+#: Fixed words and marks of log lines: what tells of an error, and statuses that may repeat.
+ERROR_WORDS = ("error", "fail", "traceback", "exception", "❌", "panic", "fatal")
+STATUSES = ("ok", "done", "success")
+
+
+def compressed_lines(text: Column) -> Column:
+    """The lines of a log that tell something: those of errors and of stack frames, and others of three characters or more, but no status like the line that is kept before it."""
+    trimmed = lambda x: F.btrim(x, F.lit(BLANKS))
+    low = lambda x: F.lower(x)
+
+    def error(x: Column) -> Column:
+        some = F.startswith(trimmed(x), F.lit('File "'))
+        for w in ERROR_WORDS:
+            some = some | F.contains(low(x), F.lit(w))
+        return some
+
+    # A status that is left out is like the one kept before it, so that the line before it tells, whether kept or not.
+    long = F.filter(F.split(text, "\n"), lambda x: error(x) | (F.length(trimmed(x)) >= 3))
+    told = lambda lines: F.filter(lines, lambda x, i: error(x) | ~low(x).isin(*STATUSES) | (i == 0) | (low(trimmed(F.get(lines, i - 1))) != low(x)))
+    return F.get(F.transform(F.array(long), told), F.lit(0))
+
+
+def sections(notes: DataFrame, id_col: str, text_col: str, mark: str = "§", least: int = 5) -> DataFrame:
+    """(id_col, no, section_id, section) of notes cut at a mark: sections longer than `least` characters, known by the first twelve digits of their MD5."""
+    rows = notes.select(id_col, F.posexplode(F.split(text_col, mark)).alias("no", "part")).select(id_col, F.col("no").cast("long").alias("no"), F.btrim("part", F.lit(BLANKS)).alias("section"))
+    return rows.where(F.length("section") > least).select(id_col, "no", F.substring(F.md5("section"), 1, 12).alias("section_id"), "section")
+
+
+def wikilinks(note: Column) -> Column:
+    """The pages that [[page#part|name]] name, without parts and names, each once, in order."""
+    inner = F.regexp_extract_all(note, F.lit(r"\[\[(.*?)\]\]"), F.lit(1))
+    pages = F.transform(inner, lambda x: F.btrim(F.get(F.split(F.get(F.split(x, r"\|"), F.lit(0)), "#"), F.lit(0)), F.lit(BLANKS)))
+    return F.array_distinct(F.filter(pages, lambda x: x != ""))

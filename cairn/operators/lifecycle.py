@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,3 +159,14 @@ def top_per_user(items: DataFrame, most: int, idle_s: int, as_of: int) -> DataFr
     live = items.where((F.col("last_s") >= as_of - idle_s) | (F.col("access_count") > 2))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("last_s"), "memory_id"))
     return live.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def delete_memories(tables: dict[str, DataFrame], gone: DataFrame, as_of: int) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every table without the rows of memories (id) under any of their names, and tombstones (name, ref, snapshot, deleted_s) of the rows that go, which are taken before.
+
+    A table's column ref names a memory as itself, as fact:, raw: or verbatim:.
+    """
+    names = [F.concat(F.lit(p), F.col("id")) for p in ("", "fact:", "raw:", "verbatim:")]
+    refs = gone.select(F.explode(F.array(*names)).alias("ref")).distinct()
+    stones = [df.join(refs, "ref", "left_semi").select(F.lit(name).alias("name"), "ref", F.to_json(F.struct(*df.columns)).alias("snapshot"), F.lit(as_of).alias("deleted_s")) for name, df in tables.items()]
+    return cascade_delete(tables, refs), reduce(DataFrame.unionByName, stones)

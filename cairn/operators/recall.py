@@ -265,3 +265,58 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     for k in keys:
         known = known & F.col(k).isNotNull()
     return rows.withColumn("_rn", rank).where((F.col("_rn") == 1) | ~known).drop("_rn")
+
+
+#: Fixed values of deep search: how many keyword hits, entity hits and results, and how many terms.
+DEEP_WORDS, DEEP_ENTITIES, DEEP_RESULTS, DEEP_TERMS = 20, 10, 15, 12
+
+
+def deep_search(facts: DataFrame, edges: DataFrame, entities: DataFrame, terms: list[str], names: list[str]) -> DataFrame:
+    """Active facts (id, fact_value, trust_score, preference, archived) that hold any of the first terms, by trust times one and the preference, and those of edges (fact_id, entity_id) to entities (entity_id, name) of these
+    names, by trust: (id, place, by), each fact once, where it comes first. Equal ones by id.
+    """
+    active = facts.where("archived = 0")
+    weight = F.col("trust_score") * (1 + F.coalesce("preference", F.lit(0.0)))
+    words = keyword_search(active.select("id", "fact_value", weight.alias("w")), terms[:DEEP_TERMS], "fact_value", DEEP_WORDS, [F.desc("w"), "id"]).select("id", "w", F.lit("word").alias("by"))
+    linked = edges.join(entities.where(F.col("name").isin(names)).select("entity_id"), "entity_id").select(F.col("fact_id").alias("id")).distinct()
+    named = active.join(linked, "id").select("id", F.col("trust_score").alias("w"), F.lit("entity").alias("by")).orderBy(F.desc("w"), "id").limit(DEEP_ENTITIES)
+    once = first_of_each(words.unionByName(named), ["id"], [F.desc("by")])
+    place = F.row_number().over(Window.orderBy(F.desc("by"), F.desc("w"), "id"))  # at most DEEP_WORDS + DEEP_ENTITIES rows
+    return once.withColumn("place", place).where(F.col("place") <= DEEP_RESULTS).select("id", "place", "by")
+
+
+#: Fixed values of fusion: the least quota of hits, the share of the limit that it is, and the terms that a hit shares with its query.
+QUOTA, QUOTA_SHARE, OVERLAP = 2, 4, 2
+
+
+def fuse_verbatim(main: DataFrame, hits: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """The results of each query with its verbatim hits: (qid, id, place, verbatim, has_verbatim).
+
+    main and hits are (qid, place, id, content), queries (qid, query). A hit equal to a result, but for white space and case, only marks the first such result. Of the others, those that share OVERLAP
+    terms with the query (all of them, if it has fewer terms) are taken, each text once, up to a quota; they stand at the end, and results at the end make room for them within the limit.
+    """
+    norm = F.lower(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", "")).alias("norm")
+    m, h = main.select("qid", "id", "place", norm), hits.select("qid", "id", "place", "content", norm)
+    wanted = h.where("norm <> ''").select("qid", "norm").distinct().withColumn("hit", F.lit(True))
+    nth = F.row_number().over(Window.partitionBy("qid", "norm").orderBy("place", "id"))
+    m = m.join(wanted, ["qid", "norm"], "left").withColumn("has_verbatim", F.coalesce("hit", F.lit(False)) & (nth == 1))
+    asked = queries.select("qid", text.gate_terms(F.col("query")).alias("terms"))
+    shared = F.size(F.array_intersect("terms", text.gate_terms(F.coalesce("content", F.lit("")))))
+    fresh = h.join(m.select("qid", "norm").distinct().where("norm <> ''"), ["qid", "norm"], "left_anti").join(asked, "qid")
+    fresh = fresh.where((F.size("terms") < OVERLAP) | (shared >= OVERLAP)).withColumn("_n", nth).where((F.col("_n") == 1) | (F.col("norm") == ""))
+    in_order = F.row_number().over(Window.partitionBy("qid").orderBy("place", "id"))
+    fresh = fresh.withColumn("k", in_order).where(F.col("k") <= max(QUOTA, limit // QUOTA_SHARE))
+    counts = fresh.groupBy("qid").agg(F.count("*").alias("n"))
+    kept = m.withColumn("k", in_order).join(counts, "qid", "left").where(F.col("n").isNull() | (F.col("k") <= F.greatest(F.lit(0), limit - F.col("n"))))
+    before = kept.groupBy("qid").agg(F.count("*").alias("b"))
+    added = fresh.join(before, "qid", "left").select("qid", "id", (F.coalesce("b", F.lit(0)) + F.col("k")).alias("place"), F.lit(True).alias("verbatim"), F.lit(False).alias("has_verbatim"))
+    return kept.select("qid", "id", F.col("k").cast("long").alias("place"), F.lit(False).alias("verbatim"), "has_verbatim").unionByName(added)
+
+
+def history_of(events: DataFrame, targets: DataFrame, limit: int = 100) -> DataFrame:
+    """The first ledger events (event_id, target_id, ...) of each target (target) by event_id, under any of its names: itself, without and with 'fact:'. (target, event columns)."""
+    t = F.trim("target")
+    bare = F.when(F.startswith(t, F.lit("fact:")), F.substring(t, 6, 1 << 30)).otherwise(t)
+    names = targets.where(t != "").select("target", F.explode(F.array_distinct(F.array(t, bare, F.concat(F.lit("fact:"), bare)))).alias("target_id")).where("target_id <> ''")
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("event_id"))
+    return events.join(names, "target_id").withColumn("_n", rank).where(F.col("_n") <= limit).drop("_n")

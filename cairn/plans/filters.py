@@ -56,16 +56,6 @@ def a9_links(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", links.alias("links")).select("page_id", F.size("links").cast("long").alias("n_links"), F.get("links", F.lit(0)).alias("first_link"))
 
 
-@query(
-    """SELECT doc_id, no, md5(section) AS section_hash FROM (SELECT doc_id, unnest(range(CAST(len(s) AS BIGINT))) AS no, unnest(s) AS section FROM
- (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS s FROM documents) a) t WHERE length(section) > 5"""
-)
-def a8_sections(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "section")).withColumn("section", F.trim("section"))
-    return rows.where(F.length("section") > 5).select("doc_id", F.col("no").cast("long").alias("no"), F.md5("section").alias("section_hash"))
-
-
 @query("SELECT id FROM facts WHERE coalesce(agent_id = 'agent_a' OR category = 'agent_a' OR agent_id = 'local', false)", "facts")
 def b1_tenant(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").where(rules.tenant("agent_a", F.col("agent_id"), F.col("category"))).select("id")

@@ -71,20 +71,6 @@ def g12_dream_merge(spark: SparkSession, folder: str) -> DataFrame:
 SQL_REFS = """SELECT 'facts' AS name, id FROM facts UNION ALL SELECT 'types', doc_id FROM labels UNION ALL SELECT 'raw', doc_id FROM documents"""
 
 
-@query(f"SELECT name, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM ({SQL_REFS}) r WHERE id % 17 <> 3 GROUP BY name", "facts")
-def g14_cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
-    """Memories gone from facts, types and raw texts, each of which names them in its own way: id, fact:id, raw:id."""
-    tables = {
-        "facts": relation(spark, folder, "facts").select("id", F.concat(F.lit("fact:"), "id").alias("ref")),
-        "types": table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("ref")),
-        "raw": table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("raw:"), "doc_id").alias("ref")),
-    }
-    gone = relation(spark, folder, "facts").where("id % 17 = 3").select(F.col("id").cast("string").alias("id"))
-    refs = gone.select(F.explode(F.array("id", F.concat(F.lit("fact:"), "id"), F.concat(F.lit("raw:"), "id"))).alias("ref"))
-    left = [df.select("id", F.lit(name).alias("name")) for name, df in lifecycle.cascade_delete(tables, refs).items()]
-    return left[0].unionByName(left[1]).unionByName(left[2]).groupBy("name").agg(F.count("*").alias("rows"), F.sum("id").alias("ids"))
-
-
 @query(
     """SELECT 'turns' AS name, count(*) AS rows FROM turns WHERE user_id NOT IN ('u1', 'u2') UNION ALL SELECT 'sessions', count(DISTINCT concat(user_id, ':', session_id)) FROM turns WHERE user_id NOT IN ('u1', 'u2')""",
     "turns",

@@ -106,20 +106,6 @@ def b19_routing(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").select("id", rules.routed(F.col("fact_value"), flag, F.col("id") % 7, "version|token").alias("route"))
 
 
-@query(
-    """SELECT doc_id, CAST(count(*) AS BIGINT) AS kept, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, no, line, lag(trim(line)) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM
- (SELECT doc_id, unnest(range(CAST(len(string_split(text, chr(10))) AS BIGINT))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents) a) t
- WHERE regexp_matches(line, '(?i)error|fail|exception|warn') OR (length(trim(line)) >= 3 AND (before IS NULL OR before <> trim(line))) GROUP BY doc_id"""
-)
-def b20_compress(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines that tell of errors, and lines of three characters or more that differ from the one before."""
-    lines = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lines = lines.withColumn("before", F.lag(F.trim("line")).over(Window.partitionBy("doc_id").orderBy("no")))
-    differs = (F.length(F.trim("line")) >= 3) & (F.col("before").isNull() | (F.col("before") != F.trim("line")))
-    kept = lines.where(F.col("line").rlike("(?i)error|fail|exception|warn") | differs)
-    return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("line")).alias("chars"))
-
-
 @query(
     f"""SELECT id, array_to_string(list_slice(list_filter(regexp_extract_all(t, '[a-zA-Z0-9_-]{{2,}}|[一-龥]{{2,4}}'), lambda w: NOT list_contains({list(text.NO_TAGS)}, w)), 1, 3), ',') AS tags FROM
  (SELECT id, concat(CASE id % 3 WHEN 0 THEN '我们 围棋 可以，' ELSE '' END, fact_value) AS t FROM facts) a""",
@@ -175,38 +161,12 @@ def d11_rerank_blend(spark: SparkSession, folder: str) -> DataFrame:
     return facts.join(given, "id", "left").select("id", F.round(blended, 9).alias("blended"))
 
 
-@query(
-    """WITH m AS (SELECT session_id * 1000 + turn AS id, lower(trim(content)) AS n, user_id FROM turns WHERE role = 'user'), v AS (SELECT session_id * 1000 + turn AS id, lower(trim(content)) AS n, user_id FROM turns WHERE role = 'assistant'),
- q AS (SELECT v.id, v.user_id, row_number() OVER (PARTITION BY v.user_id ORDER BY v.id) AS rn FROM v WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.n = v.n) AND contains(v.n, 'tion') AND contains(v.n, 'the'))
- SELECT id, user_id FROM m UNION ALL SELECT id, user_id FROM q WHERE rn <= 3""",
-    "turns",
-)
-def d16_fuse(spark: SparkSession, folder: str) -> DataFrame:
-    """Main rows, and of the hits that aren't among them and share two terms with the query a quota per user."""
-    turns = relation(spark, folder, "turns").select((F.col("session_id") * 1000 + F.col("turn")).alias("id"), F.lower(F.trim("content")).alias("n"), "user_id", "role")
-    main, hits = turns.where("role = 'user'"), turns.where("role = 'assistant'")
-    fresh = hits.join(main.select("n"), "n", "left_anti").where(F.contains("n", F.lit("tion")) & F.contains("n", F.lit("the")))
-    quota = pairs.latest_of(fresh, "user_id", ["id"], 3)
-    return main.select("id", "user_id").unionByName(quota.select("id", "user_id"))
-
-
 @query("SELECT f.id, coalesce(t.kind, 'FACTS') AS kind FROM facts f LEFT JOIN (SELECT concat('doc:', CAST(doc_id AS VARCHAR)) AS ref, CASE WHEN toxic = 1 THEN 'REFLECTIONS' ELSE 'DECISIONS' END AS kind FROM labels) t ON t.ref = f.fact_key", "facts")
 def d17_annotate_kinds(spark: SparkSession, folder: str) -> DataFrame:
     kinds = table(spark, folder, "labels").select(F.concat(F.lit("doc:"), "doc_id").alias("fact_key"), F.when(F.col("toxic") == 1, "REFLECTIONS").otherwise("DECISIONS").alias("kind"))
     return relation(spark, folder, "facts").join(kinds, "fact_key", "left").select("id", F.coalesce("kind", F.lit("FACTS")).alias("kind"))
 
 
-@query(
-    "SELECT id, src FROM (SELECT id, src, row_number() OVER (PARTITION BY id ORDER BY src) AS rn FROM (SELECT id, 1 AS src FROM facts WHERE contains(lower(fact_value), 'license') UNION ALL SELECT id, 2 FROM facts WHERE category = 'src4') u) t WHERE rn = 1 ORDER BY src, id LIMIT 30", "facts"
-)
-def d20_deep_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Keyword hits, then those of an entity, each once, cut."""
-    facts = relation(spark, folder, "facts")
-    hits = facts.where(F.contains(F.lower("fact_value"), F.lit("license"))).select("id", F.lit(1).alias("src"))
-    both = hits.unionByName(facts.where("category = 'src4'").select("id", F.lit(2).alias("src")))
-    return recall.first_of_each(both, ["id"], ["src"]).orderBy("src", "id").limit(30)
-
-
 NAMED = ["Assistant|Lyon|License", "[A-Z][a-z]+ly"]
 SQL_NAMES = "list_concat(regexp_extract_all(fact_value, '[\"\\\\'']([^\"\\\\'']+)[\"\\\\'']', 1), " + ", ".join(f"regexp_extract_all(fact_value, '{p}')" for p in NAMED) + ")"
 
@@ -348,11 +308,6 @@ def h15_usage(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(kind("click").alias("clicks"), kind("error").alias("errors"), F.round(F.sum("value"), 4).alias("value"))
 
 
-@query("SELECT event_id, ts, event_type FROM events WHERE user_id = 7 ORDER BY ts, event_id LIMIT 100")
-def h17_history(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").where("user_id = 7").orderBy("ts", "event_id").limit(100).select("event_id", "ts", "event_type")
-
-
 @query("SELECT category, list_aggregate(list_slice(list(fact_key ORDER BY trust_score DESC, id), 1, 5), 'string_agg', ',') AS keys FROM facts WHERE archived = 0 GROUP BY category", "facts")
 def h20_persona(spark: SparkSession, folder: str) -> DataFrame:
     """The best keys of each category: ranked first, so that only five are gathered."""

@@ -117,14 +117,6 @@ def h19_latency(spark: SparkSession, folder: str) -> DataFrame:
     return placed.groupBy("query").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
-@query(
-    """SELECT day, event_type, waves, messages, messages - waves AS saved FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(DISTINCT user_id) AS waves, count(*) AS messages FROM events GROUP BY 1, 2) t"""
-)
-def h14_coalesce_stats(spark: SparkSession, folder: str) -> DataFrame:
-    grouped = table(spark, folder, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count_distinct("user_id").alias("waves"), F.count("*").alias("messages"))
-    return grouped.withColumn("saved", F.col("messages") - F.col("waves"))
-
-
 @query("SELECT CAST(floor(id / 100) AS BIGINT) AS range, count(*) AS facts, min(recorded_s) AS first_s, max(recorded_s) AS last_s FROM facts GROUP BY 1", "facts")
 def h13_range_stats(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").groupBy(F.floor(F.col("id") / 100).alias("range")).agg(F.count("*").alias("facts"), F.min("recorded_s").alias("first_s"), F.max("recorded_s").alias("last_s"))

@@ -16,9 +16,20 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(F.col("user_id").cast("string").alias("key"), ts.alias("ts_s"), F.length("props").alias("size"), F.col("event_id").alias("seq"))
 
 
-@query()
+def sql_waves(key: str, time: str) -> str:
+    """The fold of a buffer by recursion: how a message finds it, and whether it closes it. A row's wave ends there if it is full, or if the next message comes too late."""
+    return f"""m AS (SELECT {key} AS key, {time} AS t, length(props) AS size, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events),
+ s AS (SELECT key, rn, t AS first, t AS last, 1 AS n, size AS c, size >= 2000 AS shut, CAST(NULL AS VARCHAR) AS broke FROM m WHERE rn = 1 UNION ALL
+ SELECT key, rn, CASE WHEN fresh THEN t ELSE first END, t, CASE WHEN fresh THEN 1 ELSE n + 1 END, CASE WHEN fresh THEN size ELSE c + size END, CASE WHEN fresh THEN 1 ELSE n + 1 END >= 8 OR CASE WHEN fresh THEN size ELSE c + size END >= 2000, broke FROM (
+ SELECT m.key, m.rn, m.t, m.size, s.first, s.n, s.c, s.shut OR m.t - s.last >= 12 OR m.t - s.first >= 4 AS fresh, CASE WHEN s.shut THEN NULL WHEN m.t - s.last >= 12 THEN 'idle' WHEN m.t - s.first >= 4 THEN 'window' END AS broke
+ FROM s JOIN m ON m.key = s.key AND m.rn = s.rn + 1) x),
+ w AS (SELECT key, first, last, n, c, CASE WHEN shut THEN CASE WHEN n >= 8 THEN 'parts' ELSE 'chars' END WHEN next IS NULL THEN 'idle' ELSE after END AS reason FROM (
+ SELECT *, lead(rn) OVER (PARTITION BY key ORDER BY rn) AS next, lead(broke) OVER (PARTITION BY key ORDER BY rn) AS after FROM s) y WHERE shut OR next IS NULL OR after IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {sql_waves('CAST(user_id AS VARCHAR)', 'epoch(ts)')} SELECT key, first AS wave_start, last AS wave_end, n AS parts, CAST(c AS INTEGER) AS chars, reason FROM w")
 def j2_coalesce(spark: SparkSession, folder: str) -> DataFrame:
-    """A stateful fold; tested on its own rows against a plain loop, and against its own stream."""
+    """A stateful fold; tested against a plain loop too, and against its own stream."""
     return coalesce.coalesce_batch(messages(spark, folder))
 
 

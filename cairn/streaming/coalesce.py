@@ -143,3 +143,10 @@ def _waves(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string())
     columns = list(zip(*rows)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "wave_start", "wave_end", "parts", "chars", "reason"])
+
+
+def saved(waves: DataFrame, profile: str) -> DataFrame:
+    """What waves save: (day, profile, reason, waves, messages, saved), a wave being one call for all its messages."""
+    day = F.date_format(F.timestamp_seconds(F.floor("wave_start")), "yyyy-MM-dd").alias("day")
+    grouped = waves.groupBy(day, F.lit(profile).alias("profile"), "reason")
+    return grouped.agg(F.count("*").alias("waves"), F.sum("parts").cast("long").alias("messages"), F.sum(F.col("parts") - 1).cast("long").alias("saved"))
