@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..sources.shared import stored
 from . import postings
 
 #: So many queries are broadcast; more are compared in blocks of these many queries and vectors (on average).
@@ -247,9 +251,16 @@ def within_budget(rows: DataFrame, line: str | Column, order: list, budget: int,
     """Rows in order until the first whose line, with a newline, would overflow the budget of its partition; budget 0 or less: all. line names a column of lines, or is a column of their lengths."""
     if budget <= 0:
         return rows
-    window = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = rows.withColumn("_n", (F.length(line) if isinstance(line, str) else line) + 1)
-    return sized.withColumn("used", F.sum("_n").over(window)).where(F.col("used") <= budget).drop("_n")
+    sized = rows.withColumn("_n", ((F.length(line) if isinstance(line, str) else line) + 1).cast("long"))
+    # Slots are ranges of the order, so that a partition of any size is many tasks; those that begin beyond the budget are not ordered at all.
+    ranged = stored(sized.repartitionByRange(*partition, *order).withColumn("_slot", F.spark_partition_id()), "budget")
+    slots = ranged.groupBy(*partition, "_slot").agg(F.sum("_n").alias("_sum"))
+    slots = slots.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*partition).orderBy("_slot")) - F.col("_sum")).where(F.col("_before") < budget)
+    slots = slots.select(*[F.col(c).alias(f"_p{k}") for k, c in enumerate(partition)], F.col("_slot").alias("_s"), "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_p{k}")) for k, c in enumerate(partition)]
+    inside = Window.partitionBy(*partition, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = ranged.join(slots, reduce(and_, same, F.col("_slot") == F.col("_s"))).withColumn("used", F.sum("_n").over(inside) + F.col("_before"))
+    return opened.where(F.col("used") <= budget).select(*rows.columns, "used")
 
 
 def earlier_context(turns: DataFrame, before: int = 5, most: int = 200) -> DataFrame:

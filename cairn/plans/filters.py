@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..sources.tables import AS_OF, DAY, relation, table
+from ..streaming import ingest
 from .registry import query
 
 TIER_WORDS = {"procedural": ("token", "license"), "episodic": ("from", "was"), "semantic": ("the",)}
@@ -29,11 +30,18 @@ def a2_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "SELECT user_id, session_id, turn, role, content FROM turns WHERE role IN ('user', 'assistant') AND length(content) > 10 AND session_id * 1000 + turn > 50000 ORDER BY session_id, turn LIMIT 200", "turns"
+    """WITH n AS (SELECT session_id * 1000 + turn AS id, * FROM turns WHERE role IN ('user', 'assistant') AND length(content) > 10 AND session_id * 1000 + turn > 50000 ORDER BY id LIMIT 200),
+ s AS (SELECT conv_id AS session_id, count(*) AS turns FROM conversations WHERE conv_id % 4 <> 2 GROUP BY conv_id)
+ SELECT n.id, user_id, n.session_id, role, md5(substring(content, 1, 2000)) AS content_hash, coalesce(s.turns, -1) AS session_turns, (SELECT max(id) FROM n) AS cursor FROM n LEFT JOIN s ON s.session_id = n.session_id""",
+    "turns",
 )
 def a6_new_messages(spark: SparkSession, folder: str) -> DataFrame:
-    turns = relation(spark, folder, "turns").where(F.col("role").isin("user", "assistant") & (F.length("content") > 10) & (F.col("session_id") * 1000 + F.col("turn") > 50_000))
-    return turns.orderBy("session_id", "turn").limit(200).select("user_id", "session_id", "turn", "role", "content")
+    """The first messages after a cursor, cut, with their sessions, of which a quarter is missing, and the new cursor."""
+    turns = relation(spark, folder, "turns").withColumn("id", F.col("session_id") * 1000 + F.col("turn"))
+    sessions = table(spark, folder, "conversations").where("conv_id % 4 <> 2").groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").alias("n"))
+    new = ingest.readable(turns.where("id > 50000")).orderBy("id").limit(200)
+    rows = new.withColumn("cursor", F.max("id").over(Window.partitionBy(F.lit(1)))).join(sessions, "session_id", "left")  # of the limit's rows
+    return rows.select("id", "user_id", "session_id", "role", F.md5("content").alias("content_hash"), F.coalesce("n", F.lit(-1)).alias("session_turns"), "cursor")
 
 
 @query(
