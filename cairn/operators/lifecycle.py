@@ -42,12 +42,19 @@ def expire(facts: DataFrame, as_of: int, column: str = "valid_to_s") -> DataFram
     return facts.withColumn("expired", gone).withColumn("archived", F.when(gone, 1).otherwise(F.col("archived")))
 
 
-def keep_newest(rows: DataFrame, group: str, least: int, order: list) -> DataFrame:
-    """Rows with keep and group_size: in groups of `least` rows or more only the first by the order is kept. A null group is 'unknown'."""
+def keep_newest(rows: DataFrame, group: str, least: int, newest: list[str], groups: int | None = None) -> DataFrame:
+    """Rows with keep and group_size: in groups of `least` rows or more, of the first `groups` by name if that is given, only the row with the greatest values of `newest` is kept. A null group is 'unknown'.
+
+    newest ends in a unique column. A group's size and newest row are one row of an aggregate, so that no task orders a group.
+    """
     named = rows.withColumn(group, F.coalesce(group, F.lit("unknown")))
-    n = F.count("*").over(Window.partitionBy(group))
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return named.withColumn("group_size", n).withColumn("keep", (F.col("group_size") < least) | (rn == 1))
+    sizes = named.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("group_size"), F.max(F.struct(*newest)).alias("_top"))
+    merged = sizes.where(F.col("group_size") >= least).select("_g")
+    if groups is not None:
+        merged = merged.orderBy("_g").limit(groups)
+    told = sizes.join(merged.withColumn("_m", F.lit(True)), "_g", "left")
+    joined = named.join(told, F.col(group) == F.col("_g"))
+    return joined.select(*named.columns, "group_size", (F.col("_m").isNull() | (F.struct(*newest) == F.col("_top"))).alias("keep"))
 
 
 def dream_merge(facts: DataFrame, since_s: int, until_s: int) -> DataFrame:

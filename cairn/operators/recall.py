@@ -331,3 +331,13 @@ def history_of(events: DataFrame, targets: DataFrame, limit: int = 100) -> DataF
     names = targets.where(t != "").select("target", F.explode(F.array_distinct(F.array(t, bare, F.concat(F.lit("fact:"), bare)))).alias("target_id")).where("target_id <> ''")
     rank = F.row_number().over(Window.partitionBy("target").orderBy("event_id"))
     return events.join(names, "target_id").withColumn("_n", rank).where(F.col("_n") <= limit).drop("_n")
+
+
+def annotate_kinds(rows: DataFrame, kinds: DataFrame, default: str = "FACTS") -> DataFrame:
+    """rows (key, fact_id, ...) with kind, from kinds (ref, kind): by fact:<fact_id> where a row has one, else or failing that by its own key. refs are unique."""
+    own, fact = F.col("key").cast("string"), F.concat(F.lit("fact:"), F.col("fact_id").cast("string"))
+    first = kinds.select(F.col("ref").alias("_ref"), F.col("kind").alias("_first"))
+    other = kinds.select(F.col("ref").alias("_alt"), F.col("kind").alias("_other"))
+    joined = rows.withColumns({"_r": F.coalesce(fact, own), "_a": F.when(F.col("fact_id").isNotNull(), own)})
+    joined = joined.join(first, F.col("_r") == F.col("_ref"), "left").join(other, F.col("_a") == F.col("_alt"), "left")
+    return joined.select(*rows.columns, F.coalesce("_first", "_other", F.lit(default)).alias("kind"))

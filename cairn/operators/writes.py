@@ -286,3 +286,15 @@ def fast_add(messages: DataFrame, seen: DataFrame, ttl_s: int) -> DataFrame:
     known = seen.select("key", "content_hash").distinct().withColumn("stored", F.lit(True))
     joined = rows.join(known, ["key", "content_hash"], "left").join(made, "seq", "left")
     return joined.select("seq", F.when(F.col("made").isNull(), "cached").when(F.coalesce("stored", F.lit(False)), "duplicate").when(text.fastpath(F.col("content")).isNotNull(), "fast").otherwise("extract").alias("way"))
+
+
+#: Fixed values of the raw drawer: digits of the hash that a text is known by, and the characters of it that its fact shows.
+RAW_DIGITS, RAW_SHOWN = 16, 500
+
+
+def drawer_rows(new: DataFrame, drawer: DataFrame) -> DataFrame:
+    """Facts of raw texts (id, content) that no memory of the drawer (memory_id, raw-<hash> and more) has: (fact_key, id, seen, fact_value, memory_tier), once a text, of the least id."""
+    mark = F.concat(F.lit("raw-"), F.substring(F.sha2("content", 256), 1, RAW_DIGITS))
+    held = drawer.where(F.startswith("memory_id", F.lit("raw-"))).select(F.substring("memory_id", 1, 4 + RAW_DIGITS).alias("mark")).distinct()
+    fresh = new.where("content IS NOT NULL").withColumn("mark", mark).join(held, "mark", "left_anti").groupBy("mark").agg(F.min("id").alias("id"), F.count("*").alias("seen"), F.min(F.substring("content", 1, RAW_SHOWN)).alias("fact_value"))
+    return fresh.select(F.concat(F.lit("raw:"), F.substring("mark", 5, RAW_DIGITS)).alias("fact_key"), "id", "seen", "fact_value", F.lit("verbatim").alias("memory_tier"))

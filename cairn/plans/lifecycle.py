@@ -49,16 +49,6 @@ def g11_delta(spark: SparkSession, folder: str) -> DataFrame:
     return recent.select("id", F.when(F.col("archived") == 0, "added").otherwise("archived").alias("change"))
 
 
-@query(
-    """SELECT id, group_size, group_size < 3 OR rn = 1 AS keep FROM (SELECT id, count(*) OVER (PARTITION BY category, substring(fact_value, 1, 20)) AS group_size,
- row_number() OVER (PARTITION BY category, substring(fact_value, 1, 20) ORDER BY recorded_s DESC, id) AS rn FROM facts) t""",
-    "facts",
-)
-def g7_keep_newest(spark: SparkSession, folder: str) -> DataFrame:
-    facts = relation(spark, folder, "facts").withColumn("head", F.concat_ws("\n", "category", F.substring("fact_value", 1, 20)))
-    return lifecycle.keep_newest(facts, "head", 3, [F.desc("recorded_s"), "id"]).select("id", "group_size", "keep")
-
-
 @query(
     f"""SELECT id, row_number() OVER (PARTITION BY split_part(split_part(fact_key, ':', 1), '_', 1), substring(lower(trim(fact_value)), 1, 30) ORDER BY length(fact_value) DESC, fact_key, id) = 1 AS stays
  FROM facts WHERE archived = 0 AND recorded_s BETWEEN {AS_OF} - 200 * 86400 AND {AS_OF}""",

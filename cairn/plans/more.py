@@ -40,13 +40,6 @@ def a5_normalise_time(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").select("id", F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-@query("SELECT concat('raw:', substring(h, 1, 16)) AS fact_key, min(doc_id) AS doc_id, count(*) AS seen FROM (SELECT doc_id, sha256(text) AS h FROM documents) t GROUP BY h")
-def a11_raw_drawer(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw texts under a key of their hash; a text that is there already is not stored again."""
-    docs = table(spark, folder, "documents").withColumn("fact_key", F.concat(F.lit("raw:"), F.substring(F.sha2("text", 256), 1, 16)))
-    return docs.groupBy("fact_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("seen"))
-
-
 @query("SELECT id, concat(fact_key, ': ', fact_value, ' (', substring(fact_value, 1, 60), ')') AS message FROM facts WHERE archived = 0", "facts")
 def a13_restore_messages(spark: SparkSession, folder: str) -> DataFrame:
     message = F.concat("fact_key", F.lit(": "), "fact_value", F.lit(" ("), F.substring("fact_value", 1, 60), F.lit(")"))
@@ -87,15 +80,6 @@ def b13_auto_level(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").select("id", F.when(c.isin("src0", "src1"), "L0").when(F.startswith(c, F.lit("src1")), "L1").otherwise("L2").alias("level"))
 
 
-@query(
-    """SELECT session_id, turn, CASE WHEN regexp_matches(content, 'license|version') THEN 'DECISIONS' WHEN regexp_matches(content, 'her|his') THEN 'PREFERENCES' WHEN regexp_matches(content, 'ing ') THEN 'EXPERIENCES'
- WHEN regexp_matches(content, 'tion') THEN 'OBSERVATIONS' WHEN regexp_matches(content, 'zz') THEN 'REFLECTIONS' ELSE 'FACTS' END AS kind FROM turns""",
-    "turns",
-)
-def b15_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    return relation(spark, folder, "turns").select("session_id", "turn", rules.first_kind(F.col("content"), KIND_WORDS).alias("kind"))
-
-
 @query(
     "SELECT id, CASE id % 5 WHEN 0 THEN 'federated' WHEN 1 THEN 'hot' ELSE CASE WHEN regexp_matches(fact_value, 'version|token') AND id % 7 > 0 THEN 'federated' ELSE 'hot' END END AS route FROM facts",
     "facts",
@@ -161,12 +145,6 @@ def d11_rerank_blend(spark: SparkSession, folder: str) -> DataFrame:
     return facts.join(given, "id", "left").select("id", F.round(blended, 9).alias("blended"))
 
 
-@query("SELECT f.id, coalesce(t.kind, 'FACTS') AS kind FROM facts f LEFT JOIN (SELECT concat('doc:', CAST(doc_id AS VARCHAR)) AS ref, CASE WHEN toxic = 1 THEN 'REFLECTIONS' ELSE 'DECISIONS' END AS kind FROM labels) t ON t.ref = f.fact_key", "facts")
-def d17_annotate_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    kinds = table(spark, folder, "labels").select(F.concat(F.lit("doc:"), "doc_id").alias("fact_key"), F.when(F.col("toxic") == 1, "REFLECTIONS").otherwise("DECISIONS").alias("kind"))
-    return relation(spark, folder, "facts").join(kinds, "fact_key", "left").select("id", F.coalesce("kind", F.lit("FACTS")).alias("kind"))
-
-
 NAMED = ["Assistant|Lyon|License", "[A-Z][a-z]+ly"]
 SQL_NAMES = "list_concat(regexp_extract_all(fact_value, '[\"\\\\'']([^\"\\\\'']+)[\"\\\\'']', 1), " + ", ".join(f"regexp_extract_all(fact_value, '{p}')" for p in NAMED) + ")"
 
@@ -333,12 +311,6 @@ def j3_should_buffer(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "turns").where(keep).select("session_id", "turn")
 
 
-@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS updates FROM events GROUP BY user_id, event_type")
-def j5_latest_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest state of each job."""
-    return table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("updates"))
-
-
 @query(f"SELECT id, recorded_s, CAST(floor(({AS_OF} - recorded_s) / 86400E0) AS BIGINT) AS age_days FROM facts WHERE recorded_s >= {AS_OF} - 7 * 86400", "facts")
 def k19_week_report(spark: SparkSession, folder: str) -> DataFrame:
     recent = relation(spark, folder, "facts").where(F.col("recorded_s") >= AS_OF - 7 * DAY)

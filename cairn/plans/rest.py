@@ -264,12 +264,6 @@ def g4_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return wanted.join(relation(spark, folder, "salience").select("memory_id", "salience"), "memory_id", "left").select("memory_id", F.coalesce("salience", F.lit(0.5)).alias("salience"))
 
 
-@query("SELECT id, round(greatest(0E0, least(1E0, trust_score + CASE WHEN category IN ('src0', 'src1') THEN 0E0 WHEN id % 3 = 0 THEN 0.1E0 ELSE -0.15E0 END)), 9) AS trust FROM facts", "facts")
-def g8_fact_feedback(spark: SparkSession, folder: str) -> DataFrame:
-    step = F.when(F.col("category").isin("src0", "src1"), 0.0).when(F.col("id") % 3 == 0, 0.1).otherwise(-0.15)
-    return relation(spark, folder, "facts").select("id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("trust_score") + step)), 9).alias("trust"))
-
-
 @query(
     f"""SELECT memory_id, CASE WHEN logged THEN 1E0 ELSE round(least(1E0, salience + 0.05E0), 6) END AS salience, CASE WHEN logged THEN 'lesson' ELSE 'knowledge' END AS lane FROM
  (SELECT h.*, split_part(memory_id, ':', 1) IN (SELECT concat('u', CAST(user_id AS VARCHAR)) FROM events WHERE event_type = 'error' AND value > 60) AS logged FROM {HEAT} WHERE lane = 'lesson') t""",

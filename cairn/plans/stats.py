@@ -32,19 +32,6 @@ def h3_salience_stats(spark: SparkSession, folder: str) -> DataFrame:
     return grouped.withColumn("lane", F.coalesce("lane", F.lit("*")))
 
 
-@query(
-    """SELECT strftime(last_access, '%Y-%m-%d') AS day, count(*) AS total, round(avg(salience), 6) AS mean, CAST(sum(CASE WHEN salience >= 0.8E0 THEN 1 ELSE 0 END) AS BIGINT) AS high,
- CAST(sum(CASE WHEN salience < 0.3E0 THEN 1 ELSE 0 END) AS BIGINT) AS low, count(DISTINCT lane) AS lanes FROM salience GROUP BY 1""",
-    "salience",
-)
-def h4_daily_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    day = F.date_format("last_access", "yyyy-MM-dd").alias("day")
-    s = F.col("salience")
-    return relation(spark, folder, "salience").groupBy(day).agg(
-        F.count("*").alias("total"), F.round(F.avg(s), 6).alias("mean"), F.count_if(s >= 0.8).alias("high"), F.count_if(s < 0.3).alias("low"), F.count_distinct("lane").alias("lanes")
-    )
-
-
 @query(
     """SELECT count(*) AS total, CAST(coalesce(sum(CASE WHEN salience < 0.3E0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS low,
  CAST(coalesce(sum(CASE WHEN access_count <= 1 AND salience < 0.25E0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS faded,
@@ -68,14 +55,6 @@ def h8_awareness(spark: SparkSession, folder: str) -> DataFrame:
     return facts.rollup("agent", "profile", "memory_tier").agg(F.count("*").alias("facts"))
 
 
-@query(
-    "SELECT category, count(*) AS total, CAST(count(*) - count(DISTINCT sha256(trim(text))) AS BIGINT) AS duplicates FROM (SELECT source AS category, text FROM documents) t GROUP BY category"
-)
-def h9_store_stats(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select(F.col("source").alias("category"), F.sha2(F.trim("text"), 256).alias("h"))
-    return rows.groupBy("category").agg(F.count("*").alias("total"), (F.count("*") - F.count_distinct("h")).alias("duplicates"))
-
-
 @query(
     """SELECT query, count(*) AS searches, round(avg(hit_count), 6) AS mean_hits, CAST(sum(CASE WHEN hit_count = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty
  FROM query_log WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY query""",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import lifecycle, recall
+from ..functions import rules, text
+from ..operators import lifecycle, recall, writes
 from ..sources.tables import AS_OF, relation, table
 from ..streaming import coalesce
 from .registry import query
@@ -151,3 +151,111 @@ def g14_cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     counted = stones.groupBy("name").agg(F.count("*").alias("stones"))
     out = names.join(kept, "name", "left").join(counted, "name", "left")
     return out.select("name", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("rows", "ids", "stones")))
+
+
+SAID = "concat(CASE turn % 7 WHEN 1 THEN '我们决定 ' WHEN 2 THEN '我喜欢 ' WHEN 3 THEN '我帮你部署了 ' WHEN 4 THEN '端口暴露 ' WHEN 5 THEN '反思 ' ELSE '' END, content)"
+SQL_KINDS = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p in rules.KINDS.items())
+
+
+@query(f"SELECT session_id, turn, CASE {SQL_KINDS} ELSE 'FACTS' END AS kind FROM (SELECT session_id, turn, {SAID} AS t FROM turns) s", "turns")
+def b15_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """The kind of each turn, which begins with words of one kind or none."""
+    return relation(spark, folder, "turns").select("session_id", "turn", rules.first_kind(F.expr(SAID)).alias("kind"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, source, text, concat('raw-', substring(sha256(text), 1, 16)) AS h FROM documents), old AS (SELECT DISTINCT h FROM d WHERE doc_id % 3 = 0),
+ n AS (SELECT h, min(doc_id) AS doc_id, count(*) AS seen, min(text) AS text FROM d WHERE doc_id % 3 <> 0 AND h NOT IN (SELECT h FROM old) GROUP BY h)
+ SELECT concat('raw:', substring(h, 5)) AS fact_key, doc_id, seen, md5(substring(text, 1, 500)) AS value_hash, 'verbatim' AS memory_tier FROM n"""
+)
+def a11_raw_drawer(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw texts of two thirds of the documents under a key of their hash, but for those whose hash the drawer has already."""
+    docs = table(spark, folder, "documents")
+    drawer = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("raw-"), F.substring(F.sha2("text", 256), 1, 16), F.lit("-1")).alias("memory_id"))
+    new = writes.drawer_rows(docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), drawer)
+    return new.select("fact_key", F.col("id").alias("doc_id"), "seen", F.md5("fact_value").alias("value_hash"), "memory_tier")
+
+
+REFS = "CASE WHEN doc_id % 3 = 0 THEN concat('fact:', CAST(doc_id AS STRING)) ELSE CAST(doc_id AS STRING) END"
+
+
+@query(
+    f"""WITH t AS (SELECT {REFS.replace('STRING', 'VARCHAR')} AS ref, CASE WHEN toxic = 1 THEN 'REFLECTIONS' ELSE 'DECISIONS' END AS kind FROM labels), f AS (SELECT id, CASE WHEN id % 2 = 0 THEN concat('fact:', id) ELSE CAST(id AS VARCHAR) END AS ref, CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) END AS alt FROM facts)
+ SELECT f.id, coalesce(a.kind, b.kind, 'FACTS') AS kind FROM f LEFT JOIN t a ON a.ref = f.ref LEFT JOIN t b ON b.ref = f.alt""",
+    "facts",
+)
+def d17_annotate_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Results with their kind by the name of their fact, or else by their own; those of odd ids have no fact."""
+    kinds = table(spark, folder, "labels").select(F.expr(REFS).alias("ref"), F.when(F.col("toxic") == 1, "REFLECTIONS").otherwise("DECISIONS").alias("kind"))
+    rows = relation(spark, folder, "facts").select(F.col("id").cast("string").alias("key"), "id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("fact_id"))
+    return recall.annotate_kinds(rows, kinds).select("id", "kind")
+
+
+@query(
+    """WITH g AS (SELECT category, count(*) AS n, max((recorded_s, id)) AS top FROM facts GROUP BY category), m AS (SELECT category FROM g WHERE n >= 3 ORDER BY category LIMIT 5)
+ SELECT id, n AS group_size, category NOT IN (SELECT category FROM m) OR (recorded_s, id) = top AS keep FROM facts JOIN g USING (category)""",
+    "facts",
+)
+def g7_keep_newest(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the first five sources with three memories or more only the newest memory is kept."""
+    return lifecycle.keep_newest(relation(spark, folder, "facts"), "category", 3, ["recorded_s", "id"], 5).select("id", "group_size", "keep")
+
+
+@query(
+    """SELECT id, round(greatest(0E0, least(1E0, trust_score + CASE WHEN category IN ('src0', 'src1') THEN 0E0 WHEN id % 3 = 0 THEN 0.1E0 ELSE -0.15E0 END)), 9) AS trust, CAST(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS helpful,
+ CAST(CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS unhelpful FROM facts""",
+    "facts",
+)
+def g8_fact_feedback(spark: SparkSession, folder: str) -> DataFrame:
+    """A vote on each fact: trust rises or falls, but for facts of the first level, and the votes are counted."""
+    good = F.col("id") % 3 == 0
+    step = F.when(F.col("category").isin("src0", "src1"), 0.0).when(good, 0.1).otherwise(-0.15)
+    trust = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("trust_score") + step)), 9).alias("trust")
+    return relation(spark, folder, "facts").select("id", trust, good.cast("long").alias("helpful"), (~good).cast("long").alias("unhelpful"))
+
+
+@query(
+    """WITH s AS (SELECT *, strftime(last_access, '%Y-%m-%d') AS day FROM salience), lanes AS (SELECT day, count(*) AS lanes FROM (SELECT day, lane FROM s GROUP BY day, lane HAVING count(*) >= 3) l GROUP BY day),
+ r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, avg(CASE WHEN hit_count > 0 THEN 1E0 ELSE 0E0 END) AS rate FROM query_log GROUP BY 1),
+ n AS (SELECT day, count(*) AS total, round(avg(salience), 6) AS mean, CAST(sum(CASE WHEN salience >= 0.8E0 THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN salience < 0.3E0 THEN 1 ELSE 0 END) AS BIGINT) AS low FROM s GROUP BY day)
+ SELECT day, total, mean, high, low, coalesce(lanes, 0) AS lanes, round(coalesce(rate, 0), 6) AS recall_rate FROM n LEFT JOIN lanes USING (day) LEFT JOIN r USING (day) UNION ALL SELECT '2023-12-31', 7, 0.5E0, 1, 2, 3, 0.25E0""",
+    "salience",
+    "query_log",
+)
+def h4_daily_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics of each day written over older rows of the same days; a day without new ones stays."""
+    s, day = F.col("salience"), F.date_format("last_access", "yyyy-MM-dd")
+    heat = relation(spark, folder, "salience").withColumn("day", day)
+    lanes = heat.groupBy("day", "lane").agg(F.count("*").alias("n")).where("n >= 3").groupBy("day").agg(F.count("*").alias("lanes"))
+    rate = relation(spark, folder, "query_log").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.avg((F.col("hit_count") > 0).cast("double")).alias("rate"))
+    new = heat.groupBy("day").agg(F.count("*").alias("total"), F.round(F.avg(s), 6).alias("mean"), F.count_if(s >= 0.8).alias("high"), F.count_if(s < 0.3).alias("low")).join(lanes, "day", "left").join(rate, "day", "left")
+    new = new.select("day", "total", "mean", "high", "low", F.coalesce("lanes", F.lit(0).cast("long")).alias("lanes"), F.round(F.coalesce("rate", F.lit(0.0)), 6).alias("recall_rate"))
+    first = new.agg(F.min("day").alias("day"))
+    old = spark.sql("SELECT '2023-12-31' AS day, 7L AS total, 0.5D AS mean, 1L AS high, 2L AS low, 3L AS lanes, 0.25D AS recall_rate")
+    old = old.unionByName(first.selectExpr("day", "0L AS total", "0D AS mean", "0L AS high", "0L AS low", "0L AS lanes", "0D AS recall_rate"))
+    return writes.upsert(old, new, ["day"], ["day"]).drop("change")
+
+
+@query(
+    """WITH m AS (SELECT concat('u', CAST(conv_id % 10 AS VARCHAR)) AS user_id, concat(CASE WHEN turn % 3 = 0 THEN concat('[', role, '] ') ELSE '' END, text) AS content FROM conversations),
+ t AS (SELECT 'tag' AS kind, regexp_extract(content, '^(\[[^\]]*\])', 1) AS name, count(*) AS n FROM m WHERE regexp_matches(content, '^\[[^\]]*\]') GROUP BY 2 ORDER BY n DESC, name LIMIT 10)
+ SELECT 'total' AS kind, '' AS name, count(*) AS n FROM m UNION ALL SELECT 'duplicates', '', count(*) - count(DISTINCT sha256(trim(content))) FROM m UNION ALL SELECT 'user', user_id, count(*) FROM m GROUP BY user_id UNION ALL SELECT * FROM t"""
+)
+def h9_store_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """How many memories there are, how many of them are copies, of whom they are, and the ten commonest tags that they begin with."""
+    tag = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("["), "role", F.lit("] "))).otherwise("")
+    rows = table(spark, folder, "conversations").select(F.concat(F.lit("u"), (F.col("conv_id") % 10).cast("string")).alias("user_id"), F.concat(tag, "text").alias("content"))
+    hashed = rows.groupBy(F.sha2(F.trim("content"), 256).alias("h")).agg(F.count("*").alias("c"))
+    row = lambda kind, name, n: (F.lit(kind).alias("kind"), name.alias("name"), n.cast("long").alias("n"))
+    both = hashed.agg(F.sum("c").alias("all"), F.count("*").alias("texts"))
+    tags = rows.groupBy(F.regexp_extract("content", r"^(\[[^\]]*\])", 1).alias("tag")).agg(F.count("*").alias("c")).where("tag <> ''").orderBy(F.desc("c"), "tag").limit(10)
+    users = rows.groupBy("user_id").agg(F.count("*").alias("c"))
+    out = both.select(*row("total", F.lit(""), F.col("all"))).unionByName(both.select(*row("duplicates", F.lit(""), F.col("all") - F.col("texts"))))
+    return out.unionByName(users.select(*row("user", F.col("user_id"), F.col("c")))).unionByName(tags.select(*row("tag", F.col("tag"), F.col("c"))))
+
+
+@query("SELECT user_id, event_type, event_id, updates FROM (SELECT user_id, event_type, max((ts, event_id)) AS x, x[2] AS event_id, count(*) AS updates FROM events GROUP BY user_id, event_type) j ORDER BY x DESC LIMIT 200")
+def j5_latest_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest state of each of the 200 jobs that were touched last."""
+    jobs = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("x"), F.count("*").alias("updates"))
+    return jobs.orderBy(F.desc("x")).limit(200).select("user_id", "event_type", "x.event_id", "updates")
