@@ -11,7 +11,7 @@ from .registry import query
 
 #: Postings of the texts of a relation t (id, low), by all their places.
 SQL_POSTINGS = """SELECT id, gram, (length(low) - length(replace(low, gram, ''))) / 3 AS tf, length(low) - 2 AS length FROM
- (SELECT DISTINCT id, low, substring(low, CAST(k AS BIGINT), 3) AS gram FROM (SELECT id, low, unnest(range(1, length(low) - 1)) AS k FROM t WHERE length(low) >= 3) u) v"""
+ (SELECT DISTINCT id, substring(low, CAST(k AS BIGINT), 3) AS gram FROM (SELECT id, low, unnest(range(1, length(low) - 1)) AS k FROM t WHERE length(low) >= 3) u) v JOIN t USING (id)"""
 TURN = "session_id * 1000 + turn"
 
 

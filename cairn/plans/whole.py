@@ -237,7 +237,7 @@ def h4_daily_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT concat('u', CAST(conv_id % 10 AS VARCHAR)) AS user_id, concat(CASE WHEN turn % 3 = 0 THEN concat('[', role, '] ') ELSE '' END, text) AS content FROM conversations),
+    r"""WITH m AS (SELECT concat('u', CAST(conv_id % 10 AS VARCHAR)) AS user_id, concat(CASE WHEN turn % 3 = 0 THEN concat('[', role, '] ') ELSE '' END, text) AS content FROM conversations),
  t AS (SELECT 'tag' AS kind, regexp_extract(content, '^(\[[^\]]*\])', 1) AS name, count(*) AS n FROM m WHERE regexp_matches(content, '^\[[^\]]*\]') GROUP BY 2 ORDER BY n DESC, name LIMIT 10)
  SELECT 'total' AS kind, '' AS name, count(*) AS n FROM m UNION ALL SELECT 'duplicates', '', count(*) - count(DISTINCT sha256(trim(content))) FROM m UNION ALL SELECT 'user', user_id, count(*) FROM m GROUP BY user_id UNION ALL SELECT * FROM t"""
 )
