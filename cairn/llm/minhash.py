@@ -144,13 +144,59 @@ def exact_edges(table: pa.Table, words: int, percent: int) -> pa.RecordBatch | N
     return _edges(nodes, forest(linked))
 
 
-def confirmed_edges(linked: DataFrame, texts: DataFrame, words: int, percent: int) -> list[DataFrame]:
-    """Edges (a, b) that join all nodes of each rough component of linked (node, cls, root, id, th) that full sets join.
+def wanted_here(table: pa.Table, apart: int) -> pa.RecordBatch | None:
+    """Which nodes of a task of wanted() have to be compared on full sets in it."""
+    some = table.column("some").combine_chunks().to_numpy(zero_copy_only=False)
+    if some.all() or not some.any():
+        return None
+    x, y = table.filter(pa.array(some)), table.filter(pa.array(~some))
+    column = lambda t, name: t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+    bits = [np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1) for t in (x, y)]
+    distance = np.zeros((x.num_rows, y.num_rows), np.int32)
+    for here, there in zip(bits[0].T, bits[1].T):
+        distance += np.bitwise_count(here[:, None] ^ there[None, :])
+    nodes = [column(t, "node") for t in (x, y)]
+    open_ = (distance <= apart) & (column(x, "part")[:, None] != column(y, "part")[None, :])
+    open_ &= column(y, "in_main")[None, :] | (nodes[0][:, None] < nodes[1][None, :])
+    open_ &= ~(column(x, "told")[:, None] & column(y, "told")[None, :])
+    i, j = np.nonzero(open_)
+    bands = [np.array(t.column("bands").to_pylist(), np.int64).reshape(t.num_rows, -1) for t in (x, y)]
+    same = bands[0][i] == bands[1][j]
+    first = same.argmax(axis=1)
+    here = bands[0][i, first] == table.column("band")[0].as_py()
+    found = np.unique(np.concatenate([nodes[0][i[here]], nodes[1][j[here]]]))
+    if not len(found):
+        return None
+    keys = [pa.array(np.full(len(found), table.column(k)[0].as_py(), np.int64)) for k in ("band", "_p", "_q")]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(found)], ["band", "_p", "_q", "node"])
+
+
+def wanted(nodes: DataFrame, apart: int) -> DataFrame:
+    """(band, _p, _q, node): tasks in which candidates of different parts stand together, by nodes (node, part, told, bands, sketch).
+
+    Candidates share a band and have sketches that differ in so many bits at most; those that are both told have been compared before. In a band all members outside
+    its largest part meet all its others, in pairs of blocks, and a band of one part has no task. A pair counts in the first band that both
+    have only, and a node is given for a task only if it has a candidate there. So texts are fetched in proportion to candidates, however large the group that they chain.
+    """
+    spread = nodes.select("node", "part", "told", "bands", "sketch", F.explode("bands").alias("band"))
+    counts = spread.groupBy("band", "part").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size")).where("most < size")
+    others, every = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("size") / BLOCK)
+    placed = spread.join(sizes, "band").withColumn("in_main", F.col("part") == F.col("main"))
+    some = placed.where("not in_main").withColumns({"some": F.lit(True), "_p": F.pmod(F.xxhash64("node"), others), "_q": F.explode(F.sequence(F.lit(0), every - 1))})
+    all_of = placed.withColumns({"some": F.lit(False), "_q": F.pmod(F.xxhash64("node"), every), "_p": F.explode(F.sequence(F.lit(0), others - 1))})
+    columns = ["band", "_p", "_q", "some", "node", "part", "told", "in_main", "bands", "sketch"]
+    return map_groups(some.select(columns).unionByName(all_of.select(columns)), ["band", "_p", "_q"], lambda t: wanted_here(t, apart), "band long, _p long, _q long, node long")
+
+
+def confirmed_edges(linked: DataFrame, marks: DataFrame, texts: DataFrame, words: int, percent: int) -> list[DataFrame]:
+    """Edges (a, b) that join all nodes of each rough component of linked (node, cls, root, id, th) that full sets join. marks: (node, bands, sketch).
 
     First the nodes of a block are compared with each other, which is all for a component of one block. Of larger ones the parts that this gives are
-    then compared by a node each, and only where parts are left over, all nodes outside a component's largest part with
-    all its others, in pairs of blocks. So a large group of copies is not compared pair by pair, and no link is lost.
+    then compared by a node each, and only where parts are left over, all nodes with those of other parts: in both cases only
+    candidates (wanted). So a large group of copies is not compared pair by pair, nor is a long chain of texts that are nearly alike enough, and no link between candidates is lost.
     """
+    apart = most_apart(percent / 100)
 
     def with_texts(nodes: DataFrame) -> DataFrame:
         """nodes with one text each, whatever the number of rows equal to it."""
@@ -160,9 +206,8 @@ def confirmed_edges(linked: DataFrame, texts: DataFrame, words: int, percent: in
     def compare(groups: DataFrame, keys: list[str]) -> DataFrame:
         return map_groups(groups.select(*keys, "node", "cls", "text"), keys, lambda t: exact_edges(t, words, percent), EDGE)
 
-    blocks = F.ceil(F.col("size") / BLOCK)
     sized = linked.join(linked.groupBy("root").agg(F.count("*").alias("size")), "root")
-    within = sized.withColumn("_b", F.pmod(F.xxhash64("node"), blocks))
+    within = sized.withColumn("_b", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
     edges = [materialize(compare(with_texts(within.drop("size")), ["root", "_b"]), "within")]
     large = sized.where(F.col("size") > BLOCK)
     if large.isEmpty():
@@ -175,21 +220,22 @@ def confirmed_edges(linked: DataFrame, texts: DataFrame, words: int, percent: in
         many = placed.groupBy("root").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("root")
         return materialize(placed.join(many, "root", "left_semi"), "parts")
 
+    def across(nodes: DataFrame, label: str) -> DataFrame:
+        tasks = materialize(wanted(nodes.join(marks, "node"), apart), "wanted")
+        few = nodes.join(tasks.select("node").distinct(), "node", "left_semi").select("node", "cls", "id", "th")
+        found = materialize(compare(tasks.join(with_texts(few), "node"), ["band", "_p", "_q"]), label)
+        release(tasks)
+        return found
+
+    before = parts()
+    heads = before.where("part = node")
+    edges.append(across(heads.withColumn("told", F.lit(False)), "heads"))
     left = parts()
-    heads = with_texts(left.where("part = node").select("node", "cls", "root", "id", "th"))
-    edges.append(materialize(compare(block_pairs(heads, ["root"], "node", BLOCK), ["root", "_i", "_j"]), "heads"))
-    release(left)
-    left = parts()
-    if left.isEmpty():
-        return edges
-    counts = left.groupBy("root", "part").agg(F.count("*").alias("n"))
-    main = counts.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"))
-    sides = with_texts(left.join(main, "root"))
-    others, every = F.ceil((F.col("size") - F.col("most")) / BLOCK), blocks
-    some = sides.where("part <> main").withColumns({"_p": F.pmod(F.xxhash64("node"), others), "_q": F.explode(F.sequence(F.lit(0), every - 1))})
-    all_of = sides.withColumns({"_q": F.pmod(F.xxhash64("node"), every), "_p": F.explode(F.sequence(F.lit(0), others - 1))})
-    cross = some.select("root", "_p", "_q", "node", "cls", "text").unionByName(all_of.select("root", "_p", "_q", "node", "cls", "text"))
-    return [*edges, materialize(compare(cross, ["root", "_p", "_q"]), "across")]
+    if not left.isEmpty():
+        was = heads.select("node", F.lit(True).alias("told"))
+        edges.append(across(left.join(was, "node", "left").withColumn("told", F.coalesce("told", F.lit(False))), "across"))
+    release(before, left)
+    return edges
 
 
 def class_components(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -204,7 +250,7 @@ def class_components(docs: DataFrame, percent: int, words: int, id_col: str, tex
     rough = components(candidates)
     linked = materialize(rough.join(classes.select("node", "cls", "first"), "node").select("node", "cls", "root", F.col("first.id").alias("id"), F.col("first.th").alias("th")), "linked")
     texts = docs.select(F.col(id_col).alias("t_id"), F.xxhash64(text_col).alias("t_th"), F.col(text_col).cast("binary").alias("text"))
-    edges = confirmed_edges(linked, texts, words, percent)
+    edges = confirmed_edges(linked, classes.select("node", "bands", "sketch"), texts, words, percent)
     release(linked)
     found = edges[0]
     for more in edges[1:]:
@@ -221,8 +267,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     Texts with equal sets of word shingles are one class, whatever their number. Classes that share a band of
     MinHash samples are candidates; odd sketches, bitmaps that each sample turns over one bit of, tell by the population count of their XOR which of
     them may reach the threshold. The components of these are compared on full
-    sets, recomputed from whole texts (confirmed_edges), and the confirmed links give the components. Large bands and components are compared in
-    blocks and give spanning forests, so that no task holds a group and no stage writes all its pairs.
+    sets, recomputed from whole texts (confirmed_edges), and the confirmed links give the components. Large bands are compared in
+    blocks and give spanning forests, so that no task holds a group and no stage writes all its pairs; of large components only candidates are.
 
     A text that is null or has no word has n_shingles 0 and its own id as component_id. Ids may repeat: each row is in its set's
     component. Null ids count for no component's smallest id; component_id is null if a component has no

@@ -328,7 +328,8 @@ def test_confirmed_edges_lose_no_link(docs, spark, monkeypatch, block):
     signed = minhash.signatures(docs(*rows), "doc_id", "text", 5).dropDuplicates(["cls"])
     linked = signed.select(F.col("id").alias("node"), "cls", F.lit(0).cast("long").alias("root"), "id", "th")
     texts = docs(*rows).select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_th"), F.col("text").cast("binary").alias("text"))
-    edges = minhash.confirmed_edges(linked, texts, 5, 85)
+    marks = signed.select(F.col("id").alias("node"), "bands", "sketch")
+    edges = minhash.confirmed_edges(linked, marks, texts, 5, 85)
     found = edges[0]
     for more in edges[1:]:
         found = found.unionByName(more)
@@ -338,6 +339,30 @@ def test_confirmed_edges_lose_no_link(docs, spark, monkeypatch, block):
     assert {i: roots.get(i, i) for i in least} == want
 
 
+def test_minhash_chain_moves_texts_by_candidates(docs, monkeypatch):
+    """A chain of texts of which neighbours are alike at 0.77, seldom at 0.9: one rough component, few texts a task, the right links."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    at, starts = 0, []
+    for k in range(2_000):
+        starts.append(at)
+        at += 5 if k % 7 == 0 else 13
+    rows = [(k, " ".join(f"c{w}" for w in range(s, s + 104))) for k, s in enumerate(starts)]
+    counts, fetch = [], minhash.wanted
+    monkeypatch.setattr(minhash, "wanted", lambda nodes, apart: counts.append((nodes, apart)) or fetch(nodes, apart))
+    frame = docs(*rows)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame).collect()}
+    want, sets = {}, [shingle_set(t) for _, t in rows]
+    for k in range(len(rows)):  # texts that are not neighbours share fewer shingles
+        linked = k and 100 * len(sets[k] & sets[k - 1]) >= 85 * len(sets[k] | sets[k - 1])
+        want[k] = want[k - 1] if linked else k
+    assert got == want
+    signed = minhash.signatures(frame, "doc_id", "text", 5)
+    nodes = signed.select(F.col("id").alias("node"), F.col("id").alias("part"), F.lit(False).alias("told"), "bands", "sketch")
+    assert counts and fetch(nodes, counts[0][1]).count() <= 6 * len(rows)
+    assert fetch(nodes.withColumn("told", F.lit(True)), counts[0][1]).count() == 0
+    assert fetch(nodes.withColumn("part", F.lit(0).cast("long")), counts[0][1]).count() == 0
+
+
 def test_keep_one(docs):
     rows = near_rows()
     _, roots = plain_components(rows, 80)
