@@ -32,6 +32,11 @@ def tier_decay(tier: Column, age_s: Column) -> Column:
     return F.coalesce(F.exp(-math.log(2) * age / days), F.lit(1.0))
 
 
+def tier_deadline(tier: Column, since_s: Column) -> Column:
+    """When a row of the tier ends to live, counted from since_s; null for a tier that lives for ever."""
+    return since_s + choose(tier, {k: int(v[1] * DAY) for k, v in TIERS.items() if v[1]}, None)
+
+
 def tier_score(tier: Column, age_s: Column, trust: Column) -> Column:
     """Weight of the tier, times decay, times trust; trust of 0 or null counts as one half."""
     weight = choose(tier, {k: v[0] for k, v in TIERS.items()}, TIERS["semantic"][0])

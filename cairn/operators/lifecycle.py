@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from ..functions import rules, scores, text
 from .ordered import clamped_sums
 from .pairs import following
 
@@ -156,6 +156,17 @@ def restore(stones: DataFrame, schema) -> DataFrame:
     return stones.select(F.from_json("payload", schema).alias("r")).select("r.*")
 
 
+def tier_backfill(facts: DataFrame, table: dict[str, tuple[str, ...]], default: str = "semantic") -> DataFrame:
+    """The facts (id, category, fact_key, fact_value, memory_tier, recorded_s) that their own words put in another tier: (id, old, new, decay_s).
+
+    A null or unknown tier counts as the default. The deadline is counted from when the fact was recorded. Null words count as empty; no facts give no rows.
+    """
+    old = F.when(F.col("memory_tier").isin(*scores.TIERS), F.col("memory_tier")).otherwise(F.lit(default))
+    new = rules.first_tier(F.concat_ws(" ", "category", "fact_key", "fact_value"), table, default)
+    moved = facts.select("id", old.alias("old"), new.alias("new"), "recorded_s").where("old <> new")
+    return moved.select("id", "old", "new", scores.tier_deadline(F.col("new"), F.col("recorded_s")).alias("decay_s"))
+
+
 def pending(log: DataFrame) -> DataFrame:
     """Of a write-ahead log (wal_id, pos, status, ...) the entries whose latest status is 'pending': (wal_id, pos). Of several at one place the last by name counts."""
     return log.groupBy("wal_id").agg(F.max(F.struct("pos", "status")).alias("x")).where("x.status = 'pending'").select("wal_id", "x.pos")

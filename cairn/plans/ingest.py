@@ -132,12 +132,12 @@ def f10_review_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL_KIND = "CASE WHEN regexp_matches(c, 'license|version') THEN 'DECISIONS' WHEN regexp_matches(c, 'her|his') THEN 'PREFERENCES' WHEN regexp_matches(c, 'ing ') THEN 'EXPERIENCES' WHEN regexp_matches(c, 'tion') THEN 'OBSERVATIONS' WHEN regexp_matches(c, 'zz') THEN 'REFLECTIONS' ELSE 'FACTS' END"
-SQL_TYPES = f"""WITH n AS (SELECT concat('fact:', CAST(id AS VARCHAR)) AS ref, {SQL_KIND} AS kind FROM (SELECT id, fact_value AS c FROM facts WHERE id % 3 <> 0 ORDER BY id DESC LIMIT 5000) f),
+SQL_TYPES = f"""WITH n AS (SELECT concat('fact:', CAST(id AS VARCHAR)) AS ref, {SQL_KIND} AS kind FROM (SELECT id, fact_value AS c FROM facts ORDER BY id DESC LIMIT 5000) f),
  o AS (SELECT concat('fact:', CAST(doc_id AS VARCHAR)) AS ref, 'OLD' AS kind FROM labels), t AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE ref NOT IN (SELECT ref FROM n))"""
 
 
 def types(spark: SparkSession, folder: str) -> DataFrame:
-    refs = relation(spark, folder, "facts").where("id % 3 <> 0").orderBy(F.desc("id")).limit(5_000).select(F.concat(F.lit("fact:"), "id").alias("ref"), F.col("fact_value").alias("content"))
+    refs = relation(spark, folder, "facts").orderBy(F.desc("id")).limit(5_000).select(F.concat(F.lit("fact:"), "id").alias("ref"), F.col("fact_value").alias("content"))
     old = table(spark, folder, "labels").select(F.concat(F.lit("fact:"), "doc_id").alias("ref"), F.lit("OLD").alias("kind")).distinct()
     return writes.record_types(old, refs, KIND_WORDS)
 

@@ -212,14 +212,6 @@ def f13_parse_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return relation(spark, folder, "facts").select("id", parsed.alias("p")).select("id", "p.verdict", "p.confidence")
 
 
-@query(f"SELECT memory_tier AS old, CASE WHEN contains(lower(fact_value), 'license') THEN 'procedural' ELSE 'semantic' END AS new, count(*) AS facts FROM facts WHERE archived = 0 GROUP BY 1, 2 HAVING old <> new", "facts")
-def f17_tier_backfill(spark: SparkSession, folder: str) -> DataFrame:
-    """How many facts a new rule would move between tiers."""
-    tier = rules.first_tier(F.col("fact_value"), {"procedural": ("license",)})
-    facts = relation(spark, folder, "facts").where("archived = 0").select(F.col("memory_tier").alias("old"), tier.alias("new"))
-    return facts.where("old <> new").groupBy("old", "new").agg(F.count("*").alias("facts"))
-
-
 @query(f"SELECT memory_id, round(least(1E0, salience * exp(-ln(2) / 30E0 * (({HEAT_AS_OF} - last_s) / 86400E0)) + 0.1E0), 6) AS boosted, access_count + 1 AS access_count FROM {HEAT}", "salience")
 def g2_access(spark: SparkSession, folder: str) -> DataFrame:
     """An access: decay since the last one, then a boost."""
@@ -304,13 +296,6 @@ def i8_skills(spark: SparkSession, folder: str) -> DataFrame:
     return facts.groupBy("category").agg(F.count("*").alias("solutions")).where("solutions >= 3")
 
 
-@query("SELECT session_id, turn FROM turns WHERE role <> 'system' AND length(trim(content)) BETWEEN 1 AND 300 AND NOT regexp_matches(lower(trim(content)), '^(ok|yes|no|thanks)')", "turns")
-def j3_should_buffer(spark: SparkSession, folder: str) -> DataFrame:
-    clean = F.trim("content")
-    keep = (F.col("role") != "system") & F.length(clean).between(1, 300) & ~F.lower(clean).rlike("^(ok|yes|no|thanks)")
-    return relation(spark, folder, "turns").where(keep).select("session_id", "turn")
-
-
 @query(f"SELECT id, recorded_s, CAST(floor(({AS_OF} - recorded_s) / 86400E0) AS BIGINT) AS age_days FROM facts WHERE recorded_s >= {AS_OF} - 7 * 86400", "facts")
 def k19_week_report(spark: SparkSession, folder: str) -> DataFrame:
     recent = relation(spark, folder, "facts").where(F.col("recorded_s") >= AS_OF - 7 * DAY)

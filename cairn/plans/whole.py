@@ -9,6 +9,8 @@ from ..functions import rules, text
 from ..operators import lifecycle, recall, writes
 from ..sources.tables import AS_OF, relation, table
 from ..streaming import coalesce
+from .filters import TIER_WORDS
+from .ingest import SQL_TIERS
 from .registry import query
 from .streams import sql_waves
 
@@ -259,3 +261,39 @@ def j5_latest_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """The latest state of each of the 200 jobs that were touched last."""
     jobs = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("x"), F.count("*").alias("updates"))
     return jobs.orderBy(F.desc("x")).limit(200).select("user_id", "event_type", "x.event_id", "updates")
+
+
+SQL_MOVED = f"""m AS (SELECT id, old, new, CASE new WHEN 'semantic' THEN recorded_s + 180 * 86400 WHEN 'episodic' THEN recorded_s + 30 * 86400 END AS decay_s FROM
+ (SELECT id, recorded_s, CASE WHEN memory_tier IN ('procedural', 'semantic', 'episodic') THEN memory_tier ELSE 'semantic' END AS old, {SQL_TIERS} AS new FROM
+ (SELECT *, lower(concat_ws(' ', category, fact_key, fact_value)) AS v FROM facts WHERE archived = 0) a) b WHERE old <> new)"""
+
+
+@query(f"WITH {SQL_MOVED} SELECT id, old, new, coalesce(decay_s, -1) AS decay_s FROM m", "facts")
+def f17_tier_backfill(spark: SparkSession, folder: str) -> DataFrame:
+    """Live facts that their words move to another tier, with their new deadline."""
+    moved = lifecycle.tier_backfill(relation(spark, folder, "facts").where("archived = 0"), TIER_WORDS)
+    return moved.withColumn("decay_s", F.coalesce("decay_s", F.lit(-1)))
+
+
+@query(f"WITH {SQL_MOVED} SELECT old, new, count(*) AS facts, coalesce(min(decay_s), -1) AS first_s FROM m GROUP BY old, new", "facts")
+def f17_tier_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How many facts would move between tiers, and when the first of them would end."""
+    moved = lifecycle.tier_backfill(relation(spark, folder, "facts").where("archived = 0"), TIER_WORDS)
+    return moved.groupBy("old", "new").agg(F.count("*").alias("facts"), F.coalesce(F.min("decay_s"), F.lit(-1)).alias("first_s"))
+
+
+@query(
+    """WITH m AS (SELECT session_id, turn, CASE (session_id + turn) % 6 WHEN 0 THEN '我叫 x' WHEN 1 THEN concat('k', CAST(turn AS VARCHAR), ' = ', role) WHEN 2 THEN '   ' ELSE content END AS c,
+ CASE session_id % 3 WHEN 0 THEN 400 WHEN 1 THEN 800 ELSE 500 END AS most FROM turns)
+ SELECT session_id, turn, CASE WHEN turn % 5 = 4 THEN 'sync_path' WHEN turn % 7 = 3 THEN 'opt_out' WHEN trim(c) = '' THEN 'empty' WHEN length(trim(c)) > most THEN 'too_long'
+ WHEN session_id % 4 <> 1 AND (session_id + turn) % 6 IN (0, 1) THEN 'fastpath_candidate' ELSE 'ok' END AS reason FROM m""",
+    "turns",
+)
+def j3_should_buffer(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each turn waits in a buffer, or why not; some are short facts, some empty."""
+    kind, s = (F.col("session_id") + F.col("turn")) % 6, F.col("session_id")
+    pair = F.concat(F.lit("k"), F.col("turn").cast("string"), F.lit(" = "), "role")
+    content = F.when(kind == 0, "我叫 x").when(kind == 1, pair).when(kind == 2, "   ").otherwise(F.col("content"))
+    profile = F.when(s % 3 == 0, "tech").when(s % 3 == 1, "intimate").otherwise("other")
+    reason = coalesce.buffer_reason(content, profile, F.col("turn") % 5 != 4, F.col("turn") % 7 == 3, s % 4 == 1)
+    return relation(spark, folder, "turns").select("session_id", "turn", reason.alias("reason"))

@@ -10,13 +10,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import scores, text
+
 WAVES = "key string, wave_start double, wave_end double, parts int, chars int, reason string"
 #: Idle seconds, window seconds, parts and characters of a profile's buffers. Fixed values.
 PROFILES = {"default": (12.0, 4.0, 8, 2000), "tech": (8.0, 2.5, 6, 1500), "intimate": (20.0, 8.0, 12, 3000)}
+#: The most characters of a message that may wait, by profile. Fixed values.
+MOST_SINGLE = {"default": 500, "tech": 400, "intimate": 800}
 
 Buffer = tuple[float, float, int, int]
 
@@ -145,6 +149,24 @@ def _waves(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "wave_start", "wave_end", "parts", "chars", "reason"])
 
 
+def buffer_reason(content: Column, profile: Column, is_async: Column, opted_out: Column, no_fastpath: Column) -> Column:
+    """'ok' for a message that waits in its profile's buffer, else the first reason why it is taken at once.
+
+    Only asynchronous calls wait, and none that has opted out. Empty and null messages, those longer than the profile allows, and short facts of a known form (unless the call wants none
+    taken that way) don't. An unknown profile is the default; null flags are false.
+    """
+    said, on = F.trim(F.coalesce(content, F.lit(""))), lambda c: F.coalesce(c, F.lit(False))
+    most = scores.choose(profile, MOST_SINGLE, MOST_SINGLE["default"])
+    return (
+        F.when(~on(is_async), "sync_path")
+        .when(on(opted_out), "opt_out")
+        .when(said == "", "empty")
+        .when(F.length(said) > most, "too_long")
+        .when(~on(no_fastpath) & text.fastpath(said).isNotNull(), "fastpath_candidate")
+        .otherwise("ok")
+    )
+
+
 def saved(waves: DataFrame, profile: str) -> DataFrame:
     """What waves save: (day, profile, reason, waves, messages, saved), a wave being one call for all its messages."""
     day = F.date_format(F.timestamp_seconds(F.floor("wave_start")), "yyyy-MM-dd").alias("day")
