@@ -10,6 +10,7 @@ from ..operators import graph, lifecycle, pairs, recall, writes
 from ..sources.tables import AS_OF, DAY, relation, table
 from ..streaming.coalesce import PROFILES
 from .lifecycle import HEAT, HEAT_AS_OF, SQL_LANES, heat
+from .filters import SQL_LINES
 from .registry import query
 from .textual import SQL_JACCARD, SQL_WORDS, sql_grams
 
@@ -235,16 +236,19 @@ def f18_roll_back(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH n AS (SELECT CASE id % 3 WHEN 0 THEN 'u4' WHEN 1 THEN 'u5' ELSE 'default' END AS user_id, trim(substring(fact_value, 1, 40 + id % 200)) AS content, id % 40 / 20E0 AS confidence FROM facts WHERE id % 2 = 1),
- o AS (SELECT CASE id % 4 WHEN 0 THEN 'default' WHEN 2 THEN 'u5' END AS user_id, trim(substring(fact_value, 1, 40 + id % 200)) AS content FROM facts WHERE id % 2 = 0 UNION ALL SELECT 'default', content FROM n WHERE length(content) % 3 = 0),
- c AS (SELECT user_id, content, max(least(confidence, 1E0)) AS confidence FROM (SELECT user_id, regexp_replace(content, '{rules.CONTROLS}', '', 'g') AS content, confidence FROM n WHERE content <> '') x GROUP BY user_id, content)
+    f"""WITH n AS (SELECT id, CASE id % 3 WHEN 0 THEN 'u4' WHEN 1 THEN 'u5' ELSE 'default' END AS user_id, trim(fact_value) AS content, id % 40 / 20E0 AS confidence FROM facts WHERE id % 2 = 1),
+ o AS (SELECT CASE id % 4 WHEN 0 THEN 'default' WHEN 2 THEN 'u5' END AS user_id, trim(fact_value) AS content FROM facts WHERE id % 2 = 0 UNION ALL SELECT 'default', content FROM n WHERE length(content) % 3 = 0),
+ x AS (SELECT id, user_id, confidence, regexp_replace(substring(content, 1, {rules.MOST_CHARS}), '{rules.CONTROLS}', '', 'g') AS t FROM n WHERE content <> ''),
+ l AS (SELECT id, max(k) AS most, CAST(sum(k) AS BIGINT) AS lines FROM (SELECT id, y, count(*) AS k FROM (SELECT id, unnest({SQL_LINES}) AS y FROM x) u GROUP BY id, y) g GROUP BY id),
+ c AS (SELECT user_id, t AS content, max(least(confidence, 1E0)) AS confidence FROM x LEFT JOIN l USING (id) WHERE NOT regexp_matches(t, '{rules.INJECTION}') AND NOT regexp_matches(lower(regexp_replace(t, '[^0-9a-zA-Z一-鿿]', '', 'g')), '{rules.INJECTION_BARE}')
+ AND NOT coalesce(lines > 6 AND most >= 3 AND most / lines > 0.3E0, false) GROUP BY user_id, t)
  SELECT user_id, sha256(content) AS content_hash, round(confidence, 6) AS confidence FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.content = c.content AND (o.user_id = c.user_id OR (c.user_id = 'u4' AND o.user_id = 'default')))""",
     "facts",
 )
 def f20_save_insights(spark: SparkSession, folder: str) -> DataFrame:
     """New insights that aren't stored yet; the default user, here u4, was once called 'default'."""
     i = F.col("id")
-    facts = relation(spark, folder, "facts").withColumn("content", F.trim(F.substring("fact_value", F.lit(1), (40 + i % 200).cast("int"))))
+    facts = relation(spark, folder, "facts").withColumn("content", F.trim("fact_value"))
     new = facts.where("id % 2 = 1").select(F.when(i % 3 == 0, "u4").when(i % 3 == 1, "u5").otherwise("default").alias("user_id"), "content", (i % 40 / 20).alias("confidence"))
     old = facts.where("id % 2 = 0").select(F.when(i % 4 == 0, "default").when(i % 4 == 2, "u5").alias("user_id"), "content")
     old = old.unionByName(new.where("length(content) % 3 = 0").select(F.lit("default").alias("user_id"), "content"))
