@@ -23,9 +23,12 @@ def words(value: Column) -> Column:
 
 
 def pieces(names: DataFrame) -> DataFrame:
-    """(piece, name, n, k, of): the pieces of the names (name), each name as its words joined by a space, once; k counts the words before a piece. Names without words have none."""
+    """(piece, name, n, k, of): the pieces of the names (name), each name as its words joined by a space, once; k counts the words before a piece.
+
+    The last piece of a name of PIECE words or more is whole too, and may overlap the one before: a rest of one word would stand in most texts. Names without words have none.
+    """
     cut = names.select(words(F.col("name")).alias("w")).where("size(w) > 0").select(F.array_join("w", " ").alias("name"), "w", F.size("w").alias("n")).dropDuplicates(["name"])
-    starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE)), lambda k: F.least(k, F.greatest(F.col("n") - PIECE, F.lit(0)))))
     return cut.select("w", "name", "n", F.size(starts).alias("of"), F.explode(starts).alias("k")).select(F.array_join(F.slice("w", F.col("k") + 1, PIECE), " ").alias("piece"), "name", "n", "k", "of")
 
 
@@ -41,8 +44,7 @@ def all_matches(texts: DataFrame, names: DataFrame) -> DataFrame:
     runs = runs.select("id", F.explode(F.transform("w", lambda x, i: F.struct(i.alias("at"), F.slice("w", i + 1, PIECE).alias("g")))).alias("x")).select("id", "x.at", "x.g")
     keys = F.array(*[F.when(F.size("g") >= k, F.array_join(F.slice("g", 1, k), " ")) for k in range(1, PIECE + 1)])
     hits = runs.select("id", "at", F.explode(keys).alias("piece")).where("piece IS NOT NULL").join(F.broadcast(known) if few else known, "piece").select("id", (F.col("at") - F.col("k")).alias("at"), "n", "name", "of")
-    whole = hits.where("of > 1").groupBy("id", "at", "n", "name", "of").agg(F.count("*").alias("got")).where("got = of")
-    return hits.where("of = 1").select("id", "at", "n", "name").unionByName(whole.select("id", "at", "n", "name"))
+    return hits.groupBy("id", "at", "n", "name", "of").agg(F.count("*").alias("got")).where("got = of").select("id", "at", "n", "name")
 
 
 def leftmost_longest(matches: DataFrame) -> DataFrame:
