@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
+
 
 def block_pairs(members: DataFrame, group: list[str], node: str, block: int) -> DataFrame:
     """members, once for each pair of blocks of its group that it takes part in: two columns more, _i <= _j, and _b, its own.
@@ -59,7 +61,7 @@ def map_groups(df: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Reco
         if outs:
             yield from pa.Table.from_batches(outs).combine_chunks().to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(over, schema)
+    return dealt(df, *keys).sortWithinPartitions(*keys).mapInArrow(over, schema)
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
 from .common import let_go, materialize, release
 
 #: Width of the ranges of conversation ids whose ends are joined to one text.
@@ -144,7 +145,7 @@ def end_digests(pieces: DataFrame) -> DataFrame:
 
     many = pieces.groupBy(*KEY).agg(F.count("*").alias("n"), F.first("ids").alias("ids"))
     one = many.where("n = 1").select(*KEY, F.sha2("ids", 256).alias("ends_sha256"))
-    rest = pieces.join(many.where("n > 1").select(*KEY), KEY, "left_semi").repartition(*KEY).sortWithinPartitions(*KEY, "piece")
+    rest = dealt(pieces.join(many.where("n > 1").select(*KEY), KEY, "left_semi"), *KEY).sortWithinPartitions(*KEY, "piece")
     return one.unionByName(rest.mapInArrow(run, "k1 long, k2 long, ends_sha256 string"))
 
 

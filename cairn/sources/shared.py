@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -34,6 +35,15 @@ def stored(df: DataFrame, label: str, partition: list[str] | None = None) -> Dat
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df with all rows of a key in one partition, for Python that folds them.
+
+    Dealt by a hash of the keys: a plain repartition by the keys of a join below is left out of the plan, and where that join
+    becomes a broadcast its own shuffle is read by mappers, so that a key is in several tasks.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of stored() that no later plan reads."""
     for df in tables:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scores, text
+from ..sources.shared import dealt
 
 WAVES = "key string, wave_start double, wave_end double, parts int, chars int, reason string"
 #: Idle seconds, window seconds, parts and characters of a profile's buffers. Fixed values.
@@ -139,7 +140,7 @@ def coalesce_batch(messages: DataFrame, profile: str = "default") -> DataFrame:
         if buffer is not None:
             yield _waves([(at[0], *buffer, "idle")])
 
-    folded = longer.repartition("key", "run").sortWithinPartitions("key", "run", "ts_s", "seq").mapInArrow(fold, WAVES)
+    folded = dealt(longer, "key", "run").sortWithinPartitions("key", "run", "ts_s", "seq").mapInArrow(fold, WAVES)
     return alone.unionByName(folded)
 
 

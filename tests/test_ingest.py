@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cairn.operators import recall
-from cairn.streaming import ingest
+from cairn.streaming import coalesce, ingest
 
 SCHEMA = "user_id string, session_id long, turn long, role string, ts_s long, content string"
 
@@ -44,3 +44,15 @@ def test_budgets_stop_at_the_first_row_that_overflows(spark):
     got = recall.within_budget(frame, "line", [F.desc("w"), "id"], 400, ["cat"])
     assert {(x.id, x.used) for x in got.collect()} == want
     assert recall.within_budget(frame, "line", ["id"], 0, ["cat"]).count() == 601 and recall.within_budget(frame.limit(0), "line", ["id"], 5, ["cat"]).count() == 0
+
+
+def test_messages_of_a_run_are_dealt_out_after_the_join(spark):
+    """Without an exchange of its own below the fold, a join that becomes a broadcast leaves a run in as many tasks as it has slots."""
+    frame = spark.range(100).selectExpr("concat('k', id % 2) AS key", "9D * (id div 2) AS ts_s", "20L AS size", "id AS seq")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = coalesce.coalesce_batch(frame)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    fold = plan[plan.index("MapInArrow") :]
+    assert "REPARTITION_BY_COL" in fold[: fold.index("LeftSemi")]
