@@ -81,3 +81,9 @@ def test_feedback_is_the_plain_fold_of_its_own_rows(spark, folder):
         now[key] = min(1.0, max(0.05, now[key] + (0.15 if hits >= 3 else -0.12 if hits == 0 else 0.05)))
     got = {r.memory_id: r.adjusted for r in plans.QUERIES["g5_feedback"](spark, folder).collect()}
     assert got.keys() == now.keys() and all(abs(got[k] - now[k]) < 2e-6 for k in now)
+
+
+def test_all_jobs_are_given_not_the_latest_200(spark, tmp_path):
+    spark.range(900).selectExpr("id AS event_id", "timestamp_seconds(1000 + id div 3) AS ts", "id % 300 AS user_id", "'click' AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: (r.event_id, r.updates) for r in plans.QUERIES["j5_latest_jobs"](spark, str(tmp_path)).collect()}
+    assert got == {k: (600 + k, 3) for k in range(300)}
