@@ -1,6 +1,6 @@
 """Personal data: base patterns, and spans that boosted trees choose from high-recall candidates.
 
-The trees learn from the documents themselves: from the candidates in a bounded sample of them, labelled by rules that abstain where they can't
+The trees learn from the documents themselves: from the candidates in all of them, labelled by rules that abstain where they can't
 tell, and from unusual forms and look-alikes written into their texts. Thresholds are calibrated on documents that no tree has seen.
 """
 
@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, slices
+from .common import let_go, materialize, release, slices
 
 #: Kinds of spans; the first four have base patterns, the last only added spans.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -32,21 +32,30 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Candidates beyond the base patterns; they may overlap. A span is the pattern's group, or the whole match if it has none. A text in which the last
-#: pattern finds nothing has no match of the one before it, and is not searched.
-DIGIT = re.compile(r"[0-9]")
-AT = re.compile(r"@|[\[({<]\s?(?:at|AT)\s?[\])}>]|\s(?:at|AT)\s")
+#: Candidates beyond the base patterns; they may overlap. A span is the pattern's group, or the whole match if it has none. A text of which the last
+#: function says no has no match of the pattern, and is not searched.
+DIGIT = re.compile(r"[0-9]").search
+AT = re.compile(r"(?:@|[\[({<]\s?(?:at|AT)\s?[\])}>]|\s(?:at|AT)\s)\s{0,2}[A-Za-z0-9-]{1,63}\s{0,2}(?:\.|[\[({<]\s?(?:dot|DOT)\s?[\])}>]|\s(?:dot|DOT)\s)").search
+#: What (?i) takes for i and s beside their capitals, and lower() does not turn into them.
+ODD = re.compile("[İıſ]").search
+
+
+def _keyed(text: str) -> bool:
+    low = text.lower()
+    return any(word in low for word in ("passw", "pwd", "secret", "token", "key", "pin")) or (not text.isascii() and ODD(text) is not None)
+
+
 GENERATORS = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s{0,2}(?:@|[\[({<]\s?(?:at|AT)\s?[\])}>]|\s(?:at|AT)\s)\s{0,2}[A-Za-z0-9-]{1,63}(?:\s{0,2}(?:\.|[\[({<]\s?(?:dot|DOT)\s?[\])}>]|\s(?:dot|DOT)\s)\s{0,2}[A-Za-z0-9-]{1,63}){1,4}"), AT),
-    ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), re.compile(":")),
+    ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"), re.compile(":").search),
     ("ip", re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\s\.\s|\.)[0-9]{1,3}){3}(?![0-9])"), DIGIT),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20./_ -]{0,3}[0-9]{2,6}){2,5}(?![0-9])"), DIGIT),
     ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+|00)?[(]?[0-9]{1,4}[)]?(?:[\s./()-]{1,2}[0-9]{2,4}){2,5}(?![0-9A-Za-z])"), DIGIT),
     # A token of any length, with a letter and a digit; parts with dots between them are one.
     ("secret", re.compile(r"(?<![A-Za-z0-9_+/=.@-])(?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}(?:\.[A-Za-z0-9_+/-]+)*={0,2}(?![A-Za-z0-9_+/=@])"), DIGIT),
-    ("secret", re.compile(r"(?i)(?:passw(?:or)?d|pwd|secret|token|key|pin)['\"]?\s{0,2}(?:[:=]|\bis\b)\s{0,2}['\"]?([^\s'\",;]{6,})"), re.compile(r"(?i)[:=]|\bis\b")),
+    ("secret", re.compile(r"(?i)(?:passw(?:or)?d|pwd|secret|token|key|pin)['\"]?\s{0,2}(?:[:=]|\bis\b)\s{0,2}['\"]?([^\s'\",;]{6,})"), _keyed),
     # A key in a frame of its own.
-    ("secret", re.compile(r"-----BEGIN [A-Z0-9 ]{1,40}-----(?:(?!-----BEGIN|-----END).)*-----END [A-Z0-9 ]{1,40}-----", re.DOTALL), re.compile("-----BEGIN ")),
+    ("secret", re.compile(r"-----BEGIN [A-Z0-9 ]{1,40}-----(?:(?!-----BEGIN|-----END).)*-----END [A-Z0-9 ]{1,40}-----", re.DOTALL), re.compile("-----BEGIN ").search),
 )
 CUES = {
     "email": re.compile(r"(?i)e-?mail|contact|write|reach|courriel|correo"),
@@ -56,11 +65,13 @@ CUES = {
     "secret": re.compile(r"(?i)token|key|secret|passw|pwd|auth|bearer|credential"),
 }
 AGAINST = re.compile(r"(?i)version|\bv\.?$|order|invoice|isbn|serial|\bid\b|\bno\b|ref|page|figure|section|total|sum|date|table")
+HEX = frozenset("0123456789abcdefABCDEF")
 TOP_LEVEL = frozenset("com org net edu gov info io de fr es uk us eu ch at".split())
 #: Characters before and after a span that are its context.
 AROUND = 32
-#: Documents that the trees are fitted and calibrated on at most. All documents are searched.
-FIT_DOCS = 4_000
+#: Examples of a partition that the trees are fitted on, and steps of probability that thresholds are told apart by.
+FIT_ROWS, CELLS = 250_000, 1 << 16
+NO_DIGITS = re.compile(r"[^0-9]+")
 
 
 def luhn(digits: str) -> bool:
@@ -72,7 +83,7 @@ def luhn(digits: str) -> bool:
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if "0" <= c <= "9")
+    return NO_DIGITS.sub("", text)
 
 
 def _octets(text: str) -> bool:
@@ -101,7 +112,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all candidates of all generators."""
     found = set()
     for kind, pattern, needs in GENERATORS:
-        if needs.search(text):
+        if needs(text):
             group = pattern.groups
             found |= {(m.start(group), KINDS.index(kind), m.end(group)) for m in pattern.finditer(text)}
     return sorted(found)
@@ -117,14 +128,15 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
     left, right = text[max(0, start - AROUND) : start], text[end : end + AROUND]
     digits, groups = _digits(s), re.findall(r"[0-9]+", s)
     last = re.split(r"[^A-Za-z0-9-]+", s)[-1].lower()
-    shares = [s.count(c) / len(s) for c in set(s)]
+    often = {c: s.count(c) for c in set(s)}
+    shares, many = [n / len(s) for n in often.values()], lambda which: sum(n for c, n in often.items() if which(c))
     return [
         *[float(kind == k) for k in range(len(KINDS))], float(len(s)), float(len(digits)), len(digits) / len(s), float(len(groups)), float(bool(digits) and luhn(digits)),
         float(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)), float(s[0] == "+" or (kind == KINDS.index("phone") and s[:2] == "00")), float("(" in s), float(last in TOP_LEVEL),
         float(len(re.findall(r"\b(?:at|dot|AT|DOT)\b", s))), float(bool(CUES[KINDS[kind]].search(left) or CUES[KINDS[kind]].search(right))), float(bool(AGAINST.search(left))),
-        float(left[-1:].isalnum()), float(right[:1].isalnum()), float(sum(c.isspace() for c in s)), float(len({len(g) for g in groups}) == 1 and len(groups) > 1),
-        float(sum(not c.isalnum() and not c.isspace() for c in s)), float(min(map(len, groups), default=0)), float(digits.count("0")), float(len(set(digits))),
-        -sum(x * math.log2(x) for x in shares), float(all(c in "0123456789abcdefABCDEF" for c in s)), sum(c.isupper() for c in s) / len(s), float(left[-1:] in "\"'" and left != ""), float(bool(re.search(r"[:=]\s{0,2}[\"']?$", left))),
+        float(left[-1:].isalnum()), float(right[:1].isalnum()), float(many(str.isspace)), float(len({len(g) for g in groups}) == 1 and len(groups) > 1),
+        float(len(s) - many(str.isalnum) - many(str.isspace)), float(min(map(len, groups), default=0)), float(digits.count("0")), float(len(set(digits))),
+        -sum(x * math.log2(x) for x in shares), float(often.keys() <= HEX), many(str.isupper) / len(s), float(left[-1:] in "\"'" and left != ""), float(bool(re.search(r"[:=]\s{0,2}[\"']?$", left))),
     ]
 
 
@@ -155,9 +167,15 @@ def weak_label(text: str, span: tuple[int, int, int], base: set[tuple[int, int,
 
 def made_up(r: random.Random) -> tuple[str, str, bool]:
     """A text in one of the kinds, at random: what stands before, the text itself, and whether it is personal data or a secret in an unusual form, or looks like one."""
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    word = lambda: "".join(r.choice(("an", "er", "in", "the", "tion", "ou", "re", "st", "le", "de")) for _ in range(r.randint(1, 3)))
-    of = lambda signs, n: "".join(r.choice(signs) for _ in range(n))
+    def of(signs, n: int) -> str:
+        bits, out = len(signs).bit_length(), []
+        while len(out) < n:  # as r.choice of each, without its calls
+            if (k := r.getrandbits(bits)) < len(signs):
+                out.append(signs[k])
+        return "".join(out)
+
+    d = lambda n: of("0123456789", n)
+    word = lambda: of(("an", "er", "in", "the", "tion", "ou", "re", "st", "le", "de"), r.randint(1, 3))
 
     def card(valid: bool, gap: str) -> str:
         body = r.choice("3456") + d(14)
@@ -195,12 +213,11 @@ def made_up(r: random.Random) -> tuple[str, str, bool]:
     return r.choice(("", "see ", "key point ", "version ")), r.choice((f"{word()}_{word()}_{word()}{word()}_{d(2)}", f"{word()}/{word()}{word()}/{word()}{d(1)}/{word()}", f"{word()}-{word()}{word()}-{word()}-{word()}-20{d(2)}", f"{word()}{word()}{word()}{word()}{d(1)}{word()}")), False
 
 
-def examples(text: str, seed: int, spliced: int = 4, natural: int = 32) -> tuple[list[list[float]], list[float]]:
-    """Features and labels of candidates of one document, so many at most: its own, as weak_label tells, and made-up texts written between its words."""
+def examples(text: str, seed: int, spliced: int = 4) -> tuple[list[list[float]], list[float]]:
+    """Features and labels of candidates of one document: all its own, as weak_label tells, and so many made-up texts written between its words."""
     r, rows, labels = random.Random(seed), [], []
     base = set(base_spans(text))
-    own = sorted(base | set(candidates(text)))
-    for c in r.sample(own, natural) if len(own) > natural else own:
+    for c in sorted(base | set(candidates(text))):
         label = weak_label(text, c, base)
         if label is not None:
             rows.append(features(text, c))
@@ -250,16 +267,18 @@ def _arrays(root) -> tuple[np.ndarray, ...]:
     return np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value)
 
 
-def training_rows(docs: DataFrame, most: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(h, features array<double>, label double) of the examples of so many documents at most, those of smallest hash of id and text; h is that hash.
+def training_rows(docs: DataFrame, most: int | None, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(h, features array<double>, label double) of the examples of all documents; h is a hash of id and text.
 
-    Half of them at most, by the same order, have a digit or an @. Null texts are the empty text, whose examples are made-up ones only.
+    With most, of so many documents only, those of smallest h, half of them at most with a digit or an @. Null texts are the empty text, whose
+    examples are made-up ones only.
     """
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    least = lambda where, n: rows.where(where).select("h").distinct().orderBy("h").limit(n)
-    signed = F.col("text").rlike("[0-9@]")
-    hashes = least(signed, most // 2).unionByName(least(~signed, most - most // 2))
-    chosen = rows.join(F.broadcast(hashes), "h", "left_semi").dropDuplicates(["h"])
+    chosen = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if most is not None:
+        rows, signed = chosen, F.col("text").rlike("[0-9@]")
+        least = lambda where, n: rows.where(where).select("h").distinct().orderBy("h").limit(n)
+        hashes = least(signed, most // 2).unionByName(least(~signed, most - most // 2))
+        chosen = rows.join(F.broadcast(hashes), "h", "left_semi").dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -276,8 +295,12 @@ def training_rows(docs: DataFrame, most: int, seed: int, id_col: str, text_col:
 
 
 def train(rows: DataFrame, seed: int) -> GBTClassificationModel:
-    """Boosted trees on rows of features and label: a bounded sample, in one partition and a fixed order, so that reruns agree."""
-    frame = rows.repartition(1).sortWithinPartitions("h", "features", "label").select(array_to_vector("features").alias("features"), "label")
+    """Boosted trees on all rows of features and label, dealt out by h to partitions of about FIT_ROWS, each in a fixed order.
+
+    In one partition reruns agree; sums over several are made in the order in which they come, and may differ in the last digit.
+    """
+    dealt = rows.repartition(rows.count() // FIT_ROWS + 1, "h").sortWithinPartitions("h", "features", "label")
+    frame = dealt.select(array_to_vector("features").alias("features"), "label")
     return GBTClassifier(maxIter=16, maxDepth=4, stepSize=0.3, seed=seed).fit(frame)
 
 
@@ -285,36 +308,50 @@ def trees_of(fitted: GBTClassificationModel) -> list[tuple[float, tuple]]:
     return [(w, _arrays(t._call_java("rootNode"))) for w, t in zip(fitted.treeWeights, fitted.trees)]
 
 
-def calibrated(p: np.ndarray, labels: np.ndarray, precision: float) -> float:
-    """The least probability, one half at least, from which on all choices together are right as often as precision asks; above 1 if there is none."""
+def calibrated(p: np.ndarray, labels: np.ndarray, precision: float, counts: np.ndarray | None = None) -> float:
+    """The least probability, one half at least, from which on all choices together are right as often as precision asks; above 1 if there is none.
+
+    With counts, a place stands for so many choices, labels of which are right.
+    """
     order = np.argsort(-p, kind="stable")
-    right, chosen = np.cumsum(labels[order]), np.arange(1, len(p) + 1)
+    right, chosen = np.cumsum(labels[order]), np.cumsum(np.ones(len(p)) if counts is None else counts[order])
     last = np.append(p[order][1:] < p[order][:-1], True)[: len(p)]  # rows of one probability are chosen together
     good = np.flatnonzero((right / chosen >= precision) & (p[order] >= 0.5) & last)
     return float(p[order][good[-1]]) if len(good) else 1.1
 
 
-def fit(docs: DataFrame, most: int = FIT_DOCS, precision: float = 0.995, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Boosted trees on the examples of `most` documents at most, and a threshold for each kind, calibrated on those of a fifth of them that the trees don't see.
+def _cells(rows: DataFrame, model: Model) -> DataFrame:
+    """(kind, cell, n, good): how many of rows (features, label) the model gives a probability of cell / CELLS or just above, and of how many the label is 1."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy().reshape(-1, len(NAMES))
+            cell = np.floor(held.value.probabilities(x) * CELLS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, : len(KINDS)].argmax(axis=1).astype(np.int32)), pa.array(cell), batch.column("label")], ["kind", "cell", "label"])
+        let_go()
+
+    told = rows.select("features", "label").mapInArrow(run, "kind int, cell int, label double")
+    return told.groupBy("kind", "cell").agg(F.count("*").alias("n"), F.sum("label").alias("good"))
+
+
+def fit(docs: DataFrame, most: int | None = None, precision: float = 0.995, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Boosted trees on the examples of all documents (of `most` at most, if given), and a threshold for each kind, calibrated on a fifth of them that the trees don't see.
 
-    The driver gets the held-out examples, whose number most bounds, and the model. An empty table gives a model that adds nothing.
+    The driver gets the model, and for each kind counts by CELLS steps of probability. An empty table gives a model that adds nothing.
     """
-    rows = training_rows(docs, most, seed, id_col, text_col).cache()
-    try:
-        held = F.pmod("h", F.lit(5)) == 0
-        learned = rows.where(~held)
-        if learned.agg(F.count_distinct("label")).first()[0] < 2:
-            return Model([], [1.1] * len(KINDS))
-        model = Model(trees_of(train(learned, seed)), [1.1] * len(KINDS))
-        kept = rows.where(held).select("features", "label").toArrow()
-    finally:
-        rows.unpersist()
-    if kept.num_rows:
-        x, labels = np.array(kept.column("features").to_pylist()), kept.column("label").to_numpy()
-        p = model.probabilities(x)
-        for kind in range(len(KINDS)):
-            own = x[:, kind] == 1
-            model.thresholds[kind] = calibrated(p[own], labels[own], precision)
+    rows = materialize(training_rows(docs, most, seed, id_col, text_col), "examples")
+    held = F.pmod("h", F.lit(5)) == 0
+    learned = rows.where(~held)
+    model = Model([], [1.1] * len(KINDS))
+    if learned.agg(F.count_distinct("label")).first()[0] == 2:
+        model.trees = trees_of(train(learned, seed))
+        kept = _cells(rows.where(held), model).where(F.col("cell") >= CELLS // 2).toArrow()
+        kind, cell, n, good = (kept.column(c).to_numpy() for c in ("kind", "cell", "n", "good"))
+        for k in range(len(KINDS)):
+            own = kind == k
+            model.thresholds[k] = calibrated(cell[own] / CELLS, good[own], precision, n[own])
+    release(rows)
     return model
 
 

@@ -97,3 +97,35 @@ def test_long_texts_lose_lines_in_linear_time(docs, monkeypatch):
     monkeypatch.setattr(lines, "removed_lines", lambda d, *_: d.select("id", F.xxhash64("text").alias("th"), F.sequence(F.lit(0), F.lit(n - 1), F.lit(2)).alias("removed")))
     got = lines.remove_lines(docs((1, "\n".join(f"l{k}" for k in range(n))))).first().text
     assert got.split("\n") == [f"l{k}" for k in range(1, n, 2)]
+
+
+def test_trees_learn_from_all_documents(docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda rows, seed: seen.append(rows.select("h").distinct().count()))
+    rows = docs(*[(k, f"word {k} of {k % 7}") for k in range(5_000)])
+    told = rows.where("pmod(xxhash64(doc_id, text), 5) <> 0").count()
+    monkeypatch.setattr(pii, "trees_of", lambda fitted: [])
+    monkeypatch.setattr(pii, "_cells", lambda rows, model: rows.sparkSession.createDataFrame([], "kind int, cell int, n long, good double"), raising=False)
+    pii.fit(rows)
+    assert told > 3_900 and seen == [told]  # of 4,000 documents no more than about 3,200 are learned from
+    many = " ".join(f"10.0.{k}.7," for k in range(50))
+    assert len(pii.examples(many, 1, spliced=0)[1]) == 50
+
+
+def test_cells_are_counts_by_probability(docs):
+    rows = pii.training_rows(docs(*[(k, prose(k, 30)) for k in range(60)]), None, 7, "doc_id", "text").cache()
+    model = pii.Model(pii.trees_of(pii.train(rows, 7)), [])
+    kept = rows.collect()
+    p, kind = model.probabilities(np.array([x.features for x in kept])), [x.features[:5].index(1.0) for x in kept]
+    want = {}
+    for k, q, x in zip(kind, p, kept):
+        n, good = want.get((k, int(q * pii.CELLS)), (0, 0.0))
+        want[k, int(q * pii.CELLS)] = (n + 1, good + x.label)
+    assert {(x.kind, x.cell): (x.n, x.good) for x in pii._cells(rows, model).collect()} == want
+
+
+def test_a_generator_is_left_out_only_where_it_has_no_match():
+    r = random.Random(8)
+    texts = NEEDY + ["ſecret: swordfishes", "TOKEN=swordfishes", "pİn is swordfishes", "pın: swordfishes", "a@b.c", "a (at) b [dot] c", "a at b\n. c", "a at b", "a @ b"]
+    for text in texts + ["".join(r.choices(("at", "@", "(at)", ".", " ", "dot", "[dot]", "x", "1", "key", ":", "is", "\n"), k=12)) for _ in range(20_000)]:
+        assert pii.candidates(text) == sorted({(m.start(p.groups), pii.KINDS.index(kind), m.end(p.groups)) for kind, p, _ in pii.GENERATORS for m in p.finditer(text)}), text
