@@ -270,12 +270,15 @@ def earlier_context(turns: DataFrame, before: int = 5, most: int = 200) -> DataF
 
 
 def first_of_each(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key by the order; rows with a null key all stay."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    """The first row of each key by the order; rows with a null key all stay.
+
+    A row with a null key is a key of its own, so that these rows are not one task's. The filter is on the rank alone, so that each task keeps its own first row of a key before the shuffle.
+    """
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    return rows.withColumn("_rn", rank).where((F.col("_rn") == 1) | ~known).drop("_rn")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_own").orderBy(*order))
+    return rows.withColumn("_own", F.when(~known, F.monotonically_increasing_id())).withColumn("_rn", rank).where("_rn = 1").drop("_own", "_rn")
 
 
 #: Fixed values of deep search: how many keyword hits, entity hits and results, and how many terms.
