@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +24,20 @@ SQL_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+')
 SQL_JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) > 0 THEN len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) ELSE 0E0 END"
 
 
-def neighbours(spark: SparkSession, folder: str, *sets: Column) -> DataFrame:
-    """Each fact with the columns made of its value, s0, s1, ..., and those of the next fact of its category in next."""
-    names = [f"s{k}" for k in range(len(sets))]
-    rows = relation(spark, folder, "facts").select("id", "category", *[c.alias(n) for c, n in zip(sets, names)])
-    return pairs.following(rows, ["category"], "id", names).where("next IS NOT NULL")
+def neighbours(spark: SparkSession, folder: str, *sets: Callable[[Column], Column]) -> DataFrame:
+    """Each fact with the columns that sets make of its fact_value, s0, s1, ..., and those of the next fact of its category in next.
+
+    Values are shuffled, not what is made of them: sets of grams are several times as long.
+    """
+    rows = relation(spark, folder, "facts").select("id", "category", "fact_value")
+    met = pairs.following(rows, ["category"], "id", ["fact_value"]).where("next IS NOT NULL")
+    made = lambda value: [f(value).alias(f"s{k}") for k, f in enumerate(sets)]
+    return met.select("id", *made(F.col("fact_value")), F.struct(*made(F.col("next.fact_value"))).alias("next"))
 
 
 @query(f"SELECT id, round({SQL_JACCARD.format('a', 'b')}, 6) AS similarity FROM (SELECT id, {SQL_WORDS.format('x')} AS a, {SQL_WORDS.format('y')} AS b FROM {NEXT} WHERE y IS NOT NULL) t", "facts")
 def c1_word_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(spark, folder, text.words(F.col("fact_value"))).select("id", F.round(text.jaccard(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
+    return neighbours(spark, folder, text.words).select("id", F.round(text.jaccard(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
 
 
 @query(
@@ -41,12 +47,12 @@ def c1_word_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 )
 def c3_gram_word_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     similarity = text.gram_word_jaccard((F.col("s0"), F.col("s1")), (F.col("next.s0"), F.col("next.s1")))
-    return neighbours(spark, folder, *text.gram_sets(F.col("fact_value"))).select("id", F.round(similarity, 6).alias("similarity"))
+    return neighbours(spark, folder, *[lambda v, k=k: text.gram_sets(v)[k] for k in (0, 1)]).select("id", F.round(similarity, 6).alias("similarity"))
 
 
 @query(f"SELECT id, round({SQL_JACCARD.format('a', 'b')}, 6) AS similarity FROM (SELECT id, {sql_grams('x', 2)} AS a, {sql_grams('y', 2)} AS b FROM {NEXT} WHERE y IS NOT NULL) t", "facts")
 def c4_gram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(spark, folder, bigrams(F.col("fact_value"))).select("id", F.round(text.jaccard(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
+    return neighbours(spark, folder, bigrams).select("id", F.round(text.jaccard(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
 
 
 @query(
@@ -57,7 +63,7 @@ def c4_gram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 )
 def c5_gram_counts(spark: SparkSession, folder: str) -> DataFrame:
     similarity = F.round(multiset_similarity("s0", "next.s0"), 6)
-    return neighbours(spark, folder, F.col("fact_value")).select("id", similarity.alias("similarity")).where("similarity IS NOT NULL")
+    return neighbours(spark, folder, lambda v: v).select("id", similarity.alias("similarity")).where("similarity IS NOT NULL")
 
 
 @query(
@@ -65,7 +71,7 @@ def c5_gram_counts(spark: SparkSession, folder: str) -> DataFrame:
     "facts",
 )
 def c6_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(spark, folder, text.words(F.col("fact_value"))).select("id", F.round(text.overlap(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
+    return neighbours(spark, folder, text.words).select("id", F.round(text.overlap(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
 
 
 @query(
@@ -73,7 +79,7 @@ def c6_overlap(spark: SparkSession, folder: str) -> DataFrame:
     "facts",
 )
 def c7_token_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(spark, folder, text.matches(F.col("fact_value"), "[a-zA-Z]{2,}")).select("id", F.round(text.jaccard(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
+    return neighbours(spark, folder, lambda v: text.matches(v, "[a-zA-Z]{2,}")).select("id", F.round(text.jaccard(F.col("s0"), F.col("next.s0")), 6).alias("similarity"))
 
 
 @query(
