@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block; each pair of blocks of a group is a task's work. Grams that are multiplied at a time.
-BLOCK, WIDTH = 512, 4_096
+#: Rows of a block; each pair of blocks of a group is a task's work. Rows of a block that are compared at once, and grams that are multiplied at a time.
+BLOCK, PART, WIDTH = 4_096, 512, 4_096
 
 _FOUND = pa.schema([("id", pa.int64()), ("match_id", pa.int64()), ("at", pa.int64()), ("similarity", pa.float64())])
 
@@ -38,9 +38,13 @@ def _overlaps(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray
     return out, size_a, size_b
 
 
-def _best(left: pa.Table, right: pa.Table, least: float) -> pa.Table:
-    if not left.num_rows or not right.num_rows:
-        return _FOUND.empty_table()
+def _best(left: pa.Table, right: pa.Table, least: float, part: int = PART) -> pa.Table:
+    """For each row of left the best of each part of right: blocks are large, so that rows are shuffled to few pairs of them, and parts are small, so that matrices are."""
+    parts = [_best_of_parts(left.slice(a, part), right.slice(b, part), least) for a in range(0, left.num_rows, part) for b in range(0, right.num_rows, part)]
+    return pa.concat_tables(parts).combine_chunks() if parts else _FOUND.empty_table()
+
+
+def _best_of_parts(left: pa.Table, right: pa.Table, least: float) -> pa.Table:
     both, a, b = _overlaps(left.column("grams"), right.column("grams"))
     union = a[:, None] + b[None, :] - both
     similarity = np.where(union > 0, both / np.maximum(union, 1), 0.0)
@@ -62,7 +66,7 @@ def best_similar(left: DataFrame, right: DataFrame, keys: list[str], least: floa
     id itself; of equally similar rows the one of least at, which should be unique in its group. Rows without a match are left out. Null keys are keys.
 
     Sets whose sizes differ too much for `least` never meet: groups are cut by classes of size. What is left is cut into hashed blocks, and pairs of
-    blocks are compared at once, so that no task holds a group and only the best of each block is written.
+    blocks are compared at once, so that no task holds a group and only the best of each part of a block is written.
     """
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # apart, for both may come from one table
     step = -math.log(least) + 1e-9

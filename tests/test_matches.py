@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,25 @@ def test_a_group_of_copies_is_two_rows_of_the_block_join(spark, monkeypatch):
     got = {x.id: (x.match_id, x.similarity) for x in matches.best_match(l, r, ["k"], 0.7).collect()}
     assert got[0] == (1, 1.0) and all(got[k] == (0, 1.0) for k in range(1, 3000)) and got[9000] == (0, 0.8)
     assert seen == [1, 3]
+
+
+def test_parts_of_a_block_give_what_the_block_gives():
+    base = [(i, g) for i, _, g in rows(4, 120) if g]
+    table = lambda name, other, values: pa.table({name: pa.array([i for i, _ in base], pa.int64()), "grams": pa.array([g for _, g in base], pa.list_(pa.int64())), other: pa.array(values, pa.int64())})
+    left, right = table("id", "before", [None if i % 3 else 60 for i, _ in base]), table("match_id", "at", [i for i, _ in base])
+
+    def best(part):
+        out = {}
+        for x in similar._best(left, right, 0.5, part).to_pylist():
+            out[x["id"]] = max(out.get(x["id"], (0, 0, 0)), (x["similarity"], -x["at"], x["match_id"]))
+        return out
+
+    assert best(7) == best(10_000) and len(best(7)) > 40
+
+
+def test_a_row_is_shuffled_to_few_blocks(spark):
+    base = [(k, "hot", [k, k + 1, 9_000], None) for k in range(3_000)]
+    l, r = frames(spark, base, [(i, k, g, i) for i, k, g, _ in base])
+    got = similar.best_similar(l.drop("key", "n", "t", "c"), r.drop("key", "n", "t", "c"), ["k"], 0.5)
+    assert got.count() == 3_000
+    assert similar.BLOCK >= 3_000  # with blocks of 512 rows each went to six
