@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grams import bigrams
+from .rules import bound
 
 
 def grams(text: Column, n: int = 2) -> Column:
@@ -108,15 +109,20 @@ def persona_score(query: Column, text: Column) -> Column:
     return F.when(F.size(terms) > 0, F.least(F.lit(1.0), 0.8 * n / F.size(terms) + F.least(n / 10, F.lit(0.2)))).otherwise(F.lit(0.0))
 
 
-def entities(text: Column, vocabulary: list[str] = ()) -> Column:
-    """Names in a text: quoted ones, both sides of 'aka' and 'also known as', and matches of the vocabulary's patterns; each once, whatever its case, as it is first written."""
+def mentions(text: Column, vocabulary: list[str] = ()) -> Column:
+    """Names in a text: quoted ones, both sides of 'aka' and 'also known as', and matches of the vocabulary's patterns, each as often as it stands."""
     other = F.coalesce(F.lower(text).rlike(r"\saka\s|also known as"), F.lit(False))  # the pattern below is slow where neither stands
     aka = r"(?i)(\w+(?:\s+\w+)*)\s+(?:aka|also known as)\s+(\w+(?:\s+\w+)*)"
     sides = F.when(other, F.concat(*[F.regexp_extract_all(text, F.lit(aka), F.lit(k)) for k in (1, 2)])).otherwise(F.array().cast("array<string>"))
     found = [F.regexp_extract_all(text, F.lit(r"""["\\']([^"\\']+)["\\']"""), F.lit(1)), sides, *[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in vocabulary]]
-    names = F.filter(F.transform(F.concat(*found), lambda n: F.trim(n)), lambda n: n != "")
-    low = F.transform(names, lambda n: F.lower(n))
-    return F.filter(names, lambda n, k: F.array_position(low, F.lower(n)) == k + 1)
+    return F.filter(F.transform(F.concat(*found), lambda n: F.trim(n)), lambda n: n != "")
+
+
+def entities(text: Column, vocabulary: list[str] = ()) -> Column:
+    """The mentions() of a text, each once, whatever its case, as it is first written."""
+    once = lambda names, low: F.filter(names, lambda n, k: F.array_position(low, F.lower(n)) == k + 1)
+    # Bound, for a lambda makes what it refers to anew for each name.
+    return bound(mentions(text, vocabulary), lambda names: bound(F.transform(names, lambda n: F.lower(n)), lambda low: once(names, low)))
 
 
 #: Fixed words that are no tags.

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, stored
 
 
 def facts_of(facts: DataFrame, edges: DataFrame, entities: DataFrame, name: str) -> DataFrame:
@@ -100,12 +100,13 @@ def add_nodes(tree: DataFrame, new: DataFrame, mark: str = "/") -> DataFrame:
 def link_entities(facts: DataFrame, known: DataFrame, names) -> tuple[DataFrame, DataFrame]:
     """Entities that facts (id, fact_value) name, by names, a function from the value's column to an array: new ones (name), not known (name) in any case, and edges (fact_id, name), once each.
 
-    An entity is written as in the fact of least id.
+    An entity is written as in the fact of least id, where it stands first. A fact may give a name many times. Facts are read once: what they name is a table in the shared folder.
     """
-    found = facts.select("id", F.posexplode(names(F.col("fact_value"))).alias("at", "name")).withColumn("low", F.lower("name"))
-    written = found.groupBy("low").agg(F.min_by("name", F.struct("id", "at")).alias("name"))
+    named = facts.select("id", F.posexplode(names(F.col("fact_value"))).alias("at", "name"))
+    found = stored(named.groupBy("id", F.lower("name").alias("low")).agg(F.min(F.struct("at", "name")).alias("first")), "named")
+    written = found.groupBy("low").agg(F.min_by("first.name", F.struct("id", "first.at")).alias("name"))
     new = written.join(known.select(F.lower("name").alias("low")).distinct(), "low", "left_anti").select("name")
-    return new, found.select("id", "low").distinct().join(written, "low").select(F.col("id").alias("fact_id"), "name")
+    return new, found.join(written, "low").select(F.col("id").alias("fact_id"), "name")
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def e6_link_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Names found in facts, each one entity whatever its case, with its facts, and whether it was known."""
     facts = relation(spark, folder, "facts").where("archived = 0")
     known = table(spark, folder, "part").select(F.col("p_brand").alias("name")).unionByName(spark.sql("SELECT 'lyon' AS name"))
-    new, edges = graph.link_entities(facts, known, lambda v: text.entities(v, NAMED))
+    new, edges = graph.link_entities(facts, known, lambda v: text.mentions(v, NAMED))
     counts = edges.groupBy("name").agg(F.count("*").alias("facts"))
     return counts.join(new.withColumn("new", F.lit(True)), "name", "left").select("name", "facts", F.col("new").isNull().alias("known"))
 
