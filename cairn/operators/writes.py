@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scores, text
 from ..functions.grams import bigrams
+from ..sources.shared import stored
 from .matches import best_match
 from .ordered import cache_writes
 
@@ -134,6 +135,7 @@ def write_facts(new: DataFrame, old: DataFrame, as_of: int, tier_words: dict[str
     defaulted = lambda c, d: F.when(F.trim(F.coalesce(c, F.lit(""))) == "", d).otherwise(F.trim(c))
     clean = new.select("id", defaulted("agent_id", F.lit("local")).alias("agent_id"), defaulted("category", F.lit("general")).alias("category"), F.trim("fact_key").alias("fact_key"), F.trim("fact_value").alias("raw"), "memory_tier")
     clean = clean.withColumn("told", F.when(F.coalesce("fact_key", F.lit("")) == "", "empty").otherwise(rules.guard(F.col("raw")))).withColumn("fact_value", rules.cleaned(F.col("raw")))
+    clean = stored(clean.drop("raw"), "clean")  # what the guard tells is read four times
     good = clean.where("told = 'ok'")
     tier = F.coalesce("memory_tier", rules.first_tier(F.concat_ws(" ", "category", "fact_key", "fact_value"), tier_words))
     days = scores.choose(F.col("tier"), {k: int(v[1]) for k, v in scores.TIERS.items() if v[1]}, None)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,18 @@ def test_a_row_is_shuffled_to_few_blocks(spark):
     got = similar.best_similar(l.drop("key", "n", "t", "c"), r.drop("key", "n", "t", "c"), ["k"], 0.5)
     assert got.count() == 3_000
     assert similar.BLOCK >= 3_000  # with blocks of 512 rows each went to six
+
+
+def test_far_rows_are_not_compared(monkeypatch):
+    """Two vocabularies and two sizes: bounds leave out most pairs and no best row; equal similarities go to the least at."""
+    r, seen, real = random.Random(8), [], similar._overlaps
+    monkeypatch.setattr(similar, "_overlaps", lambda *a: seen.append(real(*a)) or seen[-1])
+    kinds = [(0, 40), (0, 150), (10_000, 40), (10_000, 150)]
+    make = lambda k: sorted({first + g for first, size in [kinds[k % 4]] for g in r.sample(range(size * 5 // 4), size)})
+    left, right = [(k, make(k), r.choice([None, 900])) for k in range(400)], [(1_000 + k, make(k), 999 - k) for k in range(400)]
+    right += [(k + 500, grams, at + 1_000) for k, grams, at in right]
+    table = lambda rows, *names: pa.table(dict(zip(names, map(pa.array, zip(*rows)))))
+    found = similar._best(table(left, "id", "grams", "before"), table(right, "match_id", "grams", "at"), 0.5, 50).to_pylist()
+    want = brute([(i, "x", g, b) for i, g, b in left], [(m, "x", g, at) for m, g, at in right], 0.5)
+    assert {(x["id"], x["match_id"], round(x["similarity"], 9)) for x in found} == want and len(want) > 300
+    assert sum(np.size(x) for x in seen) < 0.4 * len(left) * len(right)

@@ -4,7 +4,9 @@ import pytest
 
 from cairn import plans
 from cairn.functions import text
-from cairn.operators import graph
+from cairn.operators import graph, writes
+from cairn.plans.filters import TIER_WORDS
+from cairn.sources.tables import AS_OF
 
 
 def plan(df):
@@ -27,3 +29,11 @@ def test_linking_names_that_repeat(spark, names):
 def test_entities_bind_their_names(spark):
     """Names are found once a text, not anew for each of its names: the pattern stands in the column once."""
     assert text.entities(spark.range(1).selectExpr("'a' AS t").t, [r"\bAI\b"])._jc.toString().count("AI") == 1
+
+
+def test_guarded_facts_are_guarded_once(spark):
+    new = spark.createDataFrame([(1, "a", "c", "k", "plain words of a fact", None)], "id long, agent_id string, category string, fact_key string, fact_value string, memory_tier string")
+    old = spark.createDataFrame([(2, "a", "c", "plain words of a fact.")], "id long, agent_id string, category string, fact_value string")
+    done = writes.write_facts(new, old, AS_OF, TIER_WORDS)
+    assert "array_sort" not in plan(done)  # of the guard's lines
+    assert [(r.id, r.action, r.fact_id) for r in done.collect()] == [(1, "merge", 2)]
