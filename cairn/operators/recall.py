@@ -7,6 +7,7 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from ..sources.shared import stored
 from . import postings
 
 #: So many queries are broadcast; more are compared in blocks of these many queries and vectors (on average).
-FEW_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 100, 1_024, 2_048
+FEW_QUERIES, QUERY_BLOCK, VECTOR_BLOCK = 100, 4_096, 8_192
+#: Queries of a block that are compared at once.
+QUERY_PART = 512
 
 
 def keyword_search(rows: DataFrame, terms: list[str], column: str, limit: int, order: list) -> DataFrame:
@@ -114,6 +117,66 @@ def _cosines(queries: list, vectors: list) -> np.ndarray:
     return out
 
 
+def _plain(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors have no null, the commonest length and lengths in space far from the ends of what numbers can tell, and a matrix of these."""
+    lists = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy()
+    some = sizes[sizes > 0]
+    n = int(np.bincount(some).argmax()) if len(some) else 0
+    ok = sizes == n if n else np.zeros(len(sizes), bool)
+    values = lists.filter(pa.array(ok)).flatten()
+    rows = values.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n or 1)  # nulls are NaN
+    with np.errstate(all="ignore"):
+        size = np.sqrt((rows * rows).sum(axis=1))
+        fits = (size > 1e-100) & (size < 1e100)
+    ok[np.flatnonzero(ok)[~fits]] = False
+    return ok, rows[fits]
+
+
+def _topk(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """(qid, vec_id, score): for each query of left its k best rows of right, which is in the order of vec_id, itself excluded; equal ones by vec_id.
+
+    A product of matrices in single precision tells which rows may be among the best, within its error; only their scores are made as cosine() makes them. Vectors
+    of another length, with nulls, without direction or of extreme length are compared one by one with all.
+    """
+    qid, vid = left.column("qid").to_numpy(), right.column("vec_id").to_numpy()
+    (plain_q, q), (plain_v, v) = _plain(left.column("qvec")), _plain(right.column("embedding"))
+    if q.shape[1] != v.shape[1]:
+        plain_q, q = np.zeros(len(qid), bool), np.zeros((0, v.shape[1]))
+    rank = np.full((len(qid), len(vid)), -np.inf)
+    unit = lambda m: (m / np.sqrt((m * m).sum(axis=1))[:, None]).astype(np.float32)
+    if plain_q.all() and plain_v.all():
+        rank = unit(q) @ unit(v).T
+    else:
+        rank[np.ix_(plain_q, plain_v)] = unit(q) @ unit(v).T
+        listed = lambda t, c, rows: t.column(c).take(pa.array(rows)).to_pylist()
+        every, odd_q, odd_v = np.arange(len(vid)), np.flatnonzero(~plain_q), np.flatnonzero(~plain_v)
+        rank[np.ix_(odd_q, every)] = _cosines(listed(left, "qvec", odd_q), listed(right, "embedding", every))
+        rank[np.ix_(np.flatnonzero(plain_q), odd_v)] = _cosines(listed(left, "qvec", np.flatnonzero(plain_q)), listed(right, "embedding", odd_v))
+        rank[np.isnan(rank)] = np.inf  # as Spark orders NaN
+    own = vid[None, :] == qid[:, None]
+    rank[own] = -np.inf
+    error = (v.shape[1] + 8) * 2.0**-21
+    least = np.partition(rank, len(vid) - k, axis=1)[:, len(vid) - k] - error if len(vid) > k else np.full(len(qid), -np.inf)
+    at, to = np.nonzero((rank >= least[:, None]) & ~own)
+    score = rank[at, to].astype(np.float64)
+    exact = plain_q[at] & plain_v[to]
+    i, j = (np.cumsum(plain_q) - 1)[at[exact]], (np.cumsum(plain_v) - 1)[to[exact]]
+    product, qq, vv = np.zeros(len(i)), np.zeros(len(q)), np.zeros(len(v))
+    for x, y in zip(q.T, v.T):  # summed in the order of cosine()
+        product += x[i] * y[j]
+        qq += x * x
+        vv += y * y
+    score[exact] = product / (np.sqrt(qq)[i] * np.sqrt(vv)[j])
+    order = np.lexsort((to, -score, at))
+    at, to, score = at[order], to[order], score[order]
+    first = np.searchsorted(at, at)
+    keep = np.arange(len(at)) - first < k
+    at, to, score = at[keep], to[keep], score[keep]
+    score = np.where(np.isposinf(score), np.nan, score)
+    return pa.table({"qid": pa.array(qid[at]), "vec_id": pa.array(vid[to]), "score": pa.array(score, mask=np.isneginf(score))})
+
+
 def _topk_of_blocks(vectors: DataFrame, queries: DataFrame, n_queries: int, k: int) -> DataFrame:
     """(qid, vec_id, score): of each block of queries with each block of vectors the k best rows of each query."""
     n_q, n_v = -(-n_queries // QUERY_BLOCK), -(-vectors.count() // VECTOR_BLOCK) or 1
@@ -124,24 +187,9 @@ def _topk_of_blocks(vectors: DataFrame, queries: DataFrame, n_queries: int, k: i
     schema = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        qid, vid = left.column("qid").to_numpy(), right.column("vec_id").to_numpy()
-        if not len(qid) or not len(vid):
-            return schema.empty_table()
-        order = np.argsort(vid, kind="stable")
-        vid = vid[order]
-        found = _cosines(left.column("qvec").to_pylist(), right.column("embedding").take(pa.array(order)).to_pylist())
-        rank = np.where(np.isnan(found), np.inf, found)  # as Spark orders NaN
-        at, to = [], []
-        for row in range(len(qid)):
-            top = np.flatnonzero(vid != qid[row])
-            if len(top) > k:
-                least = np.partition(rank[row, top], len(top) - k)[len(top) - k]
-                top = top[rank[row, top] >= least]
-            top = top[np.argsort(-rank[row, top], kind="stable")[:k]]  # equal ones by vec_id
-            at += [row] * len(top)
-            to += top.tolist()
-        scores_ = found[at, to]
-        return pa.Table.from_arrays([pa.array(qid[at]), pa.array(vid[to]), pa.array(scores_, mask=np.isneginf(scores_))], schema=schema)
+        right = right.take(pa.array(np.argsort(right.column("vec_id").to_numpy(), kind="stable")))
+        parts = [_topk(left.slice(at, QUERY_PART), right, k) for at in range(0, left.num_rows if right.num_rows else 0, QUERY_PART)]
+        return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInArrow(best, "qid long, vec_id long, score double")
 

@@ -22,6 +22,27 @@ def test_vector_topk_of_many_queries_is_as_of_few(spark, monkeypatch):
     assert blocks == {tuple(x) for x in recall.vector_topk(vectors, queries, 4).collect()}
 
 
+def test_vector_topk_makes_few_scores_one_by_one(spark, monkeypatch):
+    """Blocks give the rows and scores of plain loops, odd vectors included, while only a few pairs of plain vectors are compared one by one."""
+    import pyarrow as pa
+
+    r, seen, real = np.random.default_rng(6), [], recall._cosines
+    monkeypatch.setattr(recall, "_cosines", lambda q, v: seen.append(len(q) * len(v)) or real(q, v))
+    vectors = [x.tolist() for x in r.standard_normal((300, 8)).astype(np.float32)]
+    vectors[5:12] = [None, [0.0] * 8, [1e-160] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7, [1.0, 2.0], [None] + [1.0] * 7]
+    vectors[40], vectors[41] = vectors[39], [2 * x for x in vectors[39]]
+    kind, ids = pa.list_(pa.float64()), np.arange(300)
+    table = lambda i, v: pa.table({i: pa.array(ids), v: pa.array(vectors, kind)})
+    found = recall._topk(table("qid", "qvec"), table("vec_id", "embedding"), 6).to_pylist()
+    assert sum(seen) < 0.1 * 300 * 300
+    exact = real(vectors, vectors)
+    want = []
+    for i in range(300):
+        key = [(-(np.inf if np.isnan(s) else s), j) for j, s in enumerate(exact[i]) if j != i]
+        want += [(i, j, exact[i, j]) for _, j in sorted(key)[:6]]
+    assert [(x["qid"], x["vec_id"], "null" if x["score"] is None else str(x["score"])) for x in found] == [(i, j, "null" if np.isneginf(s) else str(float(s))) for i, j, s in want]
+
+
 def test_vector_topk_takes_more_than_ten_thousand_queries(spark):
     vectors = spark.createDataFrame([(k, [1.0, k / 10]) for k in range(20)], "vec_id long, embedding array<double>")
     queries = spark.range(100, 10_600).select(F.col("id").alias("qid"), F.array(F.lit(1.0), F.lit(0.71)).alias("qvec"))
