@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..sources.shared import dropped, stored
+from ..sources.shared import dropped, shuffled, stored
 from .pairs import following
 
 LAST = (1 << 63) - 1
@@ -35,7 +35,7 @@ def first_after(probes: DataFrame, rows: DataFrame, keys: list[str], width: floa
     others = Window.partitionBy(*keys).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("_after", F.last("_head", ignorenulls=True).over(others))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*keys, "_slot"]]
-    return asked.alias("a").join(slots.alias("s"), reduce(and_, same), "left").select("a.pid", F.coalesce("a._next", "s._after").alias("next"))
+    return asked.alias("a").join(shuffled(slots.alias("s")), reduce(and_, same), "left").select("a.pid", F.coalesce("a._next", "s._after").alias("next"))
 
 
 def reached(nodes: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def reached(nodes: DataFrame) -> DataFrame:
     while True:
         known = now.select(F.col("id").alias("jump"), F.col("jump").alias("far"))
         new = now.where("hit AND jump IS NOT NULL").select(F.col("jump").alias("id")).distinct().withColumn("new", F.lit(True))
-        step = now.join(known, "jump", "left").join(new, "id", "left").select("id", F.col("far").alias("jump"), (F.col("hit") | F.col("new").isNotNull()).alias("hit"), (~F.col("hit") & F.col("new").isNotNull()).alias("added"))
+        step = now.join(shuffled(known), "jump", "left").join(shuffled(new), "id", "left").select("id", F.col("far").alias("jump"), (F.col("hit") | F.col("new").isNotNull()).alias("hit"), (~F.col("hit") & F.col("new").isNotNull()).alias("added"))
         after = stored(step, "reached")
         dropped(now)
         now = after.drop("added")

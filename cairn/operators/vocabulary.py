@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import shuffled, stored
 from .ordered import first_after, reached
 
 #: A word: letters and digits of any script, in lower case.
@@ -59,8 +59,8 @@ def leftmost_longest(matches: DataFrame) -> DataFrame:
     probes = found.select(F.col("id").alias("doc"), F.col("node").alias("pid"), (F.col("at") + F.col("n")).alias("at"), F.lit(-1).alias("tie"))
     nexts = first_after(probes, found.select(F.col("id").alias("doc"), F.lit(0).alias("id"), "at"), ["doc"], SLOT)
     nexts = nexts.select(F.col("pid").alias("node"), F.when(F.col("next").isNotNull(), F.struct(F.col("pid.id").alias("id"), F.col("next.at").alias("at"))).alias("next"))
-    kept = reached(heads.join(nexts, "node").select(F.col("node").alias("id"), "next", "start"))
-    return found.join(kept.select(F.col("id").alias("node")), "node", "left_semi").select("id", "at", "n", "name")
+    kept = reached(heads.join(shuffled(nexts), "node").select(F.col("node").alias("id"), "next", "start"))
+    return found.join(shuffled(kept.select(F.col("id").alias("node"))), "node", "left_semi").select("id", "at", "n", "name")
 
 
 def find_names(texts: DataFrame, names: DataFrame) -> DataFrame:

@@ -44,6 +44,11 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(F.xxhash64(*keys))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df to be joined by a shuffle. For tables that grow with the input: Spark would send each that takes little disk through the driver, and packed tables are many times as large there."""
+    return df.hint("merge")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of stored() that no later plan reads."""
     for df in tables:

@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import vocabulary
+from cairn.operators import ordered, vocabulary
+from cairn.sources.shared import stored
 
 
 def plain_words(text):
@@ -61,3 +62,22 @@ def test_new_entities_and_edges_once(spark):
     new, edges = vocabulary.link_names(texts, names, spark.createDataFrame([("Blue Bolt",)], "name string"))
     assert [r.name for r in new.collect()] == ["red ring"]
     assert sorted((r.fact_id, r.name) for r in edges.collect()) == [(1, "red ring"), (2, "blue bolt"), (2, "red ring")]
+
+
+def test_only_pieces_of_names_are_broadcast(spark, monkeypatch):
+    """Tables that grow with the texts are joined by shuffles: a broadcast goes through the driver."""
+    plans = []
+
+    def seen(df, label, *a):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, label, *a)
+
+    monkeypatch.setattr(vocabulary, "stored", seen)
+    monkeypatch.setattr(ordered, "stored", seen)
+    texts = spark.createDataFrame([(k, "red fox red fox jumps") for k in range(30)], "id long, value string")
+    names = spark.createDataFrame([("red fox",), ("fox red fox",), ("jumps",)], "name string")
+    found = vocabulary.find_names(texts, names)
+    assert sorted((r.at, r.name) for r in found.where("id = 7").collect()) == [(0, "red fox"), (2, "red fox"), (4, "jumps")]
+    plans.append(("last", found._jdf.queryExecution().executedPlan().toString()))
+    assert {label for label, plan in plans if "BroadcastExchange" in plan} <= {"matches"}  # which is made with the pieces
+    assert {"reached", "last"} <= {label for label, _ in plans}
