@@ -18,7 +18,6 @@ from .fingerprint import GAP
 
 #: Hash buckets in which tokens are counted for their rarity: the whole of what the counts take, however large the vocabulary.
 BUCKETS = 1 << 17
-_MASK = (1 << 56) - 1
 #: Sets up to this size have bitmaps of 64 bits, others of 128.
 SMALL = 40
 
@@ -30,7 +29,7 @@ def rarity(docs: DataFrame, text_col: str = "text") -> Column:
     the join miss a pair. The numbers are written as text that the optimizer turns into an array once.
     """
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.split(F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("bucket"))
+    words = docs.select(F.explode(F.split(F.replace(F.lower(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(F.hash("w").bitwiseAND(BUCKETS - 1).cast("long").alias("bucket"))
     counts = words.groupBy("bucket").count().unionByName(spark.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(1).cast("long").alias("count")))
     steps = counts.groupBy("bucket").agg(F.least(F.floor(4 * F.log2(F.sum("count"))), F.lit(127)).cast("int").alias("step"))
     found = steps.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "step"))), lambda x: x["step"]).alias("steps")).first()["steps"]  # BUCKETS of them
@@ -43,17 +42,20 @@ def bare(line: Column) -> Column:
 
 
 def split_words(line: Column) -> Column:
-    """The lower-cased words of a bare line. Splitting at single spaces is cheaper, and does where no other gap occurs."""
+    """The lower-cased words of a bare line, which has no line feed. Splitting at single spaces is cheaper, and does where no other gap occurs."""
     other = F.contains(line, F.lit("  "))
-    for c in "\t\n\x0b\x0c\r":
+    for c in "\t\x0b\x0c\r":
         other = other | F.contains(line, F.lit(c))
     return F.when(other, F.split(F.lower(line), GAP)).otherwise(F.split(F.lower(line), " "))
 
 
 def token_set(line: Column, steps: Column) -> Column:
-    """The distinct tokens of a bare line with a word as sorted longs: seven bits of rarity, then 56 bits of hash. Rare ones come first."""
-    name = lambda h: F.shiftleft(F.get(steps, h.bitwiseAND(BUCKETS - 1)), 56).bitwiseOR(h.bitwiseAND(_MASK))
-    return F.sort_array(F.transform(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), name))
+    """The distinct tokens of a bare line with a word as sorted longs: seven bits of rarity, then 56 bits of hash. Rare ones come first.
+
+    What stands below a lambda is interpreted, what stands above it is compiled: so words are named by one lambda, before they are made distinct.
+    """
+    name = lambda w: F.shiftleft(F.get(steps, F.hash(w).bitwiseAND(BUCKETS - 1)), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    return F.sort_array(F.array_distinct(F.transform(split_words(line), name)))
 
 
 def parity(tokens: Column) -> Column:
@@ -97,7 +99,7 @@ def _may_match(percent: int) -> Column:
     prefix = F.when(a <= b, li).otherwise(ri)
     most = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
     position = most * (100 + percent) >= (a + b) * percent
-    return length & bitmap & prefix & position
+    return length & prefix & bitmap & position
 
 
 def postings(sets: DataFrame, percent: int) -> DataFrame:
@@ -193,7 +195,7 @@ def line_report(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     A null text has no line, an empty one has one without a word. Ids may be null or repeat. Other columns are ignored. No rows give no rows.
     """
     gone = removed_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), percent, "id", "text").withColumnRenamed("id", "_id")
-    count = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long")
+    count = (F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"))) + 1).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("_h"), F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(count).alias("n_lines"))
     joined = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("th")), "left")
     return joined.select(F.col("id").alias(id_col), "n_lines", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

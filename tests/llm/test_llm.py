@@ -177,6 +177,16 @@ def test_lines(docs, repeats):
     assert lines.line_report(docs()).count() == 0
 
 
+def test_tokens_are_named_by_one_lambda(docs):
+    steps = F.split(F.lit(",".join(str(k % 100) for k in range(lines.BUCKETS))), ",").cast("array<bigint>")
+    rows = docs((1, "b a  A\tc b"), (2, "C b a"), (3, "a d"))
+    found = rows.select("doc_id", lines.token_set(F.col("text"), steps).alias("tokens"))
+    assert found._jdf.queryExecution().analyzed().toString().count("transform(") == 1
+    sets = {x.doc_id: x.tokens for x in found.collect()}
+    assert sets[1] == sets[2] and len(sets[1]) == 3 and len(set(sets[1]) & set(sets[3])) == 1
+    assert all(list(x) == sorted(x) for x in sets.values())
+
+
 # 4
 
 
